@@ -126,7 +126,14 @@ def read_monthly(spark: SparkSession, root: str) -> DataFrame:
     return spark.read.parquet(root).withColumnsRenamed({"year": "file_year", "month": "file_month"})
 
 
+def _finished(spark: SparkSession, path: str) -> bool:
+    """True when a write to ``path`` was committed; an aborted one leaves no marker."""
+    marker = spark._jvm.org.apache.hadoop.fs.Path(f"{path}/_SUCCESS")
+    return marker.getFileSystem(spark._jsc.hadoopConfiguration()).exists(marker)
+
+
 def write_once(df: DataFrame, path: str) -> DataFrame:
-    """Materialise ``df`` at ``path`` unless it is there already, and read it back."""
-    df.write.mode("ignore").parquet(path)
+    """Materialise ``df`` at ``path`` unless that was done before, and read it back."""
+    if not _finished(df.sparkSession, path):
+        df.write.mode("overwrite").parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
