@@ -17,10 +17,10 @@ BUCKETS_PER_DOUBLING = 1024
 _OFFSET = 1100 * BUCKETS_PER_DOUBLING
 
 
-def order_bucket(value: Column) -> Column:
-    """Bucket of a non-null, non-NaN double."""
-    size = F.floor(F.log2(F.abs(value)) * BUCKETS_PER_DOUBLING) + F.lit(_OFFSET)
-    return F.when(value > 0, size).when(value < 0, -size).otherwise(F.lit(0).cast("bigint"))
+def order_bucket(value: str) -> str:
+    """SQL for the bucket of a non-null, non-NaN double column."""
+    size = f"floor(log2(abs({value})) * {BUCKETS_PER_DOUBLING}) + {_OFFSET}"
+    return f"CASE WHEN {value} > 0 THEN {size} WHEN {value} < 0 THEN -({size}) ELSE 0L END"
 
 
 def known(value: Column) -> Column:

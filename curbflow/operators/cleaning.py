@@ -50,9 +50,11 @@ def absolute(df: DataFrame, columns=AMOUNTS) -> DataFrame:
     return df.withColumns({c: F.abs(c) for c in columns if c in df.columns})
 
 
-def fence_table(df: DataFrame, column: str, by=FILE_KEYS, k: float = 1.5) -> DataFrame:
+def fence_table(
+    df: DataFrame, column: str, by=FILE_KEYS, k: float = 1.5, bucketed: bool | None = None
+) -> DataFrame:
     """Quartiles and the fence ``Q1 - k IQR .. Q3 + k IQR`` per group."""
-    quartiles = exact_quantiles(df, by, column, {"q1": 0.25, "q3": 0.75})
+    quartiles = exact_quantiles(df, by, column, {"q1": 0.25, "q3": 0.75}, bucketed)
     spread = F.col("q3") - F.col("q1")
     return quartiles.withColumns(
         {"fence_low": F.col("q1") - k * spread, "fence_high": F.col("q3") + k * spread}
@@ -67,20 +69,23 @@ def attach_fence(df: DataFrame, fences: DataFrame, by, name: str) -> DataFrame:
     return df.join(side, list(by), "left")
 
 
-def iqr_fence(df: DataFrame, column: str, by=FILE_KEYS, k: float = 1.5) -> DataFrame:
+def iqr_fence(
+    df: DataFrame, column: str, by=FILE_KEYS, k: float = 1.5, bucketed: bool | None = None
+) -> DataFrame:
     """Keep rows inside their group's fence, bounds included; unknown values go."""
     by = list(by)
-    fenced = attach_fence(df, settle(fence_table(df, column, by, k)), by, "f")
+    fenced = attach_fence(df, settle(fence_table(df, column, by, k, bucketed)), by, "f")
     return fenced.where(F.col(column).between(F.col("_low_f"), F.col("_high_f"))).select(df.columns)
 
 
 def iqr_fence_airport_exempt(
-    df: DataFrame, column: str, airports=AIRPORT_ZONES, by=FILE_KEYS, k: float = 1.5
+    df: DataFrame, column: str, airports=AIRPORT_ZONES, by=FILE_KEYS, k: float = 1.5,
+    bucketed: bool | None = None,
 ) -> DataFrame:
     """As ``iqr_fence``, with airport trips neither measured nor filtered."""
     by = list(by)
     exempt = touches(airports)
-    fences = settle(fence_table(df.where(~exempt), column, by, k))
+    fences = settle(fence_table(df.where(~exempt), column, by, k, bucketed))
     fenced = attach_fence(df, fences, by, "f")
     inside = holds(F.col(column).between(F.col("_low_f"), F.col("_high_f")))
     return fenced.where(exempt | inside).select(df.columns)

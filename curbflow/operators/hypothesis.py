@@ -31,19 +31,14 @@ def group_moments(df: DataFrame, value: str, group: str) -> DataFrame:
 def _anova_row(moments: DataFrame) -> DataFrame:
     """One row with between and within sums of squares and F."""
     n, mean = F.col("n"), F.col("mean")
-    # Between-group part as the weighted variance of group means.
-    totals = moments.agg(
-        F.count(F.lit(1)).alias("k"), F.sum("n").alias("total"), F.sum("ss").alias("ss_within"),
-        F.sum(n * mean).alias("_s1"), F.collect_list(F.struct("n", "mean")).alias("_groups"),
-    )
-    grand = F.col("_s1") / F.col("total")
-    between = F.aggregate(
-        "_groups", F.lit(0.0),
-        lambda acc, g: acc + g["n"] * (g["mean"] - F.col("_grand")) * (g["mean"] - F.col("_grand")),
+    grand = moments.agg(F.sum(n * mean) / F.sum(n)).scalar()
+    off = mean - F.col("_grand")
+    sums = moments.withColumn("_grand", grand).agg(
+        F.count(F.lit(1)).alias("k"), F.sum("n").alias("total"),
+        F.sum("ss").alias("ss_within"), F.sum(n * off * off).alias("ss_between"),
     )
     return (
-        totals.withColumn("_grand", grand).withColumn("ss_between", between)
-        .withColumns(
+        sums.withColumns(
             {"df_between": F.col("k") - 1, "df_within": F.col("total") - F.col("k")}
         )
         .withColumn("mse", F.col("ss_within") / F.nullif(F.col("df_within"), F.lit(0)))
@@ -52,7 +47,6 @@ def _anova_row(moments: DataFrame) -> DataFrame:
             F.col("ss_between") / F.nullif(F.col("df_between"), F.lit(0))
             / F.nullif(F.col("mse"), F.lit(0.0)),
         )
-        .select("statistic", "df_between", "df_within", "ss_between", "ss_within", "mse", "k", "total")
     )
 
 
@@ -202,15 +196,10 @@ def tukey_hsd(
     Empty unless the analysis of variance is significant or ``always`` is set.
     Pairs are formed among group summaries, never among trips.
     """
-    moments = group_moments(df, value, group).cache()
-    overall = _anova_row(moments)
-    overall = settle(
-        overall.withColumn(
-            "_p", tail_probability("f", F.col("statistic"), F.col("df_between"), F.col("df_within"))
-        ).select("mse", "df_within", "k", "_p")
+    groups = settle(group_moments(df, value, group))
+    overall = _anova_row(groups).withColumn(
+        "_p", tail_probability("f", F.col("statistic"), F.col("df_between"), F.col("df_within"))
     )
-    groups = settle(moments)
-    moments.unpersist()
     left = groups.select(F.col(group).alias("group1"), F.col("n").alias("n1"), F.col("mean").alias("m1"))
     right = groups.select(F.col(group).alias("group2"), F.col("n").alias("n2"), F.col("mean").alias("m2"))
     fixed = overall.first()

@@ -96,8 +96,9 @@ def _statistic(
 ) -> pd.DataFrame:
     """W and its normal deviate from the sums of one sample.
 
-    ``total`` is the sum of squared scores, ``scored`` the sum of value times
-    score, ``low1..high1`` the two smallest and two largest values.
+    ``total`` is the sum of squared scores, ``squares`` that of deviations from
+    the mean, ``scored`` the sum of deviation times score, ``low1..high1`` the
+    two smallest and two largest values.
     """
     rows = []
     for size, mm, ss, xm, a, b, c, d in zip(n, total, squares, scored, low1, low2, high2, high1):
@@ -166,7 +167,7 @@ def shapiro(df: DataFrame, value: str = "journey_time") -> DataFrame:
     n = F.col("_n")
     sums = pieces.agg(
         F.sum(rows).alias("n"), F.sum("_s.m2").alias("_mm"), F.sum(rows * off * off).alias("_ss"),
-        F.sum(F.col("v") * F.col("_s.m")).alias("_xm"),
+        F.sum(off * F.col("_s.m")).alias("_xm"),
         holder(F.lit(1)).alias("_x1"), holder(F.lit(2)).alias("_x2"),
         holder(n - 1).alias("_y2"), holder(n).alias("_y1"),
     )

@@ -7,111 +7,99 @@ values within one bucket are sorted together.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.ordering import known, order_bucket
+from ..session import scanned_bytes
 
-_ALL = "_all"
+# Input up to this size goes to Spark's own percentile aggregate, whose per-group
+# table of values then fits a task with room to spare.
+PERCENTILE_BYTES = 16 << 20
 
+_UPTO = "ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW"
 
-def exact_quantiles(df: DataFrame, by, value: str, quantiles: dict[str, float]) -> DataFrame:
+
+def exact_quantiles(
+    df: DataFrame, by, value: str, quantiles: dict[str, float], bucketed: bool | None = None
+) -> DataFrame:
     """Linearly interpolated quantiles of ``value`` per group.
 
     ``quantiles`` maps output name to probability. NULL and NaN values are
     skipped, as are groups with a NULL key. Returns ``by`` plus one column each.
+    ``bucketed`` forces or forbids the distributed path; by default the size of
+    the input decides.
     """
     by = list(by)
-    x = F.col(value).cast("double")
-    counted = df.where(known(x))
-    for key in by:
-        counted = counted.where(F.col(key).isNotNull())
-    keys = by or [_ALL]
+    rows = df.select(*by, F.col(value).cast("double").alias("_v")).where(known(F.col("_v")))
+    rows = rows.dropna(subset=by) if by else rows
+    if bucketed is None:
+        bucketed = scanned_bytes(rows) > PERCENTILE_BYTES
+    if bucketed:
+        return _bucketed_quantiles(rows, by, quantiles)
+    points = ", ".join(f"{p}D" for p in quantiles.values())
+    found = rows.groupBy(*by).agg(F.expr(f"percentile(_v, array({points}))").alias("_q"))
+    return found.select(*by, *[F.expr(f"_q[{i}]").alias(n) for i, n in enumerate(quantiles)])
+
+
+def _bucketed_quantiles(rows: DataFrame, by: list[str], quantiles: dict[str, float]) -> DataFrame:
+    keys = by or ["_all"]
+    key_list = ", ".join(f"`{k}`" for k in keys)
     if not by:
-        counted = counted.withColumn(_ALL, F.lit(0))
-    freq = counted.groupBy(*keys, x.alias("_v")).agg(F.count(F.lit(1)).alias("_n"))
-    freq = freq.withColumn("_b", order_bucket(F.col("_v")))
-
-    group = Window.partitionBy(*keys)
-    running = group.orderBy("_b").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    buckets = (
-        freq.groupBy(*keys, "_b").agg(F.sum("_n").alias("_m"))
-        .withColumn("_upto", F.sum("_m").over(running))
-        .withColumn("_total", F.sum("_m").over(group))
-        .withColumn("_before", F.col("_upto") - F.col("_m"))
+        rows = rows.withColumn("_all", F.lit(0))
+    freq = rows.groupBy(*keys, "_v").agg(F.expr("count(1) AS _n"))
+    # Group and bucket travel as one key: were the group columns join keys of their
+    # own, partition pruning would rewrite one of the two uses of ``freq`` and the
+    # shuffle behind it could no longer be shared.
+    freq = freq.selectExpr(*keys, "_v", "_n", f"struct({key_list}, {order_bucket('_v')} AS _b) AS _kb")
+    # 0-based ranks needed per quantile; a value is interpolated between the two.
+    position = {name: f"({p}D * (_total - 1))" for name, p in quantiles.items()}
+    ranks = [f"{f}({pos})" for pos in position.values() for f in ("floor", "ceil")]
+    targets = (
+        freq.groupBy("_kb").agg(F.expr("sum(_n) AS _m")).select("_kb", "_m", "_kb.*")
+        .selectExpr(
+            "_kb", "_m",
+            f"sum(_m) OVER (PARTITION BY {key_list} ORDER BY _b {_UPTO}) AS _upto",
+            f"sum(_m) OVER (PARTITION BY {key_list}) AS _total",
+        )
+        .where(" OR ".join(f"(_upto - _m <= {r} AND {r} < _upto)" for r in ranks))
+        .selectExpr("_kb", "_upto - _m AS _before", "_total")
     )
-    # 0-based rank positions per quantile; the interpolated pair is (low, low + 1).
-    position = {name: F.lit(p) * (F.col("_total") - 1) for name, p in quantiles.items()}
-    low = {name: F.floor(pos) for name, pos in position.items()}
-    high = {name: F.ceil(pos) for name, pos in position.items()}
-
-    def covers(start, end, rank):
-        return (start <= rank) & (rank < end)
-
-    wanted = F.lit(False)
-    for name in quantiles:
-        for rank in (low[name], high[name]):
-            wanted = wanted | covers(F.col("_before"), F.col("_upto"), rank)
-    targets = buckets.where(wanted).select(*keys, "_b", "_before", "_total")
-
-    inside = (
-        Window.partitionBy(*keys, "_b").orderBy("_v")
-        .rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    inside = f"sum(_n) OVER (PARTITION BY _kb ORDER BY _v {_UPTO})"
+    placed = freq.join(targets, "_kb").selectExpr(
+        *keys, "_v", "_total", "_n", f"_before + {inside} AS _end"
     )
-    placed = (
-        freq.join(targets, [*keys, "_b"])
-        .withColumn("_end", F.col("_before") + F.sum("_n").over(inside))
-        .withColumn("_start", F.col("_end") - F.col("_n"))
+    picks = ["max(_total) AS _total"]
+    for name, pos in position.items():
+        for tag, rank in (("lo", f"floor({pos})"), ("hi", f"ceil({pos})")):
+            hit = f"_end - _n <= {rank} AND {rank} < _end"
+            picks.append(f"max(CASE WHEN {hit} THEN _v END) AS _{tag}_{name}")
+    found = placed.groupBy(*keys).agg(*[F.expr(p) for p in picks])
+    return found.selectExpr(
+        *by,
+        *[
+            f"_lo_{n} + (_hi_{n} - _lo_{n}) * ({pos} - floor({pos})) AS `{n}`"
+            for n, pos in position.items()
+        ],
     )
-    picks = [F.max("_total").alias("_total")]
-    for name in quantiles:
-        for tag, rank in (("lo", low[name]), ("hi", high[name])):
-            hit = F.when(covers(F.col("_start"), F.col("_end"), rank), F.col("_v"))
-            picks.append(F.max(hit).alias(f"_{tag}_{name}"))
-    found = placed.groupBy(*keys).agg(*picks)
-    lines = []
-    for name in quantiles:
-        lo, hi = F.col(f"_lo_{name}"), F.col(f"_hi_{name}")
-        lines.append((lo + (hi - lo) * (position[name] - low[name])).alias(name))
-    return found.select(*by, *lines)
 
 
-def value_ranks(freq: DataFrame, value: str, weight: str) -> DataFrame:
-    """Average rank of every distinct value over the whole table.
+def rank_distinct(per_value: DataFrame, value: str, freq: DataFrame, weight: str) -> DataFrame:
+    """Add ``below`` (rows with a smaller value) and ``avg_rank`` (1-based, ties averaged).
 
-    ``freq`` holds counts per value, possibly split over further columns; these
-    counts are kept per value by the caller. Returns ``value``, ``copies``,
-    ``below`` (rows with a smaller value) and ``avg_rank`` (1-based).
+    ``per_value`` has one row per distinct ``value`` with its ``copies``; ``freq``
+    holds the same counts, possibly split over further columns, in ``weight``.
     """
-    per_value = freq.groupBy(value).agg(F.sum(weight).alias("copies"))
-    return rank_distinct(per_value, value, freq, weight)
-
-
-def rank_distinct(
-    per_value: DataFrame, value: str, freq: DataFrame, weight: str
-) -> DataFrame:
-    """Add ``below`` and ``avg_rank`` to ``per_value`` (one row per distinct value)."""
-    bucket = order_bucket(F.col(value))
-    # One row per bucket: bounded by the range of a double, so an unpartitioned
-    # running sum is safe here.
-    order = (
-        Window.partitionBy("_one").orderBy("_b")
-        .rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    )
+    bucket = F.expr(order_bucket(f"`{value}`"))
+    # One row per bucket, bounded by the range of a double: a running sum over
+    # all of them is small whatever the data.
     offsets = (
         freq.groupBy(bucket.alias("_b")).agg(F.sum(weight).alias("_m"))
-        .withColumn("_one", F.lit(1))
-        .withColumn("_offset", F.sum("_m").over(order) - F.col("_m"))
-        .select("_b", "_offset")
-    )
-    inside = (
-        Window.partitionBy("_b").orderBy(value)
-        .rowsBetween(Window.unboundedPreceding, Window.currentRow)
+        .selectExpr("_b", f"sum(_m) OVER (PARTITION BY 0 ORDER BY _b {_UPTO}) - _m AS _offset")
     )
+    inside = f"sum(copies) OVER (PARTITION BY _b ORDER BY `{value}` {_UPTO})"
     return (
-        per_value.withColumn("_b", bucket)
-        .join(offsets, "_b")
-        .withColumn("below", F.col("_offset") + F.sum("copies").over(inside) - F.col("copies"))
-        .withColumn("avg_rank", F.col("below") + (F.col("copies") + 1) / 2)
-        .drop("_b", "_offset")
+        per_value.withColumn("_b", bucket).join(offsets, "_b")
+        .selectExpr(*per_value.columns, f"_offset + {inside} - copies AS below")
+        .selectExpr("*", "below + (copies + 1) / 2 AS avg_rank")
     )
