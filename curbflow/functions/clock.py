@@ -34,7 +34,9 @@ def pickup_hour(column="pickup_datetime") -> Column:
 def weekday_name(column="pickup_datetime") -> Column:
     """English weekday name, independent of the session locale."""
     names = F.array(*[F.lit(day) for day in WEEKDAYS])
-    return F.element_at(names, F.weekday(F.to_date(column)) + 1)
+    # element_at takes a NULL index for a known one, hence the guard.
+    known = F.col(column).isNotNull()
+    return F.when(known, F.element_at(names, F.weekday(F.to_date(column)) + 1))
 
 
 def truncate_time(column: Column, unit: str) -> Column:

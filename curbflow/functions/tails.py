@@ -13,6 +13,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 # Beyond this many degrees of freedom the limiting distribution is used.
 _MANY = 1e8
@@ -148,7 +149,7 @@ def tail_probability(kind: str, x: Column, a: Column | None = None, b: Column |
     if kind not in _TAILS:
         raise ValueError(f"unknown distribution {kind!r}")
 
-    @F.pandas_udf("double")
+    @F.pandas_udf(T.DoubleType())
     def probability(xs: pd.Series, first: pd.Series, second: pd.Series) -> pd.Series:
         return pd.Series([_tail(kind, *row) for row in zip(xs, first, second)], dtype="float64")
 

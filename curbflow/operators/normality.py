@@ -12,6 +12,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..functions.ordering import known
 from ..functions.tails import tail_probability
@@ -20,6 +21,11 @@ from .order_stats import rank_distinct
 
 _CHUNK = 100_000
 
+
+def _doubles(*names: str) -> T.StructType:
+    return T.StructType([T.StructField(name, T.DoubleType()) for name in names])
+
+
 # Rational approximation of the normal quantile (Wichura 1988, AS 241),
 # numerator and denominator for the centre, the near tail and the far tail.
 _CENTRE = (
@@ -70,7 +76,7 @@ def rank_scores(ranks: np.ndarray, n: float) -> np.ndarray:
     return normal_quantile((ranks - 0.375) / (n + 0.25))
 
 
-@F.pandas_udf("m double, m2 double")
+@F.pandas_udf(_doubles("m", "m2"))
 def _score_sums(first: pd.Series, last: pd.Series, n: pd.Series) -> pd.DataFrame:
     rows = []
     for lo, hi, size in zip(first, last, n):
@@ -89,7 +95,7 @@ _SMALL_MEAN = (-0.0006714, 0.025054, -0.39978, 0.5440)
 _SMALL_LOG_SD = (-0.0020322, 0.062767, -0.77857, 1.3822)
 
 
-@F.pandas_udf("w double, z double")
+@F.pandas_udf(_doubles("w", "z"))
 def _statistic(
     n: pd.Series, total: pd.Series, squares: pd.Series, scored: pd.Series,
     low1: pd.Series, low2: pd.Series, high2: pd.Series, high1: pd.Series,

@@ -28,6 +28,9 @@ Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
 
 PLACES = 6
+# Sums of doubles differ in the last bit between engines. A nudge far below the
+# last place decides ties at that place, and the sign of zero, alike in both.
+NUDGE = 1e-9
 SEED = 42
 KEY = ("trip_id",)
 BEFORE, AFTER = 2, 2
@@ -36,7 +39,7 @@ TRIP = ("trip_id", "cab_type", "file_month")
 
 def rounded(df: DataFrame) -> DataFrame:
     columns = [
-        F.round(f.name, PLACES).alias(f.name) if isinstance(f.dataType, T.DoubleType) else F.col(f.name)
+        F.round(F.col(f.name) + NUDGE, PLACES).alias(f.name) if isinstance(f.dataType, T.DoubleType) else F.col(f.name)
         for f in df.schema.fields
     ]
     return df.select(*columns)

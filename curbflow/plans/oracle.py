@@ -117,7 +117,7 @@ CTES: dict[str, tuple[str, tuple[str, ...]]] = {
         "SELECT route FROM valid WHERE during_game INTERSECT SELECT route FROM valid WHERE NOT is_game_day",
         ("valid",),
     ),
-    "pivot": (
+    "route_pivot": (
         """SELECT route, coalesce(AVG(duration_hours) FILTER (NOT during_game), 0) * 60 AS non_game_time,
           coalesce(AVG(duration_hours) FILTER (during_game), 0) * 60 AS game_time
         FROM valid GROUP BY route""",
@@ -296,11 +296,11 @@ def _with(body: str, *needs: str, extra: str = "") -> str:
 
 
 def _r(*columns: str) -> str:
-    """Rounded columns; ``name`` or ``expression AS name``."""
+    """Rounded columns; ``name`` or ``expression AS name``. The nudge is the catalog's."""
     out = []
     for column in columns:
         text, _, name = column.rpartition(" AS ")
-        out.append(f"ROUND({text or column}, 6) AS {name if text else column}")
+        out.append(f"ROUND(({text or column}) + 1e-9, 6) AS {name if text else column}")
     return ", ".join(out)
 
 
@@ -437,7 +437,7 @@ _LABELS = (
 )
 CTES["fits"] = (
     """SELECT *, slope / sqrt((syy - slope * sxy) / ((n - 2) * sxx)) AS t_value FROM (
-      SELECT hour, regr_count(journey_time, trip_distance) AS n, regr_slope(journey_time, trip_distance) AS slope,
+      SELECT hour, CAST(regr_count(journey_time, trip_distance) AS BIGINT) AS n, regr_slope(journey_time, trip_distance) AS slope,
         regr_r2(journey_time, trip_distance) AS r_squared, regr_sxx(journey_time, trip_distance) AS sxx,
         regr_syy(journey_time, trip_distance) AS syy, regr_sxy(journey_time, trip_distance) AS sxy
       FROM journeys GROUP BY hour) WHERE n > 1""",
@@ -519,7 +519,7 @@ def _released(k: int, limit: float, qi: str, by: str = "") -> str:
 
 
 def _report(k: int, limit: float, qi: str) -> str:
-    return f"""SELECT k_before, rows_before, ROUND(lost, 6) AS dropped_pct,
+    return f"""SELECT k_before, rows_before, ROUND(lost + 1e-9, 6) AS dropped_pct,
       CASE WHEN lost <= {limit} THEN k_kept END AS k_after, CASE WHEN lost <= {limit} THEN kept ELSE 0 END AS rows_after
     FROM (SELECT MIN(n) AS k_before, CAST(SUM(n) AS BIGINT) AS rows_before, MIN(n) FILTER (n >= {k}) AS k_kept,
         CAST(coalesce(SUM(n) FILTER (n >= {k}), 0) AS BIGINT) AS kept,
@@ -785,7 +785,7 @@ def statements() -> dict[str, str]:
     # quantile_cont wants a constant share, so the breaks are listed one by one.
     q["zone_class_breaks"] = _with(
         " UNION ALL ".join(
-            f"""SELECT CAST({i} AS INTEGER) AS position, ROUND(quantile_cont(CAST(Total_Trips AS DOUBLE), {s}), 6) AS "limit"
+            f"""SELECT CAST({i} AS INTEGER) AS position, ROUND(quantile_cont(CAST(Total_Trips AS DOUBLE), {s}) + 1e-9, 6) AS "limit"
             FROM totals WHERE Total_Trips > 0""" for i, s in enumerate((0.0, 0.05, 0.2, 0.5, 0.75, 0.95, 1.0))), "totals")
     q["zone_equal_bins"] = _with(
         """SELECT LocationID, Total_Trips, CASE WHEN Total_Trips > 0 THEN
@@ -875,11 +875,11 @@ def statements() -> dict[str, str]:
         ROUND(m.statistic, 4) AS mw_statistic, ROUND(m.p_value, 4) AS p_value_mw"""
     q["duration_tests"] = _with(f"SELECT {tests} FROM welch_games w, mw_games m", "welch_games", "mw_games")
     q["route_game_pivot"] = _with(
-        f"SELECT route, {_r('non_game_time', 'game_time', 'game_time - non_game_time AS time_difference')} FROM pivot", "pivot")
+        f"SELECT route, {_r('non_game_time', 'game_time', 'game_time - non_game_time AS time_difference')} FROM route_pivot", "route_pivot")
     q["game_top_routes"] = _with(
         f"""SELECT route, trips, {_r('non_game_time', 'game_time', 'game_time - non_game_time AS time_difference')}
-        FROM pivot JOIN (SELECT route, COUNT(*) AS trips FROM valid GROUP BY route ORDER BY trips DESC, route LIMIT 5)
-        USING (route)""", "pivot", "valid")
+        FROM route_pivot JOIN (SELECT route, COUNT(*) AS trips FROM valid GROUP BY route ORDER BY trips DESC, route LIMIT 5)
+        USING (route)""", "route_pivot", "valid")
     q["game_impact"] = _with(
         f"""SELECT ROUND(g, 2) AS game_time_mean_minutes, ROUND(o, 2) AS non_game_time_mean_minutes,
         ROUND(g - o, 2) AS time_difference_minutes,
