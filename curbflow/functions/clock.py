@@ -51,11 +51,10 @@ def truncate_time(column: Column, unit: str) -> Column:
     )
 
 
-def in_period(column: str, start: str, end: str) -> Column:
-    """Half-open period test as a plain range, so it reaches the Parquet scan."""
-    low, high = (F.lit(text).cast("timestamp_ntz") for text in (start, end))
-    return (F.col(column) >= low) & (F.col(column) < high)
+def in_period(column: str, start: str, end: str) -> str:
+    """SQL for a half-open period as a plain range, so it reaches the Parquet scan."""
+    return f"({column} >= TIMESTAMP_NTZ '{start}' AND {column} < TIMESTAMP_NTZ '{end}')"
 
 
-def in_year(column: str, year: int) -> Column:
+def in_year(column: str, year: int) -> str:
     return in_period(column, f"{year}-01-01", f"{year + 1}-01-01")

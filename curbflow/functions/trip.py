@@ -8,12 +8,10 @@ from pyspark.sql import functions as F
 AIRPORT_ZONES = (132, 138)
 
 
-def touches(zones, start="PULocationID", end="DOLocationID") -> Column:
-    """True when either end lies in ``zones``; an unknown end counts as outside."""
-    zones = list(zones)
-    return F.coalesce(F.col(start).isin(zones), F.lit(False)) | F.coalesce(
-        F.col(end).isin(zones), F.lit(False)
-    )
+def touches(zones, start="PULocationID", end="DOLocationID") -> str:
+    """SQL: either end lies in ``zones``; an unknown end counts as outside."""
+    listed = ", ".join(str(int(zone)) for zone in zones)
+    return f"(coalesce({start} IN ({listed}), false) OR coalesce({end} IN ({listed}), false))"
 
 
 def route_key(start="PULocationID", end="DOLocationID") -> Column:

@@ -1,10 +1,13 @@
-"""Cleaning predicates, quartile fences and the step-by-step cleaning engine."""
+"""Cleaning predicates, quartile fences and the step-by-step cleaning engine.
+
+Predicates are SQL text for ``where``; each is true or false, never unknown.
+"""
 
 from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.clock import in_year
@@ -16,34 +19,34 @@ from .order_stats import exact_quantiles
 AMOUNTS = ("trip_distance", "fare_amount", "tip_amount", "total_amount", "Airport_fee")
 
 
-def holds(condition: Column) -> Column:
+def holds(condition: str) -> str:
     """A condition on an unknown value does not hold."""
-    return F.coalesce(condition, F.lit(False))
+    return f"coalesce({condition}, false)"
 
 
-def of_file_month(column: str, year: int = 2024, year_of: str | None = None) -> Column:
+def of_file_month(column: str, year: int = 2024, year_of: str | None = None) -> str:
     """``column`` lies in its file's month, and ``year_of`` (default: itself) in ``year``.
 
     The year test is a range on the column, which Parquet can skip row groups by.
     """
-    return holds((F.month(column) == F.col("file_month")) & in_year(year_of or column, year))
+    return holds(f"month({column}) = file_month AND {in_year(year_of or column, year)}")
 
 
-def nonzero_length() -> Column:
+def nonzero_length() -> str:
     """Ends differ; a missing drop-off counts as different."""
-    return ~F.col("pickup_datetime").eqNullSafe(F.col("dropoff_datetime"))
+    return "NOT (pickup_datetime <=> dropoff_datetime)"
 
 
-def allowed(column: str, values) -> Column:
-    return holds(F.col(column).isin(list(values)))
+def allowed(column: str, values) -> str:
+    return holds(f"{column} IN ({', '.join(map(repr, values))})")
 
 
-def within(column: str, low, high) -> Column:
-    return holds(F.col(column).between(low, high))
+def within(column: str, low, high) -> str:
+    return holds(f"{column} BETWEEN {low} AND {high}")
 
 
-def at_least(column: str, low) -> Column:
-    return holds(F.col(column) >= low)
+def at_least(column: str, low) -> str:
+    return holds(f"{column} >= {low}")
 
 
 def absolute(df: DataFrame, columns=AMOUNTS) -> DataFrame:
@@ -55,17 +58,14 @@ def fence_table(
 ) -> DataFrame:
     """Quartiles and the fence ``Q1 - k IQR .. Q3 + k IQR`` per group."""
     quartiles = exact_quantiles(df, by, column, {"q1": 0.25, "q3": 0.75}, bucketed)
-    spread = F.col("q3") - F.col("q1")
-    return quartiles.withColumns(
-        {"fence_low": F.col("q1") - k * spread, "fence_high": F.col("q3") + k * spread}
+    return quartiles.selectExpr(
+        "*", f"q1 - {k}D * (q3 - q1) AS fence_low", f"q3 + {k}D * (q3 - q1) AS fence_high"
     )
 
 
 def attach_fence(df: DataFrame, fences: DataFrame, by, name: str) -> DataFrame:
     """Left join settled fences as columns ``_low_<name>`` and ``_high_<name>``."""
-    side = fences.select(
-        *by, F.col("fence_low").alias(f"_low_{name}"), F.col("fence_high").alias(f"_high_{name}")
-    )
+    side = fences.selectExpr(*by, f"fence_low AS _low_{name}", f"fence_high AS _high_{name}")
     return df.join(side, list(by), "left")
 
 
@@ -75,7 +75,7 @@ def iqr_fence(
     """Keep rows inside their group's fence, bounds included; unknown values go."""
     by = list(by)
     fenced = attach_fence(df, settle(fence_table(df, column, by, k, bucketed)), by, "f")
-    return fenced.where(F.col(column).between(F.col("_low_f"), F.col("_high_f"))).select(df.columns)
+    return fenced.where(within(column, "_low_f", "_high_f")).select(df.columns)
 
 
 def iqr_fence_airport_exempt(
@@ -85,10 +85,9 @@ def iqr_fence_airport_exempt(
     """As ``iqr_fence``, with airport trips neither measured nor filtered."""
     by = list(by)
     exempt = touches(airports)
-    fences = settle(fence_table(df.where(~exempt), column, by, k, bucketed))
+    fences = settle(fence_table(df.where(f"NOT {exempt}"), column, by, k, bucketed))
     fenced = attach_fence(df, fences, by, "f")
-    inside = holds(F.col(column).between(F.col("_low_f"), F.col("_high_f")))
-    return fenced.where(exempt | inside).select(df.columns)
+    return fenced.where(f"{exempt} OR {within(column, '_low_f', '_high_f')}").select(df.columns)
 
 
 @dataclass(frozen=True)
@@ -96,7 +95,7 @@ class Step:
     """One cleaning step: a predicate, or an airport-exempt fence on a column."""
 
     name: str
-    keep: Column | None = None
+    keep: str | None = None
     fence_on: str | None = None
 
 
@@ -109,22 +108,21 @@ def flag_steps(df: DataFrame, steps: list[Step], airports=AIRPORT_ZONES, by=FILE
     """
     by = list(by)
     exempt = touches(airports)
-    failed = F.lit(None).cast("int")
-    flagged, helper = df, []
+    flagged, passed = df, []
     for number, step in enumerate(steps, start=1):
         keep = step.keep
         if step.fence_on:
-            base = flagged.where(failed.isNull() & ~exempt)
-            flagged = attach_fence(flagged, settle(fence_table(base, step.fence_on, by)), by, str(number))
-            low, high = f"_low_{number}", f"_high_{number}"
-            helper += [low, high]
-            keep = exempt | holds(F.col(step.fence_on).between(F.col(low), F.col(high)))
-        failed = F.coalesce(failed, F.when(~keep, F.lit(number)))
-    return flagged.withColumn("failed_step", failed).drop(*helper)
+            base = flagged.where(" AND ".join([*passed, f"NOT {exempt}"]))
+            fences = settle(fence_table(base, step.fence_on, by))
+            flagged = attach_fence(flagged, fences, by, str(number))
+            keep = f"({exempt} OR {within(step.fence_on, f'_low_{number}', f'_high_{number}')})"
+        passed.append(keep)
+    cases = " ".join(f"WHEN NOT {keep} THEN {i}" for i, keep in enumerate(passed, start=1))
+    return flagged.selectExpr(*df.columns, f"CASE {cases} END AS failed_step")
 
 
 def survivors(flagged: DataFrame) -> DataFrame:
-    return flagged.where(F.col("failed_step").isNull()).drop("failed_step")
+    return flagged.where("failed_step IS NULL").drop("failed_step")
 
 
 def audit(flagged: DataFrame, steps: list[Step], by=FILE_KEYS) -> DataFrame:
@@ -133,18 +131,11 @@ def audit(flagged: DataFrame, steps: list[Step], by=FILE_KEYS) -> DataFrame:
     One grouped count over the flags; the per-step rows are unfolded from it.
     """
     by = list(by)
-    counts = flagged.groupBy(*by).agg(
-        F.count(F.lit(1)).alias("n0"),
-        *[F.count_if(F.col("failed_step") == i).alias(f"n{i}") for i in range(1, len(steps) + 1)],
-        F.count_if(F.col("failed_step").isNull()).alias(f"n{len(steps) + 1}"),
-    )
+    last = len(steps) + 1
+    counts = ["count(1) AS n0", *[f"count_if(failed_step = {i}) AS n{i}" for i in range(1, last)]]
+    counts.append(f"count_if(failed_step IS NULL) AS n{last}")
     names = ["input", *[step.name for step in steps], "final"]
-    lines = F.array(
-        *[
-            F.struct(
-                F.lit(i).alias("step_no"), F.lit(name).alias("step"), F.col(f"n{i}").alias("row_count")
-            )
-            for i, name in enumerate(names)
-        ]
+    lines = ", ".join(
+        f"struct({i} AS step_no, '{name}' AS step, n{i} AS row_count)" for i, name in enumerate(names)
     )
-    return counts.select(*by, F.inline(lines))
+    return flagged.groupBy(*by).agg(*[F.expr(c) for c in counts]).selectExpr(*by, f"inline(array({lines}))")

@@ -57,7 +57,7 @@ def trips_by_weekday(trips: DataFrame, counted: str = "VendorID") -> DataFrame:
 
 def at_dropoff(trips: DataFrame, zone: int, start: str, end: str) -> DataFrame:
     """Trips of a half-open period ending in one zone; both tests reach the scan."""
-    return trips.where(in_period("pickup_datetime", start, end) & (F.col("DOLocationID") == zone))
+    return trips.where(in_period("pickup_datetime", start, end)).where(F.col("DOLocationID") == zone)
 
 
 def hourly_demand(

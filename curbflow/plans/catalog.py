@@ -39,10 +39,11 @@ TRIP = ("trip_id", "cab_type", "file_month")
 
 def rounded(df: DataFrame) -> DataFrame:
     columns = [
-        F.round(F.col(f.name) + NUDGE, PLACES).alias(f.name) if isinstance(f.dataType, T.DoubleType) else F.col(f.name)
+        f"round(`{f.name}` + {NUDGE}D, {PLACES}) AS `{f.name}`" if isinstance(f.dataType, T.DoubleType)
+        else f"`{f.name}`"
         for f in df.schema.fields
     ]
-    return df.select(*columns)
+    return df.selectExpr(*columns)
 
 
 def query(name: str):
@@ -138,14 +139,15 @@ def _(spark, sf_dir):
 def _file_month(t: DataFrame) -> DataFrame:
     by_pickup = cleaning.of_file_month("pickup_datetime")
     by_dropoff = cleaning.of_file_month("pickup_datetime", year_of="dropoff_datetime")
-    return t.where(F.when(F.col("cab_type") == "fhv", by_dropoff).otherwise(by_pickup)).select(*TRIP)
+    return t.where(f"CASE WHEN cab_type = 'fhv' THEN {by_dropoff} ELSE {by_pickup} END").select(*TRIP)
 
 
 on_trips("filter_file_month", _file_month)
 on_trips(
     "filter_request_scene_month",
     lambda t: t.where(F.col("cab_type") == "hvfhv")
-    .where(cleaning.of_file_month("request_datetime") & cleaning.of_file_month("on_scene_datetime"))
+    .where(cleaning.of_file_month("request_datetime"))
+    .where(cleaning.of_file_month("on_scene_datetime"))
     .select(*TRIP),
 )
 on_trips("filter_nonzero_length", lambda t: t.where(cleaning.nonzero_length()).select(*TRIP))
@@ -168,24 +170,18 @@ on_trips(
 )
 on_trips(
     "filter_allowed_values",
-    lambda t: t.where(
-        cleaning.allowed("Airport_fee", clean.AIRPORT_FEES)
-        & cleaning.allowed("trip_type", clean.TRIP_TYPES)
-    ).select(*TRIP, "Airport_fee", "trip_type"),
+    lambda t: t.where(cleaning.allowed("Airport_fee", clean.AIRPORT_FEES))
+    .where(cleaning.allowed("trip_type", clean.TRIP_TYPES)).select(*TRIP, "Airport_fee", "trip_type"),
 )
 on_trips(
     "filter_ranges",
-    lambda t: t.where(
-        cleaning.within("passenger_count", *clean.PASSENGERS)
-        & cleaning.within("RatecodeID", *clean.RATE_CODES)
-    ).select(*TRIP, "passenger_count", "RatecodeID"),
+    lambda t: t.where(cleaning.within("passenger_count", *clean.PASSENGERS))
+    .where(cleaning.within("RatecodeID", *clean.RATE_CODES)).select(*TRIP, "passenger_count", "RatecodeID"),
 )
 on_trips(
     "filter_minimums",
-    lambda t: cleaning.absolute(t).where(
-        cleaning.at_least("trip_distance", clean.MIN_DISTANCE)
-        & cleaning.at_least("fare_amount", clean.MIN_FARE)
-    ).select(*TRIP, "trip_distance", "fare_amount"),
+    lambda t: cleaning.absolute(t).where(cleaning.at_least("trip_distance", clean.MIN_DISTANCE))
+    .where(cleaning.at_least("fare_amount", clean.MIN_FARE)).select(*TRIP, "trip_distance", "fare_amount"),
 )
 on_trips(
     "cleaning_audit",
@@ -417,10 +413,8 @@ def _near(spark, sf_dir) -> DataFrame:
 
 def _valid(spark, sf_dir) -> DataFrame:
     return impact.valid_trips(
-        fixture.trips(spark, sf_dir).select(
-            "trip_id", "pickup_datetime", "dropoff_datetime", "PULocationID", "DOLocationID"
-        ),
-        fixture.games(spark, sf_dir), fixture.centroids(spark, sf_dir), fixture.STADIUM, BEFORE, AFTER,
+        fixture.trips(spark, sf_dir), fixture.games(spark, sf_dir), fixture.centroids(spark, sf_dir),
+        fixture.STADIUM, BEFORE, AFTER,
     )
 
 

@@ -27,7 +27,7 @@ def _fence(column: str) -> Step:
 
 
 def _present(column: str) -> Step:
-    return Step(f"{column} present", F.col(column).isNotNull())
+    return Step(f"{column} present", f"{column} IS NOT NULL")
 
 
 def _money(minimums: bool) -> list[Step]:
@@ -80,18 +80,25 @@ def cleaning_steps(cab_type: str, year: int = 2024, minimums: bool = False) -> l
 
 @dataclass(frozen=True)
 class Cleaned:
-    """Cleaned trips and the audit of what each step removed."""
+    """Trips with the number of the first step each fails, and the steps."""
 
-    trips: DataFrame
-    audit: DataFrame
+    flagged: DataFrame
+    steps: list[Step]
+
+    @property
+    def trips(self) -> DataFrame:
+        return survivors(self.flagged)
+
+    @property
+    def audit(self) -> DataFrame:
+        return audit(self.flagged, self.steps)
 
 
 def clean(trips: DataFrame, cab_type: str, year: int = 2024, minimums: bool = False) -> Cleaned:
     """Clean one cab type's canonical trips (all files at once, fences per file)."""
     steps = cleaning_steps(cab_type, year, minimums)
     mine = trips.where(F.col("cab_type") == cab_type).drop(*UNWANTED[cab_type])
-    flagged = flag_steps(absolute(mine), steps)
-    return Cleaned(survivors(flagged), audit(flagged, steps))
+    return Cleaned(flag_steps(absolute(mine), steps), steps)
 
 
 def clean_yellow(trips, year: int = 2024, minimums: bool = False) -> Cleaned:

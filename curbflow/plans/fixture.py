@@ -136,17 +136,18 @@ def derive_trips(spark: SparkSession, sf_dir: str) -> DataFrame:
     return base.selectExpr("*", *_spark(FILE_COLUMNS))
 
 
-_written: dict[tuple[str, str, str], str] = {}
+_stored: dict[tuple[str, str, str], tuple[str, object]] = {}
 
 
-def _once(spark: SparkSession, sf_dir: str, label: str, write) -> str:
-    """Folder that ``write`` fills, once per session and data set."""
+def _stored_once(spark: SparkSession, sf_dir: str, label: str, derive, *partition_by: str) -> DataFrame:
+    """``derive()`` as a table, written once per session and data set."""
     key = (spark.sparkContext.applicationId, sf_dir, label)
-    if key not in _written:
-        path = fresh_path(spark, label)
-        write(path)
-        _written[key] = path
-    return _written[key]
+    if key not in _stored:
+        derived, path = derive(), fresh_path(spark, label)
+        derived.write.partitionBy(*partition_by).parquet(path)
+        _stored[key] = (path, derived.schema)
+    path, schema = _stored[key]
+    return spark.read.schema(schema).parquet(path)
 
 
 def trips(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -154,11 +155,7 @@ def trips(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     Filters and column choices of the queries then reach the Parquet scan.
     """
-    derived = derive_trips(spark, sf_dir)
-    path = _once(
-        spark, sf_dir, "trips", lambda p: derived.write.partitionBy("cab_type").parquet(p)
-    )
-    return spark.read.schema(derived.schema).parquet(path).select(derived.columns)
+    return _stored_once(spark, sf_dir, "trips", lambda: derive_trips(spark, sf_dir), "cab_type")
 
 
 def raw_trips(spark: SparkSession, sf_dir: str, cab_type: str) -> DataFrame:
@@ -202,17 +199,18 @@ MONTHLY_PATTERN = {
 
 
 def monthly_files(spark: SparkSession, sf_dir: str) -> str:
-    """Root folder of each cab type's raw trips, written as monthly files."""
-
-    def write(root: str) -> None:
+    """Root folder of each cab type's raw trips, written as monthly files once."""
+    key = (spark.sparkContext.applicationId, sf_dir, "monthly")
+    if key not in _stored:
+        root = fresh_path(spark, "monthly")
         for cab_type in MONTHLY_PATTERN:
             name = F.format_string(f"{cab_type}_tripdata_{YEAR}-%02d.parquet", "file_month")
             (
                 raw_trips(spark, sf_dir, cab_type).withColumn("file", name).drop("file_month")
                 .write.partitionBy("file").parquet(f"{root}/{cab_type}")
             )
-
-    return _once(spark, sf_dir, "monthly", write)
+        _stored[key] = (root, None)
+    return _stored[key][0]
 
 
 def zones(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -241,9 +239,13 @@ def zone_vertices(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def centroids(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """One centroid per zone row, as a settled join side."""
-    listed = zones(spark, sf_dir).select("LocationID")
-    return settle(centroids_of(zone_vertices(spark, sf_dir)).join(listed, "LocationID", "left_semi"))
+    """One centroid per zone row, stored as the dimension table it is in practice."""
+
+    def derive() -> DataFrame:
+        listed = zones(spark, sf_dir).select("LocationID")
+        return centroids_of(zone_vertices(spark, sf_dir)).join(listed, "LocationID", "left_semi")
+
+    return settle(_stored_once(spark, sf_dir, "centroids", derive))
 
 
 def schedule(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -258,5 +260,6 @@ def schedule(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def games(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The schedule with parsed start times, as a settled join side."""
-    return settle(parse_schedule(schedule(spark, sf_dir)))
+    """The stored schedule with parsed start times, as a settled join side."""
+    listed = _stored_once(spark, sf_dir, "schedule", lambda: schedule(spark, sf_dir))
+    return settle(parse_schedule(listed))

@@ -3,10 +3,11 @@
 from __future__ import annotations
 
 import warnings
+from concurrent.futures import ThreadPoolExecutor
 from functools import reduce
 
 from pyspark.errors import AnalysisException
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..schema import CAB_TYPES, FILE_KEYS, empty_trips, normalise
@@ -29,64 +30,66 @@ CLEANED_PATTERN = {
 _ABSENT = ("PATH_NOT_FOUND", "UNABLE_TO_INFER_SCHEMA")
 
 
-def read_month(
-    spark: SparkSession, path: str, cab_type: str, year: int, month: int,
-    columns=None, row_ids: bool = False,
-) -> DataFrame | None:
-    """One cab type's month in canonical form, or None when nothing can be read.
-
-    Months are separate scans because published files change integer and float
-    widths from month to month. ``file_year`` and ``file_month`` are literals, so
-    a filter on them removes whole scans at planning time. ``row_ids`` adds the
-    file name and the row's position in it: a key that is unique per row and the
-    same when a lost task is run again.
-    """
+def _readable_schema(spark: SparkSession, path: str):
+    """Schema of the files behind ``path``, None when there is nothing readable."""
     try:
-        raw = spark.read.option("ignoreCorruptFiles", "true").parquet(path)
+        return spark.read.option("ignoreCorruptFiles", "true").parquet(path).schema
     except AnalysisException as problem:
         if problem.getCondition() in _ABSENT:
             return None
         raise
+
+
+def _scan(
+    spark: SparkSession, paths: list[str], schema, cab_type: str, year: int, month: Column,
+    columns, row_ids: bool,
+) -> DataFrame:
+    """One scan over files of equal schema, in canonical form with file keys."""
+    raw = spark.read.schema(schema).option("ignoreCorruptFiles", "true").parquet(*paths)
+    keys = {"cab_type": F.lit(cab_type), "file_year": F.lit(year), "file_month": month}
     if row_ids:
-        raw = raw.select(
-            "*",
-            F.col("_metadata.file_name").alias("source_file"),
-            F.col("_metadata.row_index").alias("source_row"),
-        )
-    trips = normalise(raw, cab_type)
+        keys["source_file"] = F.col("_metadata.file_path")
+        keys["source_row"] = F.col("_metadata.row_index")
+    trips = normalise(raw.select("*", *[value.alias(name) for name, value in keys.items()]), cab_type)
     if columns is not None:
-        extra = ["source_file", "source_row"] if row_ids else []
-        trips = trips.select(*[c for c in columns if c in trips.columns], *extra)
-    return trips.withColumns(
-        {
-            "cab_type": F.lit(cab_type),
-            "file_year": F.lit(year).cast("int"),
-            "file_month": F.lit(month).cast("int"),
-        }
-    )
+        trips = trips.select(*[c for c in columns if c in trips.columns], *keys)
+    return trips
 
 
 def read_trips(
     spark: SparkSession, root: str, cab_types=CAB_TYPES, year: int = 2024, columns=None,
     patterns: dict[str, str] = RAW_PATTERN, months=range(1, 13), row_ids: bool = False,
 ) -> DataFrame:
-    """All monthly files of the cab types below ``root``; absent months are warned about."""
+    """All monthly files of the cab types below ``root``; absent months are warned about.
+
+    Published files change integer and float widths from month to month, which one
+    scan cannot read. Schemas are looked up first (footers only, several at a
+    time), and months that agree share a scan. ``row_ids`` adds each row's file
+    and position in it: a unique key that is the same when a lost task runs again.
+    """
+    wanted = [
+        (cab, month, f"{root}/{patterns[cab].format(year=year, month=month)}")
+        for cab in cab_types for month in months
+    ]
+    with ThreadPoolExecutor(max_workers=8) as pool:
+        schemas = list(pool.map(lambda item: _readable_schema(spark, item[2]), wanted))
+    scans: dict[tuple[str, str], tuple] = {}
+    for (cab, _, path), schema in zip(wanted, schemas):
+        if schema is None:
+            warnings.warn(f"no readable file for {path}", stacklevel=2)
+        else:
+            scans.setdefault((cab, schema.json()), (schema, []))[1].append(path)
     parts = []
-    for cab_type in cab_types:
-        for month in months:
-            path = f"{root}/{patterns[cab_type].format(year=year, month=month)}"
-            part = read_month(spark, path, cab_type, year, month, columns, row_ids)
-            if part is None:
-                warnings.warn(f"no readable file for {path}", stacklevel=2)
-            else:
-                parts.append(part)
+    for (cab, _), (schema, paths) in scans.items():
+        # The month follows the part of the pattern before it; cheaper per row than a regex.
+        before = patterns[cab].split("{month")[0].format(year=year).rsplit("/", 1)[-1]
+        after = F.substring_index(F.col("_metadata.file_path"), before, -1)
+        month = F.substring(after, 1, 2).cast("int")
+        parts.append(_scan(spark, paths, schema, cab, year, month, columns, row_ids))
     if not parts:
+        keys = {"cab_type": "string", "file_year": "int", "file_month": "int"}
         return empty_trips(spark, columns).withColumns(
-            {
-                "cab_type": F.lit(None).cast("string"),
-                "file_year": F.lit(None).cast("int"),
-                "file_month": F.lit(None).cast("int"),
-            }
+            {name: F.lit(None).cast(kind) for name, kind in keys.items()}
         )
     return reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), parts)
 
