@@ -467,8 +467,13 @@ def _probit(p: str) -> str:
 
 
 def _shapiro(source: str) -> str:
-    """W by its definition: one weight per sorted row (for more than eleven rows)."""
-    statement = f"""WITH o AS (SELECT journey_time AS v, row_number() OVER (ORDER BY journey_time) AS i,
+    """W by its definition, one weight per sorted row, and its normal deviate."""
+    large = f"(ln(1 - statistic) - {_horner(normality._LARGE_MEAN, 'ln(n)')}) / exp({_horner(normality._LARGE_LOG_SD, 'ln(n)')})"
+    small = (
+        f"(-ln({_horner(normality._SMALL_GAMMA, 'n')} - ln(1 - statistic)) - {_horner(normality._SMALL_MEAN, 'n')})"
+        f" / exp({_horner(normality._SMALL_LOG_SD, 'n')})"
+    )
+    return f"""WITH o AS (SELECT journey_time AS v, row_number() OVER (ORDER BY journey_time) AS i,
         COUNT(*) OVER () AS n, AVG(journey_time) OVER () AS mean FROM {source}),
       p AS (SELECT *, (i - 0.375) / (n + 0.25) AS p FROM o),
       m AS (SELECT *, {_probit('p')} AS m FROM p),
@@ -476,13 +481,12 @@ def _shapiro(source: str) -> str:
         1 / sqrt(MAX(n)) AS u FROM m),
       a AS (SELECT *, m1 / sqrt(mm) + {_horner(normality._LAST, 'u')} AS a1,
         m2 / sqrt(mm) + {_horner(normality._SECOND, 'u')} AS a2 FROM c),
-      f AS (SELECT *, (mm - 2 * m1 * m1 - 2 * m2 * m2) / (1 - 2 * a1 * a1 - 2 * a2 * a2) AS phi FROM a),
-      w AS (SELECT 1 AS id, pow(SUM((v - mean) * CASE WHEN i = m.n THEN a1 WHEN i = m.n - 1 THEN a2
-          WHEN i = 1 THEN -a1 WHEN i = 2 THEN -a2 ELSE m / sqrt(phi) END), 2)
+      f AS (SELECT *, CASE WHEN n > 5 THEN (mm - 2 * m1 * m1 - 2 * m2 * m2) / (1 - 2 * a1 * a1 - 2 * a2 * a2)
+          ELSE (mm - 2 * m1 * m1) / (1 - 2 * a1 * a1) END AS phi FROM a),
+      w AS (SELECT 1 AS id, pow(SUM((v - mean) * CASE WHEN i = m.n THEN a1 WHEN i = 1 THEN -a1
+          WHEN m.n > 5 AND i = m.n - 1 THEN a2 WHEN m.n > 5 AND i = 2 THEN -a2 ELSE m / sqrt(phi) END), 2)
           / SUM((v - mean) * (v - mean)) AS statistic, MAX(m.n) AS n FROM m, f)
-      SELECT *, (ln(1 - statistic) - {_horner(normality._LARGE_MEAN, 'ln(n)')})
-        / exp({_horner(normality._LARGE_LOG_SD, 'ln(n)')}) AS z FROM w"""
-    return statement
+      SELECT *, CASE WHEN n > 11 THEN {large} ELSE {small} END AS z FROM w"""
 
 
 for _name, _source in (
