@@ -16,27 +16,24 @@ def zone_centroids(vertices: DataFrame) -> DataFrame:
     Rings are closed and ``seq`` runs without gaps, so every edge is a vertex
     joined to its successor. The join key includes ``seq``, hence a zone with a
     huge outline is spread like any other; sums then combine before the shuffle.
-    Coordinates are taken relative to the zone's corner to keep precision.
+    Coordinates are taken relative to one corner of the map to keep precision.
     """
-    corner = vertices.groupBy("LocationID").agg(F.min("x").alias("_ox"), F.min("y").alias("_oy"))
-    successor = vertices.select(
-        *_RING, (F.col("seq") - 1).alias("seq"), F.col("x").alias("_nx"), F.col("y").alias("_ny")
+    left = vertices.agg(F.min("x")).scalar()
+    bottom = vertices.agg(F.min("y")).scalar()
+    local = vertices.select(
+        *_RING, "seq", (F.col("x") - left).alias("x0"), (F.col("y") - bottom).alias("y0")
     )
-    edges = vertices.join(successor, [*_RING, "seq"]).join(corner, "LocationID").select(
-        "LocationID", "_ox", "_oy",
-        (F.col("x") - F.col("_ox")).alias("x0"), (F.col("y") - F.col("_oy")).alias("y0"),
-        (F.col("_nx") - F.col("_ox")).alias("x1"), (F.col("_ny") - F.col("_oy")).alias("y1"),
+    successor = local.selectExpr(*_RING, "seq - 1 AS seq", "x0 AS x1", "y0 AS y1")
+    edges = local.join(successor, [*_RING, "seq"]).selectExpr(
+        "LocationID", "x0 + x1 AS sx", "y0 + y1 AS sy", "x0 * y1 - x1 * y0 AS turn"
     )
-    cross = F.col("x0") * F.col("y1") - F.col("x1") * F.col("y0")
-    sums = edges.groupBy("LocationID", "_ox", "_oy").agg(
-        F.sum(cross).alias("_a"),
-        F.sum((F.col("x0") + F.col("x1")) * cross).alias("_mx"),
-        F.sum((F.col("y0") + F.col("y1")) * cross).alias("_my"),
+    sums = edges.groupBy("LocationID").agg(
+        F.expr("sum(turn) AS _a"), F.expr("sum(sx * turn) AS _mx"), F.expr("sum(sy * turn) AS _my")
     )
-    return sums.where(F.col("_a") != 0).select(
+    return sums.where("_a <> 0").select(
         "LocationID",
-        (F.col("_ox") + F.col("_mx") / (3 * F.col("_a"))).alias("x_ft"),
-        (F.col("_oy") + F.col("_my") / (3 * F.col("_a"))).alias("y_ft"),
+        (left + F.col("_mx") / (3 * F.col("_a"))).alias("x_ft"),
+        (bottom + F.col("_my") / (3 * F.col("_a"))).alias("y_ft"),
     )
 
 

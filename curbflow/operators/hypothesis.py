@@ -82,22 +82,16 @@ def _frequency(df: DataFrame, value: str, group: Column) -> DataFrame:
 def _rank_sums(freq: DataFrame) -> DataFrame:
     """Rows, rank sum and tie term per group, ties given their average rank.
 
-    Counts per value keep one entry per group (few), so values are ranked once
-    and unfolded afterwards. The tie term is shared out by rows and adds up to
-    the sum of t^3 - t.
+    Values are ranked once over all groups and the ranks joined back to the
+    counts per value and group. A value tied t times adds t^3 - t to the tie
+    term, shared out over its rows.
     """
-    per_value = freq.groupBy("v").agg(
-        F.sum("n").alias("copies"), F.collect_list(F.struct("g", "n")).alias("_parts")
+    per_value = freq.groupBy("v").agg(F.sum("n").alias("copies"))
+    ranks = rank_distinct(per_value, "v", freq, "n").selectExpr(
+        "v", "avg_rank", "cast(copies AS double) * copies - 1 AS _tie"
     )
-    ranked = rank_distinct(per_value, "v", freq, "n")
-    t = F.col("copies").cast("double")
-    return (
-        ranked.select("avg_rank", ((t * t * t - t) / t).alias("_tie"), F.inline("_parts"))
-        .groupBy("g")
-        .agg(
-            F.sum("n").alias("n"), F.sum(F.col("n") * F.col("avg_rank")).alias("rank_sum"),
-            F.sum(F.col("n") * F.col("_tie")).alias("tie"),
-        )
+    return freq.join(ranks, "v").groupBy("g").agg(
+        F.expr("sum(n) AS n"), F.expr("sum(n * avg_rank) AS rank_sum"), F.expr("sum(n * _tie) AS tie")
     )
 
 

@@ -98,7 +98,7 @@ def _(spark, sf_dir):
 @query("write_monthly")
 def _(spark, sf_dir):
     path = fresh_path(spark, "by-month")
-    trip_files.write_monthly(fixture.trips(spark, sf_dir), path)
+    trip_files.write_monthly(fixture.trips(spark, sf_dir), path, rebalance=True)
     return trip_files.read_monthly(spark, path).select(*TRIP, "file_year", "fare_amount")
 
 

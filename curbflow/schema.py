@@ -98,7 +98,10 @@ def normalise(df: DataFrame, cab_type: str, drop_unwanted: bool = False) -> Data
     """
     if drop_unwanted:
         df = df.drop(*UNWANTED[cab_type])
-    df = df.withColumnsRenamed(RENAMES[cab_type])
+    present = set(df.columns)
+    df = df.withColumnsRenamed(
+        {raw: name for raw, name in RENAMES[cab_type].items() if raw in present and name not in present}
+    )
     require_columns(df)
     columns = []
     for field in df.schema.fields:

@@ -109,18 +109,21 @@ def file_row_counts(trips: DataFrame) -> DataFrame:
     )
 
 
-def write_monthly(trips: DataFrame, root: str) -> None:
+def write_monthly(trips: DataFrame, root: str, rebalance: bool = False) -> None:
     """Write one partition per cab type, year and month, replacing only those present.
 
-    Rows are not gathered per month first: a month may hold a third of the data,
-    so each task writes its own file into the partition folder.
+    Trips read from monthly files are in month order already, so each task writes
+    what it read and nothing is shuffled. For trips in another order ``rebalance``
+    gathers partitions first, letting adaptive execution split a month that holds
+    much of the data and merge small ones.
     """
+    keys = ["cab_type", "year", "month"]
+    out = trips.withColumnsRenamed({"file_year": "year", "file_month": "month"})
+    if rebalance:
+        out = out.hint("rebalance", *keys)
     (
-        trips.withColumnsRenamed({"file_year": "year", "file_month": "month"})
-        .write.mode("overwrite")
-        .option("partitionOverwriteMode", "dynamic")
-        .partitionBy("cab_type", "year", "month")
-        .parquet(root)
+        out.write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
+        .partitionBy(*keys).parquet(root)
     )
 
 
