@@ -1,6 +1,7 @@
 """Cleaning predicates, quartile fences and the step-by-step cleaning engine.
 
-Predicates are SQL text for ``where``; each is true or false, never unknown.
+Predicates are SQL text for ``where``. A condition on an unknown value is unknown
+and so does not hold; it stays bare, because a wrapped one would not reach the scan.
 """
 
 from __future__ import annotations
@@ -19,17 +20,12 @@ from .order_stats import exact_quantiles
 AMOUNTS = ("trip_distance", "fare_amount", "tip_amount", "total_amount", "Airport_fee")
 
 
-def holds(condition: str) -> str:
-    """A condition on an unknown value does not hold."""
-    return f"coalesce({condition}, false)"
-
-
 def of_file_month(column: str, year: int = 2024, year_of: str | None = None) -> str:
     """``column`` lies in its file's month, and ``year_of`` (default: itself) in ``year``.
 
     The year test is a range on the column, which Parquet can skip row groups by.
     """
-    return holds(f"month({column}) = file_month AND {in_year(year_of or column, year)}")
+    return f"(month({column}) = file_month AND {in_year(year_of or column, year)})"
 
 
 def nonzero_length() -> str:
@@ -38,15 +34,15 @@ def nonzero_length() -> str:
 
 
 def allowed(column: str, values) -> str:
-    return holds(f"{column} IN ({', '.join(map(repr, values))})")
+    return f"{column} IN ({', '.join(map(repr, values))})"
 
 
 def within(column: str, low, high) -> str:
-    return holds(f"{column} BETWEEN {low} AND {high}")
+    return f"({column} BETWEEN {low} AND {high})"
 
 
 def at_least(column: str, low) -> str:
-    return holds(f"{column} >= {low}")
+    return f"{column} >= {low}"
 
 
 def absolute(df: DataFrame, columns=AMOUNTS) -> DataFrame:
@@ -99,8 +95,49 @@ class Step:
     fence_on: str | None = None
 
 
-def flag_steps(df: DataFrame, steps: list[Step], airports=AIRPORT_ZONES, by=FILE_KEYS) -> DataFrame:
-    """Add ``failed_step``: number of the first step a row fails, NULL if it passes all.
+@dataclass(frozen=True)
+class Cleaned:
+    """Result of a run of steps: trips with fences attached, and one test per step."""
+
+    fenced: DataFrame
+    columns: list[str]
+    names: list[str]
+    tests: list[str]
+    by: list[str]
+
+    @property
+    def trips(self) -> DataFrame:
+        """Rows that pass every step. The tests are a plain conjunction, so those on
+        stored columns alone are decided by the scan, before any fence is looked up."""
+        return self.fenced.where(" AND ".join(self.tests)).select(self.columns)
+
+    @property
+    def flagged(self) -> DataFrame:
+        """All rows with ``failed_step``: the first step a row fails, NULL if none."""
+        cases = " ".join(
+            f"WHEN NOT coalesce({test}, false) THEN {i}" for i, test in enumerate(self.tests, start=1)
+        )
+        return self.fenced.selectExpr(*self.columns, f"CASE {cases} END AS failed_step")
+
+    @property
+    def audit(self) -> DataFrame:
+        """Rows removed per file and step, with input (step 0) and final (last) counts.
+
+        One grouped count over the flags; the per-step rows are unfolded from it.
+        """
+        last = len(self.tests) + 1
+        counts = ["count(1) AS n0", *[f"count_if(failed_step = {i}) AS n{i}" for i in range(1, last)]]
+        counts.append(f"count_if(failed_step IS NULL) AS n{last}")
+        lines = ", ".join(
+            f"struct({i} AS step_no, '{name}' AS step, n{i} AS row_count)"
+            for i, name in enumerate(["input", *self.names, "final"])
+        )
+        grouped = self.flagged.groupBy(*self.by).agg(*[F.expr(c) for c in counts])
+        return grouped.selectExpr(*self.by, f"inline(array({lines}))")
+
+
+def run_steps(df: DataFrame, steps: list[Step], airports=AIRPORT_ZONES, by=FILE_KEYS) -> Cleaned:
+    """Apply steps in order.
 
     Each fence is measured on the survivors of the steps before it, so fences
     cost one pass each; every pass reads only the columns its steps need. Fences
@@ -108,34 +145,13 @@ def flag_steps(df: DataFrame, steps: list[Step], airports=AIRPORT_ZONES, by=FILE
     """
     by = list(by)
     exempt = touches(airports)
-    flagged, passed = df, []
+    fenced, tests = df, []
     for number, step in enumerate(steps, start=1):
-        keep = step.keep
+        test = step.keep
         if step.fence_on:
-            base = flagged.where(" AND ".join([*passed, f"NOT {exempt}"]))
+            base = fenced.where(" AND ".join([*tests, f"NOT {exempt}"]))
             fences = settle(fence_table(base, step.fence_on, by))
-            flagged = attach_fence(flagged, fences, by, str(number))
-            keep = f"({exempt} OR {within(step.fence_on, f'_low_{number}', f'_high_{number}')})"
-        passed.append(keep)
-    cases = " ".join(f"WHEN NOT {keep} THEN {i}" for i, keep in enumerate(passed, start=1))
-    return flagged.selectExpr(*df.columns, f"CASE {cases} END AS failed_step")
-
-
-def survivors(flagged: DataFrame) -> DataFrame:
-    return flagged.where("failed_step IS NULL").drop("failed_step")
-
-
-def audit(flagged: DataFrame, steps: list[Step], by=FILE_KEYS) -> DataFrame:
-    """Rows removed per file and step, with input (step 0) and final (last) counts.
-
-    One grouped count over the flags; the per-step rows are unfolded from it.
-    """
-    by = list(by)
-    last = len(steps) + 1
-    counts = ["count(1) AS n0", *[f"count_if(failed_step = {i}) AS n{i}" for i in range(1, last)]]
-    counts.append(f"count_if(failed_step IS NULL) AS n{last}")
-    names = ["input", *[step.name for step in steps], "final"]
-    lines = ", ".join(
-        f"struct({i} AS step_no, '{name}' AS step, n{i} AS row_count)" for i, name in enumerate(names)
-    )
-    return flagged.groupBy(*by).agg(*[F.expr(c) for c in counts]).selectExpr(*by, f"inline(array({lines}))")
+            fenced = attach_fence(fenced, fences, by, str(number))
+            test = f"({exempt} OR {within(step.fence_on, f'_low_{number}', f'_high_{number}')})"
+        tests.append(test)
+    return Cleaned(fenced, df.columns, [step.name for step in steps], tests, by)

@@ -56,7 +56,7 @@ def _with_p(row: DataFrame, p: Column) -> DataFrame:
 
 def anova(df: DataFrame, value: str = "journey_time", group: str = "hour") -> DataFrame:
     """One-way analysis of variance."""
-    row = _anova_row(group_moments(df, value, group))
+    row = _anova_row(settle(group_moments(df, value, group)))
     return _with_p(
         row, tail_probability("f", F.col("statistic"), F.col("df_between"), F.col("df_within"))
     ).select("statistic", "df_between", "df_within", "p_value", "verdict")

@@ -2,14 +2,11 @@
 
 from __future__ import annotations
 
-from dataclasses import dataclass
-
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..operators.cleaning import (
-    Step, absolute, allowed, at_least, audit, flag_steps, nonzero_length, of_file_month,
-    survivors, within,
+    Cleaned, Step, absolute, allowed, at_least, nonzero_length, of_file_month, run_steps, within,
 )
 from ..schema import UNWANTED
 
@@ -78,27 +75,10 @@ def cleaning_steps(cab_type: str, year: int = 2024, minimums: bool = False) -> l
     raise ValueError(f"unknown cab type {cab_type!r}")
 
 
-@dataclass(frozen=True)
-class Cleaned:
-    """Trips with the number of the first step each fails, and the steps."""
-
-    flagged: DataFrame
-    steps: list[Step]
-
-    @property
-    def trips(self) -> DataFrame:
-        return survivors(self.flagged)
-
-    @property
-    def audit(self) -> DataFrame:
-        return audit(self.flagged, self.steps)
-
-
 def clean(trips: DataFrame, cab_type: str, year: int = 2024, minimums: bool = False) -> Cleaned:
     """Clean one cab type's canonical trips (all files at once, fences per file)."""
-    steps = cleaning_steps(cab_type, year, minimums)
     mine = trips.where(F.col("cab_type") == cab_type).drop(*UNWANTED[cab_type])
-    return Cleaned(flag_steps(absolute(mine), steps), steps)
+    return run_steps(absolute(mine), cleaning_steps(cab_type, year, minimums))
 
 
 def clean_yellow(trips, year: int = 2024, minimums: bool = False) -> Cleaned:
