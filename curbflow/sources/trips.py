@@ -6,9 +6,11 @@ import warnings
 from concurrent.futures import ThreadPoolExecutor
 from functools import reduce
 
-from pyspark.errors import AnalysisException
+from py4j.protocol import Py4JJavaError
+from pyspark.errors import PySparkException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..schema import CAB_TYPES, FILE_KEYS, empty_trips, normalise
 
@@ -26,20 +28,52 @@ CLEANED_PATTERN = {
     "hvfhv": "fhvhv_green_tripdata_{year}-{month:02d}*.parquet",
 }
 
-# Error classes that mean "nothing readable here" rather than "wrong request".
-_ABSENT = ("PATH_NOT_FOUND", "UNABLE_TO_INFER_SCHEMA")
 
+def _hadoop_path(spark: SparkSession, path: str):
+    """A path and the file system it lives on."""
+    place = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return place, place.getFileSystem(spark._jsc.hadoopConfiguration())
 
-def _readable_schema(spark: SparkSession, path: str):
-    """Schema of the files behind ``path``, None when there is nothing readable."""
+
+def _matches(spark: SparkSession, pattern: str) -> bool:
+    place, system = _hadoop_path(spark, pattern)
+    return len(system.globStatus(place) or []) > 0
+
+
+def _schema_of(spark: SparkSession, paths: list[str]):
+    """Common schema of files from their footers, None if none can be read."""
+    reader = spark.read.option("ignoreCorruptFiles", "true").option("mergeSchema", "true")
     try:
-        return spark.read.option("ignoreCorruptFiles", "true").parquet(path).schema
-    except AnalysisException as problem:
-        if problem.getCondition() in _ABSENT:
+        return reader.parquet(*paths).schema
+    except PySparkException as problem:
+        if problem.getCondition() == "UNABLE_TO_INFER_SCHEMA":
             return None
         raise
 
 
+def _by_schema(spark: SparkSession, paths: list[str]) -> list[tuple[T.StructType, list[str]]]:
+    """Paths grouped so that each group can be read by one scan.
+
+    Published files change integer and float widths from month to month, which one
+    scan cannot read. Mostly they agree, so all are tried together first.
+    """
+    try:
+        schema = _schema_of(spark, paths)
+        return [(schema, paths)] if schema is not None else []
+    except (PySparkException, Py4JJavaError) as problem:
+        if "CANNOT_MERGE_SCHEMAS" not in str(problem):
+            raise
+        with ThreadPoolExecutor(max_workers=8) as pool:
+            schemas = list(pool.map(lambda path: _schema_of(spark, [path]), paths))
+    groups: dict[str, tuple[T.StructType, list[str]]] = {}
+    for path, schema in zip(paths, schemas):
+        if schema is None:
+            warnings.warn(f"no readable file for {path}", stacklevel=3)
+        else:
+            groups.setdefault(schema.json(), (schema, []))[1].append(path)
+    return list(groups.values())
+
+
 def _scan(
     spark: SparkSession, paths: list[str], schema, cab_type: str, year: int, month: Column,
     columns, row_ids: bool,
@@ -62,30 +96,25 @@ def read_trips(
 ) -> DataFrame:
     """All monthly files of the cab types below ``root``; absent months are warned about.
 
-    Published files change integer and float widths from month to month, which one
-    scan cannot read. Schemas are looked up first (footers only, several at a
-    time), and months that agree share a scan. ``row_ids`` adds each row's file
-    and position in it: a unique key that is the same when a lost task runs again.
+    One scan per cab type and file schema. Unreadable files give no rows.
+    ``row_ids`` adds each row's file and position in it: a unique key that is the
+    same when a lost task runs again.
     """
-    wanted = [
-        (cab, month, f"{root}/{patterns[cab].format(year=year, month=month)}")
-        for cab in cab_types for month in months
-    ]
-    with ThreadPoolExecutor(max_workers=8) as pool:
-        schemas = list(pool.map(lambda item: _readable_schema(spark, item[2]), wanted))
-    scans: dict[tuple[str, str], tuple] = {}
-    for (cab, _, path), schema in zip(wanted, schemas):
-        if schema is None:
-            warnings.warn(f"no readable file for {path}", stacklevel=2)
-        else:
-            scans.setdefault((cab, schema.json()), (schema, []))[1].append(path)
     parts = []
-    for (cab, _), (schema, paths) in scans.items():
+    for cab in cab_types:
+        paths = []
+        for month in months:
+            path = f"{root}/{patterns[cab].format(year=year, month=month)}"
+            if _matches(spark, path):
+                paths.append(path)
+            else:
+                warnings.warn(f"no readable file for {path}", stacklevel=2)
         # The month follows the part of the pattern before it; cheaper per row than a regex.
         before = patterns[cab].split("{month")[0].format(year=year).rsplit("/", 1)[-1]
         after = F.substring_index(F.col("_metadata.file_path"), before, -1)
-        month = F.substring(after, 1, 2).cast("int")
-        parts.append(_scan(spark, paths, schema, cab, year, month, columns, row_ids))
+        file_month = F.substring(after, 1, 2).cast("int")
+        for schema, group in _by_schema(spark, paths) if paths else []:
+            parts.append(_scan(spark, group, schema, cab, year, file_month, columns, row_ids))
     if not parts:
         keys = {"cab_type": "string", "file_year": "int", "file_month": "int"}
         return empty_trips(spark, columns).withColumns(
@@ -134,8 +163,8 @@ def read_monthly(spark: SparkSession, root: str) -> DataFrame:
 
 def _finished(spark: SparkSession, path: str) -> bool:
     """True when a write to ``path`` was committed; an aborted one leaves no marker."""
-    marker = spark._jvm.org.apache.hadoop.fs.Path(f"{path}/_SUCCESS")
-    return marker.getFileSystem(spark._jsc.hadoopConfiguration()).exists(marker)
+    marker, system = _hadoop_path(spark, f"{path}/_SUCCESS")
+    return system.exists(marker)
 
 
 def write_once(df: DataFrame, path: str) -> DataFrame:
