@@ -16,7 +16,7 @@ WEEKDAYS = ("Monday", "Tuesday", "Wednesday", "Thursday", "Friday", "Saturday",
 
 def elapsed_seconds(start: Column, end: Column) -> Column:
     """Seconds from start to end, keeping the fraction."""
-    return (end - start).cast("interval second").cast("decimal(20,6)").cast("double")
+    return (end - start).cast("interval second").cast("decimal(18,6)").cast("double")
 
 
 def journey_minutes(start="pickup_datetime", end="dropoff_datetime") -> Column:

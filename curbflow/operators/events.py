@@ -70,7 +70,7 @@ def _asof_bucketed(trips: DataFrame, slim: DataFrame, time: str, fields) -> Data
     no more rows than the clock has ticks in a minute, however crowded it is.
     """
     epoch = F.lit("1970-01-01").cast("timestamp_ntz")
-    seconds = (F.col("_at") - epoch).cast("interval second").cast("decimal(20,6)")
+    seconds = (F.col("_at") - epoch).cast("interval second").cast("decimal(18,6)")
     none = F.lit(None).cast(_struct_ddl(slim, fields))
     instants = trips.select(F.col(time).alias("_at")).where(F.col("_at").isNotNull()).distinct()
     starts = slim.groupBy(F.col("window_start").alias("_at")).agg(F.max(F.struct(*fields)).alias("_g"))
