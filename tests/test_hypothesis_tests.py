@@ -151,3 +151,23 @@ def test_normal_quantile_inverts_the_tail():
     p = np.array([1e-12, 1e-4, 0.02, 0.3, 0.5, 0.9, 1 - 1e-6])
     z = normality.normal_quantile(p)
     assert [tails.normal_sf(-v) for v in z] == pytest.approx(list(p), rel=1e-9)
+
+
+def test_python_functions_need_no_package_on_the_workers(tmp_path):
+    import subprocess
+    import sys
+
+    from pyspark import cloudpickle
+
+    parcel = tmp_path / "parcel"
+    parcel.write_bytes(cloudpickle.dumps((tails._tail, normality._score_sums.func, normality._statistic.func)))
+    script = (
+        "import sys, pandas as pd; from pyspark import cloudpickle\n"
+        f"tail, sums, statistic = cloudpickle.loads(open({str(parcel)!r}, 'rb').read())\n"
+        "assert 'curbflow' not in sys.modules\n"
+        "assert abs(tail('t', 2.228138852, 10.0, None) - 0.05) < 1e-8\n"
+        "print(sums(pd.Series([1]), pd.Series([3]), pd.Series([3])).m[0])"
+    )
+    done = subprocess.run([sys.executable, "-c", script], cwd="/", capture_output=True, text=True, timeout=120)
+    assert done.returncode == 0, done.stderr
+    assert abs(float(done.stdout)) < 1e-12
