@@ -19,8 +19,8 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..session import cut, fresh_path
-from .common import slices
+from ..session import cut
+from .common import slices, stored
 from .components import components
 
 WORDS = 5
@@ -359,13 +359,6 @@ def _tiled(shared: DataFrame, classes: DataFrame, roots: DataFrame, percent: int
     return dealt.mapInArrow(run, "a binary, b binary").distinct()
 
 
-def stored(df: DataFrame, label: str) -> DataFrame:
-    """Written to the shared folder and read back: cuts the lineage and tells Spark its size."""
-    path = fresh_path(df.sparkSession, label)
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
-
-
 def _frequent(spark: SparkSession, described: DataFrame):
     """The most frequent shingles, their copies and a set holding each: at most ``FREQUENT``."""
     top = (

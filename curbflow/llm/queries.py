@@ -6,7 +6,9 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, ngram_join, packing, quality_rules, token_counts
+from . import (
+    bpe, chat, html_text, licenses, ngram_join, packing, quality_model, quality_rules, token_counts, vantage,
+)
 from .common import table
 
 WORD_BPE = public_tokenizers.path("word_bpe_49k.json")
@@ -43,6 +45,36 @@ def op4_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return counted.withColumn("over_limit", F.col("n_tokens") > 1024)
 
 
+def op5_vantage_points(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The five nearest vectors of every fiftieth one."""
+    vectors = table(spark, sf_dir, "embeddings")
+    return vantage.nearest(vectors, vectors.where("vec_id % 50 = 0"), k=5, factor=1.0)
+
+
+def op6_quality_model(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Fold, score and verdict of every document."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    judged = quality_model.classify(docs, table(spark, sf_dir, "labels"), threshold=0.3)
+    return judged.select("doc_id", "held_out", "score", "predicted")
+
+
+def op7_chat_rotation(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every conversation from each participant's view; masks as start+length."""
+    views = chat.rotate(table(spark, sf_dir, "conversations"))
+    spans = F.transform("mask", lambda m: F.concat_ws("+", m["start"].cast("string"), m["length"].cast("string")))
+    return views.withColumn("mask", F.array_join(spans, " "))
+
+
+def op9_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Licenses stated in the documents."""
+    return licenses.scan_licenses(table(spark, sf_dir, "documents"))
+
+
+def op10_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Visible text of every page."""
+    return html_text.extract_text(table(spark, sf_dir, "pages"))
+
+
 def op8_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Set size and component of every document."""
     return ngram_join.jaccard_components(table(spark, sf_dir, "documents"))
@@ -53,9 +85,15 @@ QUERIES = {
     "op2_packing": op2_packing,
     "op3_quality_rules": op3_quality_rules,
     "op4_token_counts": op4_token_counts,
+    "op5_vantage_points": op5_vantage_points,
+    "op6_quality_model": op6_quality_model,
+    "op7_chat_rotation": op7_chat_rotation,
     "op8_ngram_join": op8_ngram_join,
+    "op9_license_scan": op9_license_scan,
+    "op10_html_text": op10_html_text,
 }
 
 ORACLES: dict[str, str] = {
     "op3_quality_rules": quality_rules.oracle_sql(),
+    "op7_chat_rotation": chat.oracle_sql(),
 }
