@@ -146,11 +146,11 @@ pieces AS (
   FROM conversations t JOIN people p ON t.conv_id IS NOT DISTINCT FROM p.conv_id),
 placed AS (
   SELECT *, coalesce(sum(length(piece)) OVER (PARTITION BY conv_id, speaker ORDER BY turn, role NULLS FIRST, text
-      ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS at FROM pieces),
+      ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS pos FROM pieces),
 grouped AS (
-  SELECT conv_id, speaker, segment, CAST(count(*) AS INTEGER) AS n_turns, CAST(min(at) AS BIGINT) AS start,
-    string_agg(piece, '' ORDER BY at) AS rendered,
-    list({{'s': at, 'n': length(piece)}} ORDER BY at) FILTER (WHERE own) AS own
+  SELECT conv_id, speaker, segment, CAST(count(*) AS INTEGER) AS n_turns, CAST(min(pos) AS BIGINT) AS start,
+    string_agg(piece, '' ORDER BY pos) AS rendered,
+    list({{'s': pos, 'n': length(piece)}} ORDER BY pos) FILTER (WHERE own) AS own
   FROM placed GROUP BY conv_id, speaker, segment)
 SELECT conv_id, speaker, segment, n_turns, start, rendered,
   coalesce(array_to_string(list_transform(own, lambda x:

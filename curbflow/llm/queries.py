@@ -95,5 +95,6 @@ QUERIES = {
 
 ORACLES: dict[str, str] = {
     "op3_quality_rules": quality_rules.oracle_sql(),
+    "op5_vantage_points": vantage.oracle_sql(),
     "op7_chat_rotation": chat.oracle_sql(),
 }

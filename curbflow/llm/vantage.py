@@ -218,3 +218,21 @@ def nearest(
         hits.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
         .select("query_id", "rank", "vec_id", "score")
     )
+
+
+def oracle_sql() -> str:
+    """All pairs of query and candidate in DuckDB SQL, five nearest and every fiftieth query."""
+    vector = "list_transform(embedding, lambda x: CAST(x AS DOUBLE))"
+    return f"""
+WITH v AS (
+  SELECT DISTINCT vec_id, {vector} AS e FROM embeddings
+  WHERE vec_id IS NOT NULL AND embedding IS NOT NULL
+    AND len(list_filter(embedding, lambda x: x IS NULL OR isnan(x) OR isinf(x))) = 0
+    AND len(list_filter(embedding, lambda x: x <> 0)) > 0),
+n AS (SELECT vec_id, e, list_inner_product(e, e) AS own FROM v),
+s AS (
+  SELECT a.vec_id AS query_id, b.vec_id, list_inner_product(a.e, b.e) / sqrt(a.own * b.own) AS score
+  FROM n a JOIN n b ON a.vec_id <> b.vec_id WHERE a.vec_id % 50 = 0),
+r AS (
+  SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS place FROM s)
+SELECT query_id, CAST(place AS INTEGER) AS rank, vec_id, score FROM r WHERE place <= 5"""
