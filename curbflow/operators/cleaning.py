@@ -50,10 +50,10 @@ def absolute(df: DataFrame, columns=AMOUNTS) -> DataFrame:
 
 
 def fence_table(
-    df: DataFrame, column: str, by=FILE_KEYS, k: float = 1.5, bucketed: bool | None = None
+    df: DataFrame, column: str, by=FILE_KEYS, k: float = 1.5
 ) -> DataFrame:
     """Quartiles and the fence ``Q1 - k IQR .. Q3 + k IQR`` per group."""
-    quartiles = exact_quantiles(df, by, column, {"q1": 0.25, "q3": 0.75}, bucketed)
+    quartiles = exact_quantiles(df, by, column, {"q1": 0.25, "q3": 0.75})
     return quartiles.selectExpr(
         "*", f"q1 - {k}D * (q3 - q1) AS fence_low", f"q3 + {k}D * (q3 - q1) AS fence_high"
     )
@@ -66,22 +66,21 @@ def attach_fence(df: DataFrame, fences: DataFrame, by, name: str) -> DataFrame:
 
 
 def iqr_fence(
-    df: DataFrame, column: str, by=FILE_KEYS, k: float = 1.5, bucketed: bool | None = None
+    df: DataFrame, column: str, by=FILE_KEYS, k: float = 1.5
 ) -> DataFrame:
     """Keep rows inside their group's fence, bounds included; unknown values go."""
     by = list(by)
-    fenced = attach_fence(df, settle(fence_table(df, column, by, k, bucketed)), by, "f")
+    fenced = attach_fence(df, settle(fence_table(df, column, by, k)), by, "f")
     return fenced.where(within(column, "_low_f", "_high_f")).select(df.columns)
 
 
 def iqr_fence_airport_exempt(
     df: DataFrame, column: str, airports=AIRPORT_ZONES, by=FILE_KEYS, k: float = 1.5,
-    bucketed: bool | None = None,
 ) -> DataFrame:
     """As ``iqr_fence``, with airport trips neither measured nor filtered."""
     by = list(by)
     exempt = touches(airports)
-    fences = settle(fence_table(df.where(f"NOT {exempt}"), column, by, k, bucketed))
+    fences = settle(fence_table(df.where(f"NOT {exempt}"), column, by, k))
     fenced = attach_fence(df, fences, by, "f")
     return fenced.where(f"{exempt} OR {within(column, '_low_f', '_high_f')}").select(df.columns)
 

@@ -1,8 +1,9 @@
 """Exact quantiles and average ranks without gathering a group in one task.
 
 Equal values are counted first, so copies never travel. The rest works on
-distinct values: bucket totals (bounded in number) locate ranks, and only
-values within one bucket are sorted together.
+distinct values and is the same at every size: totals per bucket locate the
+wanted ranks, totals per finer bucket locate them within their bucket, and only
+the distinct values of one finer bucket are sorted together.
 """
 
 from __future__ import annotations
@@ -10,43 +11,22 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.ordering import known, order_bucket
-from ..session import scanned_bytes
-
-# Input up to this size goes to Spark's own percentile aggregate, whose per-group
-# table of values then fits a task with room to spare.
-PERCENTILE_BYTES = 16 << 20
+from ..functions.ordering import fine_bucket, known, order_bucket
 
 _UPTO = "ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW"
 
 
-def exact_quantiles(
-    df: DataFrame, by, value: str, quantiles: dict[str, float], bucketed: bool | None = None
-) -> DataFrame:
+def exact_quantiles(df: DataFrame, by, value: str, quantiles: dict[str, float]) -> DataFrame:
     """Linearly interpolated quantiles of ``value`` per group.
 
     ``quantiles`` maps output name to probability. NULL and NaN values are
-    skipped, as are groups with a NULL key. Returns ``by`` plus one column each.
-    ``bucketed`` forces or forbids the distributed path; by default the size of
-    the input decides.
+    skipped, as are groups with a NULL key; infinities are ordered like other
+    values. Returns ``by`` plus one column each.
     """
-    by = list(by)
-    rows = df.select(*by, F.col(value).cast("double").alias("_v")).where(known(F.col("_v")))
-    rows = rows.dropna(subset=by) if by else rows
-    if bucketed is None:
-        bucketed = scanned_bytes(rows) > PERCENTILE_BYTES
-    if bucketed:
-        return _bucketed_quantiles(rows, by, quantiles)
-    points = ", ".join(f"{p}D" for p in quantiles.values())
-    found = rows.groupBy(*by).agg(F.expr(f"percentile(_v, array({points}))").alias("_q"))
-    return found.select(*by, *[F.expr(f"_q[{i}]").alias(n) for i, n in enumerate(quantiles)])
-
-
-def _bucketed_quantiles(rows: DataFrame, by: list[str], quantiles: dict[str, float]) -> DataFrame:
-    keys = by or ["_all"]
+    keys = list(by) or ["_all"]
     key_list = ", ".join(f"`{k}`" for k in keys)
-    if not by:
-        rows = rows.withColumn("_all", F.lit(0))
+    rows = df.select(*by, F.col(value).cast("double").alias("_v")).where(known(F.col("_v")))
+    rows = rows.dropna(subset=list(by)) if by else rows.withColumn("_all", F.lit(0))
     freq = rows.groupBy(*keys, "_v").agg(F.expr("count(1) AS _n"))
     # Group and bucket travel as one key: were the group columns join keys of their
     # own, partition pruning would rewrite one of the two uses of ``freq`` and the
@@ -55,20 +35,28 @@ def _bucketed_quantiles(rows: DataFrame, by: list[str], quantiles: dict[str, flo
     # 0-based ranks needed per quantile; a value is interpolated between the two.
     position = {name: f"({p}D * (_total - 1))" for name, p in quantiles.items()}
     ranks = [f"{f}({pos})" for pos in position.values() for f in ("floor", "ceil")]
-    targets = (
+    holds_rank = " OR ".join(f"(_upto - _m <= {r} AND {r} < _upto)" for r in ranks)
+    buckets = (
         freq.groupBy("_kb").agg(F.expr("sum(_n) AS _m")).select("_kb", "_m", "_kb.*")
         .selectExpr(
             "_kb", "_m",
             f"sum(_m) OVER (PARTITION BY {key_list} ORDER BY _b {_UPTO}) AS _upto",
             f"sum(_m) OVER (PARTITION BY {key_list}) AS _total",
         )
-        .where(" OR ".join(f"(_upto - _m <= {r} AND {r} < _upto)" for r in ranks))
-        .selectExpr("_kb", "_upto - _m AS _before", "_total")
+        .where(holds_rank).selectExpr("_kb", "_upto - _m AS _before", "_total")
     )
-    inside = f"sum(_n) OVER (PARTITION BY _kb ORDER BY _v {_UPTO})"
-    placed = freq.join(targets, "_kb").selectExpr(
-        *keys, "_v", "_total", "_n", f"_before + {inside} AS _end"
+    inner = freq.join(buckets, "_kb").selectExpr(
+        *keys, "_v", "_n", "_total", "_before", f"struct(_kb, {fine_bucket('_v')} AS _s) AS _ks"
     )
+    fine = (
+        inner.groupBy("_ks").agg(F.expr("sum(_n) AS _m"), F.max("_before").alias("_b0"), F.max("_total").alias("_total"))
+        .selectExpr(
+            "_ks", "_m", "_total", f"_b0 + sum(_m) OVER (PARTITION BY _ks._kb ORDER BY _ks._s {_UPTO}) AS _upto"
+        )
+        .where(holds_rank).selectExpr("_ks", "_upto - _m AS _start")
+    )
+    inside = f"sum(_n) OVER (PARTITION BY _ks ORDER BY _v {_UPTO})"
+    placed = inner.join(fine, "_ks").selectExpr(*keys, "_v", "_total", "_n", f"_start + {inside} AS _end")
     picks = ["max(_total) AS _total"]
     for name, pos in position.items():
         for tag, rank in (("lo", f"floor({pos})"), ("hi", f"ceil({pos})")):
@@ -78,7 +66,8 @@ def _bucketed_quantiles(rows: DataFrame, by: list[str], quantiles: dict[str, flo
     return found.selectExpr(
         *by,
         *[
-            f"_lo_{n} + (_hi_{n} - _lo_{n}) * ({pos} - floor({pos})) AS `{n}`"
+            f"CASE WHEN _lo_{n} = _hi_{n} THEN _lo_{n} "
+            f"ELSE _lo_{n} + (_hi_{n} - _lo_{n}) * ({pos} - floor({pos})) END AS `{n}`"
             for n, pos in position.items()
         ],
     )
@@ -90,16 +79,21 @@ def rank_distinct(per_value: DataFrame, value: str, freq: DataFrame, weight: str
     ``per_value`` has one row per distinct ``value`` with its ``copies``; ``freq``
     holds the same counts, possibly split over further columns, in ``weight``.
     """
-    bucket = F.expr(order_bucket(f"`{value}`"))
-    # One row per bucket, bounded by the range of a double: a running sum over
-    # all of them is small whatever the data.
-    offsets = (
-        freq.groupBy(bucket.alias("_b")).agg(F.sum(weight).alias("_m"))
-        .selectExpr("_b", f"sum(_m) OVER (PARTITION BY 0 ORDER BY _b {_UPTO}) - _m AS _offset")
+    name = f"`{value}`"
+    # One row per finer bucket; running sums are taken within a bucket and, over the
+    # buckets, whose number the range of a double bounds, once more.
+    fine = freq.groupBy(F.expr(order_bucket(name)).alias("_b"), F.expr(fine_bucket(name)).alias("_s")).agg(
+        F.sum(weight).alias("_m")
+    )
+    coarse = fine.groupBy("_b").agg(F.sum("_m").alias("_m")).selectExpr(
+        "_b", f"sum(_m) OVER (PARTITION BY 0 ORDER BY _b {_UPTO}) - _m AS _base"
+    )
+    offsets = fine.join(coarse, "_b").selectExpr(
+        "_s", f"_base + sum(_m) OVER (PARTITION BY _b ORDER BY _s {_UPTO}) - _m AS _offset"
     )
-    inside = f"sum(copies) OVER (PARTITION BY _b ORDER BY `{value}` {_UPTO})"
+    inside = f"sum(copies) OVER (PARTITION BY _s ORDER BY {name} {_UPTO})"
     return (
-        per_value.withColumn("_b", bucket).join(offsets, "_b")
+        per_value.withColumn("_s", F.expr(fine_bucket(name))).join(offsets, "_s")
         .selectExpr(*per_value.columns, f"_offset + {inside} - copies AS below")
         .selectExpr("*", "below + (copies + 1) / 2 AS avg_rank")
     )

@@ -30,7 +30,11 @@ def row_key(df: DataFrame, key=None) -> list[str]:
 
 
 def sample_order(key: list[str], seed: int) -> Column:
-    parts = [F.coalesce(F.col(k).cast("string"), F.lit("")) for k in key]
+    """Hash of seed and key. Every part carries its length, an unknown one a mark of its own."""
+    parts = [
+        F.coalesce(F.concat(F.char_length(text).cast("string"), F.lit(":"), text), F.lit("-"))
+        for text in (F.col(f"`{k}`").cast("string") for k in key)
+    ]
     return F.md5(F.concat_ws("|", F.lit(str(seed)), *parts))
 
 
@@ -99,11 +103,12 @@ def take_by_hash(df: DataFrame, sizes: DataFrame, by, key=None, seed: int = 42)
     surely = drawn.where((F.col("_h") < F.col("_stop"))
                          | (~F.coalesce("_split", F.lit(False)) & (F.col("_h") == F.col("_stop"))))
     tied = drawn.where(F.col("_split") & (F.col("_h") == F.col("_stop")))
-    if identity == list(df.columns):
+    if set(df.columns) <= {*identity, *by}:
         some = _some_copies(tied, df.columns)
     else:
-        turn = F.row_number().over(Window.partitionBy(*by).orderBy("_h"))
-        some = tied.withColumn("_turn", turn).where(F.col("_turn") <= F.col("_left"))
+        # Different rows under one key: the same draw again, by all columns.
+        sizes = limits.where("_split").select(*by, F.col("_left").alias("take"))
+        some = take_by_hash(tied.select(df.columns), sizes, by, df.columns, seed)
     return surely.select(df.columns).unionByName(some.select(df.columns))
 
 

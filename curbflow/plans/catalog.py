@@ -87,10 +87,29 @@ def _(spark, sf_dir):
 @query("scan_pruned")
 def _(spark, sf_dir):
     columns = ["pickup_datetime", "DOLocationID", "total_amount"]
-    return _files(spark, sf_dir, cab_types=("yellow", "green"), columns=columns)
+    return _files(spark, sf_dir, columns=columns)
 
 
 @query("file_row_counts")
+def _(spark, sf_dir):
+    """Damaged files among sound ones count nothing."""
+    return trip_files.file_row_counts(_manifest(spark, sf_dir))
+
+
+def _manifest(spark, sf_dir) -> DataFrame:
+    root = fixture.spoilt_files(spark, sf_dir)
+    files = trip_files.file_manifest(spark, root, patterns=fixture.MONTHLY_PATTERN, deep=True)
+    return trip_files.manifest_frame(spark, files)
+
+
+@query("bad_files")
+def _(spark, sf_dir):
+    return _manifest(spark, sf_dir).where("error IS NOT NULL").select(
+        *FILE_KEYS, "rows", F.substring_index("error", ":", 1).alias("error")
+    ).distinct()
+
+
+@query("file_row_counts_of_trips")
 def _(spark, sf_dir):
     return trip_files.file_row_counts(_files(spark, sf_dir))
 
@@ -161,11 +180,11 @@ on_trips(
 on_trips("abs_amounts", lambda t: cleaning.absolute(t).select(*TRIP, *cleaning.AMOUNTS))
 on_trips(
     "iqr_fence",
-    lambda t: cleaning.iqr_fence(t, "fare_amount", bucketed=True).select(*TRIP, "fare_amount"),
+    lambda t: cleaning.iqr_fence(t, "fare_amount").select(*TRIP, "fare_amount"),
 )
 on_trips(
     "iqr_fence_airport_exempt",
-    lambda t: cleaning.iqr_fence_airport_exempt(t, "total_amount", bucketed=True)
+    lambda t: cleaning.iqr_fence_airport_exempt(t, "total_amount")
     .select(*TRIP, "total_amount"),
 )
 on_trips(
@@ -313,11 +332,10 @@ query("zone_equal_bins")(lambda spark, sf_dir: zones.zone_equal_bins(_totals(spa
 
 
 def _streamed(spark, sf_dir, aggregate) -> DataFrame:
-    root = fixture.monthly_files(spark, sf_dir)
-    schema = "tpep_pickup_datetime timestamp_ntz, VendorID int, total_amount double"
-    stream = incremental.stream_trips(spark, f"{root}/yellow", schema, files_per_batch=8)
-    stream = stream.withColumnRenamed("tpep_pickup_datetime", "pickup_datetime")
-    return incremental.run_incremental(stream, aggregate, fresh_path(spark, "totals"))
+    """The files of all cab types, cut to the year as the batch aggregates are."""
+    schema = "pickup_datetime timestamp_ntz, VendorID int, total_amount double"
+    stream = incremental.stream_trips(spark, fixture.trips_path(spark, sf_dir), schema, files_per_batch=8)
+    return incremental.run_incremental(_this_year(stream), aggregate, fresh_path(spark, "totals"))
 
 
 query("incremental_hourly")(

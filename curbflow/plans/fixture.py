@@ -36,8 +36,14 @@ TRIP_COLUMNS = {
         "CAST(CASE WHEN event_id % 211 = 0 THEN NULL"
         f" ELSE {_PICKUP} + (CAST(floor(value * 20) AS INT) - 5) * INTERVAL '1' SECOND END AS {{ntz}})"
     ),
-    "PULocationID": "CASE WHEN event_id % 97 = 0 THEN NULL ELSE CAST(user_id % 20 + 128 AS INT) END",
-    "DOLocationID": "CAST((event_id * 7 + user_id) % 20 + 128 AS INT)",
+    "PULocationID": (
+        "CASE WHEN event_id % 97 = 0 THEN NULL WHEN user_id % 20 = 19 THEN 160"
+        " ELSE CAST(user_id % 20 + 128 AS INT) END"
+    ),
+    "DOLocationID": (
+        "CASE WHEN (event_id * 7 + user_id) % 20 = 19 THEN 160"
+        " ELSE CAST((event_id * 7 + user_id) % 20 + 128 AS INT) END"
+    ),
     "trip_distance": (
         "CASE WHEN event_type = 'signup' OR event_id % 101 = 0 THEN NULL"
         " WHEN event_id % 50 = 0 THEN -CAST(event_id % 40 AS DOUBLE) / 4"
@@ -80,14 +86,13 @@ FILE_COLUMNS = {
     ),
 }
 
-# Zone 147 has trips but no zone row; 148 to 152 have a row but no trips.
+# Zone 160 has trips but no zone row; 147 to 152 have a row but no trips.
 ZONE_COLUMNS = {
     "LocationID": "CAST(n_nationkey + 128 AS INT)",
     "Borough": "r_name",
     "Zone": "n_name",
     "service_zone": "CASE WHEN n_nationkey % 4 = 0 THEN 'N/A' ELSE 'Boro Zone' END",
 }
-ZONE_FILTER = "n_nationkey <> 19"
 
 # Every customer is one part of its zone's outline: a five-cornered ring, closed,
 # and for every seventh customer a hole of the opposite orientation.
@@ -158,6 +163,12 @@ def trips(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _stored_once(spark, sf_dir, "trips", lambda: derive_trips(spark, sf_dir), "cab_type")
 
 
+def trips_path(spark: SparkSession, sf_dir: str) -> str:
+    """Folder of the stored trips, for readers of files."""
+    trips(spark, sf_dir)
+    return _stored[(spark.sparkContext.applicationId, sf_dir, "trips")][0]
+
+
 def raw_trips(spark: SparkSession, sf_dir: str, cab_type: str) -> DataFrame:
     """One cab type's trips under its published column names, with columns nobody wants."""
     mine = trips(spark, sf_dir).where(F.col("cab_type") == cab_type)
@@ -213,16 +224,49 @@ def monthly_files(spark: SparkSession, sf_dir: str) -> str:
     return _stored[key][0]
 
 
+# Files spoilt in a second set of monthly files: cab type, month, what is wrong.
+SPOILT = (("green", 2, "junk"), ("fhv", 3, "empty"), ("hvfhv", 4, "damaged"))
+
+
+def spoilt_files(spark: SparkSession, sf_dir: str) -> str:
+    """As ``monthly_files``, with one file of junk, one empty and one with a damaged page."""
+    key = (spark.sparkContext.applicationId, sf_dir, "spoilt")
+    if key not in _stored:
+        sound, root = monthly_files(spark, sf_dir), fresh_path(spark, "spoilt")
+        place = spark._jvm.org.apache.hadoop.fs.Path
+        conf = spark._jsc.hadoopConfiguration()
+        system = place(root).getFileSystem(conf)
+        system.mkdirs(place(root))
+        spark._jvm.org.apache.hadoop.fs.FileUtil.copy(
+            place(sound).getFileSystem(conf), place(sound), system, place(root), False, conf
+        )
+        root = f"{root}/{sound.rsplit('/', 1)[-1]}"
+        for cab, month, how in SPOILT:
+            folder = place(f"{root}/{cab}/file={cab}_tripdata_{YEAR}-{month:02d}.parquet")
+            for status in system.listStatus(folder):
+                path = status.getPath()
+                content = bytearray(b"not a table")
+                if how == "damaged":
+                    source = system.open(path)
+                    content = bytearray(spark._jvm.org.apache.commons.io.IOUtils.toByteArray(source))
+                    source.close()
+                    content[4:52] = bytes([255]) * 48  # the first page; the footer stays whole
+                out = system.create(path, True)
+                if how != "empty":
+                    out.write(content)
+                out.close()
+        _stored[key] = (root, None)
+    return _stored[key][0]
+
+
 def zones(spark: SparkSession, sf_dir: str) -> DataFrame:
     nation, region = table(spark, sf_dir, "nation"), table(spark, sf_dir, "region")
-    joined = nation.where(ZONE_FILTER).join(region, nation.n_regionkey == region.r_regionkey)
+    joined = nation.join(region, nation.n_regionkey == region.r_regionkey)
     return joined.selectExpr(*_spark(ZONE_COLUMNS))
 
 
 def zone_vertices(spark: SparkSession, sf_dir: str) -> DataFrame:
-    parts = (
-        table(spark, sf_dir, "customer").where("c_nationkey <> 19").selectExpr(*_spark(PART_COLUMNS))
-    )
+    parts = table(spark, sf_dir, "customer").selectExpr(*_spark(PART_COLUMNS))
     corners = F.array(
         *[
             F.struct(

@@ -40,13 +40,12 @@ CTES: dict[str, tuple[str, tuple[str, ...]]] = {
     "derived": (f"SELECT {_select(fixture.TRIP_COLUMNS)} FROM events", ()),
     "trips": (f"SELECT *, {_select(fixture.FILE_COLUMNS)} FROM derived", ("derived",)),
     "zones": (
-        f"SELECT {_select(fixture.ZONE_COLUMNS)} FROM nation JOIN region ON n_regionkey = r_regionkey"
-        f" WHERE {fixture.ZONE_FILTER}",
+        f"SELECT {_select(fixture.ZONE_COLUMNS)} FROM nation JOIN region ON n_regionkey = r_regionkey",
         (),
     ),
     "vertices": (
         f"""SELECT LocationID, part, ring, seq, ox + dx * w AS x, oy + dy * w AS y
-        FROM (SELECT {_select(fixture.PART_COLUMNS)} FROM customer WHERE c_nationkey <> 19) p
+        FROM (SELECT {_select(fixture.PART_COLUMNS)} FROM customer) p
         JOIN (VALUES {_corner_rows()}) c(ring, seq, dx, dy) ON ring <= hole""",
         (),
     ),
@@ -533,7 +532,8 @@ def _report(k: int, limit: float, qi: str) -> str:
 
 # ---- sampling -----------------------------------------------------------------
 
-_DRAW = "md5(concat_ws('|', '42', CAST(trip_id AS VARCHAR)))"
+_TEXT = "CAST(length(CAST({0} AS VARCHAR)) AS VARCHAR) || ':' || CAST({0} AS VARCHAR)"
+_DRAW = f"md5(concat_ws('|', '42', {_TEXT.format('trip_id')}))"
 
 
 def _allocation(total: int, source: str = "sized") -> str:
@@ -620,9 +620,22 @@ def statements() -> dict[str, str]:
         f"SELECT {_LITTLE}, file_year, pickup_datetime, dropoff_datetime, PULocationID, DOLocationID, "
         + _r(*[f"{text} AS {name}" for name, text in metered.items()]) + " FROM trips", "trips")
     q["scan_pruned"] = _with(
-        f"SELECT {FILE}, pickup_datetime, DOLocationID, {_r('total_amount')} FROM trips"
-        " WHERE cab_type IN ('yellow', 'green')", "trips")
+        f"SELECT {FILE}, pickup_datetime, DOLocationID, "
+        + _r(f"{metered['total_amount']} AS total_amount") + " FROM trips", "trips")
+    spoilt = ", ".join(
+        f"('{cab}', {month}, '{'damaged' if how == 'damaged' else 'unreadable'}')" for cab, month, how in fixture.SPOILT
+    )
+    bad = f"(VALUES {spoilt}) b(cab_type, file_month, error)"
+    q["bad_files"] = _with(
+        f'SELECT {FILE}, CAST(0 AS BIGINT) AS "rows", error FROM sized JOIN {bad} USING (cab_type, file_month)', "sized")
     q["file_row_counts"] = _with(
+        f"""SELECT {FILE}, file_rows, type_rows, overall_rows,
+          {_r('CAST(type_rows AS DOUBLE) / overall_rows AS type_share')}
+        FROM (SELECT {FILE}, file_rows, CAST(SUM(file_rows) OVER (PARTITION BY cab_type) AS BIGINT) AS type_rows,
+            CAST(SUM(file_rows) OVER () AS BIGINT) AS overall_rows
+          FROM (SELECT {FILE}, CASE WHEN error IS NULL THEN file_rows ELSE 0 END AS file_rows
+            FROM sized LEFT JOIN {bad} USING (cab_type, file_month)))""", "sized")
+    q["file_row_counts_of_trips"] = _with(
         f"""SELECT {FILE}, file_rows, CAST(type_rows AS BIGINT) AS type_rows,
         CAST(overall_rows AS BIGINT) AS overall_rows, {_r('CAST(type_rows AS DOUBLE) / overall_rows AS type_share')}
         FROM sized""", "sized")
@@ -739,8 +752,8 @@ def statements() -> dict[str, str]:
         "sized", extra=_drawn(1000))
     q["sample_n"] = _with(
         f"""SELECT {_LITTLE}, {_r('fare_amount')} FROM (SELECT t.* FROM trips t JOIN (
-          SELECT {FILE} FROM sized ORDER BY md5(concat_ws('|', '42', cab_type, CAST(file_year AS VARCHAR),
-            CAST(file_month AS VARCHAR))) LIMIT 1) USING ({FILE}) ORDER BY {_DRAW} LIMIT 100)""", "sized")
+          SELECT {FILE} FROM sized ORDER BY md5(concat_ws('|', '42', {_TEXT.format('cab_type')},
+            {_TEXT.format('file_year')}, {_TEXT.format('file_month')})) LIMIT 1) USING ({FILE}) ORDER BY {_DRAW} LIMIT 100)""", "sized")
     yellow = (
         "yellow_sized AS (SELECT * REPLACE (type_rows AS overall_rows) FROM sized WHERE cab_type = 'yellow')"
     )
@@ -796,15 +809,14 @@ def statements() -> dict[str, str]:
           CAST(LEAST(floor((CAST(Total_Trips AS DOUBLE) - lo) * 32 / (hi - lo)) + 1, 32) AS INTEGER) END AS bin
         FROM totals, (SELECT CAST(MIN(Total_Trips) AS DOUBLE) AS lo, CAST(MAX(Total_Trips) AS DOUBLE) AS hi
           FROM totals WHERE Total_Trips > 0)""", "totals")
-    yellow_known = "cab_type = 'yellow' AND pickup_datetime IS NOT NULL"
     q["incremental_hourly"] = _with(
         f"""SELECT {HOUR} AS hour, COUNT(VendorID) AS trips, {_r('SUM(total_amount) AS amount_sum')},
         COUNT(total_amount) AS amount_n, {_r('AVG(total_amount) AS avg_amount')}
-        FROM trips WHERE {yellow_known} GROUP BY 1""", "trips")
-    q["incremental_daily"] = _with(per("date", "CAST(pickup_datetime AS DATE)", yellow_known), "trips")
+        FROM trips WHERE {THIS_YEAR} GROUP BY 1""", "trips")
+    q["incremental_daily"] = _with(per("date", "CAST(pickup_datetime AS DATE)"), "trips")
     q["incremental_weekday_hour"] = _with(
         f"""SELECT CAST(isodow(pickup_datetime) - 1 AS INTEGER) AS weekday_no, {HOUR} AS hour, COUNT(VendorID) AS trips
-        FROM trips WHERE {yellow_known} GROUP BY 1, 2""", "trips")
+        FROM trips WHERE {THIS_YEAR} GROUP BY 1, 2""", "trips")
     q["group_summary"] = _with(
         f"SELECT hour, {_r('AVG(journey_time) AS mean', 'median(journey_time) AS median', 'STDDEV_SAMP(journey_time) AS std')}"
         " FROM journeys GROUP BY hour", "journeys")

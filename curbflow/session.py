@@ -59,12 +59,6 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
-def scanned_bytes(df: DataFrame) -> float:
-    """Catalyst's size of all tables a frame reads (join estimates multiply, so leaves only)."""
-    leaves = df._jdf.queryExecution().optimizedPlan().collectLeaves()
-    return sum(float(leaves.apply(i).stats().sizeInBytes()) for i in range(leaves.size()))
-
-
 def settle(df: DataFrame, max_rows: int = SMALL_SIDE_ROWS) -> DataFrame:
     """Compute a summary once and hand it back as a join side.
 

@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+import re
 import warnings
 from concurrent.futures import ThreadPoolExecutor
 from functools import reduce
+from urllib.parse import unquote
 
 from py4j.protocol import Py4JJavaError
 from pyspark.errors import PySparkException
@@ -35,31 +37,113 @@ def _hadoop_path(spark: SparkSession, path: str):
     return place, place.getFileSystem(spark._jsc.hadoopConfiguration())
 
 
-def _matches(spark: SparkSession, pattern: str) -> bool:
+def _data_files(spark: SparkSession, pattern: str) -> list[str]:
+    """Data files that a pattern names, directly or as folders of part files; one listing."""
     place, system = _hadoop_path(spark, pattern)
-    return len(system.globStatus(place) or []) > 0
+    found = []
+    for status in system.globStatus(place) or []:
+        if status.isFile():
+            found.append(status.getPath().toString())
+            continue
+        inside = system.listFiles(status.getPath(), True)
+        while inside.hasNext():
+            name = inside.next().getPath()
+            if not name.getName().startswith(("_", ".")):
+                found.append(name.toString())
+    return sorted(found)
 
 
-def _schema_of(spark: SparkSession, paths: list[str]):
-    """Common schema of files from their footers, None if none can be read."""
-    reader = spark.read.option("ignoreCorruptFiles", "true").option("mergeSchema", "true")
+def _monthly_files(spark: SparkSession, root: str, cab: str, year: int, months, patterns) -> list[tuple[str, int]]:
+    """Files of a cab type with their month, which follows the part of the pattern before it."""
+    before, after = patterns[cab].split("{month:02d}")
+    before = before.format(year=year)
+    tail = before.rsplit("/", 1)[-1]
+    wanted = set(months)
+    found = []
+    for path in _data_files(spark, f"{root}/{before}[0-9][0-9]{after}"):
+        month = int(path.rsplit(tail, 1)[-1][:2])
+        if month in wanted:
+            found.append((path, month))
+    return found
+
+
+def _why_unreadable(spark: SparkSession, path: str) -> str | None:
+    """The first line of what reading a file's footer raises, None if it can be read."""
     try:
-        return reader.parquet(*paths).schema
-    except PySparkException as problem:
-        if problem.getCondition() == "UNABLE_TO_INFER_SCHEMA":
-            return None
-        raise
+        spark.read.parquet(path).schema
+    except (PySparkException, Py4JJavaError) as problem:
+        return str(problem).strip().splitlines()[0][:200]
+    return None
+
+
+def _rows_read(spark: SparkSession, paths: list[str], schema=None) -> dict[str, int]:
+    """Rows per file that a lenient scan yields: by footers alone, or by reading ``schema``.
+
+    The result has a row per file, like the listing it is compared with.
+    """
+    reader = spark.read.option("ignoreCorruptFiles", "true").schema(schema or "_absent int")
+    scan = reader.parquet(*paths).withColumn("_path", F.col("_metadata.file_path"))
+    # A hash of every column makes the scan read every page.
+    seen = F.lit(0) if schema is None else F.xxhash64(*[F.col(f"`{c}`") for c in schema.names])
+    counted = scan.groupBy("_path").agg(F.count(F.lit(1)).alias("n"), F.max(seen).alias("h")).collect()
+    return {_plain(r["_path"]): r["n"] for r in counted}
+
+
+def _plain(path: str) -> str:
+    """A path without scheme and escapes, as both the listing and the scan can give it."""
+    return unquote(re.sub("^[a-z0-9]+:/+", "/", path))
+
+
+def file_manifest(
+    spark: SparkSession, root: str, cab_types=CAB_TYPES, year: int = 2024,
+    patterns: dict[str, str] = RAW_PATTERN, months=range(1, 13), deep: bool = False,
+) -> list[dict]:
+    """What is known of every monthly file: keys, ``path``, ``rows`` and ``error`` (None if sound).
+
+    One listing per cab type and one distributed pass over the footers. ``deep`` also
+    reads every page, so that damage a footer does not show is found. A bad file counts
+    as bad whole: its ``rows`` are 0.
+    """
+    files = [
+        {"cab_type": cab, "file_year": year, "file_month": month, "path": path, "rows": 0, "error": None}
+        for cab in cab_types
+        for path, month in _monthly_files(spark, root, cab, year, months, patterns)
+    ]
+    if not files:
+        return []
+    rows = _rows_read(spark, [f["path"] for f in files])
+    for file in files:
+        file["rows"] = rows.get(_plain(file["path"]), 0)
+    silent = [f for f in files if not f["rows"]]
+    with ThreadPoolExecutor(max_workers=8) as pool:
+        for file, error in zip(silent, pool.map(lambda f: _why_unreadable(spark, f["path"]), silent)):
+            file["error"] = error and f"unreadable: {error}"
+    if deep:
+        for cab in cab_types:
+            sound = [f["path"] for f in files if f["cab_type"] == cab and not f["error"]]
+            for schema, paths in _by_schema(spark, sound):
+                read = _rows_read(spark, paths, schema)
+                for file in files:
+                    if file["path"] in paths and read.get(_plain(file["path"]), 0) != file["rows"]:
+                        file["rows"], file["error"] = 0, "damaged: not all rows can be read"
+    return files
+
+
+def _schema_of(spark: SparkSession, paths: list[str]):
+    """Common schema of sound files from their footers."""
+    return spark.read.option("mergeSchema", "true").parquet(*paths).schema
 
 
 def _by_schema(spark: SparkSession, paths: list[str]) -> list[tuple[T.StructType, list[str]]]:
-    """Paths grouped so that each group can be read by one scan.
+    """Files grouped so that each group can be read by one scan.
 
-    Published files change integer and float widths from month to month, which one
+    Published files change integer and float widths from file to file, which one
     scan cannot read. Mostly they agree, so all are tried together first.
     """
+    if not paths:
+        return []
     try:
-        schema = _schema_of(spark, paths)
-        return [(schema, paths)] if schema is not None else []
+        return [(_schema_of(spark, paths), paths)]
     except (PySparkException, Py4JJavaError) as problem:
         if "CANNOT_MERGE_SCHEMAS" not in str(problem):
             raise
@@ -67,10 +151,7 @@ def _by_schema(spark: SparkSession, paths: list[str]) -> list[tuple[T.StructType
             schemas = list(pool.map(lambda path: _schema_of(spark, [path]), paths))
     groups: dict[str, tuple[T.StructType, list[str]]] = {}
     for path, schema in zip(paths, schemas):
-        if schema is None:
-            warnings.warn(f"no readable file for {path}", stacklevel=3)
-        else:
-            groups.setdefault(schema.json(), (schema, []))[1].append(path)
+        groups.setdefault(schema.json(), (schema, []))[1].append(path)
     return list(groups.values())
 
 
@@ -79,7 +160,7 @@ def _scan(
     columns, row_ids: bool,
 ) -> DataFrame:
     """One scan over files of equal schema, in canonical form with file keys."""
-    raw = spark.read.schema(schema).option("ignoreCorruptFiles", "true").parquet(*paths)
+    raw = spark.read.schema(schema).option("ignoreCorruptFiles", "false").parquet(*paths)
     keys = {"cab_type": F.lit(cab_type), "file_year": F.lit(year), "file_month": month}
     if row_ids:
         keys["source_file"] = F.col("_metadata.file_path")
@@ -93,27 +174,31 @@ def _scan(
 def read_trips(
     spark: SparkSession, root: str, cab_types=CAB_TYPES, year: int = 2024, columns=None,
     patterns: dict[str, str] = RAW_PATTERN, months=range(1, 13), row_ids: bool = False,
+    on_bad_file: str = "fail",
 ) -> DataFrame:
     """All monthly files of the cab types below ``root``; absent months are warned about.
 
-    One scan per cab type and file schema. Unreadable files give no rows.
-    ``row_ids`` adds each row's file and position in it: a unique key that is the
-    same when a lost task runs again.
+    One scan per cab type and file schema. A file whose footer cannot be read is left
+    out whole and warned about. Damage found while reading fails the read, unless
+    ``on_bad_file`` is "skip": then every page is read once beforehand and damaged files
+    are left out whole and warned about as well. ``row_ids`` adds each row's file and
+    position in it: a unique key that is the same when a lost task runs again.
     """
+    if on_bad_file not in ("fail", "skip"):
+        raise ValueError("on_bad_file must be 'fail' or 'skip'")
+    files = file_manifest(spark, root, cab_types, year, patterns, months, deep=on_bad_file == "skip")
     parts = []
     for cab in cab_types:
-        paths = []
-        for month in months:
-            path = f"{root}/{patterns[cab].format(year=year, month=month)}"
-            if _matches(spark, path):
-                paths.append(path)
-            else:
-                warnings.warn(f"no readable file for {path}", stacklevel=2)
-        # The month follows the part of the pattern before it; cheaper per row than a regex.
+        mine = [f for f in files if f["cab_type"] == cab]
+        for file in mine:
+            if file["error"]:
+                warnings.warn(f"left out {file['path']}: {file['error']}", stacklevel=2)
+        for month in sorted(set(months) - {f["file_month"] for f in mine if not f["error"]}):
+            warnings.warn(f"no readable file for {cab} {year}-{month:02d}", stacklevel=2)
         before = patterns[cab].split("{month")[0].format(year=year).rsplit("/", 1)[-1]
         after = F.substring_index(F.col("_metadata.file_path"), before, -1)
         file_month = F.substring(after, 1, 2).cast("int")
-        for schema, group in _by_schema(spark, paths) if paths else []:
+        for schema, group in _by_schema(spark, [f["path"] for f in mine if not f["error"]]):
             parts.append(_scan(spark, group, schema, cab, year, file_month, columns, row_ids))
     if not parts:
         keys = {"cab_type": "string", "file_year": "int", "file_month": "int"}
@@ -126,16 +211,22 @@ def read_trips(
 def file_row_counts(trips: DataFrame) -> DataFrame:
     """Rows per file with the cab type's total, the grand total and the type's share.
 
-    Counting reads no column, so Parquet answers it from row-group footers.
+    ``trips`` has a row per trip, or a row per file with its ``rows`` (see
+    ``manifest_frame``), where a file that cannot be read counts 0. Counting trips
+    reads no column, so Parquet answers it from row-group footers.
     """
-    files = trips.groupBy(*FILE_KEYS).agg(F.count(F.lit(1)).alias("file_rows"))
+    counted = F.sum("rows") if "rows" in trips.columns else F.count(F.lit(1))
+    files = trips.groupBy(*FILE_KEYS).agg(counted.alias("file_rows"))
     types = files.groupBy("cab_type").agg(F.sum("file_rows").alias("type_rows"))
     overall = files.agg(F.sum("file_rows")).scalar()
-    return (
-        files.join(types, "cab_type")
-        .withColumn("overall_rows", overall)
-        .withColumn("type_share", F.col("type_rows") / F.col("overall_rows"))
-    )
+    share = F.coalesce(F.col("type_rows") / F.nullif(F.col("overall_rows"), F.lit(0)), F.lit(0.0))
+    return files.join(types, "cab_type").withColumn("overall_rows", overall).withColumn("type_share", share)
+
+
+def manifest_frame(spark: SparkSession, files: list[dict]) -> DataFrame:
+    """The manifest as a table, one row per file."""
+    schema = "cab_type string, file_year int, file_month int, path string, rows bigint, error string"
+    return spark.createDataFrame([tuple(f.values()) for f in files], schema)
 
 
 def write_monthly(trips: DataFrame, root: str, rebalance: bool = False) -> None:

@@ -24,20 +24,18 @@ def values(df, column):
     return sorted((r[0] for r in df.select(column).collect()), key=lambda v: (v is None, v))
 
 
-@pytest.mark.parametrize("bucketed", [True, False])
-def test_fence_of_worked_example(spark, bucketed):
+def test_fence_of_worked_example(spark):
     df = rows(spark, [(1.0,), (2.0,), (3.0,), (10.0,), (None,), (math.nan,)], "x double")
-    fence = cleaning.fence_table(df, "x", bucketed=bucketed).first()
+    fence = cleaning.fence_table(df, "x").first()
     assert (fence.q1, fence.q3) == (1.75, 4.75)
     assert (fence.fence_low, fence.fence_high) == (-2.75, 9.25)
-    assert values(cleaning.iqr_fence(df, "x", bucketed=bucketed), "x") == [1.0, 2.0, 3.0]
+    assert values(cleaning.iqr_fence(df, "x"), "x") == [1.0, 2.0, 3.0]
 
 
-@pytest.mark.parametrize("bucketed", [True, False])
-def test_airport_trips_are_neither_measured_nor_filtered(spark, bucketed):
+def test_airport_trips_are_neither_measured_nor_filtered(spark):
     data = [(1.0, 5, 6), (2.0, 5, 6), (3.0, None, 6), (10.0, 132, 6), (None, 5, 138), (None, 5, 6)]
     df = rows(spark, data, "x double, PULocationID int, DOLocationID int")
-    kept = cleaning.iqr_fence_airport_exempt(df, "x", bucketed=bucketed)
+    kept = cleaning.iqr_fence_airport_exempt(df, "x")
     assert values(kept, "x") == [1.0, 2.0, 3.0, 10.0, None]
 
 
@@ -49,17 +47,49 @@ def test_bucketed_quantiles_equal_percentile(spark):
         .otherwise((F.col("id") * 7919 % 1013 - 500) / 8).alias("x"),
     )
     wanted = {"a": 0.0, "b": 0.1, "c": 0.5, "d": 0.99, "e": 1.0}
-    left, right = (
-        {r.g: tuple(r)[1:] for r in exact_quantiles(df, ["g"], "x", wanted, bucketed).collect()}
-        for bucketed in (True, False)
-    )
+    points = F.array(*map(F.lit, wanted.values()))
+    left = {r.g: tuple(r)[1:] for r in exact_quantiles(df, ["g"], "x", wanted).collect()}
+    right = {r.g: r.q for r in df.groupBy("g").agg(F.percentile("x", points).alias("q")).collect()}
     assert left.keys() == right.keys() == {0, 1, 2}
     for g in left:
         assert left[g] == pytest.approx(right[g], rel=1e-12)
-    overall = exact_quantiles(df, [], "x", {"m": 0.5}, True).first().m
+    overall = exact_quantiles(df, [], "x", {"m": 0.5}).first().m
     assert overall == df.agg(F.percentile("x", 0.5)).first()[0]
 
 
+FARES = (0.09, 0.24, 0.31, 1.34, 1.39, 1.68, 1.69, 1.84, 2.06, 2.45, 2.73, 3.77)
+
+
+def test_one_fence_whatever_the_plan(spark):
+    """The highest fare lies close to the fence, where a last bit of interpolation would decide."""
+    once = rows(spark, [(f,) for f in FARES], "x double")
+    ordered = sorted(FARES)
+
+    def quartile(p):
+        at = p * (len(ordered) - 1)
+        low = ordered[math.floor(at)]
+        return low + (ordered[math.ceil(at)] - low) * (at - math.floor(at))
+
+    q1, q3 = quartile(0.25), quartile(0.75)
+    kept = sum(q1 - 1.5 * (q3 - q1) <= f <= q3 + 1.5 * (q3 - q1) for f in FARES)
+    for parts in (1, 7):
+        assert cleaning.iqr_fence(once.repartition(parts), "x").count() == kept
+
+
+def test_infinities_are_ordered(spark):
+    inf = math.inf
+    df = rows(spark, [(v,) for v in (-inf, 1.0, 2.0, 4.0, inf, inf)], "x double")
+    found = exact_quantiles(df, [], "x", {"a": 0.0, "b": 0.2, "c": 0.4, "d": 0.6, "e": 1.0}).first()
+    assert tuple(found) == (-inf, 1.0, 2.0, 4.0, inf)
+
+
+def test_crowded_bucket_is_split(spark):
+    """All values lie in one coarse bucket."""
+    df = spark.range(20_000).select((1.0 + F.col("id") * 1e-8).alias("x"))
+    found = exact_quantiles(df, [], "x", {"q": 0.25, "m": 0.5}).first()
+    assert tuple(found) == tuple(df.agg(F.percentile("x", F.array(F.lit(0.25), F.lit(0.5)))).first()[0])
+
+
 def test_order_bucket_never_decreases(spark):
     from curbflow.functions.ordering import order_bucket
 

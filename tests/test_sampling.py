@@ -77,3 +77,22 @@ def test_sample_of_one_file(spark):
     assert drawn.select("cab_type", "file_month").distinct().count() == 1
     with pytest.raises(ValueError):
         sampling.sample_n(trips, 5000, ["trip"], strict=True)
+
+
+def test_unknown_and_empty_text_are_different_keys(spark):
+    """Forty NULLs and forty empty texts in one stratum, thirty wanted."""
+    df = spark.range(80).select(F.when(F.col("id") < 40, F.lit("")).alias("v"))
+    assert sampling.sample_total(df, 30).count() == 30
+    pairs = spark.createDataFrame([("a|", "b"), ("a", "|b")] * 20, "x string, y string")
+    assert pairs.select(sampling.sample_order(["x", "y"], 1)).distinct().count() == 2
+    for n in (7, 20, 33):
+        assert sampling.sample_total(pairs, n).count() == n
+
+
+@pytest.mark.parametrize("n", [1, 10, 59, 90])
+def test_rows_that_share_a_key_are_drawn_to_the_exact_number(spark, n):
+    df = spark.range(120).select(F.lit(1).alias("k"), (F.col("id") % 60).alias("v"))
+    first = sampling.sample_total(df, n, ["k"])
+    assert first.count() == n
+    again = sampling.sample_total(df.repartition(5), n, ["k"])
+    assert sorted(first.collect()) == sorted(again.collect())

@@ -35,6 +35,43 @@ def test_missing_broken_and_drifting_months(spark, tmp_path):
     assert {(r.file_month, r.file_rows, r.type_rows, r.type_share) for r in shares} == {(1, 3, 7, 1.0), (2, 4, 7, 1.0)}
 
 
+def spoil(folder):
+    """Overwrite the first page of a file; its footer stays whole."""
+    path = next(f for f in os.listdir(folder) if f.endswith(".parquet"))
+    content = bytearray(open(f"{folder}/{path}", "rb").read())
+    content[4:52] = bytes([255]) * 48
+    with open(f"{folder}/{path}", "wb") as out:
+        out.write(content)
+    for crc in [f for f in os.listdir(folder) if f.endswith(".crc")]:
+        os.rename(f"{folder}/{crc}", f"{folder}/_{crc}")
+
+
+def test_damage_fails_or_drops_the_file_whole(spark, tmp_path):
+    root = str(tmp_path)
+    month(spark, 3).coalesce(1).write.parquet(f"{root}/yellow_tripdata_2024-01.parquet")
+    month(spark, 4).coalesce(1).write.parquet(f"{root}/yellow_tripdata_2024-02.parquet")
+    spoil(f"{root}/yellow_tripdata_2024-02.parquet")
+    with pytest.warns(UserWarning, match="no readable file"):
+        trips = files.read_trips(spark, root, ["yellow"])
+    with pytest.raises(Exception):  # noqa: B017 the reader's own error type is not ours to name
+        trips.collect()
+    with pytest.warns(UserWarning, match="left out .*damaged"):
+        kept = files.read_trips(spark, root, ["yellow"], on_bad_file="skip")
+    assert {r.file_month for r in kept.collect()} == {1} and kept.count() == 3
+    listed = files.file_manifest(spark, root, ["yellow"], deep=True)
+    assert [(f["file_month"], f["rows"], (f["error"] or "").split(":")[0]) for f in listed] == [(1, 3, ""), (2, 0, "damaged")]
+
+
+def test_drift_within_one_month_and_empty_tables(spark, tmp_path):
+    folder = f"{tmp_path}/yellow_tripdata_2024-01.parquet"
+    month(spark, 3).coalesce(1).write.parquet(folder)
+    month(spark, 4, wide=True).coalesce(1).write.mode("append").parquet(folder)
+    month(spark, 1).where("false").write.mode("append").parquet(folder)
+    trips = files.read_trips(spark, str(tmp_path), ["yellow"], months=[1])
+    assert trips.count() == 7 and dict(trips.dtypes)["PULocationID"] == "int"
+    assert all(f["error"] is None for f in files.file_manifest(spark, str(tmp_path), ["yellow"]))
+
+
 def test_no_file_gives_an_empty_typed_frame(spark, tmp_path):
     with pytest.warns(UserWarning):
         trips = files.read_trips(spark, str(tmp_path), ["green"])
