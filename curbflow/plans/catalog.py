@@ -18,7 +18,7 @@ from ..operators import (
     cleaning, demand, events, geometry, hypothesis, normality, privacy, routes, sampling, zones,
 )
 from ..schema import CAB_TYPES, FILE_KEYS, normalise
-from ..session import fresh_path, settle
+from ..session import fresh_path, settle, shared_dir
 from ..sources import dimensions, trips as trip_files
 from ..streaming import incremental
 from . import clean, fixture, impact
@@ -123,8 +123,20 @@ def _(spark, sf_dir):
 
 @query("precomputed_fares")
 def _(spark, sf_dir):
-    fares = demand.avg_fare_by_zone_hour(fixture.trips(spark, sf_dir))
-    return trip_files.write_once(fares, fresh_path(spark, "fares"))
+    return _stored_fares(spark, sf_dir)
+
+
+def _stored_fares(spark, sf_dir) -> DataFrame:
+    """Computed once per state of the source table: a changed table has another path."""
+    path = f"{shared_dir(spark)}/curbflow/fares-{fixture.signature(spark, sf_dir, 'events')}"
+    return trip_files.write_once(demand.avg_fare_by_zone_hour(fixture.trips(spark, sf_dir)), path)
+
+
+@query("stored_fares_reused")
+def _(spark, sf_dir):
+    """A second write to the same path must not happen: it would leave nothing."""
+    fares = _stored_fares(spark, sf_dir)
+    return trip_files.write_once(fares.where("false"), fares.inputFiles()[0].rsplit("/", 1)[0])
 
 
 @query("game_schedule")
@@ -233,8 +245,7 @@ def _(spark, sf_dir):
 
 @query("fares_of_hour")
 def _(spark, sf_dir):
-    fares = demand.avg_fare_by_zone_hour(fixture.trips(spark, sf_dir))
-    return trip_files.write_once(fares, fresh_path(spark, "fares")).where("hour = 12")
+    return _stored_fares(spark, sf_dir).where("hour = 12")
 
 
 @query("filter_valid_duration")
@@ -544,17 +555,35 @@ on_trips(
     lambda t: privacy.k_anonymise(_coarse_zones(t), 2, 99, QI_SMALL)[0].select("trip_id", *QI_SMALL),
 )
 on_trips("k_report", lambda t: privacy.k_anonymise(_coarse_zones(t), 2, 99, QI_SMALL)[1])
-on_trips("k_report_strict", lambda t: privacy.k_anonymise(_coarse_zones(t), 2, 1)[1])
+query("k_report_strict")(
+    lambda spark, sf_dir: privacy.k_anonymise(fixture.dense_trips(spark, sf_dir), 2, 1)[1]
+)
+query("k_report_full_qi")(
+    lambda spark, sf_dir: privacy.k_anonymise_monthly(fixture.dense_trips(spark, sf_dir))[1]
+)
 on_trips(
     "k_anonymise_monthly",
-    lambda t: privacy.k_anonymise(_coarse_zones(t), 2, 98.5, QI_SMALL, by=FILE_KEYS)[0].select(
+    lambda t: privacy.k_anonymise(_coarse_zones(t), 2, 99, QI_SMALL, by=FILE_KEYS)[0].select(
         "trip_id", *FILE_KEYS, *QI_SMALL
     ),
 )
-on_trips(
-    "k_anonymise_full_qi",
-    lambda t: privacy.k_anonymise_monthly(_coarse_zones(t))[0].select(*RELEASED),
-)
+
+
+def _release(spark, sf_dir) -> DataFrame:
+    return privacy.k_anonymise_monthly(fixture.dense_trips(spark, sf_dir), k=3)[0]
+
+
+query("k_anonymise_full_qi")(lambda spark, sf_dir: _release(spark, sf_dir).select(*RELEASED))
+
+
+@query("k_release_files")
+def _(spark, sf_dir):
+    """The release written per file and read back."""
+    path = fresh_path(spark, "release")
+    trip_files.write_monthly(_release(spark, sf_dir), path)
+    return trip_files.read_monthly(spark, path).select(*FILE_KEYS, *RELEASED)
+
+
 on_trips(
     "equivalence_class_sizes",
     lambda t: privacy.class_size_histogram(privacy.generalise(_coarse_zones(t)), QI_SMALL),

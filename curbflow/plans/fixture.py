@@ -6,13 +6,15 @@ name of the zoneless timestamp type; ``{ntz}`` stands for it.
 
 from __future__ import annotations
 
+import hashlib
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators.geometry import zone_centroids as centroids_of
-from ..schema import RENAMES
+from ..schema import FILE_KEYS, RENAMES
 from ..session import fresh_path, settle
-from ..sources.dimensions import parse_schedule
+from ..sources.dimensions import parse_schedule, read_zone_vertices
 
 STADIUM = 140
 DROPOFF = 133
@@ -86,6 +88,20 @@ FILE_COLUMNS = {
     ),
 }
 
+# Quasi-identifiers of thirty combinations per month, for classes of two, three and more.
+DENSE_COLUMNS = {
+    "pickup_datetime": (
+        "CASE WHEN trip_id % 41 = 0 THEN NULL ELSE CAST('2024-01-01 00:10:00' AS {ntz})"
+        " + CAST(file_month - 1 AS INT) * INTERVAL '30' DAY + CAST(trip_id % 5 AS INT) * INTERVAL '1' HOUR END"
+    ),
+    "dropoff_datetime": (
+        "CAST('2024-01-01 00:40:00' AS {ntz})"
+        " + CAST(file_month - 1 AS INT) * INTERVAL '30' DAY + CAST(trip_id % 2 AS INT) * INTERVAL '1' HOUR"
+    ),
+    "PULocationID": "CAST(trip_id % 2 + 128 AS INT)",
+    "DOLocationID": "CAST(trip_id % 3 + 130 AS INT)",
+}
+
 # Zone 160 has trips but no zone row; 147 to 152 have a row but no trips.
 ZONE_COLUMNS = {
     "LocationID": "CAST(n_nationkey + 128 AS INT)",
@@ -282,12 +298,32 @@ def zone_vertices(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def dense_trips(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return trips(spark, sf_dir).selectExpr("trip_id", *FILE_KEYS, *_spark(DENSE_COLUMNS))
+
+
+def stored_vertices(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Zone outlines read from a stored table, as they arrive."""
+    _stored_once(spark, sf_dir, "vertices", lambda: zone_vertices(spark, sf_dir))
+    return read_zone_vertices(spark, _stored[(spark.sparkContext.applicationId, sf_dir, "vertices")][0])
+
+
+def signature(spark: SparkSession, sf_dir: str, name: str) -> str:
+    """Changes when a table's files do: a hash of their names, sizes and times."""
+    place = spark._jvm.org.apache.hadoop.fs.Path(f"{sf_dir}/{name}.parquet")
+    system = place.getFileSystem(spark._jsc.hadoopConfiguration())
+    listed = "|".join(
+        f"{s.getPath().getName()} {s.getLen()} {s.getModificationTime()}" for s in system.listStatus(place)
+    )
+    return hashlib.md5(f"{sf_dir}|{listed}".encode()).hexdigest()
+
+
 def centroids(spark: SparkSession, sf_dir: str) -> DataFrame:
     """One centroid per zone row, stored as the dimension table it is in practice."""
 
     def derive() -> DataFrame:
         listed = zones(spark, sf_dir).select("LocationID")
-        return centroids_of(zone_vertices(spark, sf_dir)).join(listed, "LocationID", "left_semi")
+        return centroids_of(stored_vertices(spark, sf_dir)).join(listed, "LocationID", "left_semi")
 
     return settle(_stored_once(spark, sf_dir, "centroids", derive))
 

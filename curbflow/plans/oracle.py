@@ -507,6 +507,16 @@ CTES["coarse"] = (
     " date_trunc('hour', dropoff_datetime) AS dropoff_datetime, PULocationID, DOLocationID FROM trips",
     ("trips",),
 )
+CTES["dense"] = (
+    f"SELECT trip_id, {FILE}, "
+    + ", ".join(
+        f"date_trunc('hour', {text.format(ntz='TIMESTAMP')}) AS {name}" if name.endswith("datetime")
+        else f"{text} AS {name}"
+        for name, text in fixture.DENSE_COLUMNS.items()
+    )
+    + " FROM trips",
+    ("trips",),
+)
 _QI = "pickup_datetime, dropoff_datetime, PULocationID, DOLocationID"
 _QI_SMALL = "pickup_datetime, DOLocationID"
 
@@ -521,13 +531,14 @@ def _released(k: int, limit: float, qi: str, by: str = "") -> str:
       WHERE class_size >= {k} AND lost <= {limit})"""
 
 
-def _report(k: int, limit: float, qi: str) -> str:
-    return f"""SELECT k_before, rows_before, ROUND(lost + 1e-9, 6) AS dropped_pct,
+def _report(k: int, limit: float, qi: str, by: str = "") -> str:
+    part, grouped = (f"{by}, ", f" GROUP BY {by}") if by else ("", "")
+    return f"""SELECT {part}k_before, rows_before, ROUND(lost + 1e-9, 6) AS dropped_pct,
       CASE WHEN lost <= {limit} THEN k_kept END AS k_after, CASE WHEN lost <= {limit} THEN kept ELSE 0 END AS rows_after
-    FROM (SELECT MIN(n) AS k_before, CAST(SUM(n) AS BIGINT) AS rows_before, MIN(n) FILTER (n >= {k}) AS k_kept,
+    FROM (SELECT {part}MIN(n) AS k_before, CAST(SUM(n) AS BIGINT) AS rows_before, MIN(n) FILTER (n >= {k}) AS k_kept,
         CAST(coalesce(SUM(n) FILTER (n >= {k}), 0) AS BIGINT) AS kept,
         100.0 * coalesce(SUM(n) FILTER (n < {k}), 0) / SUM(n) AS lost
-      FROM (SELECT COUNT(*) AS n FROM coarse GROUP BY {qi}))"""
+      FROM (SELECT {part}COUNT(*) AS n FROM coarse GROUP BY {part}{qi}){grouped})"""
 
 
 # ---- sampling -----------------------------------------------------------------
@@ -642,7 +653,7 @@ def statements() -> dict[str, str]:
     q["write_monthly"] = _with(f"SELECT {_LITTLE}, file_year, {_r('fare_amount')} FROM trips", "trips")
     fares = f"""SELECT PULocationID, {HOUR} AS hour, {_r('AVG(fare_amount) AS fare_amount')} FROM trips
         WHERE PULocationID IS NOT NULL AND pickup_datetime IS NOT NULL GROUP BY 1, 2"""
-    q["precomputed_fares"] = q["avg_fare_by_zone_hour"] = _with(fares, "trips")
+    q["precomputed_fares"] = q["stored_fares_reused"] = q["avg_fare_by_zone_hour"] = _with(fares, "trips")
     q["fares_of_hour"] = _with(f"SELECT * FROM ({fares}) WHERE hour = 12", "trips")
     q["game_schedule"] = _with("SELECT Date, start_time, Visitor, game_datetime FROM games", "games")
     q["zone_dim"] = _with("SELECT * FROM zones", "zones")
@@ -938,11 +949,15 @@ def statements() -> dict[str, str]:
     q["k_of"] = _with(f"SELECT MIN(n) AS k FROM (SELECT COUNT(*) AS n FROM coarse GROUP BY {_QI})", "coarse")
     q["k_anonymise"] = _with(f"SELECT trip_id, {_QI_SMALL} FROM kept", "coarse", extra=_released(2, 99, _QI_SMALL))
     q["k_report"] = _with(_report(2, 99, _QI_SMALL), "coarse")
-    q["k_report_strict"] = _with(_report(2, 1, _QI), "coarse")
+    q["k_report_strict"] = _with(_report(2, 1, _QI).replace("coarse", "dense"), "dense")
+    q["k_report_full_qi"] = _with(_report(2, 99, _QI, FILE).replace("coarse", "dense"), "dense")
     q["k_anonymise_monthly"] = _with(
-        f"SELECT trip_id, {FILE}, {_QI_SMALL} FROM kept", "coarse", extra=_released(2, 98.5, _QI_SMALL, FILE))
+        f"SELECT trip_id, {FILE}, {_QI_SMALL} FROM kept", "coarse", extra=_released(2, 99, _QI_SMALL, FILE))
     q["k_anonymise_full_qi"] = _with(
-        f"SELECT trip_id, {_QI} FROM kept", "coarse", extra=_released(2, 99, _QI, FILE))
+        f"SELECT trip_id, {_QI} FROM kept", "dense", extra=_released(3, 99, _QI, FILE).replace("coarse", "dense"))
+    q["k_release_files"] = _with(
+        f"SELECT {FILE}, trip_id, {_QI} FROM kept", "dense",
+        extra=_released(3, 99, _QI, FILE).replace("coarse", "dense"))
     q["equivalence_class_sizes"] = _with(
         f"""SELECT n AS class_size, COUNT(*) AS classes FROM (SELECT COUNT(*) AS n FROM coarse GROUP BY {_QI_SMALL})
         GROUP BY n""", "coarse")
