@@ -1,15 +1,17 @@
 """Token counts of documents from pre-token frequencies, without making any ids.
 
-Each document becomes the frequencies of its pre-tokens. They are laid out as
-postings, one row per pre-token and block of documents, and dealt by pre-token: every
-distinct pre-token meets all its frequencies in one partition, its pieces are counted
-there once, and the products are summed per document.
+Each document becomes the frequencies of its pre-tokens. A block of documents lays them
+out as postings, cut into buckets of pre-tokens. Buckets are what is shuffled: in its
+bucket every distinct pre-token meets all its frequencies, its pieces are counted there
+once, and the products are summed per document.
 """
 
 from __future__ import annotations
 
 import json
+import pickle
 import re
+import zlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -22,6 +24,8 @@ from .bpe import PairIndex
 from .common import kept, shipped, slices, texts_of
 
 BATCH_BYTES = 24 << 20
+# Bytes of text for each bucket of pre-tokens.
+BUCKET_BYTES = 16 << 20
 # Products a task holds before it sums them.
 HELD_PRODUCTS = 2_000_000
 
@@ -101,38 +105,33 @@ class PreTokens:
         ], specials
 
 
-def _postings(parts: list[np.ndarray], vocabulary: list[str], block: int, ids: pa.Array, base, sizes, names):
-    """One row per pre-token of a block, and one for the block's documents."""
+_KINDS = "bucket int, block long, posting binary, ids array<{kind}>, bytes array<long>, base array<long>"
+_NAMES = ["bucket", "block", "posting", "ids", "bytes", "base"]
+
+
+def _postings(parts: list[np.ndarray], vocabulary: list[str], buckets: int) -> Iterator[tuple[int, bytes]]:
+    """A block's postings per bucket: pre-tokens, how many documents have each, which, how often."""
+    bucket = np.fromiter((zlib.crc32(t.encode()) % buckets for t in vocabulary), np.int64, len(vocabulary))
+    order = np.argsort(bucket, kind="stable")
+    rank = np.empty(len(order), np.int64)
+    rank[order] = np.arange(len(order))
     docs = np.repeat(np.arange(len(parts)), [len(p) for p in parts])
-    tokens = np.concatenate(parts).astype(np.int64) if parts else np.empty(0, np.int64)
+    tokens = rank[np.concatenate(parts)] if parts else np.empty(0, np.int64)
     pairs, freq = np.unique((tokens << 32) | docs, return_counts=True)
-    token, doc = pairs >> 32, (pairs & 0xFFFFFFFF).astype(np.int32)
-    first = np.flatnonzero(np.append(True, np.diff(token) != 0)) if len(token) else np.empty(0, np.int64)
-    offsets = np.append(first, len(token)).astype(np.int32)
-    words = pa.array([vocabulary[t] for t in token[first].tolist()], pa.string())
-    n = len(words)
-    none = pa.array(np.zeros(n + 1, np.int32))
-    yield pa.RecordBatch.from_arrays(
-        [
-            words, pa.array(np.full(n, block)),
-            pa.ListArray.from_arrays(pa.array(offsets), pa.array(doc)),
-            pa.ListArray.from_arrays(pa.array(offsets), pa.array(freq.astype(np.int32))),
-            pa.ListArray.from_arrays(none, ids.slice(0, 0)),
-            pa.ListArray.from_arrays(none, pa.array([], pa.int64())),
-        ],
-        names=names,
-    )
-    every = pa.array(np.array([0, len(parts)], np.int32))
-    yield pa.RecordBatch.from_arrays(
-        [
-            pa.array([None], pa.string()), pa.array([block], pa.int64()),
-            pa.ListArray.from_arrays(every, pa.array(np.arange(len(parts), dtype=np.int32))),
-            pa.ListArray.from_arrays(every, pa.array(base, pa.int32())),
-            pa.ListArray.from_arrays(every, ids),
-            pa.ListArray.from_arrays(every, pa.array(sizes, pa.int64())),
-        ],
-        names=names,
-    )
+    sizes = np.bincount(pairs >> 32, minlength=len(order))
+    ends = np.append(0, np.cumsum(sizes))
+    doc = (pairs & 0xFFFFFFFF).astype(np.uint16 if len(parts) <= 1 << 16 else np.uint32)
+    freq = freq.astype(np.min_scalar_type(freq.max(initial=0)))
+    for number in np.unique(bucket).tolist():
+        first, last = np.searchsorted(bucket[order], [number, number + 1])
+        held = slice(ends[first], ends[last])
+        words = "\n".join([vocabulary[k] for k in order[first:last].tolist()])
+        yield number, pickle.dumps((words, sizes[first:last].astype(np.uint32), doc[held], freq[held]))
+
+
+def _sparse(doc: np.ndarray, value: np.ndarray) -> bytes:
+    """Sums of the documents of a block that have any; gaps between documents compress well."""
+    return pickle.dumps((np.diff(doc, prepend=0).astype(np.int32), value.astype(np.min_scalar_type(value.max()))))
 
 
 def count_tokens(docs: DataFrame, tokenizer: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -142,13 +141,15 @@ def count_tokens(docs: DataFrame, tokenizer: str, id_col: str = "doc_id", text_c
     null text counts as empty (0 bytes, 0 tokens). Special tokens written in a text
     count one each. Other columns are not read. Documents are known by block and place
     in the block, both fixed by the split they are read from, so a task that runs again
-    makes the same rows. A frequent pre-token has one row per block, not one per
-    occurrence, and no row holds more than a block's documents.
+    makes the same rows. The number of buckets follows the bytes of text, so a bucket
+    has about the same size for every input; a frequent pre-token has one entry per
+    document, and no row holds more than a block's share of a bucket.
     """
     spec = shipped(docs.sparkSession, tokenizer)
     rows = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
     kind = rows.schema["doc_id"].dataType.simpleString()
-    names = ["token", "block", "doc", "freq", "ids", "bytes"]
+    total = rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    buckets = max(1, -(-total // BUCKET_BYTES))
 
     def split(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         splitter = kept(f"pre-tokens:{tokenizer}", lambda: PreTokens(spec.value))
@@ -163,77 +164,95 @@ def count_tokens(docs: DataFrame, tokenizer: str, id_col: str = "doc_id", text_c
                     parts += [np.frombuffer(r, "<i4") for r in raw]
                     base += specials
                     sizes += [len(t.encode()) for t in texts]
-                vocabulary = list(splitter.number)
-                ids = pa.concat_arrays([part.column(0)])
-                yield from _postings(parts, vocabulary, block, ids, base, sizes, names)
+                longs = pa.list_(pa.int64())
+                for bucket, posting in _postings(parts, list(splitter.number), buckets):
+                    yield pa.RecordBatch.from_arrays(
+                        [
+                            pa.array([bucket], pa.int32()), pa.array([block], pa.int64()), pa.array([posting], pa.binary()),
+                            pa.nulls(1, pa.list_(part.column(0).type)), pa.nulls(1, longs), pa.nulls(1, longs),
+                        ],
+                        names=_NAMES,
+                    )
+                every = pa.array(np.array([0, len(parts)], np.int32))
+                yield pa.RecordBatch.from_arrays(
+                    [
+                        pa.array([block % buckets], pa.int32()), pa.array([block], pa.int64()), pa.nulls(1, pa.binary()),
+                        pa.ListArray.from_arrays(every, pa.concat_arrays([part.column(0)])),
+                        pa.array([sizes], longs), pa.array([base], longs),
+                    ],
+                    names=_NAMES,
+                )
                 block += 1
 
-    postings = rows.mapInArrow(
-        split, f"token string, block long, doc array<int>, freq array<int>, ids array<{kind}>, bytes array<long>"
-    )
-    dealt = postings.repartition(
-        F.coalesce("token", F.concat(F.lit("\n"), F.col("block").cast("string")))
-    ).sortWithinPartitions("token")
+    postings = rows.mapInArrow(split, _KINDS.format(kind=kind))
+    dealt = postings.repartition(buckets, "bucket").sortWithinPartitions("bucket")
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         index = kept(f"pair-index:{tokenizer}", lambda: PairIndex(json.loads(spec.value)["model"]))
-        held: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
-        size, last = 0, (None, 0)
-
-        def summed() -> pa.RecordBatch:
-            block, doc, value = (np.concatenate(x) for x in zip(*held))
-            order = np.lexsort((doc, block))
-            block, doc, value = block[order], doc[order], value[order]
-            first = np.flatnonzero(np.append(True, (np.diff(block) != 0) | (np.diff(doc) != 0)))
-            n = len(first)
-            return pa.RecordBatch.from_arrays(
-                [
-                    pa.array(block[first]), pa.array(doc[first].astype(np.int32)),
-                    pa.array(np.add.reduceat(value, first)), pa.nulls(n, ids_type), pa.nulls(n, pa.int64()),
-                ],
-                names=["block", "doc", "pieces", "doc_id", "n_bytes"],
-            )
+        products: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
+        waiting: list[tuple[int, bytes]] = []
+        current = None
+
+        def multiply() -> None:
+            """Count the pieces of a bucket's distinct pre-tokens, each once, and weight them."""
+            opened = [(block, *pickle.loads(posting)) for block, posting in waiting]
+            waiting.clear()
+            number: dict[str, int] = {}
+            places = [
+                np.array([number.setdefault(w, len(number)) for w in words.split("\n")]) for _, words, *_ in opened
+            ]
+            pieces = index.encode(list(number))[1] if number else np.empty(0, np.int64)
+            for (block, _, sizes, doc, freq), place in zip(opened, places):
+                value = np.repeat(pieces[place], sizes) * freq
+                products.append((np.full(len(doc), block), doc.astype(np.int64), value))
+
+        def summed() -> Iterator[pa.RecordBatch]:
+            block, doc, value = (np.concatenate(x) for x in zip(*products))
+            products.clear()
+            for number in np.unique(block).tolist():
+                own = block == number
+                total = np.bincount(doc[own], weights=value[own]).astype(np.int64)
+                some = np.flatnonzero(total)
+                if len(some):
+                    longs = pa.list_(pa.int64())
+                    yield pa.RecordBatch.from_arrays(
+                        [
+                            pa.array([current], pa.int32()), pa.array([number], pa.int64()),
+                            pa.array([_sparse(some, total[some])], pa.binary()), pa.nulls(1, ids_type),
+                            pa.nulls(1, longs), pa.nulls(1, longs),
+                        ],
+                        names=_NAMES,
+                    )
 
         ids_type = None
         for batch in batches:
-            ids_type = batch.schema.field("ids").type.value_type
-            for k in np.flatnonzero(batch.column(0).is_null().to_numpy(zero_copy_only=False)).tolist():
-                doc, base, ids, sizes = (batch.column(c)[k].values for c in range(2, 6))
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(np.full(len(doc), batch.column(1)[k].as_py())), doc, base.cast(pa.int64()), ids, sizes],
-                    names=["block", "doc", "pieces", "doc_id", "n_bytes"],
-                )
-            batch = batch.filter(batch.column(0).is_valid())
-            if not batch.num_rows:
-                continue
-            tokens = batch.column(0).to_pylist()
-            start = [0] + [i for i in range(1, len(tokens)) if tokens[i] != tokens[i - 1]]
-            distinct = [tokens[i] for i in start]
-            # The first may go on from the batch before: it was counted there.
-            fresh = distinct[1:] if distinct[0] == last[0] else distinct
-            pieces = index.encode(fresh)[1] if fresh else np.empty(0, np.int64)
-            if len(fresh) < len(distinct):
-                pieces = np.append(last[1], pieces)
-            last = (distinct[-1], int(pieces[-1]))
-            per_row = np.repeat(pieces, np.diff([*start, len(tokens)]))
-            lengths = batch.column(2).value_lengths().to_numpy(zero_copy_only=False)
-            doc = batch.column(2).flatten().to_numpy(zero_copy_only=False)
-            freq = batch.column(3).flatten().to_numpy(zero_copy_only=False)
-            block = np.repeat(batch.column(1).to_numpy(zero_copy_only=False), lengths)
-            held.append((block, doc, np.repeat(per_row, lengths) * freq))
-            size += len(doc)
-            if size >= HELD_PRODUCTS:
-                yield summed()
-                held, size = [], 0
-        if held:
-            yield summed()
-
-    sums = dealt.mapInArrow(count, f"block long, doc int, pieces long, doc_id {kind}, n_bytes long")
-    return (
-        sums.groupBy("block", "doc")
-        .agg(
-            F.max("n_bytes").alias("n_bytes"), F.sum("pieces").alias("n_tokens"),
-            F.first("doc_id", ignorenulls=True).alias("doc_id"),
-        )
-        .select("doc_id", "n_bytes", "n_tokens")
-    )
+            ids_type = batch.schema.field("ids").type
+            whole = batch.column(2).is_null()
+            if whole.true_count:
+                yield batch.filter(whole)
+            for bucket, block, posting in zip(*[batch.column(k).to_pylist() for k in range(3)]):
+                if posting is None:
+                    continue
+                if bucket != current and waiting:
+                    multiply()
+                    if sum(len(p[1]) for p in products) >= HELD_PRODUCTS:
+                        yield from summed()
+                current = bucket
+                waiting.append((block, posting))
+        if waiting:
+            multiply()
+        if products:
+            yield from summed()
+
+    def finish(key, group):
+        at = group["ids"].is_valid().to_pylist().index(True)
+        ids = group["ids"].combine_chunks()[at].values
+        total = np.array(group["base"][at].as_py(), np.int64)
+        for posting in group["posting"].to_pylist():
+            if posting is not None:
+                gaps, value = pickle.loads(posting)
+                total[np.cumsum(gaps)] += value
+        return pa.table([ids, group["bytes"].combine_chunks()[at].values, pa.array(total)], names=["doc_id", "n_bytes", "n_tokens"])
+
+    sums = dealt.mapInArrow(count, _KINDS.format(kind=kind))
+    return sums.groupBy("block").applyInArrow(finish, f"doc_id {kind}, n_bytes long, n_tokens long")
