@@ -31,10 +31,12 @@ FREQUENT = 50_000
 REPORTED = 8
 # Classes that one tile compares with one another.
 TILE = 1024
-# Frequent shingles are dealt over so many partitions each.
+# Rows of a frequent shingle are dealt over so many partitions each.
 SALTS = 64
-# Set digests a task remembers, to list equal documents once.
+# Sets and groups a task remembers, to list equal ones once.
 REMEMBERED = 200_000
+# Bits of a bitmap for each shingle of its set, at least: wide enough to tell most pairs apart.
+BITS_PER_SHINGLE = 2
 
 _STEP = np.uint64(0x9E3779B97F4A7C15)
 _MIX = (np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB))
@@ -59,8 +61,8 @@ def shingle_set(text: bytes, words: int = WORDS) -> np.ndarray:
 
 
 def parity_bitmap(shingles: np.ndarray) -> bytes:
-    """Bit k is the parity of the shingles that hash to k; as many bits as shingles, rounded up."""
-    width = max(64, 1 << max(0, len(shingles) - 1).bit_length())
+    """Bit k is the parity of the shingles that hash to k; a power of two of bits, by the size."""
+    width = max(64, 1 << max(0, BITS_PER_SHINGLE * len(shingles) - 1).bit_length())
     odd = np.bincount((shingles & np.uint64(width - 1)).astype(np.int64), minlength=width) & 1
     return np.packbits(odd.astype(np.uint8), bitorder="little").tobytes()
 
@@ -98,12 +100,28 @@ def _short(digest: bytes) -> int:
     return int.from_bytes(digest[:8], "little", signed=True)
 
 
+def _often(sets: list[np.ndarray], names: np.ndarray):
+    """Shingles that many sets of a batch hold: copies, the most typical holder and its share."""
+    owner = np.repeat(np.arange(len(sets)), [len(c) for c in sets])
+    every = np.concatenate(sets) if sets else np.empty(0, np.uint64)
+    shingle, place, copies = np.unique(every, return_inverse=True, return_counts=True)
+    often = copies >= REPORTED
+    rows = often[place]
+    share = np.bincount(owner[rows], minlength=len(sets)) / np.maximum(1, [len(c) for c in sets])
+    owner, place = owner[rows], place[rows]
+    order = np.lexsort((names[owner], -share[owner], place))
+    first = order[np.append(True, np.diff(place[order]) != 0)] if len(order) else order
+    return shingle[often], copies[often], names[owner[first]], share[owner[first]]
+
+
 def _describe(rows: DataFrame, words: int) -> DataFrame:
     """A row per document: set size, digest, bitmap; and rows of shingles frequent in a batch.
 
-    ``e`` is half the digest of the document's set, or of one that has the shingle.
+    ``e`` is half the digest of the document's set; for a frequent shingle, of the set
+    among those holding it that has the largest share of frequent ones. In a group of
+    near copies that is the one most like all others.
     """
-    names = ["doc_id", "n", "cid", "bits", "shingle", "copies", "e"]
+    names = ["doc_id", "n", "cid", "bits", "shingle", "copies", "e", "share"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -124,41 +142,41 @@ def _describe(rows: DataFrame, words: int) -> DataFrame:
                     [
                         part.column(0), pa.array(sizes, pa.int64()), pa.array(digests, pa.binary()),
                         pa.array(bitmaps, pa.binary()), pa.nulls(n, pa.int64()), pa.nulls(n, pa.int64()),
-                        pa.array([_short(d) for d in digests], pa.int64()),
+                        pa.array([_short(d) for d in digests], pa.int64()), pa.nulls(n, pa.float64()),
                     ],
                     names=names,
                 )
-                owner = np.repeat(np.arange(len(counted)), [len(c) for c in counted])
-                every = np.concatenate(counted) if counted else np.empty(0, np.uint64)
-                shingle, first, copies = np.unique(every, return_index=True, return_counts=True)
-                often = copies >= REPORTED
                 held = [_short(d) for d in dict.fromkeys(digests)]
-                m = int(often.sum())
+                shingle, copies, centre, share = _often(counted, np.array(held, np.int64))
+                m = len(shingle)
                 yield pa.RecordBatch.from_arrays(
                     [
                         pa.nulls(m, part.column(0).type), pa.nulls(m, pa.int64()), pa.nulls(m, pa.binary()),
-                        pa.nulls(m, pa.binary()), pa.array(shingle[often].view(np.int64)),
-                        pa.array(copies[often]),
-                        pa.array([held[owner[i]] for i in first[often].tolist()], pa.int64()),
+                        pa.nulls(m, pa.binary()), pa.array(shingle.view(np.int64)), pa.array(copies),
+                        pa.array(centre), pa.array(share),
                     ],
                     names=names,
                 )
 
     kind = rows.schema["doc_id"].dataType.simpleString()
     return rows.mapInArrow(
-        run, f"doc_id {kind}, n long, cid binary, bits binary, shingle long, copies long, e long"
+        run, f"doc_id {kind}, n long, cid binary, bits binary, shingle long, copies long, e long, share double"
     )
 
 
 def _listed(rows: DataFrame, frequent, words: int, percent: int) -> DataFrame:
-    """Each distinct set of a task under the first shingles of its order, with a salt if frequent."""
+    """Each distinct set of a task under the first shingles of its order.
+
+    Frequent shingles are replaced by their centres: one row, with a salt, for all that
+    share a centre. Sets that share a frequent shingle share its centre.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hot, copies, centre = frequent.value
         seen: set[bytes] = set()
         for batch in batches:
             for block in slices(batch, 1):
-                keys, owners, sizes, places = [], [], [], []
+                keys, salts, owners, sizes = [], [], [], []
                 for raw in _raw_texts(block.column(1)):
                     found = shingle_set(raw, words)
                     n = len(found)
@@ -174,47 +192,57 @@ def _listed(rows: DataFrame, frequent, words: int, percent: int) -> DataFrame:
                     rare = found[~heavy][:prefix]
                     own = at[heavy]
                     own = own[np.argsort(copies[own], kind="stable")][: prefix - len(rare)]
-                    keys += [rare, hot[own]]
-                    places.append(np.append(np.full(len(rare), -1), own))
+                    hubs = np.unique(centre[own])
+                    keys += [rare.view(np.int64), hubs]
+                    salts += [np.full(len(rare), -1, np.int32), np.full(len(hubs), _short(digest) % SALTS, np.int32)]
                     owners.append(_short(digest))
-                    sizes.append(len(rare) + len(own))
-                if not owners:
-                    continue
-                key = np.concatenate(keys).view(np.int64)
-                owner = np.repeat(np.array(owners, np.int64), sizes)
-                place = np.concatenate(places)
-                hot_row = place >= 0
-                salt = np.where(hot_row, owner % SALTS, -1).astype(np.int32)
-                star = np.where(hot_row, centre[np.maximum(place, 0)] if len(centre) else 0, 0)
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(key), pa.array(salt), pa.array(owner), pa.array(star)],
-                    names=["key", "salt", "e", "centre"],
-                )
+                    sizes.append(len(rare) + len(hubs))
+                if owners:
+                    owner = np.repeat(np.array(owners, np.int64), sizes)
+                    yield pa.RecordBatch.from_arrays(
+                        [pa.array(np.concatenate(keys)), pa.array(np.concatenate(salts)), pa.array(owner)],
+                        names=["key", "salt", "e"],
+                    )
 
-    return rows.mapInArrow(run, "key long, salt int, e long, centre long")
+    return rows.mapInArrow(run, "key long, salt int, e long")
 
 
 def _shared(listed: DataFrame) -> DataFrame:
-    """Rows of keys that two sets share, with a centre: the smallest set, or the stated one.
+    """Groups of sets that share a key: group number, set, and a centre to compare first.
 
-    Rows arrive sorted by key. What is held is one batch and the run that reaches into
-    the next; a run of a rare key is short, a frequent key needs no holding.
+    Keys with the same sets make one group; a centre's group is given by the centre.
+    Rows arrive sorted. What is held is one batch and the run that reaches into the next;
+    a run of a rare key is short, a centre's rows need no holding.
     """
-    names = ["key", "e", "centre"]
+    names = ["g", "e", "centre"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         rest: list[np.ndarray] = []
+        seen: set[int] = set()
 
-        def settled(key, salt, e, centre) -> pa.RecordBatch | None:
-            if not len(key):
-                return None
+        def settled(key, salt, e) -> pa.RecordBatch:
+            new = np.append(True, (np.diff(key) != 0) | (np.diff(salt) != 0) | (np.diff(e) != 0))
+            key, salt, e = key[new], salt[new], e[new]
             first = np.flatnonzero(np.append(True, (np.diff(key) != 0) | (np.diff(salt) != 0)))
             length = np.diff(np.append(first, len(key)))
-            low, high = np.minimum.reduceat(e, first), np.maximum.reduceat(e, first)
-            low_row, shared = np.repeat(low, length), np.repeat(low != high, length)
-            keep = shared | (salt >= 0)
-            star = np.where(salt >= 0, centre, low_row)
-            return pa.RecordBatch.from_arrays([pa.array(x[keep]) for x in (key, e, star)], names=names)
+            number = np.add.reduceat((e.view(np.uint64) ^ (e.view(np.uint64) >> np.uint64(31))) * _MIX[0], first)
+            number = (number * _MIX[1] + length.astype(np.uint64)).view(np.int64)
+            rare = salt[first] < 0
+            _, once = np.unique(number, return_index=True)
+            fresh = np.zeros(len(first), bool)
+            fresh[once] = True
+            fresh &= rare & (length > 1)
+            for k in np.flatnonzero(fresh).tolist():
+                if int(number[k]) in seen:
+                    fresh[k] = False
+                else:
+                    seen.add(int(number[k]))
+            if len(seen) > REMEMBERED:
+                seen.clear()
+            keep = np.repeat(fresh | ~rare, length)
+            centre = np.repeat(np.where(rare, e[first], key[first]), length)
+            group = np.repeat(np.where(rare, number, key[first]), length)
+            return pa.RecordBatch.from_arrays([pa.array(x[keep]) for x in (group, e, centre)], names=names)
 
         for batch in batches:
             columns = [c.to_numpy(zero_copy_only=False) for c in batch.columns]
@@ -223,27 +251,22 @@ def _shared(listed: DataFrame) -> DataFrame:
             key, salt = columns[0], columns[1]
             if not len(key):
                 continue
-            same = (key == key[-1]) & (salt == salt[-1])
-            last = len(key) - int(np.argmin(same[::-1])) if not same.all() else 0
-            if salt[-1] >= 0:
-                last = len(key)
+            other = np.flatnonzero((key != key[-1]) | (salt != salt[-1]))
+            last = len(key) if salt[-1] >= 0 else int(other[-1]) + 1 if len(other) else 0
             rest = [c[last:] for c in columns]
-            found = settled(*[c[:last] for c in columns])
-            if found is not None:
-                yield found
-        if rest:
-            found = settled(*rest)
-            if found is not None:
-                yield found
+            if last:
+                yield settled(*[c[:last] for c in columns])
+        if rest and len(rest[0]):
+            yield settled(*rest)
 
-    dealt = listed.repartition("key", "salt").sortWithinPartitions("key", "salt")
-    return dealt.mapInArrow(run, "key long, e long, centre long")
+    dealt = listed.repartition("key", "salt").sortWithinPartitions("key", "salt", "e")
+    return dealt.mapInArrow(run, "g long, e long, centre long").distinct()
 
 
 def _bounded(pairs: DataFrame, classes: DataFrame, percent: int) -> DataFrame:
     """Pairs of classes that sizes and bitmaps still allow to link."""
-    a = classes.select(F.col("cid").alias("a"), F.col("n").alias("an"), F.col("bits").alias("ab"))
-    b = classes.select(F.col("cid").alias("b"), F.col("n").alias("bn"), F.col("bits").alias("bb"))
+    a = classes.select(F.col("node").alias("a"), F.col("n").alias("an"), F.col("bits").alias("ab"))
+    b = classes.select(F.col("node").alias("b"), F.col("n").alias("bn"), F.col("bits").alias("bb"))
     both = pairs.join(a, "a").join(b, "b").select("a", "b", "an", "ab", "bn", "bb")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -252,118 +275,148 @@ def _bounded(pairs: DataFrame, classes: DataFrame, percent: int) -> DataFrame:
             keep = [may_link(p, q, r, s, percent) for p, q, r, s in zip(an, ab, bn, bb)]
             yield batch.select([0, 1]).filter(pa.array(keep, pa.bool_()))
 
-    return both.mapInArrow(run, "a binary, b binary")
+    return both.mapInArrow(run, "a long, b long")
 
 
-def _verified(
-    pairs: DataFrame, classes: DataFrame, rows: DataFrame, words: int, percent: int
-) -> DataFrame:
-    """The pairs whose sets reach the threshold, compared as sorted arrays.
+def _texts(pairs: DataFrame, classes: DataFrame, rows: DataFrame, words: int) -> DataFrame:
+    """A text of every class in the pairs, found by the id that stands for it.
 
-    Texts travel instead of sets: they are half as large when compressed. Each class
-    sends one text; a skewed centre is split by adaptive execution.
+    Rows under one id may differ, so the digest decides; a text found twice only
+    repeats a pair.
     """
-    wanted = pairs.select(F.col("a").alias("cid")).union(pairs.select("b")).distinct()
-    reps = wanted.join(classes, "cid").select("cid", F.col("rep").alias("doc_id"))
+    wanted = pairs.select(F.col("a").alias("node")).union(pairs.select("b")).distinct()
+    reps = stored(wanted.join(classes, "node").select("node", "cid", F.col("rep").alias("doc_id")), "wanted")
 
-    def right_text(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for block in slices(batch, 1):
-                cids = block.column(0).to_pylist()
+            for block in slices(batch, 2):
+                cids = block.column(1).to_pylist()
                 same = [
                     xxhash.xxh3_128_digest(shingle_set(raw, words).tobytes()) == cid
-                    for cid, raw in zip(cids, _raw_texts(block.column(1)))
+                    for cid, raw in zip(cids, _raw_texts(block.column(2)))
                 ]
-                yield block.filter(pa.array(same, pa.bool_()))
+                yield block.select([0, 2]).filter(pa.array(same, pa.bool_()))
 
-    texts = (
-        rows.join(reps, "doc_id").select("cid", "text")
-        .mapInArrow(right_text, "cid binary, text string").dropDuplicates(["cid"])
-    )
-    texts = stored(texts, "texts")
-    a = texts.select(F.col("cid").alias("a"), F.col("text").alias("at"))
-    b = texts.select(F.col("cid").alias("b"), F.col("text").alias("bt"))
+    found = rows.join(reps, "doc_id").select("node", "cid", "text").mapInArrow(run, "node long, text string")
+    return stored(found, "texts")
+
+
+def _verified(
+    pairs: DataFrame, classes: DataFrame, rows: DataFrame, words: int, percent: int
+) -> DataFrame:
+    """The pairs whose sets reach the threshold, compared as sorted arrays.
+
+    Texts travel instead of sets: they are half as large when compressed. A skewed
+    centre is split by adaptive execution.
+    """
+    texts = _texts(pairs, classes, rows, words)
+    a = texts.select(F.col("node").alias("a"), F.col("text").alias("at"))
+    b = texts.select(F.col("node").alias("b"), F.col("text").alias("bt"))
     both = pairs.join(a, "a").join(b, "b").select("a", "b", "at", "bt")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for block in slices(batch, 2):
-                held: dict[bytes, np.ndarray] = {}
+                held: dict[int, np.ndarray] = {}
                 keep = []
                 a, b = block.column(0).to_pylist(), block.column(1).to_pylist()
                 for x, y, p, q in zip(a, b, _raw_texts(block.column(2)), _raw_texts(block.column(3))):
-                    for cid, raw in ((x, p), (y, q)):
-                        if cid not in held:
-                            held[cid] = shingle_set(raw, words)
+                    for node, raw in ((x, p), (y, q)):
+                        if node not in held:
+                            held[node] = shingle_set(raw, words)
                     keep.append(linked(held[x], held[y], percent))
                 yield block.select([0, 1]).filter(pa.array(keep, pa.bool_()))
 
-    return cut(both.mapInArrow(run, "a binary, b binary"))
+    return cut(both.mapInArrow(run, "a long, b long"))
+
 
+def tile_pairs(nodes, roots, sizes, bitmaps, owns, blocks, band, block_pair, percent: int):
+    """Pairs of a tile that may link and are not connected yet.
 
-def _tiled(shared: DataFrame, classes: DataFrame, roots: DataFrame, percent: int) -> DataFrame:
-    """Pairs not connected yet that share a key, lie in one or neighbouring bands and pass the bounds."""
+    Members are sorted by size; each meets the larger ones in reach of the threshold, and
+    the bits in which their bitmaps differ bound the overlap from above.
+    """
+    order = sorted(range(len(nodes)), key=lambda k: (sizes[k], nodes[k]))
+    width = min(len(bitmaps[k]) for k in order)
+    folded = [
+        _folded(int.from_bytes(bitmaps[k], "little"), len(bitmaps[k]), width).to_bytes(width, "little") for k in order
+    ]
+    bits = np.frombuffer(b"".join(folded), np.uint64).reshape(len(order), width // 8)
+    node, root, size, own, block = (np.array([x[k] for k in order]) for x in (nodes, roots, sizes, owns, blocks))
+    low, high = block_pair
+    for i in range(len(order) - 1):
+        end = int(np.searchsorted(size, 100 * size[i] // percent, side="right"))
+        rest = slice(i + 1, end)
+        # Two of the lower band meet in their own tile, two of one block in theirs.
+        right = (root[rest] != root[i]) & (np.maximum(own[rest], own[i]) == band)
+        right &= (np.minimum(block[rest], block[i]) == low) & (np.maximum(block[rest], block[i]) == high)
+        at = i + 1 + np.flatnonzero(right)
+        if len(at):
+            differ = np.bitwise_count(bits[at] ^ bits[i]).sum(axis=1, dtype=np.int64)
+            overlap = (size[at] + size[i] - differ) // 2
+            at = at[100 * overlap >= percent * (size[at] + size[i] - overlap)]
+            yield from zip(np.minimum(node[at], node[i]).tolist(), np.maximum(node[at], node[i]).tolist())
+
+
+def _tiled(near: DataFrame, classes: DataFrame, roots: DataFrame, percent: int) -> DataFrame:
+    """Pairs not connected yet that share a group, lie in one or neighbouring bands and pass the bounds."""
+    # Sizes that can link differ by less than one band.
+    band = F.floor(F.log(F.col("n").cast("double")) / F.log(F.lit(100 / percent)) + 1e-9).cast("int")
     member = (
-        shared.select("key", "cid").join(roots.withColumnRenamed("node", "cid"), "cid", "left")
-        .select("key", "cid", F.coalesce("root", "cid").alias("root")).distinct()
+        near.select("g", "node", "n").distinct().join(roots, "node", "left")
+        .select("g", "node", "n", F.coalesce("root", "node").alias("root"), band.alias("own"))
+        .withColumn("band", F.explode(F.array("own", F.col("own") + 1)))
     )
-    mixed = member.groupBy("key").agg(
-        F.min("root").alias("low"), F.max("root").alias("high"), F.count(F.lit(1)).alias("members")
-    ).where("low <> high")
-    # Sizes that can link differ by less than one band.
-    band = F.floor(F.log(F.col("n").cast("double")) / F.log(F.lit(100 / percent))).cast("int")
+    # Only tiles with members of the band itself and of two components are worth a look.
+    tiles = member.groupBy("g", "band").agg(
+        F.min("root").alias("low"), F.max("root").alias("high"), F.count(F.lit(1)).alias("members"),
+        F.max("own").alias("top"),
+    ).where("low <> high AND top = band")
     blocks = F.ceil(F.col("members") / TILE).cast("int")
     rows = (
-        member.join(mixed.select("key", "members"), "key").join(classes.select("cid", "n", "bits"), "cid")
-        .withColumn("own", band).withColumn("blocks", blocks)
-        .withColumn("block", F.pmod(F.xxhash64("cid"), F.col("blocks")).cast("int"))
-        .withColumn("band", F.explode(F.array("own", F.col("own") + 1)))
+        member.join(tiles.select("g", "band", "members"), ["g", "band"])
+        .withColumn("blocks", blocks).withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
         .withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
         .withColumn("i", F.least("block", "other")).withColumn("j", F.greatest("block", "other"))
-        .select("key", "band", "i", "j", "cid", "root", "n", "bits", "own", "block")
+        .join(classes.select("node", "bits"), "node")
+        .select("g", "band", "i", "j", "node", "root", "n", "bits", "own", "block")
     )
-    dealt = rows.repartition("key", "band", "i", "j").sortWithinPartitions("key", "band", "i", "j")
-
-    def pairs_of(tile: list[tuple]) -> Iterator[tuple[bytes, bytes]]:
-        tile.sort(key=lambda r: (r[6], r[4]))
-        band, i, j = tile[0][1:4]
-        for at, x in enumerate(tile):
-            for y in tile[at + 1 :]:
-                if 100 * x[6] < percent * y[6]:
-                    break
-                if x[5] == y[5] or x[4] == y[4]:
-                    continue
-                # Two of the lower band meet in their own tile, two of one block in theirs.
-                if max(x[8], y[8]) != band or {x[9], y[9]} != {i, j}:
-                    continue
-                if may_link(x[6], x[7], y[6], y[7], percent):
-                    yield min(x[4], y[4]), max(x[4], y[4])
+    dealt = rows.repartition("g", "band", "i", "j").sortWithinPartitions("g", "band", "i", "j")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tile: list[tuple] = []
-        found: set[tuple[bytes, bytes]] = set()
+        found: set[tuple[int, int]] = set()
+
+        def close() -> None:
+            if len(tile) > 1:
+                columns = list(zip(*tile))
+                found.update(tile_pairs(*columns[4:10], tile[0][1], tile[0][2:4], percent))
+            tile.clear()
+
         for batch in batches:
             for row in zip(*[c.to_pylist() for c in batch.columns]):
                 if tile and row[:4] != tile[0][:4]:
-                    found.update(pairs_of(tile))
-                    tile = []
+                    close()
                     if len(found) >= 50_000:
-                        yield pa.RecordBatch.from_pylist([{"a": a, "b": b} for a, b in found], schema)
-                        found = set()
+                        yield pa.RecordBatch.from_arrays(_columns(found), names=["a", "b"])
+                        found.clear()
                 tile.append(row)
-        if tile:
-            found.update(pairs_of(tile))
-        yield pa.RecordBatch.from_pylist([{"a": a, "b": b} for a, b in found], schema)
+        close()
+        yield pa.RecordBatch.from_arrays(_columns(found), names=["a", "b"])
+
+    return dealt.mapInArrow(run, "a long, b long").distinct()
 
-    schema = pa.schema([("a", pa.binary()), ("b", pa.binary())])
-    return dealt.mapInArrow(run, "a binary, b binary").distinct()
+
+def _columns(pairs: set[tuple[int, int]]) -> list[pa.Array]:
+    flat = np.array(sorted(pairs), np.int64).reshape(-1, 2)
+    return [pa.array(flat[:, 0]), pa.array(flat[:, 1])]
 
 
 def _frequent(spark: SparkSession, described: DataFrame):
     """The most frequent shingles, their copies and a set holding each: at most ``FREQUENT``."""
     top = (
         described.where("shingle IS NOT NULL").groupBy("shingle")
-        .agg(F.sum("copies").alias("copies"), F.min("e").alias("centre"))
+        .agg(F.sum("copies").alias("copies"), F.max_by("e", F.struct("share", "e")).alias("centre"))
         .orderBy(F.desc("copies"), "shingle").limit(FREQUENT).toArrow()
     )
     shingle, copies, centre = (np.asarray(top.column(k).to_numpy()) for k in range(3))
@@ -394,26 +447,21 @@ def jaccard_components(
         numbered.groupBy("cid").agg(
             F.min("doc_id").alias("rep"), F.first("n").alias("n"), F.first("bits").alias("bits"),
             F.first("e").alias("e"),
-        ),
+        ).withColumn("node", F.monotonically_increasing_id()),
         "classes",
     )
     listed = _listed(rows.where("doc_id IS NOT NULL"), _frequent(spark, described), words, percent)
     # A set is listed by half its digest; should two share it, both take part.
-    half = classes.select("e", "cid")
-    common = stored(_shared(listed), "shared")
-    near = stored(common.join(half, "e").select("key", "cid", "centre"), "near")
-    stars = (
-        near.groupBy("cid", "centre").agg(F.count(F.lit(1)).alias("keys"))
-        .join(half.select(F.col("e").alias("centre"), F.col("cid").alias("to")), "centre").where("cid <> to")
-        .groupBy("cid").agg(F.max_by("to", F.struct("keys", "to")).alias("to"))
-        .select(F.least("cid", "to").alias("a"), F.greatest("cid", "to").alias("b")).distinct()
-    )
+    half = classes.select("e", "node", "n")
+    centre = classes.select(F.col("e").alias("centre"), F.col("node").alias("to"), F.col("n").alias("to_n"))
+    near = stored(_shared(listed).join(half, "e").join(centre, "centre").drop("e", "centre"), "near")
+    fits = (100 * F.least("n", "to_n") >= percent * F.greatest("n", "to_n")) & (F.col("node") != F.col("to"))
+    stars = near.where(fits).select(F.least("node", "to").alias("a"), F.greatest("node", "to").alias("b")).distinct()
     first = _verified(stored(_bounded(stars, classes, percent), "stars"), classes, rows, words, percent)
-    roots = components(first)
-    rest = stored(_tiled(near, classes, roots, percent), "tiles")
+    rest = stored(_tiled(near, classes, components(first), percent), "tiles")
     links = first.union(_verified(rest, classes, rows, words, percent))
-    joined = components(links).withColumnRenamed("node", "cid")
-    named = classes.join(joined, "cid", "left").select("cid", "rep", F.coalesce("root", "cid").alias("root"))
+    joined = components(links)
+    named = classes.join(joined, "node", "left").select("cid", "rep", F.coalesce("root", "node").alias("root"))
     smallest = named.groupBy("root").agg(F.min("rep").alias("component_id"))
     member = named.join(smallest, "root").select("cid", "component_id")
     return (
