@@ -297,7 +297,8 @@ def _texts(pairs: DataFrame, classes: DataFrame, rows: DataFrame, words: int) ->
                 ]
                 yield block.select([0, 2]).filter(pa.array(same, pa.bool_()))
 
-    found = rows.join(reps, "doc_id").select("node", "cid", "text").mapInArrow(run, "node long, text string")
+    # One way for every size: a broadcast of the ids would pay on small inputs only.
+    found = rows.join(reps.hint("shuffle_hash"), "doc_id").select("node", "cid", "text").mapInArrow(run, "node long, text string")
     return stored(found, "texts")
 
 
