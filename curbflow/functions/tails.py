@@ -94,6 +94,13 @@ def chi2_sf(x: float, df: float) -> float:
     return gamma_sf(x / 2, df / 2)
 
 
+def _stirling_rest(a: float) -> float:
+    """What Stirling's formula leaves of the logarithm of gamma(a)."""
+    if a < 10:
+        return math.lgamma(a) - ((a - 0.5) * math.log(a) - a + 0.5 * math.log(2 * math.pi))
+    return 1 / (12 * a) - 1 / (360 * a**3) + 1 / (1260 * a**5) - 1 / (1680 * a**7)
+
+
 def _normal_cdf(z: np.ndarray) -> np.ndarray:
     return 0.5 * np.vectorize(math.erfc)(-z / math.sqrt(2))
 
@@ -110,15 +117,15 @@ def studentized_range_sf(q: float, k: float, df: float) -> float:
         density = np.exp(-z * z / 2) / math.sqrt(2 * math.pi)
         return float(k * np.sum(wz * density * core ** (k - 1)))
 
-    if df > 25_000:
-        return max(0.0, 1 - inside(q))
     # Scale s with df * s^2 chi-square; almost all mass lies within 10 deviations of 1.
+    # The density is written around s = 1, so that no large terms cancel at any df.
     spread = 10 / math.sqrt(2 * df)
-    lo, hi = max(1e-9, 1 - spread), 1 + spread
-    s, ws = (hi - lo) / 2 * node + (hi + lo) / 2, weight * (hi - lo) / 2
+    lo, hi = max(1e-9 - 1, -spread), spread
+    u, ws = (hi - lo) / 2 * node + (hi + lo) / 2, weight * (hi - lo) / 2
+    s, a = 1 + u, df / 2
     log_density = (
-        df / 2 * math.log(df) - math.lgamma(df / 2) - (df / 2 - 1) * math.log(2)
-        + (df - 1) * np.log(s) - df * s * s / 2
+        math.log(2) + 0.5 * math.log(a) - 0.5 * math.log(2 * math.pi) - _stirling_rest(a)
+        + df * (np.log1p(u) - u - u * u / 2) - np.log1p(u)
     )
     values = np.array([inside(q * one) for one in s])
     return max(0.0, 1 - float(np.sum(ws * np.exp(log_density) * values)))
