@@ -8,6 +8,7 @@ buckets only.
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -111,6 +112,7 @@ def train(samples: list[tuple[np.ndarray, np.ndarray, int]], bits: int = BUCKET_
     for _ in range(EPOCHS):
         for k in chance.permutation(len(samples)):
             buckets, share, label = samples[k]
+            share = share.astype(float)
             rate = RATE * (1 - done / steps)
             hidden = np.append(share @ vectors[buckets], 1.0)
             raw = hidden @ output
@@ -164,12 +166,13 @@ def fit(
     table = features_of.toArrow()
     samples = [
         (
-            table["buckets"][i].values.to_numpy(), table["share"][i].values.to_numpy().astype(float),
+            table["buckets"][i].values.to_numpy(), table["share"][i].values.to_numpy(),
             int(table["label"][i].as_py() == 1), table["id"][i].as_py(),
         )
         for i in range(table.num_rows)
     ]
-    samples.sort(key=lambda s: (s[3], s[2], s[0].tobytes()))
+    # Arrays stay views of the one table received; ties are told apart by a short digest.
+    samples.sort(key=lambda s: (s[3], s[2], hashlib.blake2b(s[0], digest_size=16).digest()))
     return train([s[:3] for s in samples])
 
 
