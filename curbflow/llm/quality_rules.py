@@ -23,6 +23,9 @@ CAPITALS = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 # Share of good documents a stratum may lose, and the chance that any loses more.
 ALPHA = 0.05
 DELTA = 0.05
+# Cutoffs up to this size are broadcast; larger sets are joined over this many salts.
+LIMIT_BYTES = 8 << 20
+SALTS = 64
 
 # Cutoffs tried per rule: the same at every size and for every corpus.
 GRID = {
@@ -147,9 +150,21 @@ def cutoffs(
 
 
 def judge(measured: DataFrame, limits: DataFrame, stratum: str = "lang", grid=None) -> DataFrame:
-    """Add ``kept``: the base rule passed and no proven cutoff of the stratum exceeded."""
+    """Add ``kept``: the base rule passed and no proven cutoff of the stratum exceeded.
+
+    Cutoffs of measured size are broadcast, so that no row moves. Beyond that bound they
+    are copied to ``SALTS`` salts, over which the rows of one stratum spread.
+    """
     rules = list(grid or GRID)
-    joined = measured.join(limits, F.coalesce(F.col(stratum), F.lit("")) == F.col("_stratum"), "left")
+    limits = cut(limits)
+    size = limits.agg(F.coalesce(F.sum(F.octet_length("_stratum") + 8 * len(rules)), F.lit(0))).first()[0]
+    same = F.coalesce(F.col(stratum), F.lit("")) == F.col("_stratum")
+    if size <= LIMIT_BYTES:
+        joined = measured.join(F.broadcast(limits), same, "left")
+    else:
+        salted = limits.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+        joined = measured.join(salted, same & (F.pmod(F.xxhash64(*rules), F.lit(SALTS)) == F.col("_salt")), "left")
+        joined = joined.drop("_salt")
     failed = F.col("base_failed")
     for rule in rules:
         failed = failed | F.coalesce(F.col(rule) > F.col(f"_max_{rule}"), F.lit(False))

@@ -64,6 +64,20 @@ def test_cutoffs_only_where_proven(spark):
     assert judged.where("NOT kept").count() == 4
 
 
+def test_many_strata_are_salted_with_the_same_verdicts(spark, monkeypatch):
+    columns = [f"_max_{rule} double" for rule in quality_rules.GRID]
+    limits = spark.createDataFrame(
+        [("en", *[0.5] * len(columns)), ("", *[None] * len(columns))], "_stratum string, " + ", ".join(columns)
+    )
+    rows = [(k, ("en", "fr", None)[k % 3], k % 7 == 0, *[k / 100] * len(columns)) for k in range(100)]
+    kinds = "doc_id long, lang string, base_failed boolean, " + ", ".join(f"{r} double" for r in quality_rules.GRID)
+    measured = spark.createDataFrame(rows, kinds)
+    small = sorted(quality_rules.judge(measured, limits).select("doc_id", "kept").collect())
+    monkeypatch.setattr(quality_rules, "LIMIT_BYTES", 0)
+    assert sorted(quality_rules.judge(measured, limits).select("doc_id", "kept").collect()) == small
+    assert small == [(k, k % 7 != 0 and not (k % 3 == 0 and k > 50)) for k in range(100)]
+
+
 def training_tables(spark):
     junk = [(2 * k, "THE!! " + prose(k, 30).upper().replace(" ", "!! ")) for k in range(150)]
     good = [(2 * k + 1, prose(1000 + k, 60)) for k in range(150)]
