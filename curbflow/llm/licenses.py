@@ -19,28 +19,77 @@ from pyspark.sql import functions as F
 
 from .common import slices, texts_of
 
-# Statements and opening paragraphs of common licenses.
+# Parts that licenses share.
+_BSD_OPENING = (
+    "Redistribution and use in source and binary forms, with or without modification, are permitted "
+    "provided that the following conditions are met"
+)
+_BSD_SOURCE = (
+    "Redistributions of source code must retain the above copyright notice, this list of conditions and the "
+    "following disclaimer."
+)
+_BSD_BINARY = (
+    "Redistributions in binary form must reproduce the above copyright notice, this list of conditions and the "
+    "following disclaimer in the documentation and/or other materials provided with the distribution."
+)
+_BSD_NAMES = (
+    "Neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote "
+    "products derived from this software without specific prior written permission."
+)
+_BSD_DISCLAIMER = (
+    "THIS SOFTWARE IS PROVIDED BY THE COPYRIGHT HOLDERS AND CONTRIBUTORS \"AS IS\" AND ANY EXPRESS OR IMPLIED "
+    "WARRANTIES, INCLUDING, BUT NOT LIMITED TO, THE IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS FOR A "
+    "PARTICULAR PURPOSE ARE DISCLAIMED. IN NO EVENT SHALL THE COPYRIGHT HOLDER OR CONTRIBUTORS BE LIABLE FOR ANY "
+    "DIRECT, INDIRECT, INCIDENTAL, SPECIAL, EXEMPLARY, OR CONSEQUENTIAL DAMAGES (INCLUDING, BUT NOT LIMITED TO, "
+    "PROCUREMENT OF SUBSTITUTE GOODS OR SERVICES; LOSS OF USE, DATA, OR PROFITS; OR BUSINESS INTERRUPTION) HOWEVER "
+    "CAUSED AND ON ANY THEORY OF LIABILITY, WHETHER IN CONTRACT, STRICT LIABILITY, OR TORT (INCLUDING NEGLIGENCE OR "
+    "OTHERWISE) ARISING IN ANY WAY OUT OF THE USE OF THIS SOFTWARE, EVEN IF ADVISED OF THE POSSIBILITY OF SUCH DAMAGE."
+)
+_MIT_OPENING = (
+    "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and "
+    "associated documentation files (the \"Software\"), to deal in the Software without restriction"
+)
+_APACHE_OPENING = (
+    "Licensed under the Apache License, Version 2.0 (the \"License\"); you may not use this file except in "
+    "compliance with the License. You may obtain a copy of the License at"
+)
+
+# Statements, opening sentences and whole texts of common licenses.
 TEMPLATES = {
     "Apache-2.0": "Licensed under the Apache License, Version 2.0.",
     "MIT": "Released under the MIT License.",
     "GPL-3.0": "This work is licensed under the GNU General Public License, version 3.",
     "CC-BY-NC-4.0": "Licensed under CC BY-NC 4.0.",
     "CC-BY-4.0": "This work is licensed under a Creative Commons Attribution 4.0 International License.",
-    "BSD-3-Clause": (
-        "Redistribution and use in source and binary forms, with or without modification, are permitted "
-        "provided that the following conditions are met"
-    ),
+    "All-rights-reserved": "All rights reserved.",
+    "Proprietary": "All rights reserved. No part of this publication may be reproduced without permission.",
+    # A text cut off after its first sentence; BSD-2-Clause and BSD-3-Clause begin alike.
+    "BSD-opening": _BSD_OPENING,
+    "MIT-opening": _MIT_OPENING,
+    "Apache-2.0-opening": _APACHE_OPENING,
+    "BSD-2-Clause": f"{_BSD_OPENING}: 1. {_BSD_SOURCE} 2. {_BSD_BINARY} {_BSD_DISCLAIMER}",
+    "BSD-3-Clause": f"{_BSD_OPENING}: 1. {_BSD_SOURCE} 2. {_BSD_BINARY} 3. {_BSD_NAMES} {_BSD_DISCLAIMER}",
     "MIT-text": (
-        "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and "
-        "associated documentation files (the \"Software\"), to deal in the Software without restriction"
+        f"{_MIT_OPENING}, including without limitation the rights to use, copy, modify, merge, publish, distribute, "
+        "sublicense, and/or sell copies of the Software, and to permit persons to whom the Software is furnished to "
+        "do so, subject to the following conditions: The above copyright notice and this permission notice shall be "
+        "included in all copies or substantial portions of the Software. THE SOFTWARE IS PROVIDED \"AS IS\", WITHOUT "
+        "WARRANTY OF ANY KIND, EXPRESS OR IMPLIED, INCLUDING BUT NOT LIMITED TO THE WARRANTIES OF MERCHANTABILITY, "
+        "FITNESS FOR A PARTICULAR PURPOSE AND NONINFRINGEMENT. IN NO EVENT SHALL THE AUTHORS OR COPYRIGHT HOLDERS BE "
+        "LIABLE FOR ANY CLAIM, DAMAGES OR OTHER LIABILITY, WHETHER IN AN ACTION OF CONTRACT, TORT OR OTHERWISE, "
+        "ARISING FROM, OUT OF OR IN CONNECTION WITH THE SOFTWARE OR THE USE OR OTHER DEALINGS IN THE SOFTWARE."
     ),
     "Apache-2.0-text": (
-        "Licensed under the Apache License, Version 2.0 (the \"License\"); you may not use this file except in "
-        "compliance with the License. You may obtain a copy of the License at"
+        f"{_APACHE_OPENING} http://www.apache.org/licenses/LICENSE-2.0 Unless required by applicable law or agreed "
+        "to in writing, software distributed under the License is distributed on an \"AS IS\" BASIS, WITHOUT "
+        "WARRANTIES OR CONDITIONS OF ANY KIND, either express or implied. See the License for the specific language "
+        "governing permissions and limitations under the License."
     ),
-    "Proprietary": "All rights reserved. No part of this publication may be reproduced without permission.",
 }
 
+# Licenses that differ by one clause: the clause, and whether it stands in the license.
+TELLING = {"BSD-2-Clause": (_BSD_NAMES, False), "BSD-3-Clause": (_BSD_NAMES, True)}
+
 MIN_COVERAGE = 0.8
 WORD = re.compile(r"\w+(?:[.-]\w+)*")
 
@@ -95,17 +144,26 @@ def align(text: list[str], template: list[str]) -> list[tuple[int, int]]:
 class Scanner:
     """Finds the stretches of a text that cover a template."""
 
-    def __init__(self, templates: dict[str, str], min_coverage: float):
+    def __init__(self, templates: dict[str, str], min_coverage: float, telling: dict[str, tuple[str, bool]] | None = None):
         self.words = {name: words_of(t) for name, t in templates.items()}
         self.words = {name: w for name, w in self.words.items() if w}
         self.least = {name: max(1, int(np.ceil(min_coverage * len(w)))) for name, w in self.words.items()}
         self.sets = {name: Counter(w) for name, w in self.words.items()}
+        self.telling = {name: (words_of(clause), stands) for name, (clause, stands) in (telling or {}).items()}
+        self.min_coverage = min_coverage
         # At most so many words may be missing: one of any set with one more must stand in the text.
         self.keys = {
             name: sorted(w, key=lambda x: (-len(x), x))[: len(w) - self.least[name] + 1]
             for name, w in self.words.items()
         }
 
+    def told(self, name: str, words: list[str]) -> bool:
+        """Whether a stretch has the clause that tells its license from another, or lacks it, as it should."""
+        if name not in self.telling:
+            return True
+        clause, stands = self.telling[name]
+        return (len(align(words, clause)) >= self.min_coverage * len(clause)) == stands
+
     def scan(self, text: str) -> Iterator[tuple[str, float, int, int, list[tuple[int, int]]]]:
         """Template, coverage, first and last character, and matched runs as (character, length)."""
         low = text.lower()
@@ -131,9 +189,18 @@ class Scanner:
                 pairs = align(words[first:last], template)
                 if len(pairs) < least:
                     continue
+                # Other words in front may have cut the end of the license off.
+                while len(pairs) < len(template):
+                    last = min(len(words), first + pairs[-1][0] + 1 + reach)
+                    longer = align(words[first:last], template)
+                    if len(longer) <= len(pairs):
+                        break
+                    pairs = longer
                 places = [first + x for x, _ in pairs]
                 # An earlier copy may begin before its last words: go on after what aligned.
                 end = places[-1] + 1
+                if not self.told(name, words[places[0] : end]):
+                    continue
                 cuts = [0, *[i for i in range(1, len(places)) if places[i] != places[i - 1] + 1], len(places)]
                 runs = [
                     (hits[places[i]].start(), hits[places[j - 1]].end() - hits[places[i]].start())
@@ -153,9 +220,12 @@ def scan_licenses(
     Case and punctuation are ignored. A license stated twice gives two rows; a null or
     empty text, or one without licenses, gives none; repeated rows give their hits
     each, a null id is kept, other columns are not read. Templates are a parameter:
-    a short list shipped with the function. A narrow step without shuffles.
+    a short list shipped with the function; coverage is over a template's whole text, so
+    a license cut off after its first sentence is reported as that opening only. Of the
+    built-in ones, BSD-2-Clause and BSD-3-Clause are told apart by the clause on names.
+    A narrow step without shuffles.
     """
-    scanner = Scanner(templates or TEMPLATES, min_coverage)
+    scanner = Scanner(templates, min_coverage) if templates else Scanner(TEMPLATES, min_coverage, TELLING)
     rows = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
     kind = rows.schema["doc_id"].dataType.simpleString()
     run_type = pa.list_(pa.struct([("start", pa.int64()), ("length", pa.int64())]))

@@ -112,6 +112,35 @@ def test_license_scan(spark):
     assert licenses.scan_licenses(docs.where("false")).count() == 0
 
 
+# Templates that stand whole inside another one.
+INSIDE = {
+    "Proprietary": {"All-rights-reserved"}, "BSD-2-Clause": {"BSD-opening"}, "BSD-3-Clause": {"BSD-opening"},
+    "MIT-text": {"MIT-opening"}, "Apache-2.0-opening": {"Apache-2.0"}, "Apache-2.0-text": {"Apache-2.0", "Apache-2.0-opening"},
+}
+
+
+@pytest.mark.parametrize("name", licenses.TEMPLATES)
+def test_every_template_on_a_text_that_holds_only_it(name):
+    scanner = licenses.Scanner(licenses.TEMPLATES, licenses.MIN_COVERAGE, licenses.TELLING)
+    text = licenses.TEMPLATES[name]
+    for front in ("", "thon " * 300, "the of and to or in any " * 3):
+        found = {n: coverage for n, coverage, *_ in scanner.scan(front + text)}
+        assert set(found) == {name} | INSIDE.get(name, set()) and found[name] == 1.0
+
+
+def test_lone_notice_and_texts_without_their_opening(spark):
+    bsd, mit = licenses.TEMPLATES["BSD-3-Clause"], licenses.TEMPLATES["MIT-text"]
+    rows = [
+        (1, "some words.\nAll rights reserved."), (2, bsd[bsd.index(": 1.") :]), (3, mit[mit.index(", including") :]),
+        (4, licenses.TEMPLATES["MIT-opening"]), (5, "all of the words reserved"),
+        (6, bsd.replace("the copyright holder nor", "Example Inc. nor").replace("HOLDERS", "OWNERS")),
+    ]
+    found = licenses.scan_licenses(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert sorted((r.doc_id, r.license) for r in found) == [
+        (1, "All-rights-reserved"), (2, "BSD-3-Clause"), (3, "MIT-text"), (4, "MIT-opening"), (6, "BSD-3-Clause"), (6, "BSD-opening"),
+    ]
+
+
 @pytest.mark.parametrize(
     ("page", "wanted"),
     [
