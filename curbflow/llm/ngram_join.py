@@ -119,23 +119,25 @@ def _describe(rows: DataFrame, words: int) -> DataFrame:
 
     ``e`` is half the digest of the document's set; for a frequent shingle, of the set
     among those holding it that has the largest share of frequent ones. In a group of
-    near copies that is the one most like all others.
+    near copies that is the one most like all others. Rows without id link with nothing
+    and are not counted among them.
     """
     names = ["doc_id", "n", "cid", "bits", "shingle", "copies", "e", "share"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in slices(batch, 1, BATCH_BYTES):
-                sizes, digests, bitmaps, seen, counted = [], [], [], set(), []
+                sizes, digests, bitmaps, seen, counted = [], [], [], {}, []
                 for block in slices(part, 1):
-                    for raw in _raw_texts(block.column(1)):
+                    for raw, named in zip(_raw_texts(block.column(1)), block.column(0).is_valid().to_pylist()):
                         found = shingle_set(raw, words)
                         digest = xxhash.xxh3_128_digest(found.tobytes())
                         sizes.append(len(found))
                         digests.append(digest)
                         bitmaps.append(parity_bitmap(found))
-                        if digest not in seen:
-                            seen.add(digest)
+                        # A centre must be a set that takes part: one of a row with an id.
+                        if named and digest not in seen:
+                            seen[digest] = True
                             counted.append(found)
                 n = len(sizes)
                 yield pa.RecordBatch.from_arrays(
@@ -146,7 +148,7 @@ def _describe(rows: DataFrame, words: int) -> DataFrame:
                     ],
                     names=names,
                 )
-                held = [_short(d) for d in dict.fromkeys(digests)]
+                held = [_short(d) for d in seen]
                 shingle, copies, centre, share = _often(counted, np.array(held, np.int64))
                 m = len(shingle)
                 yield pa.RecordBatch.from_arrays(

@@ -76,6 +76,15 @@ def test_clusters_of_near_copies_and_shared_passages(spark, monkeypatch, tile):
     assert joined(docs, percent=40) == expected(rows, percent=40)
 
 
+def test_most_typical_copy_without_id(spark):
+    base = prose(1, 90).split()
+    edited = [(k, " ".join([*base[: 7 * k], f"edit{k}", *base[7 * k + 1 :]])) for k in range(1, 13)]
+    rows = [(None, " ".join(base)), *edited]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").coalesce(1)
+    assert expected(rows)[0][3] == expected(rows)[11][3] == 1
+    assert joined(docs) == expected(rows)
+
+
 def test_random_small_sets(spark):
     chance = random.Random(8)
     rows = [(k, " ".join(chance.choices("abc", k=chance.randint(0, 12)))) for k in range(150)]
