@@ -3,7 +3,7 @@
 Every stage takes ``(spark, docs, sf_dir)``, works on all rows of ``docs`` and returns a
 DataFrame that is written as Parquet and read again by the next one. All but the last
 return the columns of ``docs``. Null and repeated rows, empty texts and extra columns are
-handled as the operators say; rows under one id stay or go together.
+handled as the operators say; rows with the same id and text stay or go together.
 """
 
 from __future__ import annotations
@@ -35,10 +35,20 @@ def rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The document with the smallest id of every component; documents without id stay."""
-    joined = ngram_join.jaccard_components(docs)
-    gone = joined.where("component_id <> doc_id").select("doc_id").distinct()
-    return docs.join(gone, "doc_id", "left_anti").select(docs.columns)
+    """The document with the smallest id of every component; documents without id stay.
+
+    A document is an id with a text: of two texts under one id each is judged for itself,
+    and should both stand for one component, the smaller digest decides. Rows with the
+    same id and text are one document and stay or go together.
+    """
+    digest = F.unhex(F.md5(F.coalesce(F.col("text"), F.lit(""))))
+    document = F.when(F.col("doc_id").isNotNull(), F.struct("doc_id", digest.alias("digest")))
+    joined = ngram_join.jaccard_components(docs.select(document.alias("doc_id"), "text"))
+    gone = joined.where("component_id <> doc_id").select(
+        F.col("doc_id.doc_id").alias("_gone_id"), F.col("doc_id.digest").alias("_gone_digest")
+    ).distinct()
+    same = (F.col("doc_id") == F.col("_gone_id")) & (digest == F.col("_gone_digest"))
+    return docs.join(gone, same, "left_anti")
 
 
 def sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

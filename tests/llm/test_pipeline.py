@@ -11,6 +11,7 @@ from curbflow.llm import quality_model
 from curbflow.llm.common import table
 from curbflow.llm.queries import BYTE_BPE, QUERIES
 
+from .conftest import prose
 from .test_join import brute
 from .test_quality import brute_counts
 
@@ -53,6 +54,15 @@ def test_filters(spark, awkward, labels, source):
     assert ids(kept.collect()) == ids(r for r in rows if r.doc_id is None or known[r.doc_id][1] == r.doc_id)
 
 
+def test_two_texts_under_one_id(spark):
+    copied, alone, twice = prose(1, 80), prose(2, 80), prose(3, 80)
+    rows = [(1, copied), (5, copied + " more"), (5, alone), (6, twice), (6, twice + " more"), (7, twice), (8, None), (8, "")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    kept = sorted((r.doc_id, r.text or "") for r in STAGE["near duplicates"](spark, docs, SF_DIR).collect())
+    assert kept[:2] == [(1, copied), (5, alone)] and kept[3:] == [(8, ""), (8, "")]
+    assert kept[2] in rows[3:5]
+
+
 def test_empty_input(spark, nothing):
     for _, stage in corpus_pipeline.STAGES:
         assert stage(spark, nothing, SF_DIR).count() == 0
