@@ -22,9 +22,10 @@ from .common import slices, texts_of
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 RAW = frozenset("script style textarea title xmp iframe noembed noframes".split())
 HIDDEN = frozenset(
-    "head script style template title meta link noscript iframe noembed noframes object audio video canvas svg math "
-    "datalist".split()
+    "head script style template title meta link noscript iframe noembed noframes audio video canvas datalist".split()
 )
+# Parts of drawings and formulas that are not shown.
+UNSHOWN = {"svg": frozenset("title desc metadata".split()), "math": frozenset("annotation annotation-xml".split())}
 # Lines between a block and its neighbours.
 SPACED = {tag: 2 for tag in "p h1 h2 h3 h4 h5 h6 ul ol dl table blockquote pre figure hr".split()}
 SPACED |= {
@@ -63,6 +64,8 @@ TOKEN = re.compile(
 REST = re.compile(r"((?:[^>\"']|\"[^\"]*+\"|'[^']*+')*+)>|([^>]*+)>")
 ATTRIBUTE = re.compile(r"([^\s=/>\"']+)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>\"']+)))?")
 INVISIBLE = re.compile(r"display\s*:\s*none|visibility\s*:\s*(?:hidden|collapse)", re.I)
+# In drawings and formulas a slash ends an element at once; after a bare value it belongs to that.
+SELF_CLOSED = re.compile(r"(?:^|[\s\"'])/\s*$|^[^=]*/\s*$")
 SPACES = re.compile(r"[ \t\n\r\f]+")
 
 
@@ -157,7 +160,10 @@ def parse(source: str) -> Node:
                 close("p", BARRIERS)
             imply_table(tag)
             attrs = _attributes(raw) if raw.strip(" \t\n\r\f/") else {}
-            if tag in VOID:
+            foreign = (counts.get("svg") or counts.get("math")) and not counts.get("foreignobject")
+            if foreign and any(counts.get(kind) and tag in parts for kind, parts in UNSHOWN.items()):
+                attrs["hidden"] = ""
+            if tag in VOID or (foreign and SELF_CLOSED.search(raw)):
                 stack[-1].children.append(Node(tag, attrs))
             elif tag in RAW:
                 stop = re.compile(rf"</{tag}(?=[\s/>])[^>]*+(?:>|\Z)|\Z", re.I).search(source, at)
@@ -293,7 +299,7 @@ def render(root: Node) -> list[str]:
                     out.gap = max(out.gap, 2)
             out.break_line(2)
             continue
-        if tag in ("td", "th"):
+        if tag in ("td", "th", "text"):  # labels of a drawing stand apart
             out.run.append(" ")
         if space:
             out.break_line(1 if tag in ("ul", "ol", "menu", "dir") and lists else space)
@@ -319,20 +325,31 @@ def render(root: Node) -> list[str]:
 
 
 def _rows(table: Node) -> Iterator[Node]:
-    """Rows, captions and stray content of a table, in order; inner tables stay closed."""
+    """Rows, captions and stray elements of a table, in order; inner tables stay closed."""
     pending = list(reversed(table.children))
     while pending:
         child = pending.pop()
         if isinstance(child, str):
-            if child.strip():
-                yield Node("caption", {})
-                continue
-        elif child.tag in ("thead", "tbody", "tfoot", "colgroup") and not hidden(child):
+            continue
+        if child.tag in ("thead", "tbody", "tfoot", "colgroup") and not hidden(child):
             pending += reversed(child.children)
         elif not hidden(child):
             yield child
 
 
+def _stray(table: Node) -> list[str]:
+    """Text that stands directly in a table or its sections; browsers show it before the table."""
+    found, pending = [], list(reversed(table.children))
+    while pending:
+        child = pending.pop()
+        if isinstance(child, str):
+            if child.strip():
+                found.append(child)
+        elif child.tag in ("thead", "tbody", "tfoot", "colgroup") and not hidden(child):
+            pending += reversed(child.children)
+    return found
+
+
 def table_lines(table: Node) -> list[str]:
     """A table's lines, cells padded to the widest of their column; a cell may have many lines."""
     done: dict[int, list[str]] = {}
@@ -372,8 +389,8 @@ def _cell(node: Node, done: dict[int, list[str]]) -> list[str]:
 def _one_table(table: Node, done: dict[int, list[str]]) -> list[str]:
     grid: list[tuple[bool, list[list[str]]]] = []
     stray = Node("div", {})
-    stray.children = [c for c in table.children if isinstance(c, str) and c.strip()]
-    if stray.children:
+    stray.children = [" ".join(_stray(table))]
+    if stray.children[0]:
         grid.append((False, [render(stray)]))
     for row in _rows(table):
         if row.tag == "tr":
