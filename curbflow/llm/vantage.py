@@ -9,6 +9,7 @@ margin multiplied by ``factor``, rules it out: factor 1 is exact, less skips mor
 from __future__ import annotations
 
 import pickle
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -20,8 +21,12 @@ from .common import stored
 SHARD_VECTORS = 8192
 BLOCK_QUERIES = 2048
 LEAF = 64
-# Neighbours a search keeps beyond those asked for; exact scores choose among them.
+# Neighbours a search keeps beyond those asked for; they set the bound for the exact visit.
 SPARE = 8
+# Room for rounding when chords decide what exact scores compare.
+SLACK = 1e-6
+# Pairs scored exactly at a time.
+PAIRS = 8192
 
 
 class Tree:
@@ -82,6 +87,21 @@ class Tree:
             stack += [(n, w) for n, w in ((inner, who[gap <= reach]), (outer, who[-gap <= reach])) if len(w)]
         return found, best
 
+    def within(self, queries: np.ndarray, reach: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        """All pairs of query and position whose chord is within the query's reach, leaf by leaf."""
+        stack = [(0, np.arange(len(queries)))]
+        while stack:
+            at, who = stack.pop()
+            point, radius, inner, outer, start, end = self.nodes[at]
+            if point < 0:
+                members = self.order[start:end]
+                q, place = np.nonzero(chords(queries[who], self.unit[members]) <= reach[who][:, None])
+                if len(q):
+                    yield who[q], members[place]
+                continue
+            gap = chords(queries[who], self.unit[point : point + 1])[:, 0] - radius
+            stack += [(n, w) for n, w in ((inner, who[gap <= reach[who]]), (outer, who[-gap <= reach[who]])) if len(w)]
+
     def _visit(self, queries, who, start, end, best, found) -> None:
         members = self.order[start:end]
         k = best.shape[1]
@@ -105,6 +125,65 @@ def cosines(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return dot(a, b) / np.sqrt(dot(a, a) * dot(b, b))
 
 
+class Best:
+    """Per query the ``k`` best candidates: highest score, then smallest id."""
+
+    def __init__(self, wanted: np.ndarray, names: list, raw: np.ndarray, ids: list[list], k: int):
+        self.wanted, self.raw, self.k = wanted, raw, k
+        self.ids = sorted({i for own in ids for i in own})
+        rank = {i: r for r, i in enumerate(self.ids)}
+        self.own = np.array([rank.get(i, -1) for i in names])
+        self.count = np.array([len(own) for own in ids])
+        self.first = np.cumsum(self.count) - self.count
+        self.rank = np.array([rank[i] for own in ids for i in own])
+        self.score = np.full((len(names), k), -np.inf)
+        self.held = np.full((len(names), k), -1)
+
+    def add(self, who: np.ndarray, place: np.ndarray) -> None:
+        """Candidates not added before, as pairs of query and position."""
+        for at in range(0, len(who), PAIRS):
+            self._merge(who[at : at + PAIRS], place[at : at + PAIRS])
+
+    def _merge(self, who, place) -> None:
+        score = cosines(self.wanted[who], self.raw[place])
+        keep = score >= self.score[who, -1]
+        who, place, score = who[keep], place[keep], score[keep]
+        times = self.count[place]
+        flat = np.arange(times.sum()) + np.repeat(self.first[place] - (np.cumsum(times) - times), times)
+        who, score, rank = np.repeat(who, times), np.repeat(score, times), self.rank[flat]
+        other = rank != self.own[who]
+        touched, row = np.unique(who[other], return_inverse=True)
+        if not len(touched):
+            return
+        row = np.concatenate([np.repeat(np.arange(len(touched)), self.k), row])
+        score = np.concatenate([self.score[touched].ravel(), score[other]])
+        rank = np.concatenate([self.held[touched].ravel(), rank[other]])
+        order = np.lexsort((rank, -score, row))
+        row, score, rank = row[order], score[order], rank[order]
+        start = np.searchsorted(row, np.arange(len(touched)))
+        best = (start[:, None] + np.arange(self.k)).ravel()
+        self.score[touched] = score[best].reshape(-1, self.k)
+        self.held[touched] = rank[best].reshape(-1, self.k)
+
+
+def best_of(
+    tree: Tree, unit: np.ndarray, wanted: np.ndarray, names: list, raw: np.ndarray, ids: list[list], k: int, factor: float
+) -> Best:
+    """The ``k`` best of a tree per query. With factor 1, all within the bound of the k-th are compared, ties of any number."""
+    best = Best(wanted, names, raw, ids, k)
+    found, _ = tree.search(unit, k + 1 + SPARE, factor)
+    who, at = np.nonzero(found >= 0)
+    best.add(who, found[who, at])
+    if factor < 1:
+        return best
+    # Fewer than k, as where a query's own id takes the places: everything is in reach.
+    bound = np.maximum(best.score[:, -1], -1.0)
+    best = Best(wanted, names, raw, ids, k)
+    for who, place in tree.within(unit, np.sqrt(np.maximum(0.0, 2.0 - 2.0 * bound)) + SLACK):
+        best.add(who, place)
+    return best
+
+
 def _matrix(column, dim: int) -> np.ndarray:
     if isinstance(column, pa.ChunkedArray):
         column = column.combine_chunks()
@@ -193,16 +272,10 @@ def nearest(
             tree.unit = raw / np.sqrt((raw * raw).sum(axis=1, keepdims=True))
             tree.order, tree.nodes = order, nodes
             unit = wanted / np.sqrt((wanted * wanted).sum(axis=1, keepdims=True))
-            found, _ = tree.search(unit, k + 1 + SPARE, factor)
-            who, place = np.nonzero(found >= 0)
-            hit = found[who, place]
-            scores = cosines(wanted[who], raw[hit])
-            near: dict[int, list[tuple[float, object]]] = {}
-            for q, at, score in zip(who.tolist(), hit.tolist(), scores.tolist()):
-                near.setdefault(q, []).extend((-score, i) for i in ids[at] if i != names[q])
-            for q, own in near.items():
+            best = best_of(tree, unit, wanted, names, raw, ids, k, factor)
+            for q, (own, scores) in enumerate(zip(best.held.tolist(), best.score.tolist())):
                 row = wanted[q].tobytes()
-                rows += [(names[q], row, i, -s) for s, i in sorted(own)[:k]]
+                rows += [(names[q], row, best.ids[r], s) for r, s in zip(own, scores) if r >= 0]
         columns = list(zip(*rows)) or [(), (), (), ()]
         return pa.table([pa.array(c, t) for c, t in zip(columns, kinds)], names=["query_id", "q", "vec_id", "score"])
 
