@@ -7,7 +7,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import (
-    bpe, chat, html_text, licenses, ngram_join, packing, quality_model, quality_rules, token_counts, vantage,
+    bpe, chat, conversation_repair, filter_audit, html_text, licenses, ngram_join, packing, quality_model,
+    quality_rules, token_counts, token_files, vantage,
 )
 from .common import table
 
@@ -80,6 +81,23 @@ def op8_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ngram_join.jaccard_components(table(spark, sf_dir, "documents"))
 
 
+def op11_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Ids of every document written to Parquet lists and read back from them."""
+    docs = table(spark, sf_dir, "documents")
+    path = token_files.write_tokens(docs, token_files.token_folder(spark), BYTE_BPE, end_id=2)
+    return token_files.digests(spark, path)
+
+
+def op12_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What five filters remove per source, order and step."""
+    return filter_audit.audit(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+def op13_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Faults and cheapest repair of every conversation after the fixed damage."""
+    return conversation_repair.report(table(spark, sf_dir, "conversations"))
+
+
 QUERIES = {
     "op1_bpe": op1_bpe,
     "op2_packing": op2_packing,
@@ -91,10 +109,14 @@ QUERIES = {
     "op8_ngram_join": op8_ngram_join,
     "op9_license_scan": op9_license_scan,
     "op10_html_text": op10_html_text,
+    "op11_token_files": op11_token_files,
+    "op12_filter_audit": op12_filter_audit,
+    "op13_conversation_repair": op13_conversation_repair,
 }
 
 ORACLES: dict[str, str] = {
     "op3_quality_rules": quality_rules.oracle_sql(),
     "op5_vantage_points": vantage.oracle_sql(),
     "op7_chat_rotation": chat.oracle_sql(),
+    "op12_filter_audit": filter_audit.oracle_sql(),
 }
