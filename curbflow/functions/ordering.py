@@ -27,9 +27,9 @@ def _bucket(value: str, per_doubling: int) -> str:
     return f"CASE WHEN {value} > 0 THEN {size} WHEN {value} < 0 THEN -({size}) ELSE 0L END"
 
 
-def order_bucket(value: str) -> str:
+def order_bucket(value: str, per_doubling: int = BUCKETS_PER_DOUBLING) -> str:
     """SQL for the bucket of a non-null, non-NaN double column."""
-    return _bucket(value, BUCKETS_PER_DOUBLING)
+    return _bucket(value, per_doubling)
 
 
 def fine_bucket(value: str) -> str:

@@ -7,6 +7,7 @@ and so does not hold; it stays bare, because a wrapped one would not reach the s
 from __future__ import annotations
 
 from dataclasses import dataclass
+from functools import reduce
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -14,7 +15,6 @@ from pyspark.sql import functions as F
 from ..functions.clock import in_year
 from ..functions.trip import AIRPORT_ZONES, touches
 from ..schema import FILE_KEYS
-from ..session import settle
 from .order_stats import exact_quantiles
 
 AMOUNTS = ("trip_distance", "fare_amount", "tip_amount", "total_amount", "Airport_fee")
@@ -52,7 +52,7 @@ def absolute(df: DataFrame, columns=AMOUNTS) -> DataFrame:
 def fence_table(
     df: DataFrame, column: str, by=FILE_KEYS, k: float = 1.5
 ) -> DataFrame:
-    """Quartiles and the fence ``Q1 - k IQR .. Q3 + k IQR`` per group."""
+    """Quartiles and the fence ``Q1 - k IQR .. Q3 + k IQR`` per group, settled."""
     quartiles = exact_quantiles(df, by, column, {"q1": 0.25, "q3": 0.75})
     return quartiles.selectExpr(
         "*", f"q1 - {k}D * (q3 - q1) AS fence_low", f"q3 + {k}D * (q3 - q1) AS fence_high"
@@ -70,7 +70,7 @@ def iqr_fence(
 ) -> DataFrame:
     """Keep rows inside their group's fence, bounds included; unknown values go."""
     by = list(by)
-    fenced = attach_fence(df, settle(fence_table(df, column, by, k)), by, "f")
+    fenced = attach_fence(df, fence_table(df, column, by, k), by, "f")
     return fenced.where(within(column, "_low_f", "_high_f")).select(df.columns)
 
 
@@ -80,7 +80,7 @@ def iqr_fence_airport_exempt(
     """As ``iqr_fence``, with airport trips neither measured nor filtered."""
     by = list(by)
     exempt = touches(airports)
-    fences = settle(fence_table(df.where(f"NOT {exempt}"), column, by, k))
+    fences = fence_table(df.where(f"NOT {exempt}"), column, by, k)
     fenced = attach_fence(df, fences, by, "f")
     return fenced.where(f"{exempt} OR {within(column, '_low_f', '_high_f')}").select(df.columns)
 
@@ -136,21 +136,45 @@ class Cleaned:
 
 
 def run_steps(df: DataFrame, steps: list[Step], airports=AIRPORT_ZONES, by=FILE_KEYS) -> Cleaned:
-    """Apply steps in order.
+    """Apply steps in order to one table. See ``run_together``."""
+    return run_together({"": (df, steps)}, airports, by)[""]
 
-    Each fence is measured on the survivors of the steps before it, so fences
-    cost one pass each; every pass reads only the columns its steps need. Fences
-    are settled to a few rows, which keeps the plan linear in the steps.
+
+def run_together(
+    runs: dict[str, tuple[DataFrame, list[Step]]], airports=AIRPORT_ZONES, by=FILE_KEYS
+) -> dict[str, Cleaned]:
+    """Apply the steps of several tables, each in its own order, with their fences measured together.
+
+    A fence is measured on the survivors of the steps before it, so fences take
+    as many rounds as the longest run has fences. Round k measures the k-th fence of
+    every run in one job; each table is read with only the columns its steps need.
+    Fences arrive settled, a row per file, which keeps the plan linear in the steps.
     """
     by = list(by)
     exempt = touches(airports)
-    fenced, tests = df, []
-    for number, step in enumerate(steps, start=1):
-        test = step.keep
-        if step.fence_on:
-            base = fenced.where(" AND ".join([*tests, f"NOT {exempt}"]))
-            fences = settle(fence_table(base, step.fence_on, by))
-            fenced = attach_fence(fenced, fences, by, str(number))
-            test = f"({exempt} OR {within(step.fence_on, f'_low_{number}', f'_high_{number}')})"
-        tests.append(test)
-    return Cleaned(fenced, df.columns, [step.name for step in steps], tests, by)
+    fenced = {name: df for name, (df, _) in runs.items()}
+    tests: dict[str, list[str]] = {name: [] for name in runs}
+    while True:
+        due = {}
+        for name, (_, steps) in runs.items():
+            while len(tests[name]) < len(steps) and not steps[len(tests[name])].fence_on:
+                tests[name].append(steps[len(tests[name])].keep)
+            if len(tests[name]) < len(steps):
+                due[name] = steps[len(tests[name])].fence_on
+        if not due:
+            break
+        measured = [
+            fenced[name].where(" AND ".join([*tests[name], f"NOT {exempt}"]))
+            .selectExpr(*by, f"CAST(`{column}` AS DOUBLE) AS _value", f"'{name}' AS _run")
+            for name, column in due.items()
+        ]
+        fences = fence_table(reduce(DataFrame.unionByName, measured), "_value", ["_run", *by])
+        for name, column in due.items():
+            number = len(tests[name]) + 1
+            own = fences.where(F.col("_run") == name)
+            fenced[name] = attach_fence(fenced[name], own, by, str(number))
+            tests[name].append(f"({exempt} OR {within(column, f'_low_{number}', f'_high_{number}')})")
+    return {
+        name: Cleaned(fenced[name], df.columns, [step.name for step in steps], tests[name], by)
+        for name, (df, steps) in runs.items()
+    }

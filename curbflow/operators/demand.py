@@ -11,7 +11,6 @@ from pyspark.sql import functions as F
 
 from ..functions.clock import WEEKDAYS, in_period, journey_minutes
 from ..schema import require_columns
-from ..session import settle
 from .order_stats import exact_quantiles
 
 
@@ -169,7 +168,7 @@ def box_stats(
 
     A whisker ends at the furthest value within ``reach`` interquartile ranges.
     """
-    quartiles = settle(exact_quantiles(df, [group], value, {"q1": 0.25, "median": 0.5, "q3": 0.75}))
+    quartiles = exact_quantiles(df, [group], value, {"q1": 0.25, "median": 0.5, "q3": 0.75})
     x = F.col(value)
     span = reach * (F.col("q3") - F.col("q1"))
     inside = x.between(F.col("q1") - span, F.col("q3") + span)

@@ -64,7 +64,7 @@ def anova(df: DataFrame, value: str = "journey_time", group: str = "hour") -> Da
 
 def levene(df: DataFrame, value: str = "journey_time", group: str = "hour") -> DataFrame:
     """Equality of variances: analysis of variance of distances from the group median."""
-    medians = settle(exact_quantiles(df, [group], value, {"_median": 0.5}))
+    medians = exact_quantiles(df, [group], value, {"_median": 0.5})
     spread = df.select(group, value).join(medians, group).withColumn(
         "_distance", F.abs(F.col(value) - F.col("_median"))
     )

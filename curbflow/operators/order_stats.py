@@ -1,9 +1,8 @@
 """Exact quantiles and average ranks without gathering a group in one task.
 
-Equal values are counted first, so copies never travel. The rest works on
-distinct values and is the same at every size: totals per bucket locate the
-wanted ranks, totals per finer bucket locate them within their bucket, and only
-the distinct values of one finer bucket are sorted together.
+Counts per order-preserving bucket, combined before they travel, locate the wanted
+ranks; what lies in a located bucket is looked into by finer buckets, down to single
+values. Ranks of all rows work on distinct values the same way.
 """
 
 from __future__ import annotations
@@ -12,6 +11,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.ordering import fine_bucket, known, order_bucket
+from ..session import settle
+
+# Buckets per doubling in the rounds before values are counted themselves.
+ROUNDS = (1 << 16, 1 << 32)
 
 _UPTO = "ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW"
 
@@ -21,58 +24,79 @@ def exact_quantiles(df: DataFrame, by, value: str, quantiles: dict[str, float])
 
     ``quantiles`` maps output name to probability. NULL and NaN values are
     skipped, as are groups with a NULL key; infinities are ordered like other
-    values. Returns ``by`` plus one column each.
+    values. Returns ``by`` plus one column each, settled.
+
+    The ranks wanted are narrowed down bucket by bucket: counts per bucket are
+    combined before they travel, a running sum over a group's buckets finds those
+    that hold the ranks, and a finer round looks into these until each holds one
+    value only. A round reads ``df`` once and shuffles bucket counts twice.
+    Most values need one round; the last of the three counts the values themselves.
     """
     keys = list(by) or ["_all"]
-    key_list = ", ".join(f"`{k}`" for k in keys)
     rows = df.select(*by, F.col(value).cast("double").alias("_v")).where(known(F.col("_v")))
     rows = rows.dropna(subset=list(by)) if by else rows.withColumn("_all", F.lit(0))
-    freq = rows.groupBy(*keys, "_v").agg(F.expr("count(1) AS _n"))
-    # Group and bucket travel as one key: were the group columns join keys of their
-    # own, partition pruning would rewrite one of the two uses of ``freq`` and the
-    # shuffle behind it could no longer be shared.
-    freq = freq.selectExpr(*keys, "_v", "_n", f"struct({key_list}, {order_bucket('_v')} AS _b) AS _kb")
-    # 0-based ranks needed per quantile; a value is interpolated between the two.
+    # 0-based ranks per quantile; a value is interpolated between the two.
     position = {name: f"({p}D * (_total - 1))" for name, p in quantiles.items()}
     ranks = [f"{f}({pos})" for pos in position.values() for f in ("floor", "ceil")]
-    holds_rank = " OR ".join(f"(_upto - _m <= {r} AND {r} < _upto)" for r in ranks)
-    buckets = (
-        freq.groupBy("_kb").agg(F.expr("sum(_n) AS _m")).select("_kb", "_m", "_kb.*")
-        .selectExpr(
-            "_kb", "_m",
-            f"sum(_m) OVER (PARTITION BY {key_list} ORDER BY _b {_UPTO}) AS _upto",
-            f"sum(_m) OVER (PARTITION BY {key_list}) AS _total",
-        )
-        .where(holds_rank).selectExpr("_kb", "_upto - _m AS _before", "_total")
-    )
-    inner = freq.join(buckets, "_kb").selectExpr(
-        *keys, "_v", "_n", "_total", "_before", f"struct(_kb, {fine_bucket('_v')} AS _s) AS _ks"
-    )
-    fine = (
-        inner.groupBy("_ks").agg(F.expr("sum(_n) AS _m"), F.max("_before").alias("_b0"), F.max("_total").alias("_total"))
-        .selectExpr(
-            "_ks", "_m", "_total", f"_b0 + sum(_m) OVER (PARTITION BY _ks._kb ORDER BY _ks._s {_UPTO}) AS _upto"
-        )
-        .where(holds_rank).selectExpr("_ks", "_upto - _m AS _start")
-    )
-    inside = f"sum(_n) OVER (PARTITION BY _ks ORDER BY _v {_UPTO})"
-    placed = inner.join(fine, "_ks").selectExpr(*keys, "_v", "_total", "_n", f"_start + {inside} AS _end")
-    picks = ["max(_total) AS _total"]
-    for name, pos in position.items():
-        for tag, rank in (("lo", f"floor({pos})"), ("hi", f"ceil({pos})")):
-            hit = f"_end - _n <= {rank} AND {rank} < _end"
-            picks.append(f"max(CASE WHEN {hit} THEN _v END) AS _{tag}_{name}")
-    found = placed.groupBy(*keys).agg(*[F.expr(p) for p in picks])
+    found = None
+    for bucket in (*[order_bucket("_v", width) for width in ROUNDS], "_v"):
+        found = settle(_narrowed(rows, keys, ranks, bucket, found))
+        if found.where(" OR ".join(f"_low{i} < _high{i}" for i in range(len(ranks)))).isEmpty():
+            break
     return found.selectExpr(
-        *by,
+        *[f"`{k}`" for k in by],
         *[
-            f"CASE WHEN _lo_{n} = _hi_{n} THEN _lo_{n} "
-            f"ELSE _lo_{n} + (_hi_{n} - _lo_{n}) * ({pos} - floor({pos})) END AS `{n}`"
-            for n, pos in position.items()
+            f"CASE WHEN _low{i} = _low{i + 1} THEN _low{i} "
+            f"ELSE _low{i} + (_low{i + 1} - _low{i}) * ({pos} - floor({pos})) END AS `{name}`"
+            for i, (name, pos) in zip(range(0, len(ranks), 2), position.items())
         ],
     )
 
 
+def _narrowed(rows: DataFrame, keys: list[str], ranks: list[str], bucket: str, found: DataFrame | None) -> DataFrame:
+    """Per group its ``_total`` and, for every rank i, the smallest (``_low<i>``) and largest
+    (``_high<i>``) value of the bucket that holds it, and the rows before that bucket (``_before<i>``).
+
+    ``found`` is the result of a coarser round. Only rows between the two values of an
+    undecided rank are looked at again, each range of its own.
+    """
+    key_list = ", ".join(f"`{k}`" for k in keys)
+    if found is None:
+        looked, groups, part, base = rows, keys, key_list, "0L"
+        total = f"sum(_m) OVER (PARTITION BY {key_list})"
+    else:
+        inside = [f"(_low{i} < _high{i} AND _v BETWEEN _low{i} AND _high{i})" for i in range(len(ranks))]
+        # The rows before a range tell the ranges of a group apart.
+        start = "CASE " + " ".join(f"WHEN {test} THEN _before{i}" for i, test in enumerate(inside)) + " END"
+        looked = rows.join(found, keys).where(" OR ".join(inside)).selectExpr(
+            *[f"`{k}`" for k in keys], "_v", "_total", f"{start} AS _base"
+        )
+        groups, part, base, total = [*keys, "_base", "_total"], f"{key_list}, _base", "_base", "_total"
+    counts = looked.selectExpr("*", f"{bucket} AS _b").groupBy(*groups, "_b").agg(
+        F.count(F.lit(1)).alias("_m"), F.min("_v").alias("_least"), F.max("_v").alias("_most")
+    )
+    running = counts.selectExpr(
+        *[f"`{k}`" for k in keys], "_m", "_least", "_most", f"{total} AS _total",
+        f"{base} + sum(_m) OVER (PARTITION BY {part} ORDER BY _b {_UPTO}) AS _upto",
+    )
+    picks = []
+    for i, rank in enumerate(ranks):
+        hit = f"_upto - _m <= {rank} AND {rank} < _upto"
+        picks += [
+            F.expr(f"max(CASE WHEN {hit} THEN {text} END)").alias(f"_{name}{i}")
+            for name, text in (("low", "_least"), ("high", "_most"), ("before", "_upto - _m"))
+        ]
+    picked = running.groupBy(*keys).agg(F.max("_total").alias("_total"), *picks)
+    if found is None:
+        return picked
+    # Ranks decided before stay as they are.
+    old = found.select(*keys, *[F.col(c).alias(f"_old{c}") for c in found.columns if c not in keys])
+    names = [f"_{name}{i}" for i in range(len(ranks)) for name in ("low", "high", "before")]
+    return old.join(picked.drop("_total"), keys, "left").select(
+        *keys, F.col("_old_total").alias("_total"), *[F.coalesce(c, f"_old{c}").alias(c) for c in names]
+    )
+
+
 def rank_distinct(per_value: DataFrame, value: str, freq: DataFrame, weight: str) -> DataFrame:
     """Add ``below`` (rows with a smaller value) and ``avg_rank`` (1-based, ties averaged).
 

@@ -216,7 +216,9 @@ on_trips(
 )
 on_trips(
     "cleaning_audit",
-    lambda t: reduce(DataFrame.unionByName, [clean.clean(t, cab).audit for cab in CAB_TYPES]),
+    lambda t: reduce(
+        DataFrame.unionByName, [cleaned.audit for cleaned in clean.clean_together(t, CAB_TYPES).values()]
+    ),
 )
 CLEANED = (
     *TRIP, "pickup_datetime", "dropoff_datetime", "PULocationID", "DOLocationID",

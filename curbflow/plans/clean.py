@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..operators.cleaning import (
-    Cleaned, Step, absolute, allowed, at_least, nonzero_length, of_file_month, run_steps, within,
+    Cleaned, Step, absolute, allowed, at_least, nonzero_length, of_file_month, run_together, within,
 )
 from ..schema import UNWANTED
 
@@ -75,10 +75,21 @@ def cleaning_steps(cab_type: str, year: int = 2024, minimums: bool = False) -> l
     raise ValueError(f"unknown cab type {cab_type!r}")
 
 
+def clean_together(trips: DataFrame, cab_types, year: int = 2024, minimums: bool = False) -> dict[str, Cleaned]:
+    """Clean several cab types, each by its own steps (all files at once, fences per file).
+
+    The cab types share their fence rounds, so four of them take as many jobs as one.
+    """
+    runs = {}
+    for cab_type in cab_types:
+        mine = trips.where(F.col("cab_type") == cab_type).drop(*UNWANTED[cab_type])
+        runs[cab_type] = (absolute(mine), cleaning_steps(cab_type, year, minimums))
+    return run_together(runs)
+
+
 def clean(trips: DataFrame, cab_type: str, year: int = 2024, minimums: bool = False) -> Cleaned:
-    """Clean one cab type's canonical trips (all files at once, fences per file)."""
-    mine = trips.where(F.col("cab_type") == cab_type).drop(*UNWANTED[cab_type])
-    return run_steps(absolute(mine), cleaning_steps(cab_type, year, minimums))
+    """Clean one cab type's canonical trips."""
+    return clean_together(trips, [cab_type], year, minimums)[cab_type]
 
 
 def clean_yellow(trips, year: int = 2024, minimums: bool = False) -> Cleaned:

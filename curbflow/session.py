@@ -5,8 +5,11 @@ from __future__ import annotations
 import tempfile
 import uuid
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_schema
 
 # Rows a summary may have before it is no longer shipped to every executor.
 SMALL_SIDE_ROWS = 20_000
@@ -65,7 +68,16 @@ def settle(df: DataFrame, max_rows: int = SMALL_SIDE_ROWS) -> DataFrame:
     At most ``max_rows + 1`` rows reach the driver. A summary within the bound
     becomes a broadcast side; a larger one is checkpointed and joined by shuffle.
     """
-    rows = df.limit(max_rows + 1).toArrow()
-    if rows.num_rows > max_rows:
+    # Collecting takes from as few partitions as hold the rows; an Arrow table of a
+    # limited frame would cost one more shuffle.
+    rows = df.limit(max_rows + 1).collect()
+    if len(rows) > max_rows:
         return cut(df)
-    return F.broadcast(df.sparkSession.createDataFrame(rows, df.schema))
+    names = [f"c{k}" for k in range(len(df.columns))]
+    columns = [[row[k] for row in rows] for k in range(len(names))]
+    kinds = [f.type for f in to_arrow_schema(df.schema)]
+    if any(isinstance(f.dataType, T.TimestampType) for f in df.schema.fields):
+        table = df.limit(max_rows).toArrow()  # zoned times would pass through the local zone
+    else:
+        table = pa.table([pa.array(c, k) for c, k in zip(columns, kinds)], names=names).rename_columns(df.columns)
+    return F.broadcast(df.sparkSession.createDataFrame(table, df.schema))

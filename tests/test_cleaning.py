@@ -174,3 +174,48 @@ def test_clock_ignores_the_session_zone(spark):
     assert row.s == 3720.5
     assert (row.h, row.m) == ("2024-03-10 02:00:00", "2024-03-10 02:30:00")
     assert (row.w, row.none) == ("Sunday", None)
+
+
+def test_quantiles_of_values_that_share_buckets(spark):
+    """Values a last bit apart need every round; ranks in one bucket and in two."""
+    base = [1.0 + k * 2.0**-52 for k in range(40)] + [5.0 + k * 2.0**-30 for k in range(40)] + [-3.0] * 7
+    df = spark.createDataFrame([(g, v * g) for g in (1, 2, -1) for v in base], "g int, x double").repartition(5)
+    wanted = {"a": 0.0, "b": 0.2, "c": 0.3001, "d": 0.77, "e": 1.0}
+    found = {r.g: r for r in exact_quantiles(df, ["g"], "x", wanted).collect()}
+    for g in (1, 2, -1):
+        ordered = sorted(v * g for v in base)
+        for name, p in wanted.items():
+            at = p * (len(ordered) - 1)
+            low, high = ordered[math.floor(at)], ordered[math.ceil(at)]
+            assert found[g][name] == (low if low == high else low + (high - low) * (at - math.floor(at)))
+
+
+def test_a_round_shuffles_bucket_counts_twice(spark):
+    from curbflow.functions.ordering import order_bucket
+    from curbflow.operators import order_stats
+
+    rows_ = spark.range(1000).selectExpr("id % 7 AS g", "CAST(id AS DOUBLE) AS _v")
+    ranks = ["floor(0.5D * (_total - 1))", "ceil(0.5D * (_total - 1))"]
+    narrowed = order_stats._narrowed(rows_, ["g"], ranks, order_bucket("_v", 1 << 16), None)
+    plan = narrowed._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange hashpartitioning") == 2
+    assert plan.count("partial_count") == 1
+
+
+def test_runs_cleaned_together_equal_runs_alone(spark):
+    """Runs of unlike steps share rounds: a run without fences, one with two, one that loses a file whole."""
+    data = [(cab, m, float(k % 23), float(k % 7) - 1) for cab in "ab" for m in (1, 2) for k in range(120)]
+    df = spark.createDataFrame(data, "cab_type string, file_month int, x double, y double").withColumns(
+        {"file_year": F.lit(2024), "PULocationID": F.lit(1), "DOLocationID": F.lit(2)}
+    )
+    first = [cleaning.Step("low", "x < 15"), cleaning.Step("fx", fence_on="x"), cleaning.Step("fy", fence_on="y")]
+    second = [cleaning.Step("one file", "file_month = 1"), cleaning.Step("fy", fence_on="y"), cleaning.Step("pos", "y > 0")]
+    runs = {
+        "p": (df.where("cab_type = 'a'"), first), "q": (df.where("cab_type = 'b'"), second),
+        "r": (df, [cleaning.Step("pos", "y > 0")]),
+    }
+    together = cleaning.run_together(runs)
+    for name, (table, steps) in runs.items():
+        alone = cleaning.run_steps(table, steps)
+        assert sorted(together[name].audit.collect()) == sorted(alone.audit.collect())
+        assert sorted(together[name].trips.collect()) == sorted(alone.trips.collect())
