@@ -329,6 +329,56 @@ def _area(kind: str, source: str, key: str, stat: str, d1: str = "1", d2: str =
       FROM {source}, range(0, {_PANELS + 1}) panel(i)) GROUP BY {key}, h"""
 
 
+# Rational approximation of the normal distribution (Hart 1968, as given by West 2005).
+_NORMAL_TOP = (
+    3.52624965998911e-2, 0.700383064443688, 6.37396220353165, 33.912866078383, 112.079291497871, 221.213596169931,
+    220.206867912376,
+)
+_NORMAL_BOTTOM = (
+    8.83883476483184e-2, 1.75566716318264, 16.064177579207, 86.7807322029461, 296.564248779674, 637.333633378831,
+    793.826512519948, 440.413735824752,
+)
+
+
+def _horner(factors: tuple[float, ...], x: str) -> str:
+    text = repr(factors[0])
+    for factor in factors[1:]:
+        text = f"({text} * {x} + {factor!r})"
+    return text
+
+
+def _normal_cdf(x: str) -> str:
+    """Lower tail of the normal distribution at a column, beyond 7 deviations 0 or 1."""
+    size = f"abs({x})"
+    tail = f"exp(-{x} * {x} / 2) * {_horner(_NORMAL_TOP, size)} / {_horner(_NORMAL_BOTTOM, size)}"
+    tail = f"CASE WHEN {size} < 7 THEN {tail} ELSE 0 END"
+    return f"CASE WHEN {x} > 0 THEN 1 - ({tail}) ELSE {tail} END"
+
+
+def _range_tail(source: str, q: str, k: str, df: str) -> str:
+    """Rows of ``source`` with ``p_adjusted``: the upper tail of the studentised range at ``q``.
+
+    Trapezoids over the scale (in its own deviations, 10 either side of 1) and over the
+    smallest of ``k`` normals; both integrands vanish smoothly at their ends.
+    """
+    return f"""scales AS (
+      SELECT u, 1 + u / sqrt(2 * {df}) AS s,
+        exp(({df} - 1) * ln(1 + u / sqrt(2 * {df})) - {df} * (u / sqrt(2 * {df}) + u * u / (4 * {df}))) AS weight
+      FROM (SELECT i / 4.0 AS u FROM range(-40, 41) t(i)), (SELECT {df} FROM {source} LIMIT 1)
+      WHERE 1 + u / sqrt(2 * {df}) > 0
+    ), normals AS (
+      SELECT z, exp(-z * z / 2) / sqrt(2 * pi()) / 8 AS weight, {_normal_cdf('z')} AS below
+      FROM (SELECT i / 8.0 AS z FROM range(-64, 65) t(i))
+    ), widths AS (
+      SELECT group1, group2, {k} AS k, s.u AS place, s.weight AS scale_weight, n.weight, below, z - {q} * s AS x
+      FROM {source}, scales s, normals n
+    ), tails AS (
+      SELECT group1, group2, 1 - sum(scale_weight * share) / sum(scale_weight) AS p_adjusted
+      FROM (SELECT group1, group2, place, scale_weight, k * sum(weight * pow(greatest(below - cdf, 0), k - 1)) AS share
+        FROM (SELECT *, {_normal_cdf('x')} AS cdf FROM widths) GROUP BY group1, group2, place, scale_weight, k)
+      GROUP BY group1, group2)"""
+
+
 _VERDICT = "CASE WHEN p_value < 0.05 THEN 'Significant' ELSE 'Not significant' END AS verdict"
 
 CTES["groups"] = (
@@ -357,6 +407,13 @@ for _name, _source in (("anova", "groups"), ("levene", "spreads")):
         f" ({_area('f', f'{_name}_row', 'id', 'statistic', 'df_between', 'df_within')}) ON area_key = id",
         (f"{_name}_row",),
     )
+CTES["pairs_of_hours"] = (
+    """SELECT a.hour AS group1, b.hour AS group2, b.mean - a.mean AS mean_difference, df_between + 1 AS k,
+      CAST(df_within AS DOUBLE) AS df_within,
+      abs(b.mean - a.mean) / sqrt(mse / 2 * (1.0 / a.n + 1.0 / b.n)) AS q
+    FROM groups a JOIN groups b ON a.hour < b.hour, anova_row""",
+    ("groups", "anova_row"),
+)
 CTES["rank_by_hour"] = (
     """SELECT hour, rank() OVER (ORDER BY journey_time) + (COUNT(*) OVER (PARTITION BY journey_time) - 1) / 2.0 AS r,
       COUNT(*) OVER (PARTITION BY journey_time) AS t FROM journeys""",
@@ -931,6 +988,10 @@ def statements() -> dict[str, str]:
         f"""SELECT a.hour AS group1, b.hour AS group2, {_r('b.mean - a.mean AS mean_difference',
         'abs(b.mean - a.mean) / sqrt(mse / 2 * (1.0 / a.n + 1.0 / b.n)) AS q')}
         FROM groups a JOIN groups b ON a.hour < b.hour, anova_row""", "groups", "anova_row")
+    q["tukey_hsd_by_hour"] = _with(
+        f"""SELECT group1, group2, {_r('mean_difference', 'q', 'greatest(p_adjusted, 0) AS p_adjusted')}, p_adjusted < 0.05 AS reject
+        FROM pairs_of_hours JOIN tails USING (group1, group2)""",
+        "pairs_of_hours", extra=_range_tail("pairs_of_hours", "q", "k", "df_within"))
     q["ols_by_hour"] = _with(
         f"SELECT hour, n, {_r('slope', 'r_squared', 't_value', '1 - 2 * area AS p_value')} FROM fits"
         f" LEFT JOIN ({_area('t', 'fits', 'hour', 'abs(t_value)', 'n - 2')}) ON area_key = hour", "fits")
