@@ -118,6 +118,49 @@ def studentized_range_sf(q: float, k: float, df: float) -> float:
     return max(0.0, 1 - float(weight @ (core @ density) * k / weight.sum()))
 
 
+def t_quantile(p: float, df: float) -> float:
+    """The point that a t variable exceeds in size with probability ``p``.
+
+    Newton steps on the two-sided tail, kept between two bounds that close in.
+    """
+    if p >= 1:
+        return 0.0
+    low, high = 0.0, 1.0
+    while t_two_sided(high, df) > p:
+        low, high = high, 2 * high
+    x = (low + high) / 2
+    scale = math.exp(math.lgamma((df + 1) / 2) - math.lgamma(df / 2)) / math.sqrt(df * math.pi) if df < 1e6 else (
+        1 / math.sqrt(2 * math.pi)
+    )
+    for _ in range(200):
+        gap = t_two_sided(x, df) - p
+        low, high = (x, high) if gap > 0 else (low, x)
+        step = x + gap / (2 * scale * math.exp(-(df + 1) / 2 * math.log1p(x * x / df)))
+        step = step if low < step < high else (low + high) / 2
+        if abs(step - x) <= 1e-14 * x:
+            break
+        x = step
+    return x
+
+
+def rank_sum_cdf(u: float, n1: float, n2: float) -> float:
+    """P(U <= u) of the rank-sum statistic of two samples without ties, counted exactly.
+
+    The arrangements by U are the coefficients of a Gaussian binomial, built up one
+    member of the smaller sample at a time; each stage counts arrangements itself.
+    """
+    few, many = sorted((int(n1), int(n2)))
+    size = int(u) + 1
+    counts = np.zeros(size)
+    counts[0] = 1.0
+    for i in range(1, few + 1):
+        if many + i < size:
+            counts[many + i :] = counts[many + i :] - counts[: size - many - i].copy()
+        for start in range(min(i, size)):
+            counts[start::i] = np.cumsum(counts[start::i])
+    return float(counts.sum()) / math.comb(few + many, few)
+
+
 _TAILS = {
     "normal": lambda x, a, b: 2 * normal_sf(abs(x)),
     "normal_upper": lambda x, a, b: normal_sf(x),
@@ -125,21 +168,28 @@ _TAILS = {
     "f": f_sf,
     "chi2": lambda x, a, b: chi2_sf(x, a),
     "range": studentized_range_sf,
+    "t_point": lambda x, a, b: t_quantile(x, a),
+    "rank_sum": rank_sum_cdf,
 }
 
 
 def _tail(kind: str, x: float, a: float, b: float) -> float:
-    needed = {"f": 3, "range": 3, "t": 2, "chi2": 2}.get(kind, 1)
+    needed = {"f": 3, "range": 3, "rank_sum": 3, "t": 2, "chi2": 2, "t_point": 2}.get(kind, 1)
     arguments = (x, a, b)[:needed]
     if any(v is None or math.isnan(v) for v in arguments) or any(v <= 0 for v in arguments[1:]):
         return math.nan
     if math.isinf(x):
         return 0.0
-    return min(1.0, _TAILS[kind](x, a, b))
+    found = _TAILS[kind](x, a, b)
+    return found if kind == "t_point" else min(1.0, found)
 
 
 def tail_probability(kind: str, x: Column, a: Column | None = None, b: Column | None = None) -> Column:
-    """p-value column: 'normal' and 't' two-sided, the others upper tails; NULL if undefined."""
+    """p-value column: 'normal' and 't' two-sided, 'rank_sum' a lower tail, the others upper tails.
+
+    'rank_sum' takes both sample sizes. 't_point' goes the other way: the point with the
+    two-sided tail ``x``. NULL where undefined.
+    """
     if kind not in _TAILS:
         raise ValueError(f"unknown distribution {kind!r}")
 

@@ -6,12 +6,17 @@ bounded by the number of groups, not of trips.
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.clock import WEEKDAYS, in_period, journey_minutes
+from ..functions.ordering import known
+from ..functions.tails import tail_probability
 from ..schema import require_columns
 from .order_stats import exact_quantiles
+from .sampling import row_key, sample_order
 
 
 def daily_trips(trips: DataFrame, counted: str = "VendorID") -> DataFrame:
@@ -184,12 +189,75 @@ def box_stats(
 
 
 def mean_interval(
-    df: DataFrame, value: str = "journey_time", group: str = "hour", z: float = 1.96
+    df: DataFrame, value: str = "journey_time", group: str = "hour", level: float = 0.95
 ) -> DataFrame:
-    """Mean with a normal 95 % interval per group (no interval for a single value)."""
-    half = z * F.col("std") / F.sqrt(F.col("n"))
+    """Mean with its t interval per group (no interval for a single value)."""
+    sums = df.where(F.col(group).isNotNull()).groupBy(group).agg(
+        F.count(value).alias("n"), F.avg(value).alias("mean"), F.stddev_samp(value).alias("std")
+    )
+    point = tail_probability("t_point", F.lit(1 - level), F.nullif(F.col("n") - 1, F.lit(0)))
+    half = point * F.col("std") / F.sqrt(F.col("n"))
     return (
-        df.where(F.col(group).isNotNull()).groupBy(group)
-        .agg(F.count(value).alias("n"), F.avg(value).alias("mean"), F.stddev_samp(value).alias("std"))
-        .withColumns({"ci_low": F.col("mean") - half, "ci_high": F.col("mean") + half})
+        sums.withColumn("_half", half)
+        .withColumns({"ci_low": F.col("mean") - F.col("_half"), "ci_high": F.col("mean") + F.col("_half")})
+        .drop("_half")
+    )
+
+
+# Multipliers and increments that stir a row's hash into a draw; fixed, so that draws repeat.
+_PRIME = 2_147_483_647
+_STRIDE, _FACTOR, _STEP, _WRAP = 1_000_003, 48_271, 12_345, 65_537
+_MOST_DRAWS = 12
+
+
+def _poisson_weight(draw: str) -> str:
+    """SQL for a Poisson(1) weight from a number drawn evenly below ``_PRIME``."""
+    total, cases = 0.0, []
+    for k in range(_MOST_DRAWS):
+        total += math.exp(-1) / math.factorial(k)
+        cases.append(f"WHEN {draw} < {math.floor(total * _PRIME)} THEN {k}")
+    return f"CASE {' '.join(cases)} ELSE {_MOST_DRAWS} END"
+
+
+def bootstrap_draw(key: str, replicate: str) -> str:
+    """SQL for a number below ``_PRIME`` from a row's number and a replicate's, both non-negative.
+
+    Three squarings modulo a prime; integer arithmetic only, alike in every engine.
+    """
+    x = f"(({key} + {replicate} * {_STRIDE}) % {_PRIME})"
+    for added in (str(_STEP), f"{replicate} + 7", f"{key} % {_WRAP}"):
+        x = f"(({x} * {x} % {_PRIME} + {x} * {_FACTOR} + {added}) % {_PRIME})"
+    return x
+
+
+def mean_bootstrap(
+    df: DataFrame, key=None, value: str = "journey_time", group: str = "hour", level: float = 0.95,
+    replicates: int = 1000, seed: int = 42,
+) -> DataFrame:
+    """Mean with its bootstrap interval per group.
+
+    Every row takes part in every replicate with a Poisson(1) weight drawn by hash from
+    its key, so the draw is one pass, needs no row to travel and is the same after a lost
+    task. What is shuffled is one pair of sums per group and replicate and map task.
+    The interval runs between the quantiles of the replicates' means; replicates in which
+    a small group drew no row are left out. Rows with an unknown value take no part.
+    """
+    x = F.col(value).cast("double")
+    number = F.conv(F.substring(sample_order(row_key(df, key), seed), 1, 12), 16, 10).cast("bigint")
+    rows = df.where(known(x) & F.col(group).isNotNull()).select(
+        F.col(group), x.alias("_v"), F.pmod(number, F.lit(_PRIME)).alias("_k")
+    )
+    drawn = rows.withColumn("_b", F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(replicates - 1).cast("bigint"))))
+    draw = bootstrap_draw("_k", "_b")
+    means = (
+        drawn.selectExpr(f"`{group}`", "_b", "_v", f"{draw} AS _d").selectExpr("*", f"{_poisson_weight('_d')} AS _w")
+        .groupBy(group, "_b").agg(F.sum("_w").alias("_n"), F.sum(F.col("_w") * F.col("_v")).alias("_s"))
+        .where("_n > 0").select(group, (F.col("_s") / F.col("_n")).alias("_m"))
+    )
+    tail = (1 - level) / 2
+    # As many values per group as there are replicates.
+    limits = means.groupBy(group).agg(
+        F.percentile("_m", F.lit(tail)).alias("boot_low"), F.percentile("_m", F.lit(1 - tail)).alias("boot_high")
     )
+    sums = rows.groupBy(group).agg(F.count(F.lit(1)).alias("n"), F.avg("_v").alias("mean"))
+    return sums.join(limits, group, "left").select(group, "n", "mean", "boot_low", "boot_high")

@@ -17,6 +17,8 @@ from ..session import settle
 from .order_stats import exact_quantiles, rank_distinct
 
 ALPHA = 0.05
+# A side of at most this many rows, without ties, gets the exact rank-sum distribution.
+EXACT_ROWS = 8
 
 
 def group_moments(df: DataFrame, value: str, group: str) -> DataFrame:
@@ -115,8 +117,9 @@ def kruskal(df: DataFrame, value: str = "journey_time", group: str = "hour") ->
 def mann_whitney(df: DataFrame, value: str, side: Column, first, second) -> DataFrame:
     """Two-sided rank test of ``side == first`` against ``side == second``.
 
-    Normal approximation with tie and continuity correction; ``method`` says so,
-    or 'insufficient' when a side has no rows.
+    A side of at most ``EXACT_ROWS`` rows in a comparison without ties takes the exact
+    null distribution, others the normal approximation with tie and continuity
+    correction. ``method`` says which, or 'insufficient' when a side has no rows.
     """
     chosen = F.when(side == F.lit(first), F.lit(1)).when(side == F.lit(second), F.lit(2))
     sums = _rank_sums(_frequency(df, value, chosen))
@@ -135,10 +138,17 @@ def mann_whitney(df: DataFrame, value: str, side: Column, first, second) -> Data
     row = row.withColumns({"statistic": F.when(enough, u), "_sigma": F.when(enough, sigma)})
     larger = F.greatest(F.col("statistic"), n1 * n2 - F.col("statistic"))
     row = row.withColumn("z", (larger - n1 * n2 / 2 - 0.5) / F.nullif(F.col("_sigma"), F.lit(0.0)))
-    p = F.least(F.lit(1.0), 2 * tail_probability("normal_upper", F.col("z")))
-    return _with_p(row, F.when(F.col("z").isNotNull(), p)).select(
-        "statistic", "n1", "n2", "p_value", "verdict",
-        F.when(enough, "asymptotic").otherwise("insufficient").alias("method"),
+    method = (
+        F.when(~enough, "insufficient")
+        .when((F.least("n1", "n2") <= EXACT_ROWS) & (F.col("_tie") == 0), "exact").otherwise("asymptotic")
+    )
+    row = row.withColumn("method", method)
+    few = F.when(F.col("method") == "exact", F.least(F.col("statistic"), n1 * n2 - F.col("statistic")))
+    p = F.when(F.col("method") == "exact", 2 * tail_probability("rank_sum", few, n1, n2)).when(
+        F.col("z").isNotNull(), 2 * tail_probability("normal_upper", F.col("z"))
+    )
+    return _with_p(row, F.when(p.isNotNull(), F.least(F.lit(1.0), p))).select(
+        "statistic", "n1", "n2", "p_value", "verdict", "method"
     )
 
 

@@ -32,6 +32,7 @@ PLACES = 6
 # last place decides ties at that place, and the sign of zero, alike in both.
 NUDGE = 1e-9
 SEED = 42
+REPLICATES = 200
 KEY = ("trip_id",)
 BEFORE, AFTER = 2, 2
 TRIP = ("trip_id", "cab_type", "file_month")
@@ -361,6 +362,14 @@ query("incremental_weekday_hour")(
 on_trips("group_summary", lambda t: demand.group_summary(demand.positive_journeys(t)))
 on_trips("box_stats_by_hour", lambda t: demand.box_stats(demand.positive_journeys(t)))
 on_trips("mean_ci_by_hour", lambda t: demand.mean_interval(demand.positive_journeys(t)))
+on_trips(
+    "mean_ci_by_route",
+    lambda t: demand.mean_interval(demand.positive_journeys(t).withColumn("route", trip.route_key()), group="route"),
+)
+on_trips(
+    "mean_bootstrap_by_hour",
+    lambda t: demand.mean_bootstrap(demand.positive_journeys(t), KEY, replicates=REPLICATES, seed=SEED),
+)
 
 # ---- routes and zone graph ---------------------------------------------------
 
@@ -508,6 +517,17 @@ def on_journeys(name: str, build: Callable[[DataFrame], DataFrame]) -> None:
 on_journeys("anova_by_hour", hypothesis.anova)
 on_journeys("kruskal_by_hour", hypothesis.kruskal)
 on_journeys("mann_whitney_hours", hypothesis.mann_whitney_hours)
+
+
+@query("mann_whitney_small")
+def _(spark, sf_dir):
+    """Eight journeys of either hour: few enough for the exact distribution."""
+    journeys = demand.positive_journeys(fixture.trips(spark, sf_dir)).select("trip_id", "hour", "journey_time")
+    sizes = spark.createDataFrame([(8, 8), (3, 8)], "hour int, take long")
+    drawn = sampling.take_by_hash(journeys, sizes, ["hour"], KEY, SEED)
+    return hypothesis.mann_whitney_hours(drawn)
+
+
 on_journeys("spearman_time_distance", hypothesis.spearman)
 on_journeys("levene_by_hour", hypothesis.levene)
 on_journeys("shapiro_all", normality.shapiro)

@@ -7,7 +7,7 @@ and schedule. Tail probabilities are integrated numerically from the density.
 from __future__ import annotations
 
 from ..functions import projection as proj
-from ..operators import normality
+from ..operators import demand, normality
 from . import fixture
 
 AIRPORT = (
@@ -379,6 +379,24 @@ def _range_tail(source: str, q: str, k: str, df: str) -> str:
       GROUP BY group1, group2)"""
 
 
+def _t_points(source: str, df: str) -> str:
+    """CTE ``points``: per ``d1`` the point with 5 % outside, from a running Simpson integral of the density."""
+    width = 0.0005
+
+    def density(at: str) -> str:
+        return _DENSITY["t"].replace("x", at).replace(f"e{at}p", "exp")
+
+    return f"""points AS (
+      SELECT d1, x0 + (0.475 - upto + area) / ({density('(x0 + (0.475 - upto + area) / f0 / 2)')}) AS point FROM (
+        SELECT *, sum(area) OVER (PARTITION BY d1 ORDER BY x0) AS upto FROM (
+          SELECT d1, x0, {density('x0')} AS f0,
+            ({density('x0')} + 4 * ({density(f'(x0 + {width / 2})')}) + ({density(f'(x0 + {width})')})) * {width} / 6 AS area
+          FROM (SELECT DISTINCT CAST({df} AS DOUBLE) AS d1 FROM {source} WHERE {df} > 0),
+            (SELECT i * {width} AS x0 FROM range(26000) t(i))))
+      WHERE upto - area <= 0.475 AND 0.475 < upto)"""
+
+
+_ROUTE = "CAST(PULocationID AS VARCHAR) || '-' || CAST(DOLocationID AS VARCHAR)"
 _VERDICT = "CASE WHEN p_value < 0.05 THEN 'Significant' ELSE 'Not significant' END AS verdict"
 
 CTES["groups"] = (
@@ -895,10 +913,25 @@ def statements() -> dict[str, str]:
         FROM journeys JOIN (SELECT hour, quantile_cont(journey_time, 0.25) AS q1, median(journey_time) AS median,
           quantile_cont(journey_time, 0.75) AS q3 FROM journeys GROUP BY hour) USING (hour)
         GROUP BY hour, q1, median, q3""", "journeys")
-    q["mean_ci_by_hour"] = _with(
-        f"""SELECT hour, n, {_r('mean', 'std', 'mean - 1.96 * std / sqrt(n) AS ci_low', 'mean + 1.96 * std / sqrt(n) AS ci_high')}
-        FROM (SELECT hour, COUNT(journey_time) AS n, AVG(journey_time) AS mean, STDDEV_SAMP(journey_time) AS std
-          FROM journeys GROUP BY hour)""", "journeys")
+    for name, group in (("hour", "hour"), ("route", _ROUTE)):
+        q[f"mean_ci_by_{name}"] = _with(
+            f"""SELECT {name}, n, {_r('mean', 'std', 'mean - point * std / sqrt(n) AS ci_low', 'mean + point * std / sqrt(n) AS ci_high')}
+            FROM sums LEFT JOIN points ON d1 = n - 1""", "journeys",
+            extra=f"""sums AS (SELECT {group} AS {name}, COUNT(journey_time) AS n, AVG(journey_time) AS mean,
+              STDDEV_SAMP(journey_time) AS std FROM journeys WHERE {group} IS NOT NULL GROUP BY 1),
+            {_t_points('sums', 'n - 1')}""")
+    weight = demand._poisson_weight("d")
+    q["mean_bootstrap_by_hour"] = _with(
+        f"""SELECT hour, n, {_r('mean', 'boot_low', 'boot_high')} FROM (
+          SELECT hour, quantile_cont(s / w, 0.025) AS boot_low, quantile_cont(s / w, 0.975) AS boot_high FROM (
+            SELECT hour, b, sum(w) AS w, sum(w * v) AS s FROM (
+              SELECT hour, b, v, {weight} AS w FROM (
+                SELECT hour, b, v, {demand.bootstrap_draw('k', 'b')} AS d FROM (
+                  SELECT hour, journey_time AS v, CAST('0x' || substr({_DRAW}, 1, 12) AS BIGINT) % {demand._PRIME} AS k FROM journeys),
+                  range(200) t(b)))
+            GROUP BY hour, b) WHERE w > 0 GROUP BY hour)
+        JOIN (SELECT hour, COUNT(journey_time) AS n, AVG(journey_time) AS mean FROM journeys GROUP BY hour) USING (hour)""",
+        "journeys")
 
     # routes
     shown = "PULocationID, DOLocationID, Total_Trips, Forward_Count, Reverse_Count"
@@ -988,6 +1021,18 @@ def statements() -> dict[str, str]:
         f"""SELECT a.hour AS group1, b.hour AS group2, {_r('b.mean - a.mean AS mean_difference',
         'abs(b.mean - a.mean) / sqrt(mse / 2 * (1.0 / a.n + 1.0 / b.n)) AS q')}
         FROM groups a JOIN groups b ON a.hour < b.hour, anova_row""", "groups", "anova_row")
+    # All ways to pick eight of sixteen ranks, as the set bits of a number.
+    q["mann_whitney_small"] = _with(
+        f"""SELECT {_r('statistic')}, n1, n2, {_r('p_value')}, {_VERDICT}, method FROM (
+          SELECT statistic, n1, n2, CASE WHEN tied = 0 THEN 'exact' ELSE 'asymptotic' END AS method,
+            LEAST(1, CASE WHEN tied = 0 THEN 2 * (SELECT COUNT(*) FILTER (u <= LEAST(statistic, 64 - statistic)) / 12870.0
+              FROM (SELECT list_sum([((n >> i) & 1) * (i + 1) for i in range(16)]) - 36 AS u
+                FROM range(65536) t(n) WHERE bit_count(n) = 8)) ELSE 1 - 2 * area END) AS p_value
+          FROM few_row JOIN ({_area('normal', 'few_row', 'id', 'z')}) ON area_key = id,
+            (SELECT 16 - COUNT(DISTINCT journey_time) AS tied FROM few))""", "journeys",
+        extra=f"""few AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY hour ORDER BY {_DRAW}) AS place
+            FROM journeys WHERE hour IN (3, 8)) WHERE place <= 8),
+          few_row AS ({_mann_whitney('few', 'journey_time', 'hour', '8', '3')})""")
     q["tukey_hsd_by_hour"] = _with(
         f"""SELECT group1, group2, {_r('mean_difference', 'q', 'greatest(p_adjusted, 0) AS p_adjusted')}, p_adjusted < 0.05 AS reject
         FROM pairs_of_hours JOIN tails USING (group1, group2)""",

@@ -171,3 +171,59 @@ def test_python_functions_need_no_package_on_the_workers(tmp_path):
     done = subprocess.run([sys.executable, "-c", script], cwd="/", capture_output=True, text=True, timeout=120)
     assert done.returncode == 0, done.stderr
     assert abs(float(done.stdout)) < 1e-12
+
+
+def test_t_quantiles_and_exact_rank_sums():
+    from itertools import combinations
+
+    # Published two-sided 5 % points of t.
+    for df, point in ((1, 12.7062047), (2, 4.30265273), (5, 2.57058184), (30, 2.04227246), (1e9, 1.95996398)):
+        assert tails.t_quantile(0.05, df) == pytest.approx(point, rel=1e-8)
+    for df in (1, 3, 17, 1e4):
+        for p in (1.0, 0.6, 0.05, 1e-6):
+            assert tails.t_two_sided(tails.t_quantile(p, df), df) == pytest.approx(p, rel=1e-9)
+    for n1, n2 in ((1, 1), (1, 6), (3, 4), (5, 5), (2, 7)):
+        sums = [sum(chosen) - n1 * (n1 - 1) // 2 for chosen in combinations(range(n1 + n2), n1)]
+        for u in range(n1 * n2 + 1):
+            share = sum(s <= u for s in sums) / len(sums)
+            assert tails.rank_sum_cdf(u, n1, n2) == pytest.approx(share, rel=1e-12)
+            assert tails.rank_sum_cdf(u, n2, n1) == pytest.approx(share, rel=1e-12)
+    # Eight against thousands: the counts stay exact enough to meet the normal limit.
+    n1, n2 = 8, 20_000
+    u, sd = n1 * n2 / 2 - 2 * math.sqrt(n1 * n2 * (n1 + n2 + 1) / 12), 1
+    assert tails.rank_sum_cdf(u, n1, n2) == pytest.approx(tails.normal_sf(2) * sd, abs=2e-3)
+
+
+def test_small_sides_without_ties_are_exact(spark):
+    rows = [(1, float(v)) for v in (1, 2, 3)] + [(2, float(v)) for v in (4, 5, 6, 7)]
+    df = spark.createDataFrame(rows, "s int, v double")
+    found = hypothesis.mann_whitney(df, "v", F.col("s"), 1, 2).first()
+    # Published: U = 0 with 3 and 4 values has a two-sided p of 2 / 35.
+    assert (found.statistic, found.method) == (0.0, "exact")
+    assert found.p_value == pytest.approx(2 / 35)
+    tied = spark.createDataFrame([*rows, (2, 1.0)], "s int, v double")
+    assert hypothesis.mann_whitney(tied, "v", F.col("s"), 1, 2).first().method == "asymptotic"
+    many = spark.createDataFrame([(1 + k % 2, float(k)) for k in range(18)], "s int, v double")
+    assert hypothesis.mann_whitney(many, "v", F.col("s"), 1, 2).first().method == "asymptotic"
+
+
+def test_bootstrap_interval(spark):
+    import random
+
+    from curbflow.operators import demand
+
+    chance = random.Random(4)
+    rows = [(k, k % 3, chance.gauss(10, 2)) for k in range(900)] + [(1000, 7, 5.0), (1001, None, 5.0), (1002, 8, None)]
+    df = spark.createDataFrame(rows, "id long, hour int, journey_time double")
+    found = {r.hour: r for r in demand.mean_bootstrap(df.repartition(3), ["id"], replicates=400).collect()}
+    again = {r.hour: r for r in demand.mean_bootstrap(df.repartition(7), ["id"], replicates=400).collect()}
+    assert found.keys() == again.keys() == {0, 1, 2, 7}
+    for hour, row in found.items():  # the same draw however the rows lie
+        assert row.boot_low == pytest.approx(again[hour].boot_low) and row.boot_high == pytest.approx(again[hour].boot_high)
+    interval = {r.hour: r for r in demand.mean_interval(df).collect()}
+    for hour in (0, 1, 2):  # many rows: both intervals agree
+        width = interval[hour].ci_high - interval[hour].ci_low
+        assert found[hour].boot_low == pytest.approx(interval[hour].ci_low, abs=width / 8)
+        assert found[hour].boot_high == pytest.approx(interval[hour].ci_high, abs=width / 8)
+    assert (found[7].boot_low, found[7].boot_high) == (5.0, 5.0)
+    assert interval[7].ci_low is None and interval[8].n == 0
