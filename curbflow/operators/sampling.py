@@ -1,9 +1,10 @@
 """Exact, repeatable, stratified sampling by hash order.
 
 A row's place in the sample order is the hash of its key, so the same rows are
-drawn on every run and after a lost task. The n smallest hashes of a stratum are
-found by counting hash prefixes, then ordering only the rows of the one prefix
-the cut falls into; no stratum is ever sorted or ranked as a whole.
+drawn on every run and after a lost task. A histogram of hash prefixes per stratum,
+which also gives the sizes of the strata, says which prefix a cut falls into. A second
+reading keeps the rows up to that prefix, and only the rows of that one prefix are
+ordered; no stratum is ever sorted or ranked as a whole.
 """
 
 from __future__ import annotations
@@ -39,7 +40,10 @@ def sample_order(key: list[str], seed: int) -> Column:
 
 
 def sample_allocation(trips: DataFrame, total: int) -> DataFrame:
-    """Rows to draw per file: by cab type first, then by month within it."""
+    """Rows to draw per file: by cab type first, then by month within it.
+
+    ``trips`` has a row per trip, or counts in ``rows`` as ``hash_histogram`` has.
+    """
     counts = file_row_counts(trips)
     type_share = F.col("type_rows") / F.col("overall_rows")
     type_n = F.greatest(F.floor(type_share * F.lit(float(total))), F.lit(1))
@@ -50,22 +54,40 @@ def sample_allocation(trips: DataFrame, total: int) -> DataFrame:
     )
 
 
-def take_by_hash(df: DataFrame, sizes: DataFrame, by, key=None, seed: int = 42) -> DataFrame:
+def hash_histogram(df: DataFrame, by, key=None, seed: int = 42) -> DataFrame:
+    """Rows per stratum and hash prefix, combined before they travel and kept for several uses."""
+    return cut(
+        _hashed(df, row_key(df, key), seed).groupBy(*by, "_p").agg(F.count(F.lit(1)).alias("rows"))
+    )
+
+
+def _hashed(df: DataFrame, identity: list[str], seed: int) -> DataFrame:
+    order = sample_order(identity, seed)
+    return df.withColumn("_h", order).withColumn("_p", F.substring("_h", 1, _PREFIX_DIGITS))
+
+
+def take_by_hash(
+    df: DataFrame, sizes: DataFrame, by, key=None, seed: int = 42, histogram: DataFrame | None = None
+) -> DataFrame:
     """Exactly ``take`` rows per stratum (all rows if it has fewer).
 
     ``sizes`` has ``by`` and ``take``; strata without a row or with 0 are left out.
+    ``df`` is read once, and once more before that where its ``hash_histogram`` is not
+    at hand. What may be in the sample is written to the shared folder: the sample
+    itself and, per stratum, one hash prefix in 65,536.
     """
     by = list(by)
     identity = row_key(df, key)
-    order = sample_order(identity, seed)
-    hashed = df.withColumn("_h", order).withColumn("_p", F.substring("_h", 1, _PREFIX_DIGITS))
+    if histogram is None:
+        histogram = hash_histogram(df, by, key, seed)
+    hashed = _hashed(df, identity, seed)
 
     running = (
         Window.partitionBy(*by).orderBy("_p")
         .rowsBetween(Window.unboundedPreceding, Window.currentRow)
     )
     prefixes = (
-        hashed.groupBy(*by, "_p").agg(F.count(F.lit(1)).alias("_m"))
+        histogram.withColumnRenamed("rows", "_m")
         .withColumn("_upto", F.sum("_m").over(running))
         .withColumn("_size", F.sum("_m").over(Window.partitionBy(*by)))
         .join(sizes.where("take > 0").select(*by, "take"), by)
@@ -82,8 +104,10 @@ def take_by_hash(df: DataFrame, sizes: DataFrame, by, key=None, seed: int = 42)
         Window.partitionBy(*by).orderBy("_h")
         .rowsBetween(Window.unboundedPreceding, Window.currentRow)
     )
+    upto_edge = F.col("_edge").isNull() | (F.col("_p") <= F.col("_edge"))
+    candidates = cut(hashed.join(edges, by).where(upto_edge))
     stops = settle(
-        hashed.join(edges, by).where(F.col("_p") == F.col("_edge"))
+        candidates.where(F.col("_p") == F.col("_edge"))
         .groupBy(*by, "_h", "_need").agg(F.count(F.lit(1)).alias("_copies"))
         .withColumn("_upto", F.sum("_copies").over(within))
         .withColumn("_left", F.col("_need") - F.col("_upto") + F.col("_copies"))
@@ -97,7 +121,7 @@ def take_by_hash(df: DataFrame, sizes: DataFrame, by, key=None, seed: int = 42)
             (F.col("_left") < F.col("_copies")).alias("_split"),
         )
     )
-    drawn = hashed.join(limits, by)
+    drawn = candidates.drop("_need").join(limits, by)
     if limits.where("_split").isEmpty():
         return drawn.where(F.col("_h") <= F.col("_stop")).select(df.columns)
     surely = drawn.where((F.col("_h") < F.col("_stop"))
@@ -123,7 +147,8 @@ def _some_copies(tied: DataFrame, columns) -> DataFrame:
 
 def sample_stratified(trips: DataFrame, total: int, key=None, seed: int = 42) -> DataFrame:
     """Exact per-file samples by the proportional allocation."""
-    return take_by_hash(trips, settle(sample_allocation(trips, total)), FILE_KEYS, key, seed)
+    histogram = hash_histogram(trips, FILE_KEYS, key, seed)
+    return take_by_hash(trips, settle(sample_allocation(histogram, total)), FILE_KEYS, key, seed, histogram)
 
 
 def sample_total(df: DataFrame, n: int, key=None, seed: int = 42) -> DataFrame:
@@ -142,10 +167,11 @@ def sample_all_cabs(
 
     It can only be larger when rounding small cab types up to one row adds some.
     """
-    sizes = settle(sample_allocation(trips, total))
-    drawn = take_by_hash(trips, sizes, FILE_KEYS, key, seed)
+    histogram = hash_histogram(trips, FILE_KEYS, key, seed)
+    sizes = settle(sample_allocation(histogram, total))
+    drawn = take_by_hash(trips, sizes, FILE_KEYS, key, seed, histogram)
     planned = sizes.agg(F.sum("take")).first()[0] or 0
-    return sample_total(cut(drawn), total, key, seed) if planned > total else drawn
+    return sample_total(drawn, total, key, seed) if planned > total else drawn
 
 
 def sample_year(

@@ -96,3 +96,22 @@ def test_rows_that_share_a_key_are_drawn_to_the_exact_number(spark, n):
     assert first.count() == n
     again = sampling.sample_total(df.repartition(5), n, ["k"])
     assert sorted(first.collect()) == sorted(again.collect())
+
+
+def test_a_sample_reads_its_source_twice(spark, tmp_path):
+    """Once for the histogram, once for the rows; what follows reads the kept rows."""
+    path = str(tmp_path / "trips")
+    files(spark, SIZES).coalesce(1).write.parquet(path)
+    reads = spark.sparkContext.accumulator(0)
+
+    def counted(batches):
+        reads.add(1)
+        yield from batches
+
+    trips = spark.read.parquet(path).coalesce(1)
+    trips = trips.mapInArrow(counted, trips.schema)
+    drawn = sampling.sample_stratified(trips, 100, ["trip"])
+    assert drawn.count() == drawn.distinct().count()
+    assert reads.value == 2
+    plain = sampling.sample_stratified(spark.read.parquet(path), 100, ["trip"])
+    assert sorted(drawn.collect()) == sorted(plain.collect())
