@@ -359,6 +359,32 @@ query("incremental_daily")(lambda spark, sf_dir: _streamed(spark, sf_dir, increm
 query("incremental_weekday_hour")(
     lambda spark, sf_dir: _streamed(spark, sf_dir, incremental.weekday_hour_totals)
 )
+def _resumed(spark, sf_dir, aggregate, keys) -> DataFrame:
+    """Half of the year's files arrive and are summed; the stream stops; the rest arrives and it goes on."""
+    landing, out, seen = (fresh_path(spark, label) for label in ("landing", "keyed-totals", "stream-state"))
+    schema = "pickup_datetime timestamp_ntz, DOLocationID int, VendorID int, total_amount double"
+    for months in ("file_month <= 6", "file_month > 6"):
+        arrived = fixture.trips(spark, sf_dir).where(months).repartition(4)
+        arrived.select("pickup_datetime", "DOLocationID", "VendorID", "total_amount").write.mode("append").parquet(landing)
+        stream = _this_year(incremental.stream_trips(spark, landing, schema))
+        totals = incremental.run_keyed(stream, aggregate, keys, out, seen, fold_every=2)
+    return totals
+
+
+@query("incremental_fares_at_dropoff")
+def _(spark, sf_dir):
+    totals = _resumed(spark, sf_dir, incremental.amounts_by_zone_hour, ["DOLocationID", "hour"])
+    return incremental.fares_at_zone(totals, fixture.DROPOFF)
+
+
+@query("incremental_grid_at_dropoff")
+def _(spark, sf_dir):
+    keys = ["DOLocationID", "weekday_no", "hour"]
+    return incremental.grid_at_zone(
+        _resumed(spark, sf_dir, incremental.trips_by_zone_weekday_hour, keys), fixture.DROPOFF
+    )
+
+
 on_trips("group_summary", lambda t: demand.group_summary(demand.positive_journeys(t)))
 on_trips("box_stats_by_hour", lambda t: demand.box_stats(demand.positive_journeys(t)))
 on_trips("mean_ci_by_hour", lambda t: demand.mean_interval(demand.positive_journeys(t)))

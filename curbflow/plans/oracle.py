@@ -903,6 +903,8 @@ def statements() -> dict[str, str]:
     q["incremental_weekday_hour"] = _with(
         f"""SELECT CAST(isodow(pickup_datetime) - 1 AS INTEGER) AS weekday_no, {HOUR} AS hour, COUNT(VendorID) AS trips
         FROM trips WHERE {THIS_YEAR} GROUP BY 1, 2""", "trips")
+    q["incremental_fares_at_dropoff"] = q["avg_fare_by_hour_at_dropoff"]
+    q["incremental_grid_at_dropoff"] = q["weekday_hour_grid"]
     q["group_summary"] = _with(
         f"SELECT hour, {_r('AVG(journey_time) AS mean', 'median(journey_time) AS median', 'STDDEV_SAMP(journey_time) AS std')}"
         " FROM journeys GROUP BY hour", "journeys")
