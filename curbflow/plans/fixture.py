@@ -8,6 +8,8 @@ from __future__ import annotations
 
 import hashlib
 
+import pyarrow as pa
+import pyarrow.parquet as pq
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -241,11 +243,20 @@ def monthly_files(spark: SparkSession, sf_dir: str) -> str:
 
 
 # Files spoilt in a second set of monthly files: cab type, month, what is wrong.
-SPOILT = (("green", 2, "junk"), ("fhv", 3, "empty"), ("hvfhv", 4, "damaged"))
+SPOILT = (("green", 2, "junk"), ("fhv", 3, "empty"), ("hvfhv", 4, "damaged"), ("yellow", 5, "flipped"))
+
+
+def _end_of_last_page(content: bytes) -> int:
+    """Place of the last byte of a file's last page, which is part of a value."""
+    group = pq.ParquetFile(pa.BufferReader(content)).metadata.row_group(0)
+    column = group.column(group.num_columns - 1)
+    first = min(p for p in (column.dictionary_page_offset, column.data_page_offset) if p)
+    return first + column.total_compressed_size - 1
 
 
 def spoilt_files(spark: SparkSession, sf_dir: str) -> str:
-    """As ``monthly_files``, with one file of junk, one empty and one with a damaged page."""
+    """As ``monthly_files``, with one file of junk, one empty, one with a page that cannot be
+    read and one with a page that still decodes, to another value."""
     key = (spark.sparkContext.applicationId, sf_dir, "spoilt")
     if key not in _stored:
         sound, root = monthly_files(spark, sf_dir), fresh_path(spark, "spoilt")
@@ -262,11 +273,14 @@ def spoilt_files(spark: SparkSession, sf_dir: str) -> str:
             for status in system.listStatus(folder):
                 path = status.getPath()
                 content = bytearray(b"not a table")
-                if how == "damaged":
+                if how in ("damaged", "flipped"):
                     source = system.open(path)
                     content = bytearray(spark._jvm.org.apache.commons.io.IOUtils.toByteArray(source))
                     source.close()
-                    content[4:52] = bytes([255]) * 48  # the first page; the footer stays whole
+                    if how == "damaged":
+                        content[4:52] = bytes([255]) * 48  # the first page; the footer stays whole
+                    else:
+                        content[_end_of_last_page(bytes(content))] ^= 1
                 out = system.create(path, True)
                 if how != "empty":
                     out.write(content)

@@ -709,7 +709,7 @@ def statements() -> dict[str, str]:
         f"SELECT {FILE}, pickup_datetime, DOLocationID, "
         + _r(f"{metered['total_amount']} AS total_amount") + " FROM trips", "trips")
     spoilt = ", ".join(
-        f"('{cab}', {month}, '{'damaged' if how == 'damaged' else 'unreadable'}')" for cab, month, how in fixture.SPOILT
+        f"('{cab}', {month}, '{'damaged' if how in ('damaged', 'flipped') else 'unreadable'}')" for cab, month, how in fixture.SPOILT
     )
     bad = f"(VALUES {spoilt}) b(cab_type, file_month, error)"
     q["bad_files"] = _with(

@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import json
 import re
+import uuid
 import warnings
 from concurrent.futures import ThreadPoolExecutor
 from functools import reduce
@@ -10,7 +12,7 @@ from urllib.parse import unquote
 
 from py4j.protocol import Py4JJavaError
 from pyspark.errors import PySparkException
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -31,6 +33,12 @@ CLEANED_PATTERN = {
 }
 
 
+# Pages carry a checksum when written and are held against it when read; pages of files
+# that other writers left without one are read as they are.
+WRITE_CHECKSUMS = {"parquet.page.write-checksum.enabled": "true"}
+VERIFY_CHECKSUMS = {"parquet.page.verify-checksum.enabled": "true"}
+
+
 def _hadoop_path(spark: SparkSession, path: str):
     """A path and the file system it lives on."""
     place = spark._jvm.org.apache.hadoop.fs.Path(path)
@@ -79,9 +87,9 @@ def _why_unreadable(spark: SparkSession, path: str) -> str | None:
 def _rows_read(spark: SparkSession, paths: list[str], schema=None) -> dict[str, int]:
     """Rows per file that a lenient scan yields: by footers alone, or by reading ``schema``.
 
-    The result has a row per file, like the listing it is compared with.
+    A page whose bytes do not meet their checksum ends its file there. The result has a row per file, like the listing it is compared with.
     """
-    reader = spark.read.option("ignoreCorruptFiles", "true").schema(schema or "_absent int")
+    reader = spark.read.options(ignoreCorruptFiles="true", **VERIFY_CHECKSUMS).schema(schema or "_absent int")
     scan = reader.parquet(*paths).withColumn("_path", F.col("_metadata.file_path"))
     # A hash of every column makes the scan read every page.
     seen = F.lit(0) if schema is None else F.xxhash64(*[F.col(f"`{c}`") for c in schema.names])
@@ -101,8 +109,9 @@ def file_manifest(
     """What is known of every monthly file: keys, ``path``, ``rows`` and ``error`` (None if sound).
 
     One listing per cab type and one distributed pass over the footers. ``deep`` also
-    reads every page, so that damage a footer does not show is found. A bad file counts
-    as bad whole: its ``rows`` are 0.
+    reads every page and its checksum, so that damage a footer does not show is found,
+    damage that would still decode included. A bad file counts as bad whole: its ``rows``
+    are 0.
     """
     files = [
         {"cab_type": cab, "file_year": year, "file_month": month, "path": path, "rows": 0, "error": None}
@@ -160,7 +169,7 @@ def _scan(
     columns, row_ids: bool,
 ) -> DataFrame:
     """One scan over files of equal schema, in canonical form with file keys."""
-    raw = spark.read.schema(schema).option("ignoreCorruptFiles", "false").parquet(*paths)
+    raw = spark.read.schema(schema).options(ignoreCorruptFiles="false", **VERIFY_CHECKSUMS).parquet(*paths)
     keys = {"cab_type": F.lit(cab_type), "file_year": F.lit(year), "file_month": month}
     if row_ids:
         keys["source_file"] = F.col("_metadata.file_path")
@@ -236,20 +245,107 @@ def write_monthly(trips: DataFrame, root: str, rebalance: bool = False) -> None:
     what it read and nothing is shuffled. For trips in another order ``rebalance``
     gathers partitions first, letting adaptive execution split a month that holds
     much of the data and merge small ones.
+
+    The write is staged: partitions go to a folder of their own, their rows are counted
+    from the files and held against the rows that were to be written, and one rename
+    publishes a manifest of the partitions that now make up the table. Readers see the
+    table before or after, whatever is lost on the way. Replaced partitions are
+    removed once the next write has been published.
     """
-    keys = ["cab_type", "year", "month"]
+    spark = trips.sparkSession
+    former, number = _manifest(spark, root)
+    version = f"{root}/data/version={number + 1}-{uuid.uuid4().hex[:12]}"
     out = trips.withColumnsRenamed({"file_year": "year", "file_month": "month"})
+    seen = Observation()
+    staged = out.observe(seen, F.count(F.lit(1)).alias("rows"))
     if rebalance:
-        out = out.hint("rebalance", *keys)
-    (
-        out.write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
-        .partitionBy(*keys).parquet(root)
+        staged = staged.hint("rebalance", *PARTITIONS)
+    staged.write.options(**WRITE_CHECKSUMS).partitionBy(*PARTITIONS).parquet(version)
+    expected = seen.get["rows"]
+    written = _partitions_of(spark, version) if expected else []
+    if sum(p["rows"] for p in written) != expected:
+        raise RuntimeError(f"{sum(p['rows'] for p in written)} of {expected} rows arrived in {version}")
+    replaced = {tuple(p["key"]) for p in written}
+    kept = [p for p in former["partitions"] if tuple(p["key"]) not in replaced]
+    schema = former["schema"] if not expected and former["schema"] else out.schema.json()
+    _publish(spark, root, number + 1, {"partitions": [*kept, *written], "schema": schema})
+    _remove_unlisted(spark, root, number)
+
+
+PARTITIONS = ["cab_type", "year", "month"]
+
+
+def _partitions_of(spark: SparkSession, version: str) -> list[dict]:
+    """Key, folder and rows of every partition of a written version, rows taken from the footers."""
+    counted = (
+        spark.read.parquet(version).groupBy(*PARTITIONS)
+        .agg(F.count(F.lit(1)).alias("rows"), F.min("_metadata.file_path").alias("path")).collect()
     )
+    return [
+        {"key": [r[k] for k in PARTITIONS], "rows": r["rows"], "path": unquote(r["path"].rsplit("/", 1)[0])}
+        for r in counted
+    ]
+
+
+def _manifest(spark: SparkSession, root: str) -> tuple[dict, int]:
+    """The newest published manifest and its number; an empty one and 0 before the first."""
+    place, system = _hadoop_path(spark, f"{root}/manifest")
+    numbers = [
+        int(status.getPath().getName()[:-5])
+        for status in (system.listStatus(place) if system.exists(place) else [])
+        if status.getPath().getName().endswith(".json") and not status.getPath().getName().startswith((".", "_"))
+    ]
+    if not numbers:
+        return {"partitions": [], "schema": None}, 0
+    source = system.open(_hadoop_path(spark, f"{root}/manifest/{max(numbers)}.json")[0])
+    content = bytes(spark._jvm.org.apache.commons.io.IOUtils.toByteArray(source))
+    source.close()
+    return json.loads(content), max(numbers)
+
+
+def _publish(spark: SparkSession, root: str, number: int, manifest: dict) -> None:
+    """Make a manifest the newest one by a single rename."""
+    draft, system = _hadoop_path(spark, f"{root}/manifest/_draft-{uuid.uuid4().hex}")
+    out = system.create(draft, True)
+    out.write(bytearray(json.dumps(manifest).encode()))
+    out.close()
+    place = _hadoop_path(spark, f"{root}/manifest/{number}.json")[0]
+    if system.exists(place) or not system.rename(draft, place):
+        raise RuntimeError(f"another writer has published version {number} of {root}")
+
+
+def _remove_unlisted(spark: SparkSession, root: str, number: int) -> None:
+    """Remove versions that neither the newest manifest nor number ``number`` before it refers to."""
+    newest, _ = _manifest(spark, root)
+    listed = list(newest["partitions"])
+    before, system = _hadoop_path(spark, f"{root}/manifest/{number}.json")
+    if system.exists(before):
+        source = system.open(before)
+        listed += json.loads(bytes(spark._jvm.org.apache.commons.io.IOUtils.toByteArray(source)))["partitions"]
+        source.close()
+    used = {p["path"].rsplit("/version=", 1)[1].split("/", 1)[0] for p in listed}
+    for kind, keep in (
+        ("data", lambda name: name.removeprefix("version=") in used or int(name[8:].split("-")[0]) > number + 1),
+        ("manifest", lambda name: name.startswith("_") or int(name[:-5]) >= number),
+    ):
+        place = _hadoop_path(spark, f"{root}/{kind}")[0]
+        for status in system.listStatus(place) if system.exists(place) else []:
+            if not keep(status.getPath().getName()):
+                system.delete(status.getPath(), True)
 
 
 def read_monthly(spark: SparkSession, root: str) -> DataFrame:
-    """Read back what ``write_monthly`` wrote; partition filters prune folders."""
-    return spark.read.parquet(root).withColumnsRenamed({"year": "file_year", "month": "file_month"})
+    """Read what ``write_monthly`` published last; partition filters prune folders."""
+    manifest, number = _manifest(spark, root)
+    if not number:
+        raise FileNotFoundError(f"nothing was published at {root}")
+    paths = [p["path"] for p in manifest["partitions"]]
+    if paths:
+        reader = spark.read.options(basePath=f"{root}/data", **VERIFY_CHECKSUMS)
+        table = reader.parquet(*paths).drop("version")
+    else:
+        table = spark.createDataFrame([], T.StructType.fromJson(json.loads(manifest["schema"])))
+    return table.withColumnsRenamed({"year": "file_year", "month": "file_month"})
 
 
 def _finished(spark: SparkSession, path: str) -> bool:

@@ -143,3 +143,76 @@ def test_running_totals_continue_and_equal_the_batch(spark, tmp_path):
 
 def test_latest_before_the_first_batch(spark, tmp_path):
     assert incremental.latest(spark, str(tmp_path / "none"), "hour int, trips bigint").count() == 0
+
+
+def test_a_flipped_bit_that_still_decodes_is_found(spark, tmp_path):
+    import pyarrow.parquet as pq
+
+    root = str(tmp_path)
+    for n in (1, 2):
+        month(spark, 50).coalesce(1).write.option("compression", "none").parquet(f"{root}/yellow_tripdata_2024-0{n}.parquet")
+    folder = f"{root}/yellow_tripdata_2024-02.parquet"
+    name = next(f for f in os.listdir(folder) if f.endswith(".parquet"))
+    meta = pq.ParquetFile(f"{folder}/{name}").metadata.row_group(0)
+    column = next(meta.column(k) for k in range(meta.num_columns) if meta.column(k).path_in_schema == "total_amount")
+    start = min(p for p in (column.dictionary_page_offset, column.data_page_offset) if p)
+    content = bytearray(open(f"{folder}/{name}", "rb").read())
+    content[start + column.total_compressed_size - 1] ^= 1
+    with open(f"{folder}/{name}", "wb") as out:
+        out.write(content)
+    os.remove(f"{folder}/.{name}.crc")
+    assert spark.read.parquet(folder).count() == 50
+    assert spark.read.parquet(folder).selectExpr("sum(total_amount)").first() is not None  # it decodes
+    listed = files.file_manifest(spark, root, ["yellow"], deep=True)
+    assert [(f["file_month"], f["rows"], (f["error"] or "").split(":")[0]) for f in listed] == [(1, 50, ""), (2, 0, "damaged")]
+    trips = files.read_trips(spark, root, ["yellow"], months=[2])
+    with pytest.raises(Exception):  # noqa: B017 wrong values are worse than a failed read
+        trips.collect()
+
+
+def some_trips(spark, months, n, tag):
+    return spark.range(n).select(
+        F.lit("yellow").alias("cab_type"), F.lit(2024).alias("file_year"),
+        (F.col("id") % months + 1).cast("int").alias("file_month"), "id", F.lit(tag).alias("tag"),
+    )
+
+
+@pytest.mark.parametrize("died_at", ["_partitions_of", "_publish", "_remove_unlisted"])
+def test_a_write_killed_half_way_leaves_a_whole_version(spark, tmp_path, monkeypatch, died_at):
+    root = str(tmp_path / "table")
+    files.write_monthly(some_trips(spark, 3, 9, "old"), root)
+
+    def dies(*_):
+        raise KeyboardInterrupt
+
+    with monkeypatch.context() as broken:
+        broken.setattr(files, died_at, dies)
+        with pytest.raises(KeyboardInterrupt):
+            files.write_monthly(some_trips(spark, 2, 8, "new"), root)
+    published = died_at == "_remove_unlisted"
+    tags = {(r.file_month, r.tag): r["n"] for r in files.read_monthly(spark, root).groupBy("file_month", "tag").agg(F.count("*").alias("n")).collect()}
+    assert tags == ({(1, "new"): 4, (2, "new"): 4, (3, "old"): 3} if published else {(m, "old"): 3 for m in (1, 2, 3)})
+    files.write_monthly(some_trips(spark, 1, 5, "newest"), root)
+    files.write_monthly(some_trips(spark, 3, 6, "last"), root)
+    files.write_monthly(some_trips(spark, 3, 6, "last of all"), root)
+    assert {r.tag for r in files.read_monthly(spark, root).collect()} == {"last of all"}
+    assert len(os.listdir(f"{root}/data")) == 2  # the newest version and the one before
+
+
+def test_a_task_that_fails_publishes_nothing(spark, tmp_path):
+    root = str(tmp_path / "table")
+    files.write_monthly(some_trips(spark, 2, 6, "old"), root)
+    bad = some_trips(spark, 2, 6, "new").withColumn("id", F.expr("if(id = 5, raise_error('lost'), id)"))
+    with pytest.raises(Exception, match="lost"):
+        files.write_monthly(bad, root)
+    assert {r.tag for r in files.read_monthly(spark, root).collect()} == {"old"}
+    files.write_monthly(some_trips(spark, 2, 6, "x").where("id > 99"), root)
+    assert files.read_monthly(spark, root).count() == 6
+
+
+def test_an_empty_table_can_be_published(spark, tmp_path):
+    root = str(tmp_path / "table")
+    files.write_monthly(some_trips(spark, 2, 6, "x").where("id > 99"), root)
+    assert files.read_monthly(spark, root).columns == ["cab_type", "file_year", "file_month", "id", "tag"]
+    with pytest.raises(FileNotFoundError):
+        files.read_monthly(spark, str(tmp_path / "never"))
