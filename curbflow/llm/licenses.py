@@ -91,9 +91,17 @@ TEMPLATES = {
 TELLING = {"BSD-2-Clause": (_BSD_NAMES, False), "BSD-3-Clause": (_BSD_NAMES, True)}
 
 MIN_COVERAGE = 0.8
+# Words from the first to the last of a statement, foreign ones included, per word of its template.
+MAX_SPAN = 16
 WORD = re.compile(r"\w+(?:[.-]\w+)*")
 
 
+def lowered(text: str) -> str:
+    """Lower case, character for character: one that would become two stays as it is."""
+    low = text.lower()
+    return low if len(low) == len(text) else "".join(c.lower() if len(c.lower()) == 1 else c for c in text)
+
+
 def words_of(text: str) -> list[str]:
     return WORD.findall(text.lower())
 
@@ -144,7 +152,11 @@ def align(text: list[str], template: list[str]) -> list[tuple[int, int]]:
 class Scanner:
     """Finds the stretches of a text that cover a template."""
 
-    def __init__(self, templates: dict[str, str], min_coverage: float, telling: dict[str, tuple[str, bool]] | None = None):
+    def __init__(
+        self, templates: dict[str, str], min_coverage: float, telling: dict[str, tuple[str, bool]] | None = None,
+        max_span: int | None = MAX_SPAN,
+    ):
+        self.max_span = max_span
         self.words = {name: words_of(t) for name, t in templates.items()}
         self.words = {name: w for name, w in self.words.items() if w}
         self.least = {name: max(1, int(np.ceil(min_coverage * len(w)))) for name, w in self.words.items()}
@@ -166,7 +178,7 @@ class Scanner:
 
     def scan(self, text: str) -> Iterator[tuple[str, float, int, int, list[tuple[int, int]]]]:
         """Template, coverage, first and last character, and matched runs as (character, length)."""
-        low = text.lower()
+        low = lowered(text)
         names = [n for n, keys in self.keys.items() if any(k in low for k in keys)]
         if not names:
             return
@@ -178,46 +190,103 @@ class Scanner:
             at = np.array([k for k, w in enumerate(words) if w in own], np.int64)
             if len(at) < least:
                 continue
-            # Stretches at most twice the template's length that hold enough of its words.
-            reach = 2 * len(template)
-            near = np.flatnonzero(at[least - 1 :] - at[: len(at) - least + 1] < reach)
-            end = -1
-            for k in near.tolist():
-                if at[k] < end:
-                    continue
-                first, last = int(at[k]), int(min(len(words), at[k] + reach))
-                pairs = align(words[first:last], template)
-                if len(pairs) < least:
-                    continue
-                # Other words in front may have cut the end of the license off.
-                while len(pairs) < len(template):
-                    last = min(len(words), first + pairs[-1][0] + 1 + reach)
-                    longer = align(words[first:last], template)
-                    if len(longer) <= len(pairs):
+            free = [(0, len(words))]
+            for places in self._close(words, at, template, least):
+                free = without(free, places[0], places[-1] + 1)
+                if self.told(name, words[places[0] : places[-1] + 1]):
+                    yield self._hit(name, places, hits, template)
+            for places in self._spread(words, at, template, least, own, free):
+                if self.told(name, words[places[0] : places[-1] + 1]):
+                    yield self._hit(name, places, hits, template)
+
+    @staticmethod
+    def _hit(name: str, places: list[int], hits: list[re.Match], template: list[str]):
+        cuts = [0, *[i for i in range(1, len(places)) if places[i] != places[i - 1] + 1], len(places)]
+        runs = [
+            (hits[places[i]].start(), hits[places[j - 1]].end() - hits[places[i]].start())
+            for i, j in zip(cuts, cuts[1:])
+        ]
+        return name, len(places) / len(template), hits[places[0]].start(), hits[places[-1]].end(), runs
+
+    @staticmethod
+    def _close(words: list[str], at: np.ndarray, template: list[str], least: int) -> Iterator[list[int]]:
+        """Aligned words of statements that lie within twice the template's length, one after another."""
+        reach = 2 * len(template)
+        near = np.flatnonzero(at[least - 1 :] - at[: len(at) - least + 1] < reach)
+        end = -1
+        for k in near.tolist():
+            if at[k] < end:
+                continue
+            first, last = int(at[k]), int(min(len(words), at[k] + reach))
+            pairs = align(words[first:last], template)
+            if len(pairs) < least:
+                continue
+            # Other words in front may have cut the end of the license off.
+            while len(pairs) < len(template):
+                last = min(len(words), first + pairs[-1][0] + 1 + reach)
+                longer = align(words[first:last], template)
+                if len(longer) <= len(pairs):
+                    break
+                pairs = longer
+            places = [first + x for x, _ in pairs]
+            # An earlier copy may begin before its last words: go on after what aligned.
+            end = places[-1] + 1
+            yield places
+
+    def _spread(
+        self, words: list[str], at: np.ndarray, template: list[str], least: int, own: Counter, free: list[tuple[int, int]]
+    ) -> Iterator[list[int]]:
+        """Aligned words of statements with more foreign words between their parts.
+
+        Windows double from four times the template's length, each overlapping the next by
+        half, so a statement lies whole in a window at most four times as long as it is. Words of
+        statements found already are left out. A window without enough of the template's words,
+        each counted as often as the template has it, is passed over.
+        """
+        most = len(words) if self.max_span is None else self.max_span * len(template)
+        reach = 4 * len(template)
+        while reach < 4 * most:
+            found = []
+            for low, high in free:
+                start = low
+                while start < high:
+                    stop = min(high, start + reach)
+                    inside = Counter(words[p] for p in at[np.searchsorted(at, start) : np.searchsorted(at, stop)].tolist())
+                    if sum((inside & own).values()) >= least:
+                        pairs = align(words[start:stop], template)
+                        if len(pairs) >= least and pairs[-1][0] - pairs[0][0] < most:
+                            places = [start + x for x, _ in pairs]
+                            found.append(places)
+                            yield places
+                            start = places[-1] + 1
+                            continue
+                    if stop == high:
                         break
-                    pairs = longer
-                places = [first + x for x, _ in pairs]
-                # An earlier copy may begin before its last words: go on after what aligned.
-                end = places[-1] + 1
-                if not self.told(name, words[places[0] : end]):
-                    continue
-                cuts = [0, *[i for i in range(1, len(places)) if places[i] != places[i - 1] + 1], len(places)]
-                runs = [
-                    (hits[places[i]].start(), hits[places[j - 1]].end() - hits[places[i]].start())
-                    for i, j in zip(cuts, cuts[1:])
-                ]
-                yield name, len(pairs) / len(template), hits[places[0]].start(), hits[places[-1]].end(), runs
+                    start += max(1, reach // 2)
+            for places in found:
+                free = without(free, places[0], places[-1] + 1)
+            if reach >= 2 * len(words):
+                break
+            reach *= 2
+
+
+def without(free: list[tuple[int, int]], start: int, stop: int) -> list[tuple[int, int]]:
+    """The ranges of ``free`` without one range."""
+    cut = [part for low, high in free for part in ((low, min(high, start)), (max(low, stop), high))]
+    return [(low, high) for low, high in cut if low < high]
 
 
 def scan_licenses(
     docs: DataFrame, templates: dict[str, str] | None = None, min_coverage: float = MIN_COVERAGE,
-    id_col: str = "doc_id", text_col: str = "text",
+    max_span: int | None = MAX_SPAN, id_col: str = "doc_id", text_col: str = "text",
 ) -> DataFrame:
     """One row per document, template and place where the template is covered.
 
     Returns ``doc_id``, ``license``, ``coverage``, ``start`` and ``stop`` (characters of
-    the lowered text) and ``runs``, the stretches of words that align one after another.
-    Case and punctuation are ignored. A license stated twice gives two rows; a null or
+    the text) and ``runs``, the stretches of words that align one after another.
+    Case and punctuation are ignored. Other words may stand between the parts of a
+    statement; with them it may be ``max_span`` times as long as its template, with None
+    as long as the text. A license stated twice gives two rows; a null or
     empty text, or one without licenses, gives none; repeated rows give their hits
     each, a null id is kept, other columns are not read. Templates are a parameter:
     a short list shipped with the function; coverage is over a template's whole text, so
@@ -225,7 +294,7 @@ def scan_licenses(
     built-in ones, BSD-2-Clause and BSD-3-Clause are told apart by the clause on names.
     A narrow step without shuffles.
     """
-    scanner = Scanner(templates, min_coverage) if templates else Scanner(TEMPLATES, min_coverage, TELLING)
+    scanner = Scanner(templates or TEMPLATES, min_coverage, None if templates else TELLING, max_span)
     rows = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
     kind = rows.schema["doc_id"].dataType.simpleString()
     run_type = pa.list_(pa.struct([("start", pa.int64()), ("length", pa.int64())]))

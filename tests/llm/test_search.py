@@ -5,9 +5,13 @@ import random
 
 import numpy as np
 import pytest
+from hypothesis import given, settings
+from hypothesis import strategies as st
 
 from curbflow.llm import chat, html_text, licenses, vantage
 
+from .conftest import prose
+
 SCHEMA = "vec_id long, embedding array<float>, label int, dim string, shard string, vector string"
 
 
@@ -220,3 +224,46 @@ def test_rotation(spark, segment):
             wanted[conv, who] = render(turns, who)
     assert views == wanted
     assert chat.rotate(table.where("false")).count() == 0
+
+
+def test_parts_of_a_statement_may_lie_apart():
+    words = prose(11, 4000).split()
+    for foreign in (5, 30, 90):
+        text = " ".join([*words[:50], "Licensed under the", *words[50 : 50 + foreign], "Apache License, Version 2.0.", *words[200:900]])
+        scanner = licenses.Scanner(licenses.TEMPLATES, licenses.MIN_COVERAGE, licenses.TELLING)
+        found = [hit for hit in scanner.scan(text) if "Apache" in hit[0]]
+        assert [text[start:stop] for _, _, start, stop, _ in found] == [text[text.index("Licensed") : text.index("2.0") + 3]], foreign
+    far = " ".join(["Licensed under the", *words[:2000], "Apache License, Version 2.0."])
+    assert not list(scanner.scan(far))
+    unbound = licenses.Scanner(licenses.TEMPLATES, licenses.MIN_COVERAGE, licenses.TELLING, max_span=None)
+    assert [far[s:e] for n, _, s, e, _ in unbound.scan(far) if "Apache" in n] == [far[:-1]]
+
+
+def test_spread_statements_beside_close_ones():
+    words = prose(12, 900).split()
+    close, apart = "alpha beta gamma delta epsilon", ["alpha beta", *words[:40], "gamma delta epsilon"]
+    text = " ".join([*words[100:160], close, *words[160:300], *apart, *words[300:700], close, *words[700:800]])
+    scanner = licenses.Scanner({"T": close}, 0.8)
+    found = sorted((s, text[s:e]) for _, _, s, e, _ in scanner.scan(text))
+    assert [t for _, t in found] == [close, " ".join(apart), close]
+
+
+def test_offsets_are_those_of_the_text():
+    text = "İİİ notes. All rights reserved. İ"
+    hits = list(licenses.Scanner(licenses.TEMPLATES, licenses.MIN_COVERAGE, licenses.TELLING).scan(text))
+    assert [text[s:e] for _, _, s, e, _ in hits] == ["All rights reserved"]
+
+
+@settings(max_examples=150, deadline=None)
+@given(st.lists(st.sampled_from("abcdefg"), max_size=14), st.lists(st.sampled_from("abcdefg"), min_size=1, max_size=8))
+def test_alignment_is_a_common_subsequence_no_longer_than_the_longest(text, template):
+    pairs = licenses.align(text, template)
+    assert all(text[a] == template[b] for a, b in pairs)
+    assert all(p[0] < q[0] and p[1] < q[1] for p, q in zip(pairs, pairs[1:]))
+    best = [[0] * (len(template) + 1) for _ in range(len(text) + 1)]
+    for i, a in enumerate(text):
+        for j, b in enumerate(template):
+            best[i + 1][j + 1] = best[i][j] + 1 if a == b else max(best[i][j + 1], best[i + 1][j])
+    assert len(pairs) <= best[-1][-1]
+    if len(set(text)) == len(text) and len(set(template)) == len(template):
+        assert len(pairs) == best[-1][-1]  # every word is an anchor
