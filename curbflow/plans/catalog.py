@@ -450,8 +450,18 @@ def _(spark, sf_dir):
 # ---- geometry ----------------------------------------------------------------
 
 query("zone_centroids")(
-    lambda spark, sf_dir: geometry.zone_centroids(fixture.zone_vertices(spark, sf_dir))
+    lambda spark, sf_dir: geometry.zone_centroids(fixture.zone_vertices(spark, sf_dir), oriented=True)
 )
+@query("zone_centroids_any_order")
+def _(spark, sf_dir):
+    """Rings renumbered, many of them run backwards or left open: the same centroids."""
+    vertices = fixture.zone_vertices(spark, sf_dir)
+    disturbed = vertices.where("NOT (part % 3 = 0 AND seq = CASE ring WHEN 0 THEN 5 ELSE 4 END)").selectExpr(
+        "LocationID", "part", "7 - ring AS ring", "CASE WHEN part % 2 = ring THEN -seq ELSE seq END AS seq", "x", "y"
+    )
+    return geometry.zone_centroids(disturbed)
+
+
 query("zone_lonlat")(lambda spark, sf_dir: geometry.with_lonlat(fixture.centroids(spark, sf_dir)))
 query("zone_outline_lonlat")(
     lambda spark, sf_dir: geometry.with_lonlat(fixture.zone_vertices(spark, sf_dir), "x", "y")

@@ -337,7 +337,7 @@ def centroids(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     def derive() -> DataFrame:
         listed = zones(spark, sf_dir).select("LocationID")
-        return centroids_of(stored_vertices(spark, sf_dir)).join(listed, "LocationID", "left_semi")
+        return centroids_of(stored_vertices(spark, sf_dir), oriented=True).join(listed, "LocationID", "left_semi")
 
     return settle(_stored_once(spark, sf_dir, "centroids", derive))
 

@@ -969,7 +969,7 @@ def statements() -> dict[str, str]:
         (SELECT PULocationID FROM top5 UNION SELECT DOLocationID FROM top5)""", "totals", "top5")
 
     # geometry
-    q["zone_centroids"] = _with(f"SELECT LocationID, {_r('x_ft', 'y_ft')} FROM centroids", "centroids")
+    q["zone_centroids"] = q["zone_centroids_any_order"] = _with(f"SELECT LocationID, {_r('x_ft', 'y_ft')} FROM centroids", "centroids")
     q["zone_lonlat"] = _with(
         _lonlat_query("listed_centroids", f"LocationID, {_r('x_ft', 'y_ft')}", "x_ft", "y_ft"), "listed_centroids")
     q["zone_outline_lonlat"] = _with(

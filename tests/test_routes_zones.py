@@ -107,6 +107,7 @@ def test_centroid_of_a_square_with_a_hole_and_two_parts(spark):
         "LocationID int, part int, ring int, seq int, x double, y double",
     )
     row = geometry.zone_centroids(vertices).first()
+    assert geometry.zone_centroids(vertices, oriented=True).first() == pytest.approx(row)
     # Right half: area 8 at (3, 2); far part: area 8 at (12, 1).
     assert (row.x_ft, row.y_ft) == pytest.approx((7.5, 1.5))
 
@@ -125,3 +126,48 @@ def test_missing_centroid_means_no_distance(spark, sample):
     assert out.count() == sample.count()
     assert {r.distance_miles for r in out.select("distance_miles").distinct().collect()} == {0.0}
     assert out.where(F.col("distance_miles").isNull()).count() == 0
+
+
+def shapes():
+    """Zone -> parts -> rings without their closing vertex, and the centroid by hand."""
+    square = [(0, 0), (0, 4), (4, 4), (4, 0)]
+    left_half = [(0, 0), (2, 0), (2, 4), (0, 4)]  # shares three sides' worth of border with the square
+    island = [(1, 1), (1, 3), (1.5, 3), (1.5, 1)]
+    far = [(10, 0), (10, 2), (14, 2), (14, 0)]
+    comb = [(0, 0), (9, 0), (9, 5), (7, 1), (5, 5), (3, 1), (1, 5)]
+    return {
+        1: ([[square, left_half], [far]], (7.5, 1.5)),
+        2: ([[square, left_half, island]], ((8 * 3 + 1 * 1.25) / 9, 2.0)),  # an island in a hole
+        3: ([[square, far]], ((16 * 2 + 8 * 12) / 24, (16 * 2 + 8 * 1) / 24)),  # two rings side by side
+        4: ([[comb]], (4.591194968553459, 1.7169811320754718)),
+    }
+
+
+@pytest.mark.parametrize("seed", range(4))
+def test_centroids_whatever_the_order_of_rings_and_vertices(spark, seed):
+    import random
+
+    chance = random.Random(seed)
+    rows = []
+    for zone, (parts, _) in shapes().items():
+        for part, rings in enumerate(parts):
+            numbers = chance.sample(range(10), len(rings))
+            for number, ring in zip(numbers, rings):
+                points = ring[chance.randrange(len(ring)) :] + ring
+                points = points[: len(ring)][:: chance.choice((1, -1))]
+                at = points.index(min(points))
+                points = points[at:] + points[:at] + [points[at]] * chance.choice((0, 1))
+                start = chance.randrange(-3, 3)
+                rows += [(zone, part, number, start + k, float(x), float(y)) for k, (x, y) in enumerate(points)]
+    chance.shuffle(rows)
+    vertices = spark.createDataFrame(rows, "LocationID int, part int, ring int, seq int, x double, y double")
+    found = {r.LocationID: (r.x_ft, r.y_ft) for r in geometry.zone_centroids(vertices).collect()}
+    for zone, (_, centroid) in shapes().items():
+        assert found[zone] == pytest.approx(centroid), zone
+
+
+def test_a_gap_in_a_ring_is_refused(spark):
+    rows = [(1, 0, 0, k, float(x), float(y)) for k, (x, y) in ((0, (0, 0)), (1, (0, 4)), (3, (4, 0)))]
+    vertices = spark.createDataFrame(rows, "LocationID int, part int, ring int, seq int, x double, y double")
+    with pytest.raises(Exception, match="without gaps"):
+        geometry.zone_centroids(vertices).collect()
