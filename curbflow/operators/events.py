@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -35,19 +37,20 @@ def stadium_trips(trips: DataFrame, zone: int = 247) -> DataFrame:
 
 def asof_game(
     trips: DataFrame, windows: DataFrame, time: str = "pickup_datetime",
-    max_windows: int = ARRAY_WINDOWS,
+    max_windows: int = ARRAY_WINDOWS, on=(),
 ) -> DataFrame:
     """Attach the last window that starts at or before the pick-up, else NULLs.
 
-    Of windows starting together the one with the later game (then the later
+    ``on`` names columns of both sides that must be equal, for schedules of their own
+    (say, per zone); a trip with an unknown one has no window. Of windows starting together the one with the later game (then the later
     end) counts. A schedule within ``max_windows`` rows travels to the trips as
-    one sorted array, so trips are not shuffled; a larger one takes the
-    time-bucketed path, with the same result.
+    one sorted array, so trips are not shuffled; a larger one, or one with ``on``,
+    is merged with the trips by ranges of time, with the same result.
     """
-    fields = ["window_start", "game_datetime", "window_end"]
-    slim = windows.select(*fields).where(F.col("window_start").isNotNull())
-    if slim.limit(max_windows + 1).count() > max_windows:
-        return _asof_bucketed(trips, slim, time, fields)
+    fields, on = ["window_start", "game_datetime", "window_end"], list(on)
+    slim = windows.select(*on, *fields).dropna(subset=[*on, "window_start"])
+    if on or slim.limit(max_windows + 1).count() > max_windows:
+        return _asof_merged(trips, slim, time, fields, on)
     ordered = slim.agg(F.array_sort(F.collect_list(F.struct(*fields)))).scalar()
     started = F.filter("_all", lambda g: g["window_start"] <= F.col(time))
     return _unpack(
@@ -60,41 +63,52 @@ def _unpack(df: DataFrame, trips: DataFrame, fields) -> DataFrame:
     return df.select(*trips.columns, *[F.col("_g")[f].alias(f) for f in fields])
 
 
-def _asof_bucketed(trips: DataFrame, slim: DataFrame, time: str, fields) -> DataFrame:
-    """As-of match for schedules of any size.
+def _asof_merged(trips: DataFrame, slim: DataFrame, time: str, fields, on: list[str]) -> DataFrame:
+    """As-of match for schedules of any size and number.
 
-    The answer depends on the pick-up time alone, so it is found once per
-    distinct time and joined back. Times and windows share buckets of a minute:
-    within one the latest window so far is carried forward, before the first
-    window of a bucket the latest of all earlier buckets counts. A bucket holds
-    no more rows than the clock has ticks in a minute, however crowded it is.
+    The answer depends on the keys and the pick-up time alone, so it is found once per
+    distinct pair and joined back. Times and windows are cut into ranges of a minute:
+    within one the latest window so far is carried forward. What a range begins
+    with is carried from the last earlier range of its day, or else from the last earlier
+    day that has one. No window function sees more rows than the clock has ticks in a
+    minute, minutes in a day, or the schedule has days.
     """
     epoch = F.lit("1970-01-01").cast("timestamp_ntz")
     seconds = (F.col("_at") - epoch).cast("interval second").cast("decimal(18,6)")
     none = F.lit(None).cast(_struct_ddl(slim, fields))
-    instants = trips.select(F.col(time).alias("_at")).where(F.col("_at").isNotNull()).distinct()
-    starts = slim.groupBy(F.col("window_start").alias("_at")).agg(F.max(F.struct(*fields)).alias("_g"))
-    rows = instants.select("_at", F.lit(1).alias("_asks"), none.alias("_g")).unionByName(
-        starts.select("_at", F.lit(0).alias("_asks"), "_g")
-    ).withColumn("_b", F.floor(seconds / 60).cast("bigint"))
-
-    before = Window.partitionBy("_one").orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)
-    carried = (
-        rows.groupBy("_b").agg(F.max("_g").alias("_last")).withColumn("_one", F.lit(0))
-        .select("_b", F.last("_last", ignorenulls=True).over(before).alias("_carry"))
-    )
+    # Keys under names that no trip column can clash with.
+    keys = [f"_on{k}" for k in range(len(on))]
+    named = [F.col(c).alias(k) for c, k in zip(on, keys)]
+    known = reduce(lambda a, b: a & b, [F.col(c).isNotNull() for c in (*on, time)])
+    instants = trips.where(known).select(*named, F.col(time).alias("_at")).distinct()
+    starts = slim.select(*named, F.col("window_start").alias("_at"), F.struct(*fields).alias("_g")).groupBy(
+        *keys, "_at"
+    ).agg(F.max("_g").alias("_g"))
+    rows = instants.select(*keys, "_at", F.lit(1).alias("_asks"), none.alias("_g")).unionByName(
+        starts.select(*keys, "_at", F.lit(0).alias("_asks"), "_g")
+    ).withColumn("_b", F.floor(seconds / 60).cast("bigint")).withColumn("_day", F.floor(F.col("_b") / 1440))
+
+    def carried(last: DataFrame, within: list[str], order: str, name: str) -> DataFrame:
+        """The newest window of all earlier rows; ``_last`` is NULL where a range has none."""
+        earlier = Window.partitionBy(*(within or [F.lit(0)])).orderBy(order).rowsBetween(Window.unboundedPreceding, -1)
+        return last.withColumn(name, F.last("_last", ignorenulls=True).over(earlier)).drop("_last")
+
+    minutes = rows.groupBy(*keys, "_day", "_b").agg(F.max("_g").alias("_last"))
+    days = minutes.groupBy(*keys, "_day").agg(F.max("_last").alias("_last"))
     # Windows sort before pick-ups of the same instant.
     so_far = (
-        Window.partitionBy("_b").orderBy("_at", "_asks")
+        Window.partitionBy(*keys, "_b").orderBy("_at", "_asks")
         .rowsBetween(Window.unboundedPreceding, Window.currentRow)
     )
     answers = (
         rows.withColumn("_seen", F.last("_g", ignorenulls=True).over(so_far))
         .where(F.col("_asks") == 1)
-        .join(carried, "_b")
-        .select("_at", F.coalesce("_seen", "_carry").alias("_g"))
+        .join(carried(minutes, [*keys, "_day"], "_b", "_today"), [*keys, "_day", "_b"])
+        .join(carried(days, keys, "_day", "_before"), [*keys, "_day"])
+        .select(*keys, "_at", F.coalesce("_seen", "_today", "_before").alias("_g"))
     )
-    return _unpack(trips.join(answers, F.col(time) == F.col("_at"), "left"), trips, fields)
+    same = reduce(lambda a, b: a & b, [F.col(time) == F.col("_at"), *[trips[c] == F.col(k) for c, k in zip(on, keys)]])
+    return _unpack(trips.join(answers, same, "left"), trips, fields)
 
 
 def _struct_ddl(slim: DataFrame, fields) -> str:

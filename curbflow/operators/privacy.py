@@ -6,11 +6,14 @@ undersized groups are dropped by joining trips to the list of kept combinations.
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.clock import truncate_time
 from ..schema import FILE_KEYS
+from ..session import cut, settle
 
 QUASI_IDENTIFIERS = ("pickup_datetime", "dropoff_datetime", "PULocationID", "DOLocationID")
 
@@ -58,6 +61,64 @@ def k_report(
     )
 
 
+# From fine to coarse.
+LEVELS = ("full", "minute", "hour")
+
+
+def finest_levels(
+    trips: DataFrame, k: int = 2, suppression_pct: float = 0, qi=QUASI_IDENTIFIERS, by=FILE_KEYS,
+) -> DataFrame:
+    """The least coarse pair of time levels at which every part reaches ``k``.
+
+    Trips are counted once, by class at full times; coarser classes are sums of these
+    counts. Pairs are tried from fine to coarse, those of one total coarseness together
+    in one job: a part that has its answer is left out of the coarser rounds, since
+    coarsening can only join classes. At most ``suppression_pct`` percent of a part's rows
+    may stand in smaller classes. Of two pairs alike in total coarseness the one with
+    the finer pick-up counts. Returns ``by``, ``pickup_level``, ``dropoff_level`` (NULL where no
+    pair is enough), ``rows`` and ``dropped_pct`` at that pair.
+    """
+    by, times = list(by), ("pickup_datetime", "dropoff_datetime")
+    rest = [c for c in qi if c not in times]
+    base = cut(class_sizes(trips, [*times, *rest], by))
+    open_parts, found = base, None
+    for coarseness in range(2 * len(LEVELS) - 1):
+        pairs = [(p, d) for p in range(len(LEVELS)) for d in range(len(LEVELS)) if p + d == coarseness]
+        rolled = open_parts.select(
+            *by, *rest, "class_size",
+            F.inline(F.array(*[
+                F.struct(
+                    F.lit(p).alias("_p"), F.lit(d).alias("_d"),
+                    truncate_time(F.col(times[0]), LEVELS[p]).alias("_from"),
+                    truncate_time(F.col(times[1]), LEVELS[d]).alias("_to"),
+                )
+                for p, d in pairs
+            ])),
+        ).groupBy(*by, "_p", "_d", "_from", "_to", *rest).agg(F.sum("class_size").alias("_size"))
+        judged = rolled.groupBy(*by, "_p", "_d").agg(
+            F.sum("_size").alias("rows"),
+            (F.sum(F.when(F.col("_size") < k, F.col("_size")).otherwise(0)) / F.sum("_size") * 100).alias("dropped_pct"),
+        )
+        enough = settle(
+            judged.where(F.col("dropped_pct") <= suppression_pct).groupBy(*by)
+            .agg(F.min(F.struct("_p", "_d", "rows", "dropped_pct")).alias("_best"))
+        )
+        found = enough if found is None else found.unionByName(enough)
+        reached = enough.select(*[F.col(c).alias(f"_done_{c}") for c in by])
+        same = reduce(lambda a, b: a & b, [F.col(c).eqNullSafe(F.col(f"_done_{c}")) for c in by])
+        open_parts = open_parts.join(reached, same, "left_anti")
+        if open_parts.isEmpty():
+            break
+    name = F.array(*[F.lit(level) for level in LEVELS])
+    parts = base.groupBy(*by).agg(F.sum("class_size").alias("rows"))
+    best = found.select(
+        *[F.col(c).alias(f"_done_{c}") for c in by],
+        F.element_at(name, F.col("_best._p") + 1).alias("pickup_level"),
+        F.element_at(name, F.col("_best._d") + 1).alias("dropoff_level"), F.col("_best.dropped_pct").alias("dropped_pct"),
+    )
+    return parts.join(best, same, "left").select(*by, "pickup_level", "dropoff_level", "rows", "dropped_pct")
+
+
 def k_anonymise(
     trips: DataFrame, k: int = 2, suppression_pct: float = 99, qi=QUASI_IDENTIFIERS,
     unit: str = "hour", by=(),

@@ -506,6 +506,15 @@ query("asof_game_bucketed")(
 )
 
 
+@query("asof_game_by_zone")
+def _(spark, sf_dir):
+    """Every drop-off zone with a schedule of its own."""
+    trips = fixture.trips(spark, sf_dir).select("trip_id", "pickup_datetime", "DOLocationID")
+    return events.asof_game(
+        trips, events.game_windows(fixture.zone_schedule(spark, sf_dir), BEFORE, AFTER), on=["DOLocationID"]
+    )
+
+
 @query("game_flags")
 def _(spark, sf_dir):
     windows = _windows(spark, sf_dir)
@@ -627,6 +636,11 @@ on_trips(
 )
 
 
+@query("k_finest_levels")
+def _(spark, sf_dir):
+    return privacy.finest_levels(fixture.timed_trips(spark, sf_dir), 2, 5)
+
+
 def _release(spark, sf_dir) -> DataFrame:
     return privacy.k_anonymise_monthly(fixture.dense_trips(spark, sf_dir), k=3)[0]
 

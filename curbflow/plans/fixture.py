@@ -104,6 +104,22 @@ DENSE_COLUMNS = {
     "DOLocationID": "CAST(trip_id % 3 + 130 AS INT)",
 }
 
+# Times of which some files need no coarsening, some minutes and some hours, on one or both sides.
+TIMED_COLUMNS = {
+    "pickup_datetime": (
+        "CAST('2024-01-01 00:00:00' AS {ntz}) + CAST(trip_id % 2 AS INT) * INTERVAL '1' HOUR"
+        " + CAST(CASE WHEN file_month % 3 = 0 THEN trip_id % 3000 WHEN file_month % 3 = 1 THEN trip_id % 50 ELSE 0 END AS INT)"
+        " * INTERVAL '1' SECOND"
+    ),
+    "dropoff_datetime": (
+        "CAST('2024-01-01 02:00:00' AS {ntz})"
+        " + CAST(CASE WHEN file_month % 4 = 0 THEN trip_id % 3500 WHEN file_month % 4 = 1 THEN trip_id % 58 ELSE 0 END AS INT)"
+        " * INTERVAL '1' SECOND"
+    ),
+    "PULocationID": "CAST(trip_id % 2 + 128 AS INT)",
+    "DOLocationID": "CASE WHEN trip_id % 1000 = 0 THEN CAST(NULL AS INT) ELSE CAST(130 AS INT) END",
+}
+
 # Zone 160 has trips but no zone row; 147 to 152 have a row but no trips.
 ZONE_COLUMNS = {
     "LocationID": "CAST(n_nationkey + 128 AS INT)",
@@ -316,6 +332,10 @@ def dense_trips(spark: SparkSession, sf_dir: str) -> DataFrame:
     return trips(spark, sf_dir).selectExpr("trip_id", *FILE_KEYS, *_spark(DENSE_COLUMNS))
 
 
+def timed_trips(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return trips(spark, sf_dir).selectExpr("trip_id", *FILE_KEYS, *_spark(TIMED_COLUMNS))
+
+
 def stored_vertices(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Zone outlines read from a stored table, as they arrive."""
     _stored_once(spark, sf_dir, "vertices", lambda: zone_vertices(spark, sf_dir))
@@ -353,6 +373,19 @@ def schedule(spark: SparkSession, sf_dir: str) -> DataFrame:
     return days.selectExpr(*_spark(GAME_COLUMNS))
 
 
+# One event a zone and day, for days whose trip count there divides by three.
+ZONE_GAME = "CAST(d AS {ntz}) + CAST(n % 12 AS INT) * INTERVAL '1' HOUR"
+
+
+def zone_schedule(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Events per drop-off zone, with their start."""
+    days = (
+        trips(spark, sf_dir).where("pickup_datetime IS NOT NULL AND DOLocationID IS NOT NULL")
+        .groupBy("DOLocationID", F.to_date("pickup_datetime").alias("d")).agg(F.count(F.lit(1)).alias("n")).where("n % 3 = 0")
+    )
+    return days.selectExpr("DOLocationID", *_spark({"game_datetime": ZONE_GAME}))
+
+
 def games(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The stored schedule with parsed start times, as a settled join side."""
     listed = _stored_once(spark, sf_dir, "schedule", lambda: schedule(spark, sf_dir))

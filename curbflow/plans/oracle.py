@@ -397,6 +397,8 @@ def _t_points(source: str, df: str) -> str:
 
 
 _ROUTE = "CAST(PULocationID AS VARCHAR) || '-' || CAST(DOLocationID AS VARCHAR)"
+_LEVEL = ("{0}", "date_trunc('minute', {0})", "date_trunc('hour', {0})")
+CTES["timed"] = (f"SELECT trip_id, {FILE}, {_select(fixture.TIMED_COLUMNS)} FROM trips", ("trips",))
 _VERDICT = "CASE WHEN p_value < 0.05 THEN 'Significant' ELSE 'Not significant' END AS verdict"
 
 CTES["groups"] = (
@@ -986,6 +988,15 @@ def statements() -> dict[str, str]:
     q["stadium_trips"] = _with(
         f"SELECT trip_id, PULocationID, DOLocationID FROM trips WHERE {at_stadium}", "trips")
     q["asof_game"] = q["asof_game_bucketed"] = _with("SELECT * FROM matched", "matched")
+    q["asof_game_by_zone"] = _with(
+        """SELECT trip_id, pickup_datetime, t.DOLocationID, window_start, game_datetime, window_end
+        FROM trips t ASOF LEFT JOIN zone_windows w
+          ON t.DOLocationID = w.DOLocationID AND t.pickup_datetime >= w.window_start""", "trips",
+        extra=f"""zone_windows AS (
+          SELECT *, game_datetime - INTERVAL 2 HOUR AS window_start, game_datetime + INTERVAL 2 HOUR AS window_end FROM (
+            SELECT DOLocationID, {fixture.ZONE_GAME.format(ntz='TIMESTAMP')} AS game_datetime FROM (
+              SELECT DOLocationID, CAST(pickup_datetime AS DATE) AS d, COUNT(*) AS n FROM trips
+              WHERE pickup_datetime IS NOT NULL AND DOLocationID IS NOT NULL GROUP BY 1, 2 HAVING COUNT(*) % 3 = 0)))""")
     q["game_flags"] = _with("SELECT trip_id, game_datetime, during_game, is_game_day FROM flagged", "flagged")
     q["valid_stadium_trips"] = _with(
         f"SELECT trip_id, {_r('duration_hours', 'distance_miles', 'speed_mph')}, route, direction FROM valid", "valid")
@@ -1063,6 +1074,19 @@ def statements() -> dict[str, str]:
         f"SELECT trip_id, {FILE}, {_QI_SMALL} FROM kept", "coarse", extra=_released(2, 99, _QI_SMALL, FILE))
     q["k_anonymise_full_qi"] = _with(
         f"SELECT trip_id, {_QI} FROM kept", "dense", extra=_released(3, 99, _QI, FILE).replace("coarse", "dense"))
+    tried = " UNION ALL ".join(
+        f"""SELECT {FILE}, {p + d} AS total, {p} AS p, {d} AS d, SUM(n) AS all_rows,
+          100.0 * COALESCE(SUM(n) FILTER (n < 2), 0) / SUM(n) AS dropped FROM (
+            SELECT {FILE}, COUNT(*) AS n FROM timed GROUP BY {FILE}, PULocationID, DOLocationID,
+              {_LEVEL[p].format('pickup_datetime')}, {_LEVEL[d].format('dropoff_datetime')}) GROUP BY {FILE}"""
+        for p in range(3) for d in range(3)
+    )
+    q["k_finest_levels"] = _with(
+        f"""SELECT {FILE}, ['full', 'minute', 'hour'][p + 1] AS pickup_level, ['full', 'minute', 'hour'][d + 1] AS dropoff_level,
+          "rows", {_r('dropped AS dropped_pct')}
+        FROM (SELECT {FILE}, COUNT(*) AS "rows" FROM timed GROUP BY {FILE}) LEFT JOIN (
+          SELECT * FROM ({tried}) WHERE dropped <= 5
+          QUALIFY row_number() OVER (PARTITION BY {FILE} ORDER BY total, p) = 1) USING ({FILE})""", "timed")
     q["k_release_files"] = _with(
         f"SELECT {FILE}, trip_id, {_QI} FROM kept", "dense",
         extra=_released(3, 99, _QI, FILE).replace("coarse", "dense"))

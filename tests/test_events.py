@@ -96,3 +96,34 @@ def test_pivot_and_sides(spark, games, sample):
 def test_required_columns(spark, games):
     with pytest.raises(ValueError, match="DOLocationID"):
         events.prepare_stadium_trips(spark.range(1), games)
+
+
+def test_asof_per_key_equals_a_search_row_by_row(spark):
+    """Ties, unknown keys and times, keys without windows, days and weeks between a window and its trips."""
+    import random
+    from datetime import datetime, timedelta
+
+    from curbflow.operators import events
+
+    chance = random.Random(3)
+    start = datetime(2024, 1, 1)
+
+    def moment(days):
+        return start + timedelta(days=chance.randrange(days), minutes=chance.choice([0, 1, 719, 1439]), seconds=chance.choice([0, 1, 59]))
+
+    trips = [(k, chance.choice(["a", "b", "c", None]), None if k % 17 == 0 else moment(40)) for k in range(300)]
+    windows = [(chance.choice(["a", "b", "d", None]), None if k % 13 == 0 else moment(25), chance.randrange(9)) for k in range(60)]
+    left = spark.createDataFrame(trips, "trip_id long, zone string, pickup_datetime timestamp_ntz").repartition(4)
+    right = spark.createDataFrame(windows, "zone string, window_start timestamp_ntz, n int").select(
+        "zone", "window_start", (F.col("window_start") + F.make_dt_interval(F.lit(0), F.col("n"))).alias("game_datetime"),
+        F.col("window_start").alias("window_end"),
+    )
+    found = {r.trip_id: (r.window_start, r.game_datetime) for r in events.asof_game(left, right, on=["zone"]).collect()}
+    assert len(found) == len(trips)
+    for trip, zone, at in trips:
+        own = [(s, s + timedelta(hours=n)) for z, s, n in windows if z is not None and z == zone and s and at and s <= at]
+        assert found[trip] == (max(own) if own else (None, None))
+    plain = {r.trip_id: r.window_start for r in events.asof_game(left, right, max_windows=0).collect()}
+    for trip, _, at in trips:
+        own = [s for _, s, _ in windows if s and at and s <= at]
+        assert plain[trip] == (max(own) if own else None)

@@ -48,3 +48,29 @@ def test_histogram_and_units(six):
     assert privacy.class_sizes(privacy.generalise(six, "full")).count() == 5
     with pytest.raises(ValueError):
         privacy.generalise(six, "week")
+
+
+def test_finest_levels_by_hand(spark):
+    """Files whose times agree to the second, to the minute, to the hour, on one side, or not at all."""
+    base = "2024-01-01 10:"
+    files = {
+        1: [("00:00", "30:00"), ("00:00", "30:00")],
+        2: [("00:10", "30:00"), ("00:20", "30:00")],  # pick-up to the minute
+        3: [("01:00", "30:00"), ("02:00", "30:10"), ("03:00", "30:20")],  # hours there, minutes here
+        4: [("00:00", "30:00"), ("00:00", "40:00")],  # drop-off to the hour
+        5: [("00:00", "30:00")],  # alone at every level
+        None: [(None, "30:01"), (None, "30:02")],  # unknown times and file keys are values like others
+    }
+    rows = [("yellow", 2024, m, p and base + p, d and base + d) for m, own in files.items() for p, d in own]
+    df = spark.createDataFrame(rows, "cab_type string, file_year int, file_month int, p string, d string").select(
+        "cab_type", "file_year", "file_month", F.to_timestamp_ntz("p").alias("pickup_datetime"),
+        F.to_timestamp_ntz("d").alias("dropoff_datetime"), F.lit(1).alias("PULocationID"), F.lit(2).alias("DOLocationID"),
+    )
+    found = {r.file_month: (r.pickup_level, r.dropoff_level, r["rows"]) for r in privacy.finest_levels(df, 2).collect()}
+    assert found == {
+        1: ("full", "full", 2), 2: ("minute", "full", 2), 3: ("hour", "minute", 3), 4: ("full", "hour", 2),
+        5: (None, None, 1), None: ("full", "minute", 2),
+    }
+    # A third of file 3 may be dropped at most: nothing finer has a class of two.
+    some = {r.file_month: (r.pickup_level, r.dropped_pct) for r in privacy.finest_levels(df, 2, 100).collect()}
+    assert some[3] == ("full", 100.0) and some[5] == ("full", 100.0)
