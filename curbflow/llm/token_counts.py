@@ -2,8 +2,13 @@
 
 Each document becomes the frequencies of its pre-tokens. A block of documents lays them
 out as postings, cut into buckets of pre-tokens. Buckets are what is shuffled: in its
-bucket every distinct pre-token meets all its frequencies, its pieces are counted there
+bucket every distinct pre-token meets its frequencies, its pieces are counted there
 once, and the products are summed per document.
+
+Pre-tokens that many documents of a block share do not travel: a worker counts the pieces
+of each once, remembers them, and multiplies on the spot. So a bucket gets few postings
+of one pre-token from a block, and buckets are kept apart by groups of splits, which
+bounds what meets in one task however large the table is.
 """
 
 from __future__ import annotations
@@ -26,6 +31,12 @@ from .common import kept, shipped, slices, texts_of
 BATCH_BYTES = 24 << 20
 # Bytes of text for each bucket of pre-tokens.
 BUCKET_BYTES = 16 << 20
+# Buckets of one group of splits; a larger table has more groups, each with buckets of its own.
+GROUP_BUCKETS = 4096
+# Documents of a block that must share a pre-token for it to be counted where it is.
+SHARED_DOCS = 64
+# Shared pre-tokens a worker remembers before it starts afresh.
+REMEMBERED = 200_000
 # Products a task holds before it sums them.
 HELD_PRODUCTS = 2_000_000
 
@@ -109,8 +120,29 @@ _KINDS = "bucket int, block long, posting binary, ids array<{kind}>, bytes array
 _NAMES = ["bucket", "block", "posting", "ids", "bytes", "base"]
 
 
-def _postings(parts: list[np.ndarray], vocabulary: list[str], buckets: int) -> Iterator[tuple[int, bytes]]:
-    """A block's postings per bucket: pre-tokens, how many documents have each, which, how often."""
+class SharedPieces:
+    """Piece counts of the pre-tokens that blocks share, counted once per worker."""
+
+    def __init__(self, spec: bytes):
+        self.index = PairIndex(json.loads(spec)["model"])
+        self.pieces: dict[str, int] = {}
+
+    def counts(self, words: list[str]) -> np.ndarray:
+        if len(self.pieces) > REMEMBERED:
+            self.pieces = {}
+        new = [w for w in words if w not in self.pieces]
+        if new:
+            self.pieces.update(zip(new, self.index.encode(new)[1].tolist()))
+        return np.array([self.pieces[w] for w in words], np.int64)
+
+
+def _postings(
+    parts: list[np.ndarray], vocabulary: list[str], first_bucket: int, buckets: int, shared_docs: int, shared: SharedPieces
+) -> tuple[np.ndarray, Iterator[tuple[int, bytes]]]:
+    """Tokens per document of the shared pre-tokens of a block, and its other postings per bucket.
+
+    Postings are pre-tokens, how many documents have each, which, and how often.
+    """
     bucket = np.fromiter((zlib.crc32(t.encode()) % buckets for t in vocabulary), np.int64, len(vocabulary))
     order = np.argsort(bucket, kind="stable")
     rank = np.empty(len(order), np.int64)
@@ -119,14 +151,29 @@ def _postings(parts: list[np.ndarray], vocabulary: list[str], buckets: int) -> I
     tokens = rank[np.concatenate(parts)] if parts else np.empty(0, np.int64)
     pairs, freq = np.unique((tokens << 32) | docs, return_counts=True)
     sizes = np.bincount(pairs >> 32, minlength=len(order))
-    ends = np.append(0, np.cumsum(sizes))
-    doc = (pairs & 0xFFFFFFFF).astype(np.uint16 if len(parts) <= 1 << 16 else np.uint32)
-    freq = freq.astype(np.min_scalar_type(freq.max(initial=0)))
-    for number in np.unique(bucket).tolist():
-        first, last = np.searchsorted(bucket[order], [number, number + 1])
-        held = slice(ends[first], ends[last])
-        words = "\n".join([vocabulary[k] for k in order[first:last].tolist()])
-        yield number, pickle.dumps((words, sizes[first:last].astype(np.uint32), doc[held], freq[held]))
+
+    many = sizes >= shared_docs
+    pieces = np.zeros(len(order), np.int64)
+    pieces[many] = shared.counts([vocabulary[k] for k in order[many].tolist()])
+    here = many[pairs >> 32]
+    done = np.bincount(
+        pairs[here] & 0xFFFFFFFF, weights=pieces[pairs[here] >> 32] * freq[here], minlength=len(parts)
+    ).astype(np.int64)
+    pairs, freq = pairs[~here], freq[~here]
+    order, sizes = order[~many], sizes[~many]
+
+    def rest() -> Iterator[tuple[int, bytes]]:
+        ends = np.append(0, np.cumsum(sizes))
+        doc = (pairs & 0xFFFFFFFF).astype(np.uint16 if len(parts) <= 1 << 16 else np.uint32)
+        small = freq.astype(np.min_scalar_type(freq.max(initial=0)))
+        own = bucket[order]
+        for number in np.unique(own).tolist():
+            first, last = np.searchsorted(own, [number, number + 1])
+            held = slice(ends[first], ends[last])
+            words = "\n".join([vocabulary[k] for k in order[first:last].tolist()])
+            yield first_bucket + number, pickle.dumps((words, sizes[first:last].astype(np.uint32), doc[held], small[held]))
+
+    return done, rest()
 
 
 def _sparse(doc: np.ndarray, value: np.ndarray) -> bytes:
@@ -142,18 +189,24 @@ def count_tokens(docs: DataFrame, tokenizer: str, id_col: str = "doc_id", text_c
     count one each. Other columns are not read. Documents are known by block and place
     in the block, both fixed by the split they are read from, so a task that runs again
     makes the same rows. The number of buckets follows the bytes of text, so a bucket
-    has about the same size for every input; a frequent pre-token has one entry per
-    document, and no row holds more than a block's share of a bucket.
+    has about the same size for every input. A pre-token has at most ``SHARED_DOCS``
+    postings from a block, and meets those of one group of splits in a task; its pieces are
+    counted once in each.
     """
     spec = shipped(docs.sparkSession, tokenizer)
     rows = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
     kind = rows.schema["doc_id"].dataType.simpleString()
     total = rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     buckets = max(1, -(-total // BUCKET_BYTES))
+    groups = -(-buckets // GROUP_BUCKETS)
+    of_group = -(-buckets // groups)
+    shared_docs = SHARED_DOCS
 
     def split(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         splitter = kept(f"pre-tokens:{tokenizer}", lambda: PreTokens(spec.value))
-        block = TaskContext.get().partitionId() << 32
+        shared = kept(f"shared-pieces:{tokenizer}", lambda: SharedPieces(spec.value))
+        split_number = TaskContext.get().partitionId()
+        block, first_bucket = split_number << 32, split_number % groups * of_group
         for batch in batches:
             for part in slices(batch, 1, BATCH_BYTES):
                 splitter.reset()
@@ -165,7 +218,9 @@ def count_tokens(docs: DataFrame, tokenizer: str, id_col: str = "doc_id", text_c
                     base += specials
                     sizes += [len(t.encode()) for t in texts]
                 longs = pa.list_(pa.int64())
-                for bucket, posting in _postings(parts, list(splitter.number), buckets):
+                done, postings = _postings(parts, list(splitter.number), first_bucket, of_group, shared_docs, shared)
+                base = (np.array(base, np.int64) + done).tolist()
+                for bucket, posting in postings:
                     yield pa.RecordBatch.from_arrays(
                         [
                             pa.array([bucket], pa.int32()), pa.array([block], pa.int64()), pa.array([posting], pa.binary()),
@@ -184,8 +239,8 @@ def count_tokens(docs: DataFrame, tokenizer: str, id_col: str = "doc_id", text_c
                 )
                 block += 1
 
-    postings = rows.mapInArrow(split, _KINDS.format(kind=kind))
-    dealt = postings.repartition(buckets, "bucket").sortWithinPartitions("bucket")
+    blocks = rows.mapInArrow(split, _KINDS.format(kind=kind))
+    dealt = blocks.repartition(buckets, "bucket").sortWithinPartitions("bucket")
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         index = kept(f"pair-index:{tokenizer}", lambda: PairIndex(json.loads(spec.value)["model"]))

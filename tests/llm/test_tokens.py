@@ -115,3 +115,14 @@ def test_first_fit_decreasing_as_by_hand():
         wanted.append((at, 100 - room[at]))
         room[at] -= size
     assert list(zip(*packing.first_fit_decreasing(sizes, 100))) == wanted
+
+
+@pytest.mark.parametrize("shared_docs", [1, 3, 10**9])
+def test_token_counts_in_many_buckets_and_groups(spark, monkeypatch, byte_tokenizer, shared_docs):
+    """Pre-tokens counted where they are, in buckets, or some here and some there, all give the library's sums."""
+    for name, value in (("BUCKET_BYTES", 500), ("GROUP_BUCKETS", 4), ("SHARED_DOCS", shared_docs), ("BATCH_BYTES", 2000)):
+        monkeypatch.setattr(token_counts, name, value)
+    texts = strange_texts(200) + [" the same old words again"] * 100 + ["", "\n\n", " the"] * 5
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(6)
+    found = {r.doc_id: r.n_tokens for r in token_counts.count_tokens(docs, BYTE_BPE).collect()}
+    assert found == {k: len(expected(byte_tokenizer, t)) for k, t in enumerate(texts)}
