@@ -240,7 +240,8 @@ def count_tokens(docs: DataFrame, tokenizer: str, id_col: str = "doc_id", text_c
                 block += 1
 
     blocks = rows.mapInArrow(split, _KINDS.format(kind=kind))
-    dealt = blocks.repartition(buckets, "bucket").sortWithinPartitions("bucket")
+    # A partition per bucket: dealt by a hash, some would get several and some none.
+    dealt = blocks.repartitionById(groups * of_group, "bucket").sortWithinPartitions("bucket")
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         index = kept(f"pair-index:{tokenizer}", lambda: PairIndex(json.loads(spec.value)["model"]))
