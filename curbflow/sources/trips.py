@@ -131,9 +131,9 @@ def file_manifest(
         for cab in cab_types:
             sound = [f["path"] for f in files if f["cab_type"] == cab and not f["error"]]
             for schema, paths in _by_schema(spark, sound):
-                read = _rows_read(spark, paths, schema)
+                read, among = _rows_read(spark, paths, schema), set(paths)
                 for file in files:
-                    if file["path"] in paths and read.get(_plain(file["path"]), 0) != file["rows"]:
+                    if file["path"] in among and read.get(_plain(file["path"]), 0) != file["rows"]:
                         file["rows"], file["error"] = 0, "damaged: not all rows can be read"
     return files
 
