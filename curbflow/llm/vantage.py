@@ -15,10 +15,13 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
 
 from .common import stored
 
 SHARD_VECTORS = 8192
+# Tasks that the meetings of blocks and trees are dealt to at most; each takes several in turn.
+MEETING_PARTITIONS = 20_000
 BLOCK_QUERIES = 2048
 LEAF = 64
 # Neighbours a search keeps beyond those asked for; they set the bound for the exact visit.
@@ -261,7 +264,9 @@ def nearest(
 
     bundles = dealt.groupBy("dim", "block").applyInArrow(gather, "dim int, block int, asked binary")
     visits = bundles.withColumn("shard", F.explode(F.sequence(F.lit(0), F.lit(shards - 1))))
-    meetings = visits.join(trees, ["dim", "shard"]).repartition(shards * blocks, "dim", "shard", "block")
+    meetings = visits.join(trees, ["dim", "shard"]).repartition(
+        min(shards * blocks, MEETING_PARTITIONS), "dim", "shard", "block"
+    )
 
     def search(key, group):
         rows: list[tuple] = []
@@ -279,12 +284,10 @@ def nearest(
         columns = list(zip(*rows)) or [(), (), (), ()]
         return pa.table([pa.array(c, t) for c, t in zip(columns, kinds)], names=["query_id", "q", "vec_id", "score"])
 
-    sample = asked.schema["id"].dataType
-    arrow = pa.int64() if sample.simpleString() == "bigint" else pa.string()
-    kinds = [arrow, pa.binary(), arrow, pa.float64()]
-    kind = sample.simpleString()
+    asks, given = asked.schema["id"].dataType, vectors.schema[id_col].dataType
+    kinds = [to_arrow_type(asks), pa.binary(), to_arrow_type(given), pa.float64()]
     hits = meetings.groupBy("dim", "shard", "block").applyInArrow(
-        search, f"query_id {kind}, q binary, vec_id {kind}, score double"
+        search, f"query_id {asks.simpleString()}, q binary, vec_id {given.simpleString()}, score double"
     )
     order = Window.partitionBy("query_id", "q").orderBy(F.desc("score"), "vec_id")
     return (

@@ -267,3 +267,18 @@ def test_alignment_is_a_common_subsequence_no_longer_than_the_longest(text, temp
     assert len(pairs) <= best[-1][-1]
     if len(set(text)) == len(text) and len(set(template)) == len(template):
         assert len(pairs) == best[-1][-1]  # every word is an anchor
+
+
+@pytest.mark.parametrize("kind", ["int", "string", "smallint"])
+def test_ids_of_any_type_over_many_shards_and_blocks(spark, monkeypatch, kind):
+    """Several trees and blocks, fewer partitions than meetings, and the neighbours of one tree."""
+    rows = unit_rows(300)
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<float>")
+    whole = {(r.query_id, r["rank"]): r.vec_id for r in vantage.nearest(df, df.where("vec_id % 10 = 0")).collect()}
+    for name, value in (("SHARD_VECTORS", 40), ("BLOCK_QUERIES", 7), ("MEETING_PARTITIONS", 5)):
+        assert hasattr(vantage, name)
+        monkeypatch.setattr(vantage, name, value)
+    own = df.selectExpr(f"CAST(vec_id AS {kind}) AS vec_id", "embedding")
+    found = vantage.nearest(own, own.where("vec_id % 10 = 0"))
+    assert dict(found.dtypes)["vec_id"] == kind
+    assert {(int(r.query_id), r["rank"]): int(r.vec_id) for r in found.collect()} == whole
