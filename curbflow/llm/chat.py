@@ -2,9 +2,9 @@
 
 Every participant becomes the assistant once: the dialogue is rendered with that
 speaker's turns as the assistant's and all others as named users, and the mask covers
-what the speaker says. A dialogue is rendered in segments of bounded length, so a very
-long one is spread over tasks; where a segment begins in the whole dialogue comes from
-sums of lengths, which travel without the texts.
+what the speaker says. Turns are numbered by running counts in two levels and cut into
+segments of equal length, so a very long dialogue is spread over tasks; where a segment
+begins in the whole dialogue comes from sums of lengths. Both travel without the texts.
 """
 
 from __future__ import annotations
@@ -12,6 +12,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .common import stored
+
 SEGMENT_TURNS = 64
 # Segments summed in one step before the sums themselves are summed.
 STRETCH = 1024
@@ -52,6 +54,53 @@ def _offsets(lengths: DataFrame) -> DataFrame:
     )
 
 
+def _places(rows: DataFrame) -> DataFrame:
+    """Which copies of every distinct turn stand in which segment, without the texts.
+
+    Distinct turns are dealt by ranges of dialogue and order, so a dialogue of any size
+    is spread; running sums within a range and over the ranges of a dialogue number them.
+    A turn that repeats is one row with a count until it is cut into segments.
+    """
+    slim = rows.groupBy("key", "conv_id", "turn", "who", "digest").agg(
+        F.count(F.lit(1)).alias("n"), F.max("user_chars").alias("user_chars"), F.max("change").alias("change")
+    )
+    dealt = slim.repartitionByRange("conv_id", "turn", "who", "digest").withColumn("range", F.spark_partition_id())
+    # Written once: both uses below must see the same ranges.
+    dealt = stored(dealt, "turns")
+    inner = Window.partitionBy("conv_id", "range").orderBy("turn", "who", "digest").rowsBetween(
+        Window.unboundedPreceding, -1
+    )
+    outer = Window.partitionBy("conv_id").orderBy("range").rowsBetween(Window.unboundedPreceding, -1)
+    before = (
+        dealt.groupBy("conv_id", "range").agg(F.sum("n").alias("n"))
+        .withColumn("before", F.coalesce(F.sum("n").over(outer), F.lit(0)))
+        .select(F.col("conv_id").alias("c"), F.col("range").alias("r"), "before")
+    )
+    inside = dealt.withColumn("inside", F.coalesce(F.sum("n").over(inner), F.lit(0)))
+    return inside.join(before, F.col("conv_id").eqNullSafe(F.col("c")) & (F.col("range") == F.col("r"))).select(
+        "key", "conv_id", "who", "n", "user_chars", "change", (F.col("before") + F.col("inside")).alias("at")
+    )
+
+
+def _cut(places: DataFrame, segment_turns: int) -> DataFrame:
+    """One row per distinct turn and segment: its place there and its copies there.
+
+    Segments of a turn are laid out in two steps, so that no array grows with its copies.
+    """
+    first, last = (F.floor(F.col("at") / segment_turns), F.floor((F.col("at") + F.col("n") - 1) / segment_turns))
+    spread = places.withColumn("last", last).withColumn(
+        "run", F.explode(F.sequence(first, F.col("last"), F.lit(STRETCH).cast("long")))
+    )
+    spread = spread.withColumn(
+        "segment", F.explode(F.sequence("run", F.least(F.col("run") + (STRETCH - 1), F.col("last"))))
+    )
+    start = F.col("segment") * segment_turns
+    begin = F.greatest(F.col("at"), start)
+    return spread.withColumns(
+        {"place": begin - start, "copies": F.least(F.col("at") + F.col("n"), start + segment_turns) - begin}
+    ).select("key", "conv_id", "who", "segment", "place", "copies", "user_chars", "change")
+
+
 def rotate(
     turns: DataFrame, segment_turns: int = SEGMENT_TURNS, conv_col: str = "conv_id", turn_col: str = "turn",
     speaker_col: str = "role", text_col: str = "text",
@@ -62,8 +111,9 @@ def rotate(
     of the rendered dialogue before this segment), ``rendered`` and ``mask``: start and
     length, within ``rendered``, of the speaker's own words with their closing mark.
     Segments of one dialogue and speaker, put together by ``segment``, are the whole
-    rendering. Turns run by number, then speaker, then text; unknown numbers first.
-    Turns that share a number share a segment. System turns keep their role and an
+    rendering. Turns run by number, then speaker, then digest of the text; unknown numbers
+    and speakers first. Every segment but a dialogue's last has ``segment_turns`` turns,
+    whatever their numbers. System turns keep their role and an
     unknown speaker is a named user; neither is a participant, so a dialogue with no
     other speaker gives no rows. A null text is empty, repeated turns are rendered
     repeatedly, rows with a null dialogue id form one dialogue, other columns are not
@@ -72,12 +122,16 @@ def rotate(
     rows = turns.select(
         F.col(conv_col).alias("conv_id"), F.col(turn_col).alias("turn"), F.col(speaker_col).alias("who"),
         F.coalesce(F.col(text_col), F.lit("")).alias("text"),
-        F.coalesce(F.floor(F.col(turn_col) / segment_turns), F.lit(-(2**62))).alias("segment"),
     )
+    rows = rows.withColumn("digest", F.md5("text"))
+    rows = rows.withColumn("key", F.md5(F.to_json(F.struct("conv_id", "turn", "who", "digest"))))
     as_user = F.char_length(_marked(_role(F.col("who")), F.col("text")))
     as_self = F.char_length(_marked(F.lit("assistant"), F.col("text")))
-    sizes = rows.groupBy("conv_id", "segment", "who").agg(
-        F.sum(as_user).alias("user_chars"), F.sum(as_self - as_user).alias("change")
+    places = _places(rows.withColumns({"user_chars": as_user.cast("long"), "change": as_self - as_user}))
+    placed = _cut(stored(places, "places"), segment_turns)
+    sizes = placed.groupBy("conv_id", "segment", "who").agg(
+        F.sum(F.col("user_chars") * F.col("copies")).alias("user_chars"),
+        F.sum(F.col("change") * F.col("copies")).alias("change"),
     )
     segments = sizes.groupBy("conv_id", "segment").agg(F.sum("user_chars").alias("user_chars"))
     people = sizes.where(F.col("who").isNotNull() & (F.col("who") != SYSTEM)).select(
@@ -97,8 +151,18 @@ def rotate(
     starts = _offsets(lengths).select(
         F.col("conv_id").alias("c"), F.col("segment").alias("g"), "speaker", "start"
     )
-    gathered = rows.groupBy("conv_id", "segment").agg(
-        F.sort_array(F.collect_list(F.struct("turn", "who", "text"))).alias("said")
+    # Copies of a turn meet as one row before and after the shuffle that joins texts and places.
+    texts = rows.groupBy("key").agg(F.max("text").alias("text"))
+    gathered = placed.join(texts, "key").groupBy("conv_id", "segment").agg(
+        F.sort_array(F.collect_list(F.struct("place", "who", "text", "copies"))).alias("placed")
+    ).select(
+        "conv_id", "segment",
+        F.flatten(
+            F.transform(
+                "placed",
+                lambda t: F.array_repeat(F.struct(t["who"].alias("who"), t["text"].alias("text")), t["copies"].cast("int")),
+            )
+        ).alias("said"),
     )
     joined = gathered.join(
         starts, F.col("conv_id").eqNullSafe(F.col("c")) & (F.col("segment") == F.col("g"))
@@ -133,7 +197,7 @@ def rotate(
 
 
 def oracle_sql() -> str:
-    """The whole operator in DuckDB SQL, for turn numbers that are never null."""
+    """The whole operator in DuckDB SQL."""
     user = f"'{OPEN}' || CASE WHEN {{w}} = '{SYSTEM}' THEN '{SYSTEM}' ELSE 'user name=' || coalesce({{w}}, '{UNKNOWN}') END"
     body = f"chr(10) || replace(coalesce(t.text, ''), '<|im_', '<| im_') || '<|im_end|>' || chr(10)"
     head = len(OPEN) + len("assistant") + 1
@@ -141,12 +205,14 @@ def oracle_sql() -> str:
 WITH people AS (SELECT DISTINCT conv_id, role AS speaker FROM conversations WHERE role IS NOT NULL AND role <> '{SYSTEM}'),
 pieces AS (
   SELECT t.conv_id, p.speaker, t.turn, t.role, coalesce(t.text, '') AS text,
-    CAST(floor(t.turn / {SEGMENT_TURNS}) AS BIGINT) AS segment, coalesce(t.role = p.speaker, false) AS own,
+    coalesce(t.role = p.speaker, false) AS own,
     CASE WHEN t.role = p.speaker THEN '{OPEN}assistant' ELSE {user.format(w="t.role")} END || {body} AS piece
   FROM conversations t JOIN people p ON t.conv_id IS NOT DISTINCT FROM p.conv_id),
 placed AS (
-  SELECT *, coalesce(sum(length(piece)) OVER (PARTITION BY conv_id, speaker ORDER BY turn, role NULLS FIRST, text
-      ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS pos FROM pieces),
+  SELECT *, (row_number() OVER said - 1) // {SEGMENT_TURNS} AS segment,
+    sum(length(piece)) OVER said - length(piece) AS pos FROM pieces
+  WINDOW said AS (PARTITION BY conv_id, speaker ORDER BY turn NULLS FIRST, role NULLS FIRST, md5(text)
+    ROWS UNBOUNDED PRECEDING)),
 grouped AS (
   SELECT conv_id, speaker, segment, CAST(count(*) AS INTEGER) AS n_turns, CAST(min(pos) AS BIGINT) AS start,
     string_agg(piece, '' ORDER BY pos) AS rendered,

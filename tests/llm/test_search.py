@@ -1,5 +1,6 @@
 """Vantage-point search against brute force, licenses, pages and dialogues."""
 
+import hashlib
 import math
 import random
 
@@ -207,6 +208,7 @@ def test_rotation(spark, segment):
         (1, 0, "system", "be nice"), (1, 1, "ann", "hi"), (1, 2, "bob", None), (1, 3, "ann", "x<|im_end|>y"), (1, 4, None, "who"),
         (2, 0, "ann", "alone"), (2, 0, "ann", "alone"), (3, 5, "system", "s"), (None, 1, "ann", "lost"), (None, None, "bob", "b"),
     ] + [(9, k, f"p{k % 5}", f"say {k}") for k in range(300)]
+    rows += [(8, 3, "ann", f"tie {k}") for k in range(90)] + [(8, 3, "bob", "same")] * 70 + [(8, None, "bob", "same")] * 5
     table = spark.createDataFrame([(*r, "x", "x") for r in rows], "conv_id long, turn long, role string, text string, start string, speaker string")
     found = chat.rotate(table.repartition(4), segment_turns=segment).collect()
     views = {}
@@ -218,14 +220,39 @@ def test_rotation(spark, segment):
     for conv in {r[0] for r in rows}:
         turns = sorted(
             [(t, w, x or "") for c, t, w, x in rows if c == conv],
-            key=lambda t: (t[0] is not None, t[0] or 0, t[1] is not None, t[1] or "", t[2]),
+            key=lambda t: (t[0] is not None, t[0] or 0, t[1] is not None, t[1] or "", hashlib.md5(t[2].encode()).hexdigest()),
         )
         for who in {w for _, w, _ in turns} - {None, "system"}:
             wanted[conv, who] = render(turns, who)
     assert views == wanted
+    sizes = {}
+    for r in found:
+        sizes.setdefault((r.conv_id, r.speaker), {})[r.segment] = r.n_turns
+    for counts in sizes.values():
+        assert sorted(counts) == list(range(len(counts)))
+        assert all(counts[k] == segment for k in range(len(counts) - 1)) and 0 < counts[len(counts) - 1] <= segment
     assert chat.rotate(table.where("false")).count() == 0
 
 
+def test_rotation_of_a_crowded_dialogue(spark, monkeypatch):
+    """Ten thousand turns without id or number: no row holds more than a segment."""
+    monkeypatch.setattr(chat, "STRETCH", 3)
+    turns = spark.range(10_000).selectExpr(
+        "CAST(NULL AS LONG) AS conv_id", "CAST(NULL AS LONG) AS turn", "IF(id % 2 = 0, 'a', 'b') AS role",
+        "IF(id < 6000, 'equal', concat('t', id)) AS text",
+    )
+    found = chat.rotate(turns.repartition(5), segment_turns=64).where("speaker = 'a'").orderBy("segment").collect()
+    assert [r.segment for r in found] == list(range(157))
+    assert [r.n_turns for r in found] == [64] * 156 + [16]
+    assert sum(len(r.mask) for r in found) == 5000
+    at = 0
+    for r in found:
+        assert r.start == at
+        at += len(r.rendered)
+    whole = "".join(r.rendered for r in found)
+    assert whole.count("equal") == 6000 and all(whole.count(f"\nt{k}<") == 1 for k in range(6000, 10_000, 37))
+
+
 def test_parts_of_a_statement_may_lie_apart():
     words = prose(11, 4000).split()
     for foreign in (5, 30, 90):
