@@ -1,6 +1,7 @@
 """Quality rules and the quality classifier."""
 
 import math
+import random
 import re
 import zlib
 
@@ -9,6 +10,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from curbflow.llm import quality_model, quality_rules
+from curbflow.llm.common import table
 
 from .conftest import awkward_rows, prose
 
@@ -44,9 +46,10 @@ def test_empty_tables(spark, nothing, awkward, some_labels):
     assert judged.where("kept = base_failed").count() == 0
 
 
-@pytest.mark.parametrize(("k", "n", "p"), [(0, 100, 0.02), (3, 500, 0.01), (40, 5000, 0.01), (5, 100, 0.01)])
+@pytest.mark.parametrize(("k", "n", "p"), [(0, 100, 0.02), (3, 500, 0.01), (40, 5000, 0.01), (5, 100, 0.01), (19, 2000, 0.05), (900, 20000, 0.05)])
 def test_binomial_tail(spark, k, n, p):
-    tail = sum(math.comb(n, i) * p**i * (1 - p) ** (n - i) for i in range(k + 1))
+    log_of = lambda i: math.lgamma(n + 1) - math.lgamma(i + 1) - math.lgamma(n - i + 1)
+    tail = math.fsum(math.exp(log_of(i) + i * math.log(p) + (n - i) * math.log(1 - p)) for i in range(k + 1))
     row = spark.range(1).select(F.lit(k).alias("k"), F.lit(n).alias("n"))
     got = row.select(quality_rules.binomial_tail(F.col("k"), F.col("n"), p)).first()[0]
     assert got == (pytest.approx(tail, rel=1e-9) if k < n * p else 1.0)
@@ -64,6 +67,59 @@ def test_cutoffs_only_where_proven(spark):
     assert judged.where("NOT kept").count() == 4
 
 
+def brute_cutoffs(rows, grid, alpha, delta):
+    """Cutoffs by stratum from (stratum, {rule: measure}) of good documents, step by step."""
+    strata = {}
+    for stratum, measure in rows:
+        strata.setdefault(stratum or "", []).append(measure)
+    found = {}
+    for stratum, good in strata.items():
+        limits = {}
+        for depth in range(max(map(len, grid.values()))):
+            for rule, tried in grid.items():
+                if depth >= len(tried):
+                    continue
+                tighter = {**limits, rule: sorted(tried)[-1 - depth]}
+                k = sum(any(g[r] > c for r, c in tighter.items()) for g in good)
+                tail = sum(math.comb(len(good), i) * alpha**i * (1 - alpha) ** (len(good) - i) for i in range(k + 1))
+                if tail > delta / len(strata):
+                    break
+                limits = tighter
+            else:
+                continue
+            break
+        if limits:
+            found[stratum] = limits
+    return found
+
+
+def test_cutoffs_against_brute_force(spark):
+    """Strata of several sizes; some prove all steps, some a few, one none."""
+    chance = random.Random(3)
+    grid = {"one": (0.2, 0.5, 0.9), "two": (0.3, 0.6), "three": (0.1, 0.4, 0.7, 0.8)}
+    plan = {"a": (400, 0.02), "b": (150, 0.3), "c": (30, 0.0), None: (700, 0.7), "d": (90, 0.0)}
+    rows = [
+        (lang, {r: chance.random() if chance.random() < spread / 3 else 0.05 for r in grid})
+        for lang, (n, spread) in plan.items() for _ in range(n)
+    ]
+    frame = spark.createDataFrame(
+        [(k, lang, False, *m.values()) for k, (lang, m) in enumerate(rows)],
+        "doc_id long, lang string, base_failed boolean, one double, two double, three double",
+    )
+    labels = frame.selectExpr("doc_id", "1 AS quality")
+    got = {
+        r._stratum: {rule: r[f"_max_{rule}"] for rule in grid if r[f"_max_{rule}"] is not None}
+        for r in quality_rules.cutoffs(frame, labels, grid=grid).collect()
+    }
+    wanted = brute_cutoffs(rows, grid, quality_rules.ALPHA, quality_rules.DELTA)
+    assert got == wanted and 1 < len(wanted) < len(plan)
+
+
+def test_method_rejects_what_the_base_rule_keeps(spark):
+    judged = quality_rules.apply_rules(table(spark, "/root/testdata/sf0.01", "documents"), table(spark, "/root/testdata/sf0.01", "labels"))
+    assert judged.where("NOT base_failed AND NOT kept").count() > 0
+
+
 def test_many_strata_are_salted_with_the_same_verdicts(spark, monkeypatch):
     columns = [f"_max_{rule} double" for rule in quality_rules.GRID]
     limits = spark.createDataFrame(
