@@ -22,6 +22,8 @@ from .common import kept, shipped, slices, texts_of
 
 # Pieces of a group on average: enough of every size for full sequences.
 GROUP_PIECES = 4096
+# Copies of a piece that one step lays out.
+RUN = 1 << 16
 # White-space runs longer than this are left to the reference library.
 LONG_RUN = re.compile(r"\s{2000}")
 
@@ -144,6 +146,20 @@ def cut(
     )
 
 
+def _numbered(pieces: DataFrame) -> DataFrame:
+    """Pieces with a number ``copy`` among equal ones, from their counts alone.
+
+    Equal pieces are counted before and after a shuffle and laid out again in two steps,
+    so that no array grows with their number.
+    """
+    counted = pieces.groupBy(*pieces.columns).agg(F.count(F.lit(1)).alias("copies"))
+    last = F.col("copies") - 1
+    runs = counted.withColumn("run", F.explode(F.sequence(F.lit(0).cast("long"), last, F.lit(RUN).cast("long"))))
+    return runs.withColumn("copy", F.explode(F.sequence("run", F.least(F.col("run") + (RUN - 1), last)))).drop(
+        "copies", "run"
+    )
+
+
 def pack(
     docs: DataFrame, tokenizer: str, capacity: int = 1024, end_id: int = 0, seed: int = 17,
     group_pieces: int = GROUP_PIECES, id_col: str = "doc_id", text_col: str = "text",
@@ -156,16 +172,18 @@ def pack(
     from 0. A null text counts as empty (one piece, the closing id alone); null and
     repeated ids are packed like others, each row for itself; other columns are not
     read. The number of groups follows the rows and bytes of the input, so a group has
-    about ``group_pieces`` pieces at every size; dealing by a hash of id, position and
-    content spreads a long document and repeats the same deal when a task is lost.
+    about ``group_pieces`` pieces at every size; dealing by a hash of id, position,
+    content and a number within equal pieces spreads long documents and repeated rows
+    alike and repeats the same deal when a task is lost.
     """
     counted = docs.agg(
         F.count(F.lit(1)).alias("n"), F.coalesce(F.sum(F.octet_length(text_col)), F.lit(0)).alias("b")
     ).first()
     groups = max(1, -(-(counted.n + counted.b // capacity) // group_pieces))
     pieces = cut(docs, tokenizer, capacity, end_id, id_col, text_col)
-    keys = F.xxhash64("doc_id", "start", "ids_crc32", F.lit(seed))
-    dealt = pieces.withColumn("group", F.pmod(keys, F.lit(groups)))
+    dealt = _numbered(pieces).withColumn(
+        "group", F.pmod(F.xxhash64("doc_id", "start", "ids_crc32", "copy", F.lit(seed)), F.lit(groups))
+    ).drop("copy")
 
     def run(key, group):
         order = [("length", "descending"), ("doc_id", "ascending"), ("start", "ascending"), ("ids_crc32", "ascending")]

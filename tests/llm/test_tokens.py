@@ -126,3 +126,15 @@ def test_token_counts_in_many_buckets_and_groups(spark, monkeypatch, byte_tokeni
     docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(6)
     found = {r.doc_id: r.n_tokens for r in token_counts.count_tokens(docs, BYTE_BPE).collect()}
     assert found == {k: len(expected(byte_tokenizer, t)) for k, t in enumerate(texts)}
+
+
+def test_repeated_rows_are_dealt_to_many_groups(spark, monkeypatch):
+    monkeypatch.setattr(packing, "RUN", 7)
+    docs = spark.range(3000).selectExpr("CAST(IF(id % 2 = 0, 5, NULL) AS LONG) AS doc_id", "'the same words' AS text")
+    rows = packing.pack(docs, BYTE_BPE, capacity=64, group_pieces=100).collect()
+    assert len(rows) == 3000 and sum(r.doc_id is None for r in rows) == 1500
+    groups = {}
+    for r in rows:
+        groups[r.sequence_id >> 32] = groups.get(r.sequence_id >> 32, 0) + 1
+    assert len(groups) >= 30 and max(groups.values()) < 300
+    assert len({(r.sequence_id, r.offset) for r in rows}) == 3000
