@@ -135,7 +135,9 @@ def fit(
 
     Only rows whose id is not held out count. A document labelled twice takes its lower
     label. Features of the sample are made by the tasks; the driver receives one row of
-    bucket shares per sampled document.
+    bucket shares per sampled document. Equal rows under one id count once, and where an
+    id stands for several texts, so that more than ``sample_docs`` rows match, those of
+    lowest hash of id and features are taken.
     """
     order = F.xxhash64("_id", F.lit(SEED))
     chosen = (
@@ -163,7 +165,11 @@ def fit(
             )
 
     features_of = sampled.mapInArrow(run, "id string, label int, buckets array<int>, share array<float>")
-    table = features_of.toArrow()
+    # Grouped by digests: copies meet as one row, on the way and after it.
+    numbered = features_of.withColumn("digest", F.xxhash64("buckets", "share")).groupBy("id", "label", "digest").agg(
+        F.any_value("buckets").alias("buckets"), F.any_value("share").alias("share")
+    )
+    table = numbered.orderBy(F.xxhash64("id", F.lit(SEED)), "id", "label", "digest").limit(sample_docs).toArrow()
     samples = [
         (
             table["buckets"][i].values.to_numpy(), table["share"][i].values.to_numpy(),
@@ -202,8 +208,12 @@ def classify(
     """``docs`` with ``held_out``, ``score`` and ``predicted`` (1 from ``threshold`` on).
 
     Every whole text is scored, repeated rows each; scores depend on the text alone.
-    Without any usable label all scores are 0.5.
+    Without any usable label all scores are 0.5. Columns of ``docs`` with one of the three
+    names are replaced in place, unless the column is the id or the text, which is refused.
     """
+    taken = {"held_out", "score", "predicted"} & {id_col.lower(), text_col.lower()}
+    if taken:
+        raise ValueError(f"id and text may not be named {sorted(taken)}")
     model = fit(docs, labels, sample_docs, id_col, text_col)
     scored = with_score(docs.withColumn("held_out", held_out(F.col(id_col))), model, text_col)
     return scored.withColumn("predicted", (F.col("score") >= threshold).cast("int"))

@@ -175,3 +175,26 @@ def test_scores_do_not_depend_on_neighbours():
     model = quality_model.train(samples)
     together = model.scores(texts)
     assert [model.scores([t])[0] for t in texts] == pytest.approx(list(together), rel=1e-12)
+
+
+def test_sample_is_bounded_by_rows(spark, monkeypatch):
+    """One labelled id repeated with many texts: the driver gets the bound, in any order of rows."""
+    texts = [prose(k, 30) for k in range(60)]
+    rows = [(1, t) for t in texts] * 3 + [(k, prose(100 + k, 30)) for k in range(2, 30)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    labels = spark.createDataFrame([(k, k % 2, 0) for k in range(1, 30)], "doc_id long, quality int, toxic int")
+    seen = []
+    monkeypatch.setattr(quality_model, "train", lambda samples: seen.append(samples))
+    quality_model.fit(docs.repartition(3), labels, sample_docs=20)
+    quality_model.fit(docs.repartition(7), labels, sample_docs=20)
+    assert 0 < len(seen[0]) <= 20
+    same = [[(b.tolist(), label) for b, _, label in samples] for samples in seen]
+    assert same[0] == same[1]
+
+
+def test_callers_columns_are_replaced_or_refused(spark, awkward, some_labels):
+    judged = quality_model.classify(awkward, some_labels)
+    assert judged.columns == [*awkward.columns, "held_out", "predicted"]
+    assert judged.schema["score"].dataType.simpleString() == "double" and judged.count() == len(awkward_rows())
+    with pytest.raises(ValueError, match="score"):
+        quality_model.classify(awkward, some_labels, text_col="score")
