@@ -3,11 +3,12 @@
 Every stage takes ``(spark, docs, sf_dir)``, works on all rows of ``docs`` and returns a
 DataFrame that is written as Parquet and read again by the next one. All but the last
 return the columns of ``docs``. Null and repeated rows, empty texts and extra columns are
-handled as the operators say; rows with the same id and text stay or go together.
+handled as the operators say.
 """
 
 from __future__ import annotations
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -34,21 +35,37 @@ def rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return quality_rules.judge(measured, limits).where("kept").select("_row.*")
 
 
+def _placed(docs: DataFrame) -> DataFrame:
+    """``_doc`` (the row) and ``_key``: its id, null last, then file and row, which tell all rows apart.
+
+    Stage input is a stored table, whose file positions outlast a lost task; anything
+    else is stored first.
+    """
+    try:
+        docs.select("_metadata.row_index")
+    except AnalysisException:
+        docs = stored(docs.select(F.struct("*").alias("_doc")), "rows")
+    row = F.col("_doc") if docs.columns == ["_doc"] else F.struct(*[F.col(f"`{name}`") for name in docs.columns])
+    number = F.col("_doc.doc_id") if docs.columns == ["_doc"] else F.col("doc_id")
+    key = F.struct(
+        number.isNull().alias("unknown"), F.coalesce(number, F.lit(0)).alias("doc_id"),
+        F.xxhash64("_metadata.file_path").alias("file"), F.col("_metadata.row_index").alias("row"),
+    )
+    return docs.select(row.alias("_doc"), key.alias("_key"))
+
+
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The document with the smallest id of every component; documents without id stay.
+    """One document of every component: the one with the smallest id, null last.
 
-    A document is an id with a text: of two texts under one id each is judged for itself,
-    and should both stand for one component, the smaller digest decides. Rows with the
-    same id and text are one document and stay or go together.
+    Every row is judged for itself, so of two texts under one id each may stay, and of
+    repeated rows or copies without an id one stays. Texts without words link with nothing.
     """
-    digest = F.unhex(F.md5(F.coalesce(F.col("text"), F.lit(""))))
-    document = F.when(F.col("doc_id").isNotNull(), F.struct("doc_id", digest.alias("digest")))
-    joined = ngram_join.jaccard_components(docs.select(document.alias("doc_id"), "text"))
-    gone = joined.where("component_id <> doc_id").select(
-        F.col("doc_id.doc_id").alias("_gone_id"), F.col("doc_id.digest").alias("_gone_digest")
-    ).distinct()
-    same = (F.col("doc_id") == F.col("_gone_id")) & (digest == F.col("_gone_digest"))
-    return docs.join(gone, same, "left_anti")
+    placed = _placed(docs)
+    joined = ngram_join.jaccard_components(
+        placed.select(F.col("_key").alias("doc_id"), F.col("_doc.text").alias("text"))
+    )
+    gone = joined.where("component_id <> doc_id").select(F.col("doc_id").alias("_gone"))
+    return placed.join(gone, F.col("_key") == F.col("_gone"), "left_anti").select("_doc.*")
 
 
 def sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
