@@ -184,8 +184,9 @@ def run_incremental(
     totals = aggregate(stream)
 
     def publish(batch: DataFrame, number: int) -> None:
-        # At most a few hundred group rows: one file.
-        batch.coalesce(1).write.mode("overwrite").parquet(f"{out}/batch={number}")
+        # At most a few hundred group rows: one file. They are gathered by a shuffle; a
+        # coalesce would pull every partition of the state into the one task that writes.
+        batch.repartition(1).write.mode("overwrite").parquet(f"{out}/batch={number}")
 
     query = (
         totals.writeStream.outputMode("complete").trigger(availableNow=True)

@@ -1,6 +1,11 @@
 """Keyed running totals over arrivals, restarts and lost batches."""
 
+import os
+
 import pytest
+from pyspark import TaskContext
+from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from curbflow.session import fresh_path
 from curbflow.streaming import incremental
@@ -81,3 +86,23 @@ def test_nothing_has_arrived(spark):
         ["DOLocationID", "hour"], out, seen,
     )
     assert totals.count() == 0
+
+
+@F.udf(T.IntegerType())
+def task_of(_):
+    return TaskContext.get().partitionId()
+
+
+@pytest.mark.parametrize("totals", [incremental.daily_totals, incremental.weekday_hour_totals, incremental.hourly_totals])
+def test_running_totals_are_kept_by_many_tasks_and_published_as_one_file(spark, totals):
+    landing, out = (fresh_path(spark, f"test-{k}") for k in range(2))
+    for k in range(3):
+        arrival(spark, landing, 200 * k, 200)
+    published = incremental.run_incremental(
+        incremental.stream_trips(spark, landing, SCHEMA),
+        lambda trips: totals(trips).withColumn("task", task_of(F.lit(0))), out,
+    )
+    assert settled(published.drop("task")) == settled(totals(spark.read.schema(SCHEMA).parquet(landing)))
+    assert published.select("task").distinct().count() > 1
+    for batch in range(3):
+        assert len([f for f in os.listdir(f"{out}/batch={batch}") if f.startswith("part-")]) == 1
