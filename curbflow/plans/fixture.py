@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 
 from ..operators.geometry import zone_centroids as centroids_of
 from ..schema import FILE_KEYS, RENAMES
-from ..session import fresh_path, settle
+from ..session import files_kept_open, fresh_path, settle
 from ..sources.dimensions import parse_schedule, read_zone_vertices
 
 STADIUM = 140
@@ -176,14 +176,18 @@ def derive_trips(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 _stored: dict[tuple[str, str, str], tuple[str, object]] = {}
+# Files a task keeps open at a time; each buffers a row group, together as much as one of the usual size.
+OPEN_FILES = 4
+ROW_GROUP = 128 * 2**20 // OPEN_FILES
 
 
 def _stored_once(spark: SparkSession, sf_dir: str, label: str, derive, *partition_by: str) -> DataFrame:
     """``derive()`` as a table, written once per session and data set."""
     key = (spark.sparkContext.applicationId, sf_dir, label)
     if key not in _stored:
-        derived, path = derive(), fresh_path(spark, label)
-        derived.write.partitionBy(*partition_by).parquet(path)
+        with files_kept_open(spark, OPEN_FILES):
+            derived, path = derive(), fresh_path(spark, label)
+            derived.write.partitionBy(*partition_by).option("parquet.block.size", ROW_GROUP).parquet(path)
         _stored[key] = (path, derived.schema)
     path, schema = _stored[key]
     return spark.read.schema(schema).parquet(path)

@@ -7,6 +7,7 @@ from pyspark import TaskContext
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from curbflow.plans import fixture
 from curbflow.session import fresh_path
 from curbflow.streaming import incremental
 
@@ -106,3 +107,26 @@ def test_running_totals_are_kept_by_many_tasks_and_published_as_one_file(spark,
     assert published.select("task").distinct().count() > 1
     for batch in range(3):
         assert len([f for f in os.listdir(f"{out}/batch={batch}") if f.startswith("part-")]) == 1
+
+
+def test_stored_trips_are_dealt_to_their_folders_without_a_sort(spark):
+    spark.sql(
+        f"CREATE TABLE kinds_dealt (id BIGINT, kind INT) USING parquet PARTITIONED BY (kind) LOCATION '{fresh_path(spark, 'test')}'"
+    )
+
+    def plan():
+        return spark.sql("EXPLAIN INSERT INTO kinds_dealt SELECT id, CAST(id % 6 AS INT) FROM range(100)").first()[0]
+
+    plans = []
+
+    def derive():
+        plans.append(plan())
+        return spark.range(100).selectExpr("id", "CAST(id % 6 AS INT) AS kind")
+
+    try:
+        stored = fixture._stored_once(spark, fresh_path(spark, "test"), "kinds", derive, "kind")
+        # Six kinds, more than the files kept open at a time.
+        assert settled(stored) == [(k, k % 6) for k in range(100)]
+        assert "Sort" not in plans[0] and "Sort" in plan()
+    finally:
+        spark.sql("DROP TABLE kinds_dealt")
