@@ -18,11 +18,15 @@ def _edges(local: DataFrame) -> DataFrame:
     """Every edge of every ring, the one from its last vertex back to its first included.
 
     A vertex is joined to its successor by ring and ``seq``, hence a zone with a huge
-    outline is spread like any other. The closing edge of a ring that repeats its first
-    vertex has no length. ``n`` is the ring's number of vertices on that edge, else NULL.
+    outline is spread like any other. Outlines are never shipped whole to every task, as
+    Spark would when the files they are made from look small. The closing edge of a ring
+    that repeats its first vertex has no length. ``n`` is the ring's number of vertices on
+    that edge, else NULL.
     """
     successor = local.selectExpr(*_RING, "seq - 1 AS seq", "x0 AS x1", "y0 AS y1")
-    inner = local.join(successor, [*_RING, "seq"]).selectExpr(*_RING, "x0", "y0", "x1", "y1", "CAST(NULL AS BIGINT) AS n")
+    inner = local.join(successor.hint("merge"), [*_RING, "seq"]).selectExpr(
+        *_RING, "x0", "y0", "x1", "y1", "CAST(NULL AS BIGINT) AS n"
+    )
     closing = local.groupBy(*_RING).agg(
         F.max_by("x0", "seq").alias("x0"), F.max_by("y0", "seq").alias("y0"),
         F.min_by("x0", "seq").alias("x1"), F.min_by("y0", "seq").alias("y1"), F.count(F.lit(1)).alias("n"),

@@ -171,3 +171,19 @@ def test_a_gap_in_a_ring_is_refused(spark):
     vertices = spark.createDataFrame(rows, "LocationID int, part int, ring int, seq int, x double, y double")
     with pytest.raises(Exception, match="without gaps"):
         geometry.zone_centroids(vertices).collect()
+
+
+def test_outlines_made_from_a_small_table_meet_by_shuffle(spark):
+    """Squares of 4 feet, one a zone, which Spark takes for as small as the ids they come from."""
+    vertices = spark.range(300).selectExpr(
+        "CAST(id AS INT) AS LocationID", "0 AS part", "0 AS ring", "id * 10D AS left",
+        "inline(array((0, 0D, 0D), (1, 0D, 4D), (2, 4D, 4D), (3, 4D, 0D))) AS (seq, dx, y)",
+    ).selectExpr("LocationID", "part", "ring", "seq", "left + dx AS x", "y")
+    edges = geometry._edges(vertices.withColumnsRenamed({"x": "x0", "y": "y0"}))
+    centroids = geometry.zone_centroids(vertices, oriented=True)
+    for df in (edges, centroids):
+        assert "BroadcastHashJoin" not in df._jdf.queryExecution().executedPlan().toString()
+    assert edges.count() == 4 * 300
+    found = {r.LocationID: (r.x_ft, r.y_ft) for r in centroids.collect()}
+    assert found == {k: pytest.approx((10 * k + 2, 2)) for k in range(300)}
+    assert found == {r.LocationID: pytest.approx((r.x_ft, r.y_ft)) for r in geometry.zone_centroids(vertices).collect()}
