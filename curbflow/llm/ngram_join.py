@@ -29,6 +29,8 @@ BATCH_BYTES = 24 << 20
 FREQUENT = 50_000
 # Copies in one batch from which a shingle is reported as frequent.
 REPORTED = 8
+# Hashes of a batch that are sorted at a time, about.
+RANGE = 1 << 18
 # Classes that one tile compares with one another.
 TILE = 1024
 # Rows of a frequent shingle are dealt over so many partitions each.
@@ -100,18 +102,41 @@ def _short(digest: bytes) -> int:
     return int.from_bytes(digest[:8], "little", signed=True)
 
 
+def _repeated(sets: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+    """Shingles that ``REPORTED`` sets or more hold, sorted, and their copies.
+
+    Hashes are sorted range by range, in place, so that beside the sets only one range of
+    them is held.
+    """
+    total = sum(map(len, sets))
+    count = 1 << max(0, total // RANGE - 1).bit_length()
+    edges = np.array([k * ((1 << 64) // count) for k in range(1, count)], np.uint64)
+    bounds = [np.concatenate(([0], np.searchsorted(c, edges), [len(c)])).tolist() for c in sets] if count > 1 else []
+    shingles, copies = [np.empty(0, np.uint64)], [np.empty(0, np.int64)]
+    for k in range(count if total else 0):
+        own = np.concatenate([c[at[k] : at[k + 1]] for c, at in zip(sets, bounds)] if bounds else sets)
+        own.sort()
+        # Equal hashes stand together: one reaches so far if the last of them is equal too.
+        often = np.unique(own[REPORTED - 1 :][own[REPORTED - 1 :] == own[: max(0, len(own) - REPORTED + 1)]])
+        shingles.append(often)
+        copies.append(np.searchsorted(own, often, "right") - np.searchsorted(own, often, "left"))
+    return np.concatenate(shingles), np.concatenate(copies)
+
+
 def _often(sets: list[np.ndarray], names: np.ndarray):
     """Shingles that many sets of a batch hold: copies, the most typical holder and its share."""
-    owner = np.repeat(np.arange(len(sets)), [len(c) for c in sets])
-    every = np.concatenate(sets) if sets else np.empty(0, np.uint64)
-    shingle, place, copies = np.unique(every, return_inverse=True, return_counts=True)
-    often = copies >= REPORTED
-    rows = often[place]
-    share = np.bincount(owner[rows], minlength=len(sets)) / np.maximum(1, [len(c) for c in sets])
-    owner, place = owner[rows], place[rows]
-    order = np.lexsort((names[owner], -share[owner], place))
-    first = order[np.append(True, np.diff(place[order]) != 0)] if len(order) else order
-    return shingle[often], copies[often], names[owner[first]], share[owner[first]]
+    shingle, copies = _repeated(sets)
+    share, places = np.zeros(len(sets)), []
+    for k, held in enumerate(sets if len(shingle) else ()):
+        at = np.searchsorted(shingle, held)
+        at = at[shingle[np.minimum(at, len(shingle) - 1)] == held]
+        places.append(at.astype(np.int32))
+        share[k] = len(at) / max(1, len(held))
+    # The holder with the largest share is written last, of equal ones the smallest name.
+    first = np.zeros(len(shingle), np.int64)
+    for k in np.lexsort((names, -share))[::-1].tolist() if places else ():
+        first[places[k]] = k
+    return shingle, copies, names[first], share[first]
 
 
 def _describe(rows: DataFrame, words: int) -> DataFrame:

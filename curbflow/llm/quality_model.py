@@ -24,6 +24,8 @@ LENGTHS = (3, 4, 5)
 DIMENSIONS = 8
 # Labelled documents used for training, at most; the lowest in the order of a hash.
 SAMPLE_DOCS = 4000
+# Text whose features a worker holds at a time; they take many times as much.
+SCORED_BYTES = 256 << 10
 EPOCHS = 12
 RATE = 2.0
 SEED = 7
@@ -150,19 +152,20 @@ def fit(
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            found, sizes = [], []
-            for text in texts_of(batch.column(0)):
-                every = np.concatenate([b for _, b in features([text])])
-                buckets, copies = np.unique(every, return_counts=True)
-                found.append(buckets.astype(np.int32))
-                sizes.append((copies / max(1, len(every))).astype(np.float32))
-            yield pa.RecordBatch.from_arrays(
-                [
-                    batch.column(2).cast(pa.string()), batch.column(1).cast(pa.int32()),
-                    pa.array(found, pa.list_(pa.int32())), pa.array(sizes, pa.list_(pa.float32())),
-                ],
-                names=["id", "label", "buckets", "share"],
-            )
+            for part in slices(batch, 0, SCORED_BYTES):
+                found, sizes = [], []
+                for text in texts_of(part.column(0)):
+                    every = np.concatenate([b for _, b in features([text])])
+                    buckets, copies = np.unique(every, return_counts=True)
+                    found.append(buckets.astype(np.int32))
+                    sizes.append((copies / max(1, len(every))).astype(np.float32))
+                yield pa.RecordBatch.from_arrays(
+                    [
+                        part.column(2).cast(pa.string()), part.column(1).cast(pa.int32()),
+                        pa.array(found, pa.list_(pa.int32())), pa.array(sizes, pa.list_(pa.float32())),
+                    ],
+                    names=["id", "label", "buckets", "share"],
+                )
 
     features_of = sampled.mapInArrow(run, "id string, label int, buckets array<int>, share array<float>")
     # Grouped by digests: copies meet as one row, on the way and after it.
@@ -195,7 +198,7 @@ def with_score(docs: DataFrame, model: Model, text_col: str = "text", name: str
         weight, bias, bits = shipped.value
         own = Model(weight, bias, bits)
         block = pa.RecordBatch.from_arrays([texts], names=["text"])
-        parts = [own.scores(texts_of(p.column(0))) for p in slices(block, 0, 1 << 20)]
+        parts = [own.scores(texts_of(p.column(0))) for p in slices(block, 0, SCORED_BYTES)]
         return pa.array(np.concatenate(parts) if parts else np.empty(0), pa.float64())
 
     return docs.withColumn(name, F.arrow_udf(run, "double")(F.col(text_col)))

@@ -3,6 +3,8 @@
 import itertools
 import random
 import re
+import tracemalloc
+from collections import Counter
 
 import numpy as np
 import pytest
@@ -85,6 +87,40 @@ def test_most_typical_copy_without_id(spark):
     assert joined(docs) == expected(rows)
 
 
+@pytest.mark.parametrize("size", [1, 50, 1 << 18])
+def test_frequent_shingles_of_a_batch(monkeypatch, size):
+    monkeypatch.setattr(ngram_join, "RANGE", size)
+    chance = np.random.default_rng(3)
+    pool = chance.integers(0, 2**64, 150, dtype=np.uint64)
+    pool[:2] = 0, 2**64 - 1
+    sets = [np.unique(chance.choice(pool, n)) for n in (0, 1, 1, 5, 20, 40, 80, 80, 120, 200, 200, 200) * 2]
+    names = chance.permutation(len(sets))
+    copies = Counter(s for held in sets for s in held.tolist())
+    often = {s: n for s, n in copies.items() if n >= ngram_join.REPORTED}
+    share = [sum(s in often for s in held.tolist()) / max(1, len(held)) for held in sets]
+    found = list(zip(*[column.tolist() for column in ngram_join._often(sets, names)]))
+    assert 0 < len(often) < len(copies) and [row[0] for row in found] == sorted(often)
+    for s, n, name, part in found:
+        best = min((-share[k], names[k]) for k, held in enumerate(sets) if s in held)
+        assert n == often[s] and (-part, name) == best
+    assert all(not len(column) for column in ngram_join._often([], names[:0]))
+
+
+def test_memory_for_frequent_shingles_of_a_batch():
+    """What is made beside the sets stays below their size."""
+    chance = np.random.default_rng(4)
+    pool = chance.integers(0, 2**64, 400_000, dtype=np.uint64)
+    sets = [np.unique(chance.choice(pool, 400)) for _ in range(5000)]
+    tracemalloc.start()
+    try:
+        shingle = ngram_join._often(sets, np.arange(len(sets)))[0]
+        peak = tracemalloc.get_traced_memory()[1]
+    finally:
+        tracemalloc.stop()
+    # A place of a frequent hash takes four bytes; one range of hashes is sorted at a time.
+    assert len(shingle) > 50_000 and peak < sum(s.nbytes for s in sets)
+
+
 def test_random_small_sets(spark):
     chance = random.Random(8)
     rows = [(k, " ".join(chance.choices("abc", k=chance.randint(0, 12)))) for k in range(150)]
