@@ -2,8 +2,10 @@
 
 Distinct vectors are dealt to shards of bounded size; each shard becomes a tree over
 unit vectors, where the chord length is a metric with the order of the cosine. Blocks
-of queries visit every tree. A subtree is skipped when the triangle inequality, its
-margin multiplied by ``factor``, rules it out: factor 1 is exact, less skips more.
+of queries visit every tree: a task holds a few blocks, its trees pass by one after
+another and what one tree gave bounds the visit of the next. A subtree is skipped when
+the triangle inequality, its margin multiplied by ``factor``, rules it out: factor 1 is
+exact, less skips more.
 """
 
 from __future__ import annotations
@@ -23,6 +25,9 @@ SHARD_VECTORS = 8192
 # Tasks that the meetings of blocks and trees are dealt to at most; each takes several in turn.
 MEETING_PARTITIONS = 20_000
 BLOCK_QUERIES = 2048
+# Blocks that a task holds while its trees pass by, and trees that pass at least where there are as many.
+BLOCKS_HELD = 16
+TREES_PASSED = 4
 LEAF = 64
 # Neighbours a search keeps beyond those asked for; they set the bound for the exact visit.
 SPARE = 8
@@ -108,7 +113,10 @@ class Tree:
     def _visit(self, queries, who, start, end, best, found) -> None:
         members = self.order[start:end]
         k = best.shape[1]
-        far = np.concatenate([best[who], chords(queries[who], self.unit[members])], axis=1)
+        far = chords(queries[who], self.unit[members])
+        nearer = (far < best[who, -1:]).any(axis=1)  # the others keep what they have
+        who, far = who[nearer], far[nearer]
+        far = np.concatenate([best[who], far], axis=1)
         names = np.concatenate([found[who], np.broadcast_to(members, (len(who), len(members)))], axis=1)
         nearest = np.argsort(far, axis=1, kind="stable")[:, :k]
         best[who] = np.take_along_axis(far, nearest, axis=1)
@@ -170,23 +178,46 @@ class Best:
 
 
 def best_of(
-    tree: Tree, unit: np.ndarray, wanted: np.ndarray, names: list, raw: np.ndarray, ids: list[list], k: int, factor: float
+    tree: Tree, unit: np.ndarray, wanted: np.ndarray, names: list, raw: np.ndarray, ids: list[list], k: int, factor: float,
+    floor: np.ndarray,
 ) -> Best:
-    """The ``k`` best of a tree per query. With factor 1, all within the bound of the k-th are compared, ties of any number."""
+    """The ``k`` best of a tree per query. With factor 1, all within the bound of the k-th are compared, ties of any number.
+
+    ``floor`` is the score of the k-th found in other trees, -inf where there are fewer:
+    with factor 1 what falls below it may be left out.
+    """
     best = Best(wanted, names, raw, ids, k)
-    found, _ = tree.search(unit, k + 1 + SPARE, factor)
-    who, at = np.nonzero(found >= 0)
-    best.add(who, found[who, at])
+    bare = np.arange(len(unit)) if factor < 1 else np.nonzero(np.isneginf(floor))[0]
+    if len(bare):
+        found, _ = tree.search(unit[bare], k + 1 + SPARE, factor)
+        who, at = np.nonzero(found >= 0)
+        best.add(bare[who], found[who, at])
     if factor < 1:
         return best
     # Fewer than k, as where a query's own id takes the places: everything is in reach.
-    bound = np.maximum(best.score[:, -1], -1.0)
+    bound = np.maximum(np.maximum(best.score[:, -1], floor), -1.0)
     best = Best(wanted, names, raw, ids, k)
     for who, place in tree.within(unit, np.sqrt(np.maximum(0.0, 2.0 - 2.0 * bound)) + SLACK):
         best.add(who, place)
     return best
 
 
+class Found:
+    """Per query of a block the ``k`` best over the trees met so far: highest score, then smallest id."""
+
+    def __init__(self, names: list, k: int):
+        self.names, self.k = names, k
+        self.pairs: list[list[tuple]] = [[] for _ in names]
+        self.floor = np.full(len(names), -np.inf)
+
+    def add(self, best: Best) -> None:
+        for q in np.nonzero(best.held[:, 0] >= 0)[0].tolist():
+            more = [(-s, best.ids[r]) for s, r in zip(best.score[q].tolist(), best.held[q].tolist()) if r >= 0]
+            self.pairs[q] = sorted(self.pairs[q] + more)[: self.k]
+            if len(self.pairs[q]) == self.k:
+                self.floor[q] = -self.pairs[q][-1][0]
+
+
 def _matrix(column, dim: int) -> np.ndarray:
     if isinstance(column, pa.ChunkedArray):
         column = column.combine_chunks()
@@ -221,7 +252,8 @@ def _build(rows: DataFrame, keep: int) -> tuple[DataFrame, int]:
         raw = raw[order]
         ids = [group["ids"][int(i)].as_py() for i in order]
         tree = Tree(raw / np.sqrt((raw * raw).sum(axis=1, keepdims=True)))
-        blob = pickle.dumps((raw.astype(np.float64), ids, tree.order, tree.nodes))
+        given = group["vector"].type.value_type.to_pandas_dtype()
+        blob = pickle.dumps((raw.astype(given), ids, tree.order, tree.nodes))
         return pa.table({"dim": [dim], "shard": [key[1].as_py()], "tree": [blob]}, schema=pa.schema(
             [("dim", pa.int32()), ("shard", pa.int32()), ("tree", pa.binary())]
         ))
@@ -245,7 +277,9 @@ def nearest(
     """
 
     def clean(df: DataFrame) -> DataFrame:
-        chosen = df.select(F.col(id_col).alias("id"), F.col(vector_col).cast("array<double>").alias("vector"))
+        # Floats stay as they are until they are scored: half the bytes to shuffle and store.
+        kind = "array<float>" if df.schema[vector_col].dataType.simpleString() == "array<float>" else "array<double>"
+        chosen = df.select(F.col(id_col).alias("id"), F.col(vector_col).cast(kind).alias("vector"))
         return chosen.where(F.col("id").isNotNull() & usable(F.col("vector")))
 
     trees, shards = _build(clean(vectors), k + 1)
@@ -262,34 +296,47 @@ def nearest(
             [("dim", pa.int32()), ("block", pa.int32()), ("asked", pa.binary())]
         ))
 
-    bundles = dealt.groupBy("dim", "block").applyInArrow(gather, "dim int, block int, asked binary")
-    visits = bundles.withColumn("shard", F.explode(F.sequence(F.lit(0), F.lit(shards - 1))))
-    meetings = visits.join(trees, ["dim", "shard"]).repartition(
-        min(shards * blocks, MEETING_PARTITIONS), "dim", "shard", "block"
-    )
-
-    def search(key, group):
-        rows: list[tuple] = []
-        for blob, asked_blob in zip(group["tree"].to_pylist(), group["asked"].to_pylist()):
-            raw, ids, order, nodes = pickle.loads(blob)
-            names, wanted = pickle.loads(asked_blob)
-            tree = Tree.__new__(Tree)
-            tree.unit = raw / np.sqrt((raw * raw).sum(axis=1, keepdims=True))
-            tree.order, tree.nodes = order, nodes
-            unit = wanted / np.sqrt((wanted * wanted).sum(axis=1, keepdims=True))
-            best = best_of(tree, unit, wanted, names, raw, ids, k, factor)
-            for q, (own, scores) in enumerate(zip(best.held.tolist(), best.score.tolist())):
-                row = wanted[q].tobytes()
-                rows += [(names[q], row, best.ids[r], s) for r, s in zip(own, scores) if r >= 0]
-        columns = list(zip(*rows)) or [(), (), (), ()]
-        return pa.table([pa.array(c, t) for c, t in zip(columns, kinds)], names=["query_id", "q", "vec_id", "score"])
+    # Stored, so that places in a block stay the same whenever a task reads it again.
+    bundles = stored(dealt.groupBy("dim", "block").applyInArrow(gather, "dim int, block int, asked binary"), "asked")
+    # Every tree meets every block in some task, without copies of them in a shuffle. Tasks grow with shards, not with pairs.
+    parts = max(1, -(-blocks // BLOCKS_HELD))
+    sides = min(-(-shards // max(parts, TREES_PASSED)), max(1, MEETING_PARTITIONS // parts))
+    standing = bundles.repartitionById(parts, F.col("block") % parts)
+    passing = trees.repartitionById(sides, F.col("shard") % sides)
+    meetings = passing.hint("shuffle_replicate_nl").join(standing, "dim")
+
+    def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: dict[tuple[int, int], Found] = {}
+        last = None
+        for batch in batches:
+            columns = [batch.column(c) for c in ("dim", "shard", "block", "tree", "asked")]
+            for row in range(batch.num_rows):
+                dim, shard, block = (c[row].as_py() for c in columns[:3])
+                if last != (dim, shard):
+                    raw, ids, order, nodes = pickle.loads(columns[3][row].as_buffer())
+                    raw = raw.astype(np.float64)
+                    tree = Tree.__new__(Tree)
+                    tree.unit = raw / np.sqrt((raw * raw).sum(axis=1, keepdims=True))
+                    tree.order, tree.nodes = order, nodes
+                    last = dim, shard
+                names, wanted = pickle.loads(columns[4][row].as_buffer())
+                unit = wanted / np.sqrt((wanted * wanted).sum(axis=1, keepdims=True))
+                if (dim, block) not in held:
+                    held[dim, block] = Found(names, k)
+                found = held[dim, block]
+                found.add(best_of(tree, unit, wanted, names, raw, ids, k, factor, found.floor))
+        for (dim, block), found in held.items():
+            rows = [(dim, block, at, found.names[at], i, -s) for at, own in enumerate(found.pairs) for s, i in own]
+            columns = list(zip(*rows)) or [()] * len(kinds)
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, kinds)], places + ["query_id", "vec_id", "score"])
 
     asks, given = asked.schema["id"].dataType, vectors.schema[id_col].dataType
-    kinds = [to_arrow_type(asks), pa.binary(), to_arrow_type(given), pa.float64()]
-    hits = meetings.groupBy("dim", "shard", "block").applyInArrow(
-        search, f"query_id {asks.simpleString()}, q binary, vec_id {given.simpleString()}, score double"
+    places = ["dim", "block", "at"]
+    kinds = [pa.int32()] * 3 + [to_arrow_type(asks), to_arrow_type(given), pa.float64()]
+    hits = meetings.mapInArrow(
+        search, f"dim int, block int, at int, query_id {asks.simpleString()}, vec_id {given.simpleString()}, score double"
     )
-    order = Window.partitionBy("query_id", "q").orderBy(F.desc("score"), "vec_id")
+    order = Window.partitionBy(*places).orderBy(F.desc("score"), "vec_id")
     return (
         hits.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
         .select("query_id", "rank", "vec_id", "score")

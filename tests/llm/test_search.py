@@ -309,3 +309,22 @@ def test_ids_of_any_type_over_many_shards_and_blocks(spark, monkeypatch, kind):
     found = vantage.nearest(own, own.where("vec_id % 10 = 0"))
     assert dict(found.dtypes)["vec_id"] == kind
     assert {(int(r.query_id), r["rank"]): int(r.vec_id) for r in found.collect()} == whole
+
+
+def test_tasks_grow_with_shards_not_with_meetings(spark, monkeypatch):
+    """Twenty trees and twenty blocks of one query: every pair met, exact over copies and ties, in few tasks."""
+    rows = unit_rows(200)
+    rows += [(1000 + k, rows[7][1]) for k in range(12)] + [(2000 + k, [float(k + 1)] * 12) for k in range(12)]
+    asked = [r for r in rows if r[0] % 10 == 0 or r[0] == 7]
+    for name, value in (("SHARD_VECTORS", 10), ("BLOCK_QUERIES", 1)):
+        monkeypatch.setattr(vantage, name, value)
+    context = spark.sparkContext
+    context.setJobGroup("meetings", "meetings")
+    try:
+        found = vantage.nearest(frame(spark, rows), frame(spark, asked), k=5).collect()
+    finally:
+        context.setLocalProperty("spark.jobGroup.id", None)
+    assert sorted((r.query_id, r["rank"], r.vec_id, r.score) for r in found) == brute(rows, asked, 5)
+    tracker = context.statusTracker()
+    stages = [tracker.getStageInfo(s) for j in tracker.getJobIdsForGroup("meetings") for s in tracker.getJobInfo(j).stageIds]
+    assert stages and max(s.numTasks for s in stages if s) <= 20
